@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: module of this subpackage; the function has the query's name.
 NAMES = {
     "op2_packing": "packing",
+    "op4_pii": "pii",
 }
 
 
