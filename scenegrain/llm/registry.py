@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 NAMES = {
     "op2_packing": "packing",
     "op4_pii": "pii",
+    "op9_quality_gam": "quality_gam",
 }
 
 
