@@ -12,6 +12,7 @@ NAMES = {
     "op2_packing": "packing",
     "op4_pii": "pii",
     "op9_quality_gam": "quality_gam",
+    "op10_toxicity_svm": "toxicity",
 }
 
 
