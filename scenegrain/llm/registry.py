@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name: module of this subpackage; the function has the query's name.
 NAMES = {
+    "op1_sharding": "sharding",
     "op2_packing": "packing",
     "op4_pii": "pii",
     "op9_quality_gam": "quality_gam",
