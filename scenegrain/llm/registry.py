@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 NAMES = {
     "op1_sharding": "sharding",
     "op2_packing": "packing",
+    "op3_mixing": "mixing",
     "op4_pii": "pii",
     "op9_quality_gam": "quality_gam",
     "op10_toxicity_svm": "toxicity",
