@@ -13,6 +13,7 @@ NAMES = {
     "op2_packing": "packing",
     "op3_mixing": "mixing",
     "op4_pii": "pii",
+    "op7_simhash": "simhash",
     "op9_quality_gam": "quality_gam",
     "op10_toxicity_svm": "toxicity",
 }
