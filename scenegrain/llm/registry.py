@@ -14,6 +14,7 @@ NAMES = {
     "op3_mixing": "mixing",
     "op4_pii": "pii",
     "op7_simhash": "simhash",
+    "op8_substrings": "substrings",
     "op9_quality_gam": "quality_gam",
     "op10_toxicity_svm": "toxicity",
 }
