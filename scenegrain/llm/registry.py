@@ -13,6 +13,7 @@ NAMES = {
     "op2_packing": "packing",
     "op3_mixing": "mixing",
     "op4_pii": "pii",
+    "op5_llr_quality": "llr_quality",
     "op7_simhash": "simhash",
     "op8_substrings": "substrings",
     "op9_quality_gam": "quality_gam",
