@@ -14,6 +14,7 @@ NAMES = {
     "op3_mixing": "mixing",
     "op4_pii": "pii",
     "op5_llr_quality": "llr_quality",
+    "op6_posting_lists": "ann",
     "op7_simhash": "simhash",
     "op8_substrings": "substrings",
     "op9_quality_gam": "quality_gam",
