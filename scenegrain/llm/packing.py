@@ -239,6 +239,10 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", windo
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
+def digested(docs: DataFrame) -> DataFrame:
+    """Pieces with a checksum of their ids instead of the ids."""
+    return pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pack(table(spark, sf_dir, "documents"))
-    return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return digested(table(spark, sf_dir, "documents"))
