@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ BUCKETS = 1 << 14
 SMOOTHING, SCALE = 1.0, 10_000
 #: Mean log-likelihood ratio per n-gram, in nats, that a text needs.
 THRESHOLD = -0.35
+#: Trusted rows that the target's counts come from, at most: those with the smallest hash of their id.
+MAX_TRUSTED = 20_000
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
@@ -83,16 +87,15 @@ def repeated_words(words: Column) -> Column:
 def model(docs: DataFrame, trusted: DataFrame, *, id_col: str, text_col: str) -> list[int]:
     """Per bucket the log ratio of its share in trusted text to its share in the corpus, times SCALE.
 
-    Both counts come from one pass over all texts, summed per bucket before the shuffle; what reaches
-    the driver are BUCKETS pairs of numbers. Trusted ids are joined to the rows' ids before words are
-    made.
+    The corpus's counts cover every text, the target's at most MAX_TRUSTED trusted ones; both come from
+    one pass, summed per bucket before the shuffle, and what reaches the driver are BUCKETS pairs of
+    numbers. The trusted ids, one integer each and bounded, are sent to all tasks, so that texts are
+    never shuffled.
     """
-    ids = trusted.select(F.col("doc_id").cast("long").alias("_trusted")).where("_trusted is not null").distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).join(ids, F.col("_id") == F.col("_trusted"), "left")
+    ids = trusted.select(F.col("doc_id").cast("long").alias("_trusted")).where("_trusted is not null").distinct().orderBy(F.xxhash64("_trusted"), "_trusted").limit(MAX_TRUSTED)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(ids), F.col("_id") == F.col("_trusted"), "left")
     hashed = rows.select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode(grams(words_of(surface(F.col("_text"))))).alias("b"))
     counts = {r["b"]: (r["t"], r["n"]) for r in hashed.groupBy("b").agg(F.sum("t").alias("t"), F.count("*").alias("n")).collect()}
-    import math
-
     of_trusted, of_all = (sum(c[k] for c in counts.values()) for k in (0, 1))
     out = []
     for b in range(1, BUCKETS + 1):
