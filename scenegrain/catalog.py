@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from scenegrain.queries._sql import Query
 
-MODULES: list[str] = []
+MODULES = ["scene"]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: v for m in MODULES for k, v in import_module(f"scenegrain.queries.{m}").registry.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in import_module(f"scenegrain.queries.{m}").registry.sql.items()}
