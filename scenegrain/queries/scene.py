@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,7 +17,19 @@ from . import _inputs as inputs
 from ._sql import DIST, FACT, GAP_REL, INTER, OVERLAP, Registry, d, scene, with_
 
 registry = Registry()
-A, B = Box.of("a_"), Box.of("b_")
+
+
+class Side:
+    """The box of one side of a pair, whose columns are made when they are asked for: queries are listed without a session."""
+
+    def __init__(self, prefix: str):
+        self.prefix = prefix
+
+    def __getattr__(self, name: str) -> Column:
+        return getattr(Box.of(self.prefix), name)
+
+
+A, B = Side("a_"), Side("b_")
 T0 = Thresholds()
 
 
@@ -24,8 +38,8 @@ def per_image(df: DataFrame, value: Column) -> DataFrame:
     return df.select("image_id", value.alias("v")).groupBy("image_id").agg(F.count("v").alias("n"), (F.round(F.min("v"), 6) + num(0)).alias("lo"), (F.round(F.max("v"), 6) + num(0)).alias("hi"))
 
 
-def measure(name: str, value: Column, sql: str) -> None:
-    registry.add(name, with_("objects", "pairs") + f"SELECT image_id, count(v) AS n, round(min(v), 6) + 0::DOUBLE AS lo, round(max(v), 6) + 0::DOUBLE AS hi FROM (SELECT image_id, {sql} AS v FROM pairs) GROUP BY image_id")(lambda spark, sf: per_image(inputs.pairs(spark, sf), value))
+def measure(name: str, value: Callable[[], Column], sql: str) -> None:
+    registry.add(name, with_("objects", "pairs") + f"SELECT image_id, count(v) AS n, round(min(v), 6) + 0::DOUBLE AS lo, round(max(v), 6) + 0::DOUBLE AS hi FROM (SELECT image_id, {sql} AS v FROM pairs) GROUP BY image_id")(lambda spark, sf: per_image(inputs.pairs(spark, sf), value()))
 
 
 def center(prefix: str) -> tuple[Column, Column, Column]:
@@ -33,14 +47,14 @@ def center(prefix: str) -> tuple[Column, Column, Column]:
 
 
 AREA_A, AREA_B = "((ax2 - ax1) * (ay2 - ay1))", "((bx2 - bx1) * (by2 - by1))"
-measure("g03_x_extent_overlap", G.x_extent_overlap(A, B), OVERLAP)
-measure("g04_vertical_gap", G.vertical_gap(A, B), "by1 - ay2")
-measure("g05_box_gap_rel", G.box_gap_rel(A, B), GAP_REL)
-measure("g06_dist3d", G.distance_3d(*center("a_"), *center("b_")), DIST)
-measure("g07_iou", G.iou(A, B), f"CASE WHEN {AREA_A} + {AREA_B} - {INTER} <= 0 THEN 0::DOUBLE ELSE {INTER} / ({AREA_A} + {AREA_B} - {INTER}) END")
-measure("g08_overlap_frac", G.overlap_frac(A, B), f"CASE WHEN {AREA_A} <= 0 THEN 0::DOUBLE ELSE {INTER} / {AREA_A} END")
-measure("g09_drop_fraction", G.drop_fraction(A, B), "CASE WHEN by2 - by1 > 0 THEN (ay2 - by1) / (by2 - by1) END")
-measure("g13_rect_contact", G.rect_contact(A, B), "CASE WHEN by1 <= ay2 + 0.01::DOUBLE AND ay2 < by2 THEN greatest(0::DOUBLE, least(ax2, bx2) - greatest(ax1, bx1)) / (ax2 - ax1) ELSE 0::DOUBLE END")
+measure("g03_x_extent_overlap", lambda: G.x_extent_overlap(A, B), OVERLAP)
+measure("g04_vertical_gap", lambda: G.vertical_gap(A, B), "by1 - ay2")
+measure("g05_box_gap_rel", lambda: G.box_gap_rel(A, B), GAP_REL)
+measure("g06_dist3d", lambda: G.distance_3d(*center("a_"), *center("b_")), DIST)
+measure("g07_iou", lambda: G.iou(A, B), f"CASE WHEN {AREA_A} + {AREA_B} - {INTER} <= 0 THEN 0::DOUBLE ELSE {INTER} / ({AREA_A} + {AREA_B} - {INTER}) END")
+measure("g08_overlap_frac", lambda: G.overlap_frac(A, B), f"CASE WHEN {AREA_A} <= 0 THEN 0::DOUBLE ELSE {INTER} / {AREA_A} END")
+measure("g09_drop_fraction", lambda: G.drop_fraction(A, B), "CASE WHEN by2 - by1 > 0 THEN (ay2 - by1) / (by2 - by1) END")
+measure("g13_rect_contact", lambda: G.rect_contact(A, B), "CASE WHEN by1 <= ay2 + 0.01::DOUBLE AND ay2 < by2 THEN greatest(0::DOUBLE, least(ax2, bx2) - greatest(ax1, bx1)) / (ax2 - ax1) ELSE 0::DOUBLE END")
 
 
 @registry.add("g01_norm_box", with_("objects") + """SELECT image_id, idx, round(least(1::DOUBLE, greatest(0::DOUBLE, (xc - w / 2) / (1280 * 0.8::DOUBLE))), 6) AS x1, round(least(1::DOUBLE, greatest(0::DOUBLE, (yc + h / 2) / (720 * 0.8::DOUBLE))), 6) AS y2
@@ -129,12 +143,12 @@ def claim_obscured(spark, sf):
 # the rules, one by one
 
 
-def rule(name: str, keep: Column, sql: str, masks: bool = True) -> None:
+def rule(name: str, keep: Callable[[], Column], sql: str, masks: bool = True) -> None:
     """Pairs for which one rule holds, counted per image."""
     source = "res" if masks else "box"
     parts = ("objects", "contact", "res") if masks else ("objects", "box")
     registry.add(name, with_(*parts) + f"SELECT image_id, count(*) AS n, CAST(sum(subj * 100 + obj) AS BIGINT) AS which FROM {source} WHERE {sql} GROUP BY image_id")(
-        lambda spark, sf: inputs.scene(spark, sf, masks=masks).where(keep).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("a_idx") * 100 + F.col("b_idx")).cast("long").alias("which"))
+        lambda spark, sf: inputs.scene(spark, sf, masks=masks).where(keep()).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("a_idx") * 100 + F.col("b_idx")).cast("long").alias("which"))
     )
 
 
@@ -142,20 +156,20 @@ def says(name: str) -> Column:
     return F.array_contains("predicates", name)
 
 
-rule("r01_on_mask", says("on"), "on1")
-rule("r02_on_box", says("on"), "on1", masks=False)
-rule("r03_under", says("under"), "un1")
-rule("r04_left", says("to the left of"), "lat = 'to the left of'")
-rule("r05_right", says("to the right of"), "lat = 'to the right of'")
-rule("r06_in_front", F.col("b_depth") - F.col("a_depth") > num(T0.depth_eps), f"bz - az > {d(T0.depth_eps)}")
-rule("r07_behind", F.col("a_depth") - F.col("b_depth") > num(T0.depth_eps), f"az - bz > {d(T0.depth_eps)}")
-rule("r08_plane_fallback", (F.abs(F.col("a_depth") - F.col("b_depth")) <= num(T0.depth_eps)) & (says("in front of") | says("behind")), f"abs(az - bz) <= {d(T0.depth_eps)} AND dep IS NOT NULL")
-rule("r09_near", says("near"), f"fr AND gap_rel <= {d(T0.near_T)}")
-rule("r10_class_guard", F.col("a_label").isin("human") | F.col("b_label").isin("human"), "la = 'human' OR lb = 'human'")
-rule("r12_lateral_flag", F.array_contains("flags", "lateral_ambiguous"), "lat IS NULL")
-rule("r13_depth_flag", F.array_contains("flags", "depth_ambiguous"), "dep IS NULL")
-rule("r14_near_edge", F.array_contains("flags", "near_threshold_edge"), f"fr AND abs(gap_rel - {d(T0.near_T)}) <= {d(T0.flag_near_band)}")
-rule("r19_target_only", F.arrays_overlap("predicates", F.array(*map(F.lit, PREDICATE_IDS))), "len(pred) > 0")
+rule("r01_on_mask", lambda: says("on"), "on1")
+rule("r02_on_box", lambda: says("on"), "on1", masks=False)
+rule("r03_under", lambda: says("under"), "un1")
+rule("r04_left", lambda: says("to the left of"), "lat = 'to the left of'")
+rule("r05_right", lambda: says("to the right of"), "lat = 'to the right of'")
+rule("r06_in_front", lambda: F.col("b_depth") - F.col("a_depth") > num(T0.depth_eps), f"bz - az > {d(T0.depth_eps)}")
+rule("r07_behind", lambda: F.col("a_depth") - F.col("b_depth") > num(T0.depth_eps), f"az - bz > {d(T0.depth_eps)}")
+rule("r08_plane_fallback", lambda: (F.abs(F.col("a_depth") - F.col("b_depth")) <= num(T0.depth_eps)) & (says("in front of") | says("behind")), f"abs(az - bz) <= {d(T0.depth_eps)} AND dep IS NOT NULL")
+rule("r09_near", lambda: says("near"), f"fr AND gap_rel <= {d(T0.near_T)}")
+rule("r10_class_guard", lambda: F.col("a_label").isin("human") | F.col("b_label").isin("human"), "la = 'human' OR lb = 'human'")
+rule("r12_lateral_flag", lambda: F.array_contains("flags", "lateral_ambiguous"), "lat IS NULL")
+rule("r13_depth_flag", lambda: F.array_contains("flags", "depth_ambiguous"), "dep IS NULL")
+rule("r14_near_edge", lambda: F.array_contains("flags", "near_threshold_edge"), f"fr AND abs(gap_rel - {d(T0.near_T)}) <= {d(T0.flag_near_band)}")
+rule("r19_target_only", lambda: F.arrays_overlap("predicates", F.array(*map(F.lit, PREDICATE_IDS))), "len(pred) > 0")
 
 LISTED = "array_to_string(pred, ';') AS pred, array_to_string(flags, ';') AS flags"
 
