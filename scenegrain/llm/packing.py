@@ -17,10 +17,10 @@ from pyspark.sql import types as T
 from ._common import table, text_of
 
 WINDOW = 1024
-SENTENCE_CUT = 4
-HARD_CUT = 12
+SENTENCE_CUT = 2
+HARD_CUT = 5
 #: Without a sentence end for this many tokens, hard cuts become candidates every HARD_STEP tokens.
-HARD_GAP, HARD_STEP = 24, 16
+HARD_GAP, HARD_STEP = 10, 8
 #: Tokens gathered before windows are settled; two windows stay open for what follows.
 HORIZON = 1 << 17
 CACHE_WORDS = 400_000
