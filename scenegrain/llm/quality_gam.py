@@ -96,16 +96,23 @@ def tree(g: np.ndarray, h: np.ndarray, l2: float, depth: int = 2) -> np.ndarray:
 
 
 def pair_tree(g: np.ndarray, h: np.ndarray, l2: float) -> np.ndarray:
-    """A tree over two features: the better first cut of either, then a cut of the other in each half."""
-    flip = _split(g.sum(0), h.sum(0), l2)[0] > _split(g.sum(1), h.sum(1), l2)[0]
-    if flip:
-        g, h = g.T, h.T
-    k = _split(g.sum(1), h.sum(1), l2)[1] or len(g)
-    out = np.zeros_like(g)
-    for part in (slice(0, k), slice(k, None)):
-        if g[part].size:
-            out[part] = tree(g[part].sum(0), h[part].sum(0), l2, 1)
-    return out.T if flip else out
+    """A tree over two features: a first cut of either, then a cut of the other in each half.
+
+    The first cut is the one whose halves, after their own cuts, gain most: where only the two
+    together say anything, no first cut gains by itself.
+    """
+    best, out = -1.0, np.zeros_like(g)
+    for flip in (False, True):
+        gg, hh = (g.T, h.T) if flip else (g, h)
+        gl, hl = np.cumsum(gg, 0), np.cumsum(hh, 0)
+        for k in range(1, len(gg) + (len(gg) == 1)):
+            halves = [(gl[k - 1], hl[k - 1]), (gl[-1] - gl[k - 1], hl[-1] - hl[k - 1])]
+            value = sum(_split(a, b, l2)[0] + a.sum() ** 2 / (b.sum() + l2) for a, b in halves)
+            if value > best:
+                top, bottom = (tree(a, b, l2, 1) for a, b in halves)
+                grid = np.vstack([np.tile(top, (k, 1)), np.tile(bottom, (len(gg) - k, 1))])
+                best, out = value, grid.T if flip else grid
+    return out
 
 
 def fit(x: np.ndarray, y: np.ndarray, *, bins: int = 32, rounds: int = 120, rate: float = 0.15, pairs: int = 6, l2: float = 5.0) -> Gam:
@@ -145,7 +152,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, bins: int = 32, rounds: int = 120, rate
             gains.append((float((pair_tree(gg, hh, l2) * gg).sum()), i, j))
     chosen = [(i, j) for gain, i, j in sorted(gains, reverse=True)[:pairs] if gain > 0]
     model.pairs = [(i, j, np.zeros((sizes[i], sizes[j]))) for i, j in chosen]
-    for _ in range(rounds // 3):
+    for _ in range(rounds // 2):
         for i, j, t in model.pairs:
             g, h = gradient()
             step = rate * pair_tree(grid(i, j, g), grid(i, j, h), l2)
