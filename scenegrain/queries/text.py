@@ -117,11 +117,11 @@ def number_tokens(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))).cast("long").alias("numbers"))
 
 
-@registry.add("e09_token_changes", r"WITH w AS (SELECT doc_id % 2 AS side, unnest(string_split(lower(text), ' ')) AS t FROM documents WHERE doc_id < 40), c AS (SELECT t, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM w GROUP BY t) SELECT CASE WHEN b = 0 THEN 'lost' WHEN a = 0 THEN 'new' ELSE 'kept' END AS kind, count(*) AS n FROM c GROUP BY 1")
+@registry.add("e09_token_changes", "WITH w AS (SELECT 0 AS side, unnest(string_split(text, ' ')) AS t FROM documents UNION ALL SELECT 1, unnest(string_split(text, ' ')) FROM benchmark), c AS (SELECT t, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM w GROUP BY t) SELECT CASE WHEN b = 0 THEN 'lost' WHEN a = 0 THEN 'new' ELSE 'kept' END AS kind, count(*) AS n FROM c GROUP BY 1")
 def token_changes(spark, sf):
-    """Tokens of one set of texts that another lost, kept or added; the two sets are the query's own subject."""
-    w = read(spark, sf, "documents").where("doc_id < 40").select((F.col("doc_id") % 2).alias("side"), F.explode(F.split(F.lower("text"), " ", -1)).alias("t"))
-    c = w.groupBy("t").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    """Tokens of one set of texts that another lost, kept or added."""
+    tokens = lambda name, side: read(spark, sf, name).select(F.lit(side).alias("side"), F.explode(F.split("text", " ", -1)).alias("t"))
+    c = tokens("documents", 0).union(tokens("benchmark", 1)).groupBy("t").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     return c.groupBy(F.when(F.col("b") == 0, "lost").when(F.col("a") == 0, "new").otherwise("kept").alias("kind")).agg(F.count("*").alias("n"))
 
 
