@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import stored, table, text_of
+from ._common import discard, stored, table, text_of
 
 #: Words of a repeat that counts, and of a reference block: any 35 words hold a whole block of 18.
 LEAST = 35
@@ -74,21 +74,120 @@ def filter_bits(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h & mask, (h >> np.uint64(37) ^ h * np.uint64(3)) & mask
 
 
-def covered(starts: np.ndarray, n: int, size: int = LEAST) -> np.ndarray:
-    """Which of n words lie in a window that starts at one of starts."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + size, -1)
-    return np.cumsum(change[:-1]) > 0
+KEY = ["doc_id", "t1"]
+#: Hits gathered by a task before it merges them; tables sent to all tasks hold this many numbers at most.
+CHUNK, BROADCAST_NUMBERS = 1 << 20, 4_000_000
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows by id and two hashes of the text: rows that agree in all are interchangeable, and named once."""
+    """Rows by id and hash of the text: rows that agree in both are interchangeable, and named once."""
     text = text_of(text_col)
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.crc32(text.cast("binary")).alias("t2"), text.alias("text"))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), text.alias("text"))
+
+
+def _with(keyed: DataFrame, other: DataFrame, how: str, small: bool) -> DataFrame:
+    """Rows of keyed with those of other that have their key; other is sent to all tasks where it is small."""
+    other = other.withColumnsRenamed({"doc_id": "_d", "t1": "_1"})
+    return keyed.join(F.broadcast(other) if small else other, (F.col("t1") == F.col("_1")) & F.col("doc_id").eqNullSafe(F.col("_d")), how).drop("_d", "_1")
 
 
-KEY = ["doc_id", "t1", "t2"]
+class Merger:
+    """Hits (hashes, places) of a chunk, merged where they meet.
+
+    A hash that a chunk has twice is known to repeat: all its places come out as FOUND, and one row
+    without a place announces it to the others (KNOWN). Other hits are ASKING. So, whatever a hash's
+    share of the corpus, a chunk sends one row of it.
+    """
+
+    ASKING, KNOWN, FOUND = 0, 1, 2
+
+    def __init__(self, extra: bool):
+        self.parts: list[tuple] = []
+        self.size, self.extra = 0, extra
+
+    def add(self, doc_id, t1, h: np.ndarray, h2: np.ndarray | None, at: np.ndarray, known: bool = False) -> None:
+        n = len(h)
+        if n:
+            self.parts.append((h, h2 if self.extra else np.zeros(n, np.int32), at.astype(np.int32), np.full(n, 0 if doc_id is None else doc_id), np.full(n, doc_id is not None), np.full(n, t1), np.full(n, known)))
+            self.size += n
+
+    def take(self) -> pa.RecordBatch | None:
+        if not self.parts:
+            return None
+        h, h2, at, doc, has, t1, known = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        order = np.lexsort((h2, h))
+        h, h2, at, doc, has, t1, known = (x[order] for x in (h, h2, at, doc, has, t1, known))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
+        run = np.cumsum(new) - 1
+        twice = (np.bincount(run) > 1) | (np.bincount(run, known) > 0)
+        told = np.flatnonzero(new & twice[run])  # one announcement for each
+        keep = np.flatnonzero(~known)  # what is known of old needs no place
+        kind = np.where(twice[run[keep]], self.FOUND, self.ASKING).astype(np.int8)
+        rows = np.concatenate([keep, told])
+        kinds = np.concatenate([kind, np.full(len(told), self.KNOWN, np.int8)])
+        return pa.RecordBatch.from_arrays([pa.array(doc[rows], pa.int64(), mask=~has[rows]), pa.array(t1[rows]), pa.array(h[rows].view(np.int64)), pa.array(h2[rows]), pa.array(at[rows]), pa.array(kinds)], names=[*KEY, "h", "h2", "at", "kind"])
+
+
+MERGED = "doc_id long, t1 long, h long, h2 int, at int, kind tinyint"
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by hash, the asking ones whose hash another row has; a run that a batch cuts waits for the next."""
+    rest = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        h, h2 = now["h"].to_numpy(), now["h2"].to_numpy()
+        last = int(np.flatnonzero((h != h[-1]) | (h2 != h2[-1]))[-1]) + 1 if len(h) and ((h != h[-1]) | (h2 != h2[-1])).any() else 0
+        rest = now.slice(last)
+        if last:
+            yield from _repeated(now.slice(0, last))
+    if rest is not None and rest.num_rows:
+        yield from _repeated(rest)
+
+
+def _repeated(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    h, h2, kind = rows["h"].to_numpy(), rows["h2"].to_numpy(), rows["kind"].to_numpy()
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
+    run = np.cumsum(new) - 1
+    twice = (np.bincount(run) > 1) | (np.bincount(run, kind == Merger.KNOWN) > 0)
+    yield from rows.select([*KEY, "at"]).take(pa.array(np.flatnonzero(twice[run] & (kind == Merger.ASKING)))).combine_chunks().to_batches()
+
+
+def _places(merged: DataFrame) -> DataFrame:
+    """Places whose hash occurs elsewhere: those found within a chunk, and those settled after one shuffle by hash."""
+    asked = merged.where(F.col("kind") != Merger.FOUND).repartition("h").sortWithinPartitions("h", "h2").mapInArrow(_settled, "doc_id long, t1 long, at int")
+    return merged.where(F.col("kind") == Merger.FOUND).select(*KEY, "at").union(asked)
+
+
+def _ranges(places: DataFrame, before: int, after: int) -> tuple[DataFrame, bool]:
+    """Per key the ranges, as [begin, end, ...], from `before` places ahead of a place to `after` behind it, merged; and whether they are small."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ats in batch.column(2):
+                at = ats.values.to_numpy().astype(np.int64)  # sorted
+                cut = np.flatnonzero(np.diff(at) > before + after)
+                begin, end = np.concatenate([at[:1], at[cut + 1]]) - before, np.concatenate([at[cut], at[-1:]]) + after
+                out.append(np.stack([np.maximum(begin, 0), end], 1).ravel().astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=[*KEY, "ranges"])
+
+    # of one text at a time: no more places than it has words
+    gathered = places.groupBy(*KEY).agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    out, _ = stored(gathered.mapInArrow(merge, "doc_id long, t1 long, ranges array<int>"), "ranges")
+    numbers = out.agg(F.sum(F.size("ranges") + 4)).first()[0] or 0
+    return out, numbers <= BROADCAST_NUMBERS
+
+
+def inside(ranges: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in ranges [begin, end, ...], ends exclusive."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, np.minimum(ranges[0::2], n), 1)
+    np.add.at(change, np.minimum(ranges[1::2], n), -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def block_filter(keyed: DataFrame) -> tuple[np.ndarray, int] | None:
@@ -122,33 +221,39 @@ def block_filter(keyed: DataFrame) -> tuple[np.ndarray, int] | None:
     return out, size
 
 
-def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The keyed rows, and per key the starts of its windows of LEAST words that occur elsewhere too.
+def repeats(keyed: DataFrame) -> tuple[DataFrame, bool, DataFrame, bool]:
+    """Per key the ranges of words that repeated windows cover, and the texts that occur more than once; each with whether it is small.
 
-    1. Reference blocks: the hashes of every text's non-overlapping blocks of BLOCK words, as a filter.
-    2. Probes: the rolling hashes of all texts at every word; those that the filter knows (all where
-       there is no filter) are counted, and the ones that occur twice anywhere are anchors.
-    3. Extension: windows that contain an anchor are counted by 128-bit hashes; those that occur
-       twice, together, are the maximal exact repeats of LEAST words or more.
+    1. Copies: a text that occurs again is repeated as a whole. One of its rows stands for all, and its
+       windows are known to repeat.
+    2. Reference blocks: the hashes of every text's non-overlapping blocks of BLOCK words, as a filter.
+    3. Probes: the rolling hashes of all texts at every word. Those that the filter knows (all, where
+       there is no filter) and that occur twice anywhere are anchors.
+    4. Extension: windows around an anchor that occur twice, by 96-bit hashes; together they are the
+       maximal exact repeats of LEAST words or more.
 
     A window that occurs at two places holds a whole reference block of either, so both are anchors
-    and none is lost. Hashes are counted, before and after the shuffle; places are never paired, so a
-    passage that many texts share costs a row for each of its places.
+    and none is lost. Places are never paired: a passage that many texts share costs a row for each of
+    its places, and each task sends one row of a hash that it has met twice.
     """
-    spark = df.sparkSession
-    keyed = _keyed(df, id_col, text_col)
-    known = block_filter(keyed)
+    spark = keyed.sparkSession
+    copies, _ = stored(keyed.groupBy("t1").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").select("t1", "first"), "copies")
+    few = copies.count() * 2 <= BROADCAST_NUMBERS
+    rows = keyed.withColumn("again", F.lit(False))
+    if few:  # where they are many, copies are met as any other repeats
+        again = copies.select(F.col("t1").alias("_t"), "first")
+        rows = keyed.join(F.broadcast(again), F.col("t1") == F.col("_t"), "left").where(F.col("_t").isNull() | F.col("doc_id").eqNullSafe(F.col("first"))).select(*KEY, "text", F.col("_t").isNotNull().alias("again"))
+    known = block_filter(rows)
     sent = spark.sparkContext.broadcast(known[0].tobytes()) if known else None
     size = known[1] if known else 0
-    names = [*KEY, "h", "at"]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value, np.uint8) if sent else None
+        merger = Merger(False)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                hs, ats, which = [], [], []
-                for r, t in enumerate(part.column(3).to_pylist()):
+                for doc_id, t1, t in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
                     words = t.encode("utf-8", "surrogatepass").split()
                     if len(words) < LEAST:
                         continue
@@ -160,40 +265,40 @@ def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                         at = np.flatnonzero(bits[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8) & 1)
                         two = two[at]
                         at = at[(bits[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-                    hs.append(h[at])
-                    ats.append(at)
-                    which.append(np.full(len(at), r))
-                if hs:
-                    rows = pa.array(np.concatenate(which))
-                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in range(3)), pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ats).astype(np.int32))], names=names)
+                    merger.add(doc_id, t1, h[at], None, at)
+                if merger.size >= CHUNK:
+                    yield merger.take()
+        if (out := merger.take()) is not None:
+            yield out
 
-    probes, _ = stored(keyed.mapInArrow(probe, "doc_id long, t1 long, t2 long, h long, at int"), "probes")
-    twice = probes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    anchors = probes.join(twice, "h").groupBy(*KEY).agg(F.sort_array(F.collect_set("at")).alias("ats"))  # of one text: no more than its words
+    # a copied text's places all count as anchors: it is probed, and extended, as one row
+    probes, path = stored(rows.select(*KEY, "text").mapInArrow(probe, MERGED), "probes")
+    anchors, small = _ranges(_places(probes), LEAST - BLOCK, 1)
+    discard(spark, path)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger = Merger(True)
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                starts, h1, h2, which = [], [], [], []
-                for r, (t, ats) in enumerate(zip(part.column(3).to_pylist(), part.column(4), strict=True)):
+                for doc_id, t1, t, again, ranges in zip(*(part.column(c).to_pylist() for c in range(4)), part.column(4), strict=True):
                     words = t.encode("utf-8", "surrogatepass").split()
-                    at = ats.values.to_numpy().astype(np.int64)
-                    # windows that hold the anchor start LEAST - BLOCK words before it, or later, up to it
-                    room = LEAST - BLOCK
-                    s = np.flatnonzero(covered(at, len(words) + room, room + 1)[room : len(words) - LEAST + 1 + room])
-                    starts.append(s.astype(np.int32))
-                    h1.append(windows(word_hashes(words, 0), LEAST)[s])
-                    h2.append(windows(word_hashes(words, 1), LEAST)[s])
-                    which.append(np.full(len(s), r))
-                rows = pa.array(np.concatenate(which))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in range(3)), pa.array(np.concatenate(h1).view(np.int64)), pa.array(np.concatenate(h2).view(np.int64)), pa.array(np.concatenate(starts))], names=[*KEY, "h1", "h2", "start"])
-
-    with_anchors = keyed.join(anchors.select(F.col("doc_id").alias("_d"), F.col("t1").alias("_1"), F.col("t2").alias("_2"), "ats"), (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    extended, _ = stored(with_anchors.select(*KEY, "text", "ats").mapInArrow(extend, "doc_id long, t1 long, t2 long, h1 long, h2 long, start int"), "extended")
-    again = extended.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    found = extended.join(again, ["h1", "h2"]).groupBy(*KEY).agg(F.collect_set("start").alias("starts"))
-    return keyed, found
+                    n = len(words) - LEAST + 1
+                    if n <= 0:
+                        continue
+                    s = np.flatnonzero(inside(ranges.values.to_numpy(), n)) if ranges.is_valid else np.empty(0, np.int64)
+                    if len(s):
+                        h, h2 = windows(word_hashes(words, 0), LEAST)[s], windows(word_hashes(words, 1), LEAST)[s]
+                        merger.add(doc_id, t1, h, (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32), s, again)
+                if merger.size >= CHUNK:
+                    yield merger.take()
+        if (out := merger.take()) is not None:
+            yield out
+
+    extended, path = stored(_with(rows, anchors, "inner", small).select(*KEY, "text", "again", "ranges").mapInArrow(extend, MERGED), "extended")
+    found, found_small = _ranges(_places(extended), 0, LEAST)
+    discard(spark, path)
+    return found, found_small, copies, few
 
 
 OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
@@ -206,19 +311,26 @@ def removed(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     the input; every occurrence goes, the first included, also within one text. Null and empty texts,
     and texts under 35 words, lose nothing. A repeated row makes its windows occur elsewhere. Null ids
     are rows like any other; an empty table gives no rows; other columns are ignored.
+
+    What is found is a few numbers per text: they are sent to all tasks while they are at most
+    BROADCAST_NUMBERS, and joined by key beyond, so that texts are shuffled only where they must be.
     """
-    keyed, found = repeats(df, id_col=id_col, text_col=text_col)
+    keyed = _keyed(df, id_col, text_col)
+    found, small, copies, few = repeats(keyed)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 n, gone, kept = [], [], []
-                for t, starts in zip(part.column(1).to_pylist(), part.column(2), strict=True):
+                for t, again, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3), strict=True):
                     words = t.encode("utf-8", "surrogatepass").split()
                     n.append(len(words))
-                    if starts.is_valid:
-                        out = covered(starts.values.to_numpy(), len(words))
+                    if again and len(words) >= LEAST:
+                        gone.append(len(words))
+                        words = []
+                    elif ranges.is_valid:
+                        out = inside(ranges.values.to_numpy(), len(words))
                         gone.append(int(out.sum()))
                         words = [words[i] for i in np.flatnonzero(~out)]
                     else:
@@ -226,9 +338,13 @@ def removed(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                     kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[f.name for f in OUT])
 
-    found = found.select(F.col("doc_id").alias("_d"), F.col("t1").alias("_1"), F.col("t2").alias("_2"), "starts")
-    joined = keyed.join(found, (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    return joined.select("doc_id", "text", "starts").mapInArrow(cut, OUT)
+    rows = _with(keyed, found, "left", small)
+    if few:
+        again = copies.select(F.col("t1").alias("_t"))
+        rows = rows.join(F.broadcast(again), F.col("t1") == F.col("_t"), "left").withColumn("again", F.col("_t").isNotNull())
+    else:
+        rows = rows.withColumn("again", F.lit(False))
+    return rows.select("doc_id", "text", "again", "ranges").mapInArrow(cut, OUT)
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
