@@ -97,3 +97,19 @@ def markdown_rows(lines: DataFrame, text: str = "value") -> DataFrame:
 def half_up(x: Column, places: int = 2) -> Column:
     """Half-up rounding of the number as written."""
     return F.format_string(f"%.{places}f", F.round(F.col(x) if isinstance(x, str) else x, places))
+
+
+def dangling_references(lines: DataFrame, doc: str = "doc", at: str = "at", text: str = "value") -> DataFrame:
+    """References `§n.m` to sections that no numbered heading of the same document has: doc, ref."""
+    heads = lines.select(doc, F.regexp_extract(text, r"^#+\s+([0-9]+(?:\.[0-9]+)*)", 1).alias("ref")).where("ref <> ''").distinct()
+    refs = lines.select(doc, F.explode(F.regexp_extract_all(text, F.lit(r"§\s?([0-9]+(?:\.[0-9]+)*)"), F.lit(1))).alias("ref")).distinct()
+    return refs.join(heads, [doc, "ref"], "left_anti")
+
+
+def drifted_cells(generated: DataFrame, quoted: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Quoted cells that differ from the generated ones: numbers by more than half a unit of the last quoted place, other text at all."""
+    q = quoted.select(*keys, F.col(value).alias("quoted")).join(generated.select(*keys, F.col(value).alias("generated")), keys)
+    x, y = F.expr("try_cast(quoted as double)"), F.expr("try_cast(generated as double)")
+    places = F.length(F.regexp_extract("quoted", r"\.([0-9]+)$", 1))
+    near = F.abs(x - y) <= F.lit(0.6) * F.pow(F.lit(10.0), -places)
+    return q.where(~F.coalesce(near, F.col("quoted") == F.col("generated")))

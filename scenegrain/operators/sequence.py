@@ -159,3 +159,17 @@ def match_by_iou(left: DataFrame, right: DataFrame, keys: list[str], least: floa
     b = right.select(*keys, "label", F.col("idx").alias("j"), *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
     pairs = a.join(b, [*keys, "label"]).withColumn("v", iou(Box.of("a_"), Box.of("b_"))).where(F.col("v") >= num(least))
     return greedy_match(pairs.select(*keys, "i", "j", "v"), keys)
+
+
+def spaced_sample(claims: DataFrame, by: list[str], frame: str, gap: int, seed: str = "audit") -> DataFrame:
+    """Of each stratum, in a seeded order, the claims whose frames are at least `gap` from those taken before.
+
+    What is taken depends on what was, so a stratum (a group, two classes and a predicate: few claims)
+    is folded inside its row.
+    """
+    key = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in claims.columns]))
+    rest = [c for c in claims.columns if c not in by]
+    rows = claims.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(key.alias("_k"), *rest))).alias("c"))
+    start = F.array().cast(rows.schema["c"].dataType)
+    taken = F.aggregate("c", start, lambda acc, x: F.when(F.exists(acc, lambda t: F.abs(t[frame] - x[frame]) < gap), acc).otherwise(F.concat(acc, F.array(x))))
+    return rows.select(*by, F.explode(taken).alias("t")).select(*by, *[F.col(f"t.{c}").alias(c) for c in rest])

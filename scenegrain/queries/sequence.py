@@ -212,3 +212,10 @@ def tumbling(spark, sf):
     """An extension: event-time windows, which the streaming form gives with a watermark."""
     e = read(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
     return e.select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+@registry.add("w07_spaced_sample")
+def spaced_sample(spark, sf):
+    """Claims per group, classes and predicate, with images 30 or more apart; sequential, so checked by tests rather than by SQL."""
+    s = inputs.scene(spark, sf).select(F.col("a_grp").alias("grp"), F.col("a_label").alias("la"), F.col("b_label").alias("lb"), F.explode("predicates").alias("p"), "image_id", F.col("a_idx").alias("subj"), F.col("b_idx").alias("obj"))
+    return S.spaced_sample(s.where(F.col("p").isin("on", "under")), ["grp", "la", "lb", "p"], "image_id", 30)

@@ -322,3 +322,18 @@ def majority_verdicts(spark, sf):
 def criteria_rates(spark, sf):
     x = read(spark, sf, "documents").select("doc_id", "lang").join(read(spark, sf, "labels"), "doc_id", "left")
     return x.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("first"), F.count_if(F.col("toxic") == 0).alias("second"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("all_met"), F.count_if(F.col("quality").isNull()).alias("unscored"))
+
+
+@registry.add("x15_dangling_references", "SELECT doc_id AS doc, '3.' || (doc_id % 4) AS ref FROM documents WHERE doc_id % 4 > 1")
+def dangling_references(spark, sf):
+    """Each document's id decides which section it refers to; sections 3.0 and 3.1 exist."""
+    lines = read(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.array(F.lit("## 3.0 First"), F.lit("## 3.1 Second"), F.concat(F.lit("see §3."), (F.col("doc_id") % 4).cast("string"), F.lit(".")))).alias("at", "value"))
+    return X.dangling_references(lines)
+
+
+@registry.add("x16_drifted_cells", "SELECT doc_id, printf('%.2f', round(n_chars / 7::DOUBLE, 2) + CASE WHEN doc_id % 5 = 0 THEN 0.05::DOUBLE ELSE 0::DOUBLE END) AS quoted FROM documents WHERE doc_id % 5 = 0")
+def drifted_cells(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", (F.col("n_chars") / num(7)).alias("v"))
+    made = d.select("doc_id", F.col("v").cast("string").alias("value"))
+    said = d.select("doc_id", F.format_string("%.2f", F.round("v", 2) + F.when(F.col("doc_id") % 5 == 0, num(0.05)).otherwise(num(0))).alias("value"))
+    return X.drifted_cells(made, said, ["doc_id"]).select("doc_id", "quoted")

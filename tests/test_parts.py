@@ -267,3 +267,11 @@ def test_network_learns():
     y = (x[:, 0] * x[:, 1] > 0).astype(float)
     model = stats.Mlp(epochs=80, batch=50).fit(x, y)
     assert ((model.predict(x) > 0.5) == y).mean() > 0.9
+
+
+def test_spaced_sample(spark):
+    claims = spark.createDataFrame([(1, f, i) for i, f in enumerate([0, 5, 10, 30, 31, 60])], "g int, frame int, n int")
+    got = S.spaced_sample(claims, ["g"], "frame", 20).collect()
+    frames = sorted(r.frame for r in got)
+    assert all(b - a >= 20 for a, b in zip(frames, frames[1:], strict=False))
+    assert all(any(abs(f - g) < 20 for g in frames) for f in (0, 5, 10, 30, 31, 60))  # nothing more would fit
