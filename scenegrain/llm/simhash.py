@@ -15,7 +15,7 @@ from .components import components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 #: A bucket of more fingerprints than this is cut again by variants of the other segment.
-BUCKET_MOST = 20_000
+BUCKET_MOST = 4096
 #: Tables of at most this many pairs of numbers (32 MB) are sent to all tasks, larger ones joined by key.
 BROADCAST_ROWS = 2_000_000
 
@@ -97,6 +97,18 @@ def _link_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).applyInArrow(run, "a long, b long")
 
 
+def _link_rows(df: DataFrame) -> DataFrame:
+    """Edges of buckets that are rows: key and its fingerprints, few enough to be gathered by the aggregate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [linked(x.values.to_numpy().view(np.uint64)) for x in batch.column(0)]
+            a, b = (np.concatenate([f[i] for f in found] or [np.empty(0, np.uint64)]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    return df.groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(run, "a long, b long")
+
+
 def edges(distinct: DataFrame, *, bucket_most: int = BUCKET_MOST) -> DataFrame:
     """Edges between distinct fingerprints that connect all pairs of at most three differing bits.
 
@@ -114,7 +126,7 @@ def edges(distinct: DataFrame, *, bucket_most: int = BUCKET_MOST) -> DataFrame:
     if sizes["more"]:
         wanted = buckets.where("n > 2").select("key", "n")
         members = keyed.join(F.broadcast(wanted) if sizes["more"] <= BROADCAST_ROWS else wanted, "key")
-        out = out.union(_link_groups(members.where(F.col("n") <= bucket_most).select("key", "fp"), ["key"]))
+        out = out.union(_link_rows(members.where(F.col("n") <= bucket_most).select("key", "fp")))
         if sizes["huge"]:
             # of a key below 2 ** 37 the low half is free, of the others the high one
             free = F.when(F.col("key") < F.lit(1 << 37), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
