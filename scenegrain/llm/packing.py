@@ -6,6 +6,7 @@ import base64
 import re
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ HARD_CUT = 5
 HARD_GAP, HARD_STEP = 10, 8
 #: Tokens gathered before windows are settled; two windows stay open for what follows.
 HORIZON = 1 << 17
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+#: Fixed value: the vocabulary's one special token, whose text it reads as that token.
+SPECIAL = "<|endoftext|>"
 
 PIECES = T.StructType(
     [
@@ -71,8 +74,7 @@ class ByteBpe:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.slow = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        self.slow = lru_cache(1)(lambda: Tokenizer.from_file(json_path))  # large: only where it is needed
         self.words = _Words(self.fast.encode_ordinary)
         ends = np.zeros(max(ranks.values()) + 64, bool)
         for token, rank in ranks.items():
@@ -82,8 +84,8 @@ class ByteBpe:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.special):
-            return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if SPECIAL in text:
+            return np.asarray(self.slow().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.ADJACENT.search(text):
             return np.asarray(self.fast.encode_ordinary(text), "<u4").tobytes()
         first, *rest = text.split(" ")
