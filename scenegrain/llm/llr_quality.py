@@ -15,8 +15,8 @@ BUCKETS = 1 << 14
 SMOOTHING, SCALE = 1.0, 10_000
 #: Mean log-likelihood ratio per n-gram, in nats, that a text needs.
 THRESHOLD = -0.35
-#: Trusted rows that the target's counts come from, at most: those with the smallest hash of their id.
-MAX_TRUSTED = 20_000
+#: Trusted ids that are sent to all tasks, at most; more of them are joined by id. Either way all of them count.
+MOST_SENT = 1_000_000
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
@@ -84,18 +84,25 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(hashed(h), counted))).cast("long")
 
 
-def model(docs: DataFrame, trusted: DataFrame, *, id_col: str, text_col: str) -> list[int]:
+def model(docs: DataFrame, trusted: DataFrame, *, id_col: str, text_col: str, most_sent: int = MOST_SENT) -> list[int]:
     """Per bucket the log ratio of its share in trusted text to its share in the corpus, times SCALE.
 
-    The corpus's counts cover every text, the target's at most MAX_TRUSTED trusted ones; both come from
-    one pass, summed per bucket before the shuffle, and what reaches the driver are BUCKETS pairs of
-    numbers. The trusted ids, one integer each and bounded, are sent to all tasks, so that texts are
-    never shuffled.
+    The corpus's counts cover every text, the target's every trusted one; both are summed per bucket
+    before the shuffle, and what reaches the driver are BUCKETS pairs of numbers. Up to most_sent
+    trusted ids, one integer each, are sent to all tasks, and one pass counts both. Beyond that, texts
+    become arrays of buckets, two bytes an n-gram, before these meet the ids in a join; texts
+    themselves are never shuffled.
     """
-    ids = trusted.select(F.col("doc_id").cast("long").alias("_trusted")).where("_trusted is not null").distinct().orderBy(F.xxhash64("_trusted"), "_trusted").limit(MAX_TRUSTED)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(ids), F.col("_id") == F.col("_trusted"), "left")
-    hashed = rows.select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode(grams(words_of(surface(F.col("_text"))))).alias("b"))
-    counts = {r["b"]: (r["t"], r["n"]) for r in hashed.groupBy("b").agg(F.sum("t").alias("t"), F.count("*").alias("n")).collect()}
+    ids = trusted.select(F.col("doc_id").cast("long").alias("_trusted")).where("_trusted is not null").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), grams(words_of(surface(text_of(text_col)))).cast("array<smallint>").alias("_grams"))
+    if ids.count() <= most_sent:
+        marked = rows.join(F.broadcast(ids), F.col("_id") == F.col("_trusted"), "left")
+        hashed = marked.select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode("_grams").alias("b"))
+        counts = {r["b"]: (r["t"], r["n"]) for r in hashed.groupBy("b").agg(F.sum("t").alias("t"), F.count("*").alias("n")).collect()}
+    else:
+        found = rows.where("_id is not null").join(ids.hint("shuffle_hash"), F.col("_id") == F.col("_trusted"))
+        target, every = ({r["b"]: r["count"] for r in x.select(F.explode("_grams").alias("b")).groupBy("b").count().collect()} for x in (found, rows))
+        counts = {b: (target.get(b, 0), n) for b, n in every.items()}
     of_trusted, of_all = (sum(c[k] for c in counts.values()) for k in (0, 1))
     out = []
     for b in range(1, BUCKETS + 1):

@@ -246,6 +246,24 @@ def test_llr_quality_odd(spark):
     assert llr_quality.judged(odd(spark).limit(0), spark.createDataFrame([(5,)], "doc_id long")).count() == 0
 
 
+def test_llr_target_counts_every_trusted_row(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "left 1 #").when(F.col("id") % 3 == 1, "Right 22").otherwise("other, thing").alias("text"))
+    trusted = docs.where("doc_id % 3 = 0 or doc_id < 25000").select("doc_id").union(spark.createDataFrame([(None,), (0,), (99_999,)], "doc_id long"))
+    of_text = {r.text: r.g for r in docs.select("text").distinct().select("text", llr_quality.grams(llr_quality.words_of(llr_quality.surface(F.col("text")))).alias("g")).collect()}
+    t, n = Counter(), Counter()
+    for r in docs.collect():
+        n.update(of_text[r.text])
+        t.update(of_text[r.text] if r.doc_id % 3 == 0 or r.doc_id < 25000 else [])
+    size, want = llr_quality.BUCKETS, []
+    for b in range(1, size + 1):
+        q = (n[b] + 1) / (n.total() + size)
+        want.append(round(10_000 * math.log((t[b] + size * q) / (t.total() + size) / q)))
+    assert llr_quality.model(docs, trusted, id_col="doc_id", text_col="text") == want
+    assert llr_quality.model(docs, trusted, id_col="doc_id", text_col="text", most_sent=10) == want
+
+
 # 6 nearest neighbours
 
 
