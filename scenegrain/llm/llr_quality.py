@@ -11,10 +11,10 @@ from ._common import SPACE_CLASS, table, text_of
 
 #: Buckets of hashed word n-grams (1 and 2 words); the model is one array of that length.
 BUCKETS = 1 << 14
-#: Counts that each bucket has besides its own, and the scale at which log ratios are kept as integers.
-SMOOTHING, SCALE = 1.0, 10_000
-#: Mean log-likelihood ratio per n-gram, in nats, that a text needs.
-THRESHOLD = -0.35
+#: Trusted n-grams that each bucket has besides its own, as many as expected, and the scale at which log ratios are kept as integers.
+SMOOTHING, SCALE = 8.0, 10_000
+#: Mean log-likelihood ratio per n-gram, in nats, that a text needs; set with SMOOTHING on labels that the model hadn't seen.
+THRESHOLD = -0.06
 #: Trusted ids that are sent to all tasks, at most; more of them are joined by id. Either way all of them count.
 MOST_SENT = 1_000_000
 SYMBOLS = "#*$%&|<>"
@@ -31,15 +31,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE_CLASS}+"), lambda w: w != "")
 
 
-def surface(text: Column) -> Column:
-    """The text with each run of small letters written as one and every capital alike.
-
-    What remains of a word is its surface: case, digits, symbols and punctuation, which n-grams of
-    invented or rare words would hide in buckets of their own.
-    """
-    return F.regexp_replace(F.regexp_replace(text, r"\p{Ll}+", "a"), r"\p{Lu}", "A")
-
-
 def grams(words: Column) -> Column:
     """Bucket, from 1, of each hashed unigram and bigram."""
 
@@ -94,7 +85,7 @@ def model(docs: DataFrame, trusted: DataFrame, *, id_col: str, text_col: str, mo
     themselves are never shuffled.
     """
     ids = trusted.select(F.col("doc_id").cast("long").alias("_trusted")).where("_trusted is not null").distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), grams(words_of(surface(text_of(text_col)))).cast("array<smallint>").alias("_grams"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), grams(words_of(text_of(text_col))).cast("array<smallint>").alias("_grams"))
     if ids.count() <= most_sent:
         marked = rows.join(F.broadcast(ids), F.col("_id") == F.col("_trusted"), "left")
         hashed = marked.select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode("_grams").alias("b"))
@@ -107,10 +98,9 @@ def model(docs: DataFrame, trusted: DataFrame, *, id_col: str, text_col: str, mo
     out = []
     for b in range(1, BUCKETS + 1):
         t, n = counts.get(b, (0, 0))
-        # the corpus's own share smooths the trusted one, so that a bucket without evidence has ratio 0
-        q = (n + SMOOTHING) / (of_all + SMOOTHING * BUCKETS)
-        p = (t + SMOOTHING * BUCKETS * q) / (of_trusted + SMOOTHING * BUCKETS)
-        out.append(round(SCALE * math.log(p / q)))
+        # counted against expected trusted n-grams; both are raised alike, so that words of a few texts say little
+        expected = of_trusted * n / max(of_all, 1)
+        out.append(round(SCALE * math.log((t + SMOOTHING) / (expected + SMOOTHING))))
     return out
 
 
@@ -136,7 +126,7 @@ def judged(docs: DataFrame, trusted: DataFrame, *, threshold: float = THRESHOLD,
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        let(grams(words_of(surface(F.col("text")))), lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda acc, b: acc + F.element_at(ratio, b)) / F.greatest(F.size(g), F.lit(1))).alias("total"),
+        let(grams(F.col("words")), lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda acc, b: acc + F.element_at(ratio, b)) / F.greatest(F.size(g), F.lit(1))).alias("total"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("llr", F.col("total") / F.lit(float(SCALE)))

@@ -251,19 +251,27 @@ def test_llr_target_counts_every_trusted_row(spark):
 
     docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "left 1 #").when(F.col("id") % 3 == 1, "Right 22").otherwise("other, thing").alias("text"))
     trusted = docs.where("doc_id % 3 = 0 or doc_id < 25000").select("doc_id").union(spark.createDataFrame([(None,), (0,), (99_999,)], "doc_id long"))
-    of_text = {r.text: r.g for r in docs.select("text").distinct().select("text", llr_quality.grams(llr_quality.words_of(llr_quality.surface(F.col("text")))).alias("g")).collect()}
+    of_text = {r.text: r.g for r in docs.select("text").distinct().select("text", llr_quality.grams(llr_quality.words_of(F.col("text"))).alias("g")).collect()}
     t, n = Counter(), Counter()
     for r in docs.collect():
         n.update(of_text[r.text])
         t.update(of_text[r.text] if r.doc_id % 3 == 0 or r.doc_id < 25000 else [])
-    size, want = llr_quality.BUCKETS, []
-    for b in range(1, size + 1):
-        q = (n[b] + 1) / (n.total() + size)
-        want.append(round(10_000 * math.log((t[b] + size * q) / (t.total() + size) / q)))
+    want = [round(10_000 * math.log((t[b] + llr_quality.SMOOTHING) / (t.total() * n[b] / n.total() + llr_quality.SMOOTHING))) for b in range(1, llr_quality.BUCKETS + 1)]
     assert llr_quality.model(docs, trusted, id_col="doc_id", text_col="text") == want
     assert llr_quality.model(docs, trusted, id_col="doc_id", text_col="text", most_sent=10) == want
 
 
+def test_llr_tells_words_of_one_shape_apart(spark):
+    clean = ["the cat sat here", "one old house stood by water", "they walked home when rain began", "a small bird sang near us"]
+    spam = ["buy cheap pills now", "win free cash prizes today", "click here for hot deals", "best price order fast online"]
+    draw = np.random.default_rng(0)
+    texts = [" ".join(kind[j] for j in draw.permutation(4)) for kind in (clean, spam) for _ in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    rows = llr_quality.judged(docs, docs.where("doc_id < 100").select("doc_id")).collect()
+    assert not any(r.base_failed for r in rows)
+    assert all(r.kept == (r.doc_id < 200) for r in rows)
+
+
 # 6 nearest neighbours
 
 
