@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,10 @@ THRESHOLD = 0.5
 SPAN, DECAY = 5, 0.6
 #: Kernel values below this count as 0, the others are raised to this power (products of kernels are kernels).
 LEAST, POWER = 0.4, 2
-WORD_MOST = 40
+#: Longer words are scored by windows, MARGIN characters longer than a landmark and MARGIN apart; landmarks are no longer.
+WORD_MOST, MARGIN = 40, 2
+#: Words and windows that a worker looks at together.
+TOGETHER = 1 << 16
 #: Words are first screened together, up to this length; longer ones go to the kernel at once.
 SCREEN_MOST = 24
 #: Words known not to resemble a landmark, kept by a worker at most.
@@ -39,7 +43,7 @@ SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
 
 def subsequences(word: str) -> dict[str, float]:
     """Weights, with Euclidean norm 1, of a word's subsequences; ^ and $ stand for its ends."""
-    s, out = f"^{word[:WORD_MOST]}$", {}
+    s, out = f"^{word}$", {}
     n = len(s)
     for i in range(n - 2):
         for k in range(i + 2, min(i + SPAN, n)):
@@ -70,12 +74,14 @@ class Kernel:
 
     def __init__(self, landmarks: list[str]):
         self.size, self.index = len(landmarks), {}
+        self.lengths = sorted({len(w) for w in landmarks})
         self.known: dict[str, tuple] = {}
         self.seen: set[str] = set()
         for j, word in enumerate(landmarks):
             for u, v in subsequences(word).items():
                 self.index.setdefault(u, []).append((j, v))
-        letters = sorted({c for u in self.index for c in u})[:63]
+        self.letters = {c for u in self.index for c in u}
+        letters = sorted(self.letters)[:63]
         self.code = np.zeros(0x110000, np.uint8)
         for i, c in enumerate(letters):
             self.code[ord(c)] = i + 1
@@ -92,7 +98,7 @@ class Kernel:
             self.row[a * 4096 + b * 64 + c] = r
             for j, v in self.index[u]:
                 self.weights[r, j] = v
-        self.complete = len(codes) <= 32_000 and len({c for u in self.index for c in u}) <= 63
+        self.complete = len(codes) <= 32_000 and len(self.letters) <= 63
         spans = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
         self.spans = spans
         self.norm = np.array([max(1e-9, sum(max(0, n - k) * DECAY ** (2 * k) for _, k in spans)) ** 0.5 for n in range(SCREEN_MOST + 3)])
@@ -136,16 +142,35 @@ class Kernel:
                 values[j] = values.get(j, 0.0) + v * w
         return {j: v**POWER for j, v in values.items() if v >= LEAST}
 
+    def windows(self, form: str) -> Iterator[str]:
+        """Windows of which one holds any landmark that the form has, without those that have next to no letter of one."""
+        known = np.cumsum([0, *(c in self.letters for c in form)])
+        for n in self.lengths:
+            starts = np.arange(0, max(1, len(form) - n), MARGIN)
+            ends = np.minimum(starts + n + MARGIN, len(form))
+            for i in np.flatnonzero(known[ends] - known[starts] >= 2):
+                yield form[starts[i] : ends[i]]
+
+    def pieces(self, words: set[str]) -> Iterator[tuple[str, str]]:
+        """Each word with what is scored of it: its forms, and windows of long forms and of spelled-out runs (which start with a space)."""
+        for w in words:
+            for f in forms(w.lstrip(" ")):
+                if len(f) <= WORD_MOST:
+                    yield w, f
+                if len(f) > WORD_MOST or w[0] == " ":
+                    for x in self.windows(f):
+                        yield w, x
+
     def learn(self, words: set[str]) -> dict[str, tuple]:
         """Numbers and kernel values of those of the words that resemble a landmark."""
-        words = [*words]
-        pairs = [(w, f) for w in words for f in forms(w)]
+        left = self.pieces(words)
         out: dict[str, dict] = {}
-        for keep, (w, f) in zip(self.passing([f for _, f in pairs]).tolist(), pairs, strict=True):
-            if keep:
-                for j, v in self.of(f).items():
-                    mine = out.setdefault(w, {})
-                    mine[j] = max(v, mine.get(j, 0.0))
+        while pairs := [*islice(left, TOGETHER)]:
+            for keep, (w, f) in zip(self.passing([f for _, f in pairs]).tolist(), pairs, strict=True):
+                if keep:
+                    for j, v in self.of(f).items():
+                        mine = out.setdefault(w, {})
+                        mine[j] = max(v, mine.get(j, 0.0))
         return {w: (np.array(list(m), np.int64), np.array(list(m.values()))) for w, m in out.items()}
 
     def pooled(self, texts: list[str]) -> np.ndarray:
@@ -153,18 +178,21 @@ class Kernel:
         each = [t.split() for t in texts]
         for words, t in zip(each, texts, strict=True):
             if SPELLED.search(t):
-                words += [m[0].replace(" ", "").replace("\t", "") for m in SPELLED.finditer(t)]
+                words += [" " + m[0].replace(" ", "").replace("\t", "") for m in SPELLED.finditer(t)]
         new = set().union(*each) - self.seen - self.known.keys()
         found = self.learn(new)
         self.known.update(found)
         if len(self.seen) < SEEN_MOST:
-            self.seen |= new - found.keys()
+            self.seen |= {w for w in new - found.keys() if len(w) <= WORD_MOST}
         top, total = np.zeros((len(texts), self.size)), np.zeros((len(texts), self.size))
         for i, words in enumerate(each):
             if hits := [x for x in map(self.known.get, words) if x is not None]:
                 at, values = np.concatenate([x[0] for x in hits]), np.concatenate([x[1] for x in hits])
                 np.maximum.at(top[i], at, values)
                 total[i] = np.bincount(at, values, self.size) / len(words) ** 0.5
+        for w in found:
+            if len(w) > WORD_MOST:
+                del self.known[w]
         return np.hstack([top, total])
 
 
@@ -270,7 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     kernel values (2 * landmarks numbers).
     """
     rows = labelled(docs, labels, label, id_col=id_col, text_col=text_col, held_out_mod=held_out_mod, max_rows=max_rows)
-    words = rows.select("_y", F.explode(F.array_distinct(F.split(F.lower("_text"), f"{SPACE_CLASS}+"))).alias("w")).select("_y", F.btrim("w", F.lit(EDGES)).alias("w")).where("w <> '' and length(w) <= 40")
+    words = rows.select("_y", F.explode(F.array_distinct(F.split(F.lower("_text"), f"{SPACE_CLASS}+"))).alias("w")).select("_y", F.btrim("w", F.lit(EDGES)).alias("w")).where("w <> ''").where(F.length("w") <= WORD_MOST)
     size = rows.groupBy("_y").count().collect()
     toxic, other = (sum(r["count"] for r in size if bool(r["_y"]) == k) for k in (True, False))
     if not toxic or not other:

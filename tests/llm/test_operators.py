@@ -461,3 +461,19 @@ def test_inserted_characters(spark):
         assert kernel.pooled([f"some {word} here"]).max() > 0.3, word
     assert kernel.pooled(["i d i o t"]).max() > 0.9
     assert kernel.pooled(["plain words only", ""]).max() == 0
+
+
+def test_long_words_and_spelled_runs_are_scored_to_their_ends():
+    kernel = toxicity.Kernel(["idiot", "worthless", "笨蛋傻瓜"])
+    for long in ("k" * 60 + "idiot", "k" * 61 + "worthless" + "m" * 50, "k" * 1000 + "1d10t", "天地玄黄" * 20 + "笨蛋傻瓜" + "宇宙洪荒" * 5):
+        assert kernel.pooled([long]).max() > 0.2, long
+    assert kernel.pooled([" ".join("thereissomuchtosaythatnobodyhaseversaidbeforeyouidiot")]).max() > 0.2
+    assert kernel.pooled([" ".join("youareanidiottome")]).max() > 0.2
+    assert kernel.pooled(["k" * 500, "天地玄黄" * 200]).max() == 0
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.integers(0, 60), st.integers(0, 60), st.sampled_from(["scum", "idiot", "réêou"]))
+def test_windows_hold_every_landmark(before, after, landmark):
+    kernel = toxicity.Kernel(["scum", "idiot", "réêou"])
+    assert any(landmark in w and len(w) <= len(landmark) + 2 for w in kernel.windows("k" * before + landmark + "m" * after))
