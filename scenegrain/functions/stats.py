@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import comb
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -55,25 +55,38 @@ def mcnemar(x: Column, y: Column) -> Column:
 INTERVAL = T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
 
 
+def _beta(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function: of a + b - 1 draws with chance x, at least a succeed. By Lentz's continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(1 - x, b, a)
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    value, m = d, 0
+    while True:
+        m += 1
+        for u in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + u * d or tiny), 1 + u / c or tiny
+            value *= d * c
+        if abs(d * c - 1) < 1e-15 or m > 1_000_000:
+            return exp(lgamma(a + b) - lgamma(a + 1) - lgamma(b) + a * log(x) + b * log1p(-x)) * value
+
+
 @F.pandas_udf(INTERVAL)
 def clopper_pearson(k: pd.Series, n: pd.Series) -> pd.DataFrame:
-    """Exact binomial interval at 95 %, by bisection on the tails."""
-
-    def upper_tail(p, k, n):
-        return sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+    """Exact binomial interval at 95 %, by bisection on the tails; a tail of n draws takes some root of n steps."""
 
-    def root(f):
+    def root(share, a, b):
         lo, hi = 0.0, 1.0
         for _ in range(60):
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
+            lo, hi = (mid, hi) if _beta(mid, a, b) < share else (lo, mid)
         return (lo + hi) / 2
 
     out = []
     for a, m in zip(k.astype(int), n.astype(int), strict=True):
-        lo = root(lambda p: upper_tail(p, a, m) - 0.025) if a > 0 else 0.0  # noqa: B023
-        hi = root(lambda p: 0.025 - (1 - upper_tail(p, a + 1, m))) if a < m else 1.0  # noqa: B023
-        out.append((lo, hi))
+        out.append((root(0.025, a, m - a + 1) if a > 0 else 0.0, root(0.975, a + 1, m - a) if a < m else 1.0))
     return pd.DataFrame(out, columns=["lo", "hi"])
 
 

@@ -191,7 +191,7 @@ def kappa(spark, sf):
 @registry.add("m04_clopper_pearson")
 def clopper_pearson(spark, sf):
     """Exact intervals; by bisection in Arrow batches, so checked by tests rather than by SQL."""
-    s = by_source(spark, sf).withColumn("ci", M.clopper_pearson(F.least("q", F.lit(40)).cast("long"), F.lit(40).cast("long")))
+    s = by_source(spark, sf).withColumn("ci", M.clopper_pearson(F.col("q"), F.col("n")))
     return s.select("source", F.round("ci.lo", 6).alias("lo"), F.round("ci.hi", 6).alias("hi"))
 
 

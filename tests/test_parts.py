@@ -93,6 +93,30 @@ def test_intervals(spark):
     assert math.isclose(rows[1].cp.lo, 0.1871, abs_tol=1e-4) and math.isclose(rows[1].cp.hi, 0.8129, abs_tol=1e-4)
 
 
+def test_exact_intervals_of_the_counts_themselves(spark):
+    from math import comb
+
+    cases = [(1, 7), (39, 60), (200, 900), (900, 900)]
+    df = spark.createDataFrame([*cases, (300_000, 1_000_000), (0, 5_000_000)], "k long, n long")
+    got = {(r.k, r.n): r.c for r in df.select("k", "n", stats.clopper_pearson("k", "n").alias("c")).collect()}
+    for k, n in cases:
+        tail = lambda p, i: math.fsum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(i, n + 1))  # noqa: B023, E731
+        assert math.isclose(tail(got[k, n].lo, k), 0.025, abs_tol=1e-9)
+        assert got[k, n].hi == 1 if k == n else math.isclose(1 - tail(got[k, n].hi, k + 1), 0.025, abs_tol=1e-9)
+    c = got[300_000, 1_000_000]
+    assert math.isclose(c.lo, 0.299102, abs_tol=2e-6) and math.isclose(c.hi, 0.300899, abs_tol=2e-6)
+    assert got[0, 5_000_000].lo == 0 and math.isclose(got[0, 5_000_000].hi, 1 - 0.025 ** (1 / 5_000_000), rel_tol=1e-6)
+
+
+def test_exact_intervals_query(spark, small_dir):
+    from scenegrain.queries import text
+
+    counts = {r.source: (r.q, r.n) for r in text.by_source(spark, small_dir).collect()}
+    df = spark.createDataFrame([(s, q, n) for s, (q, n) in counts.items()], "source string, k long, n long")
+    want = df.select("source", stats.clopper_pearson("k", "n").alias("c")).collect()
+    assert {(r.source, r.lo, r.hi) for r in text.clopper_pearson(spark, small_dir).collect()} == {(r.source, round(r.c.lo, 6), round(r.c.hi, 6)) for r in want}
+
+
 def test_sign_test(spark):
     df = spark.createDataFrame([(0, 0), (1, 5), (3, 3)], "x int, y int")
     got = [r.p for r in df.select(stats.mcnemar(df.x, df.y).alias("p")).collect()]
