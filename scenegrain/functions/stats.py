@@ -45,11 +45,26 @@ def kappa(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFra
 
 
 def mcnemar(x: Column, y: Column) -> Column:
-    """Exact two-sided sign test over discordant cases; 1 without any. Binomial terms are products, not factorials."""
-    n = (x + y).cast("int")
-    term = lambda i: F.aggregate(F.sequence(F.lit(1), F.greatest(i, F.lit(1))), num(1), lambda acc, j: F.when(i == 0, num(1)).otherwise(acc * (n - j + 1) / j))
-    total = F.aggregate(F.sequence(F.lit(0), F.least(x, y).cast("int")), num(0), lambda acc, i: acc + term(i))
-    return F.when(n == 0, num(1)).otherwise(F.least(num(1), 2 * total / F.pow(num(2), n)))
+    """Exact two-sided sign test over discordant cases; 1 without any.
+
+    Each binomial term follows from the one before it. Up to 1000 cases terms are numbers, exact for
+    few; beyond, where these would overflow, they are logarithms less n log 2.
+    """
+    n, one = (x + y).cast("long"), F.lit(1).cast("long")
+    steps = F.when(F.least(x, y) > 0, F.sequence(one, F.least(x, y).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+    def tail(first: Column, following, value) -> Column:
+        start = F.struct(first.alias("t"), value(first).alias("s"))
+
+        def step(acc: Column, i: Column) -> Column:
+            t = following(acc["t"], n - i + 1, i)
+            return F.struct(t.alias("t"), (acc["s"] + value(t)).alias("s"))
+
+        return F.aggregate(steps, start, step, lambda acc: acc["s"])
+
+    few = tail(num(1), lambda t, a, b: t * a / b, lambda t: t) / F.pow(num(2), n)
+    many = tail(-n * F.ln(num(2)), lambda t, a, b: t + F.ln(a / b), F.exp)
+    return F.when(n == 0, num(1)).otherwise(F.least(num(1), 2 * F.when(n <= 1000, few).otherwise(many)))
 
 
 INTERVAL = T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
