@@ -143,6 +143,17 @@ def oversampled(df: DataFrame, label: str, share: float = 0.1) -> DataFrame:
     return df.join(F.broadcast(n), F.lit(True)).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("_pos", "_neg")
 
 
+def oversampled_rows(x: np.ndarray, y: np.ndarray, share: float = 0.1, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Drawn positives are added until they are `share` of the negatives; for training in workers."""
+    rng = np.random.default_rng(seed)
+    pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    if not len(pos) or len(pos) >= share * len(neg):
+        return x, y
+    at = np.concatenate([np.arange(len(y)), rng.choice(pos, int(np.ceil(share * len(neg))) - len(pos))])
+    rng.shuffle(at)
+    return x[at], y[at]
+
+
 class Mlp:
     """Two hidden layers (64, 32) of rectified units, logistic output, Adam; for grouped training in workers."""
 

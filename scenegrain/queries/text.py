@@ -273,29 +273,47 @@ def pseudo_labels(spark, sf):
     return x.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+#: Training pairs of each network, at most: those with the smallest hash of their keys. Held-out pairs are never bounded.
+MLP_ROWS = 20_000
+
+
 @registry.add("m11_mlp")
 def mlp(spark, sf):
-    """One small network per label source on pair features, trained in workers on a bounded sample each."""
+    """One small network per predicate on pair features: trained in workers on MLP_ROWS pairs, judged on every held-out pair."""
+    import pickle
+
     import pandas as pd
 
     from scenegrain.functions.geometry import pair_features
+    from scenegrain.types import PREDICATES
 
-    s = inputs.scene(spark, sf)
-    feats = s.select(F.col("a_grp").alias("grp"), "image_id", "a_idx", "b_idx", *pair_features(), F.array_contains("predicates", "near").cast("int").alias("near"), F.array_contains("predicates", "on").cast("int").alias("on"))
-    names = [c for c in feats.columns if c not in ("grp", "image_id", "a_idx", "b_idx", "near", "on")]
-    sample = feats.orderBy(F.md5(F.concat_ws("-", "image_id", "a_idx", "b_idx"))).limit(3000)
-    arms = sample.select("*", F.explode(F.array(F.lit("near"), F.lit("on"))).alias("arm"))
+    features = pair_features()
+    stated = [F.array_contains("predicates", p).cast("int").alias(f"y{i}") for i, p in enumerate(PREDICATES)]
+    feats = inputs.scene(spark, sf).select(F.col("a_grp").alias("grp"), "image_id", "a_idx", "b_idx", *features, *stated)
+    names = feats.columns[4 : 4 + len(features)]
+    sample = feats.where("grp < 6").orderBy(F.md5(F.concat_ws("-", "image_id", "a_idx", "b_idx")), "image_id", "a_idx", "b_idx").limit(MLP_ROWS)
+    arms = sample.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(PREDICATES) - 1))).alias("arm"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["image_id", "a_idx", "b_idx"])
-        y = rows[rows["arm"].iloc[0]].to_numpy(float)
-        x = rows[names].to_numpy(float)
-        x = (x - x.mean(0)) / (x.std(0) + 1e-9)
-        train = (rows["grp"] < 6).to_numpy()
-        p = M.Mlp(epochs=8).fit(x[train], y[train]).predict(x[~train]) > 0.5
-        return pd.DataFrame({"arm": [rows["arm"].iloc[0]], "held_out": [int((~train).sum())], "accuracy": [float((p == (y[~train] > 0)).mean())]})
-
-    return arms.groupBy("arm").applyInPandas(run, "arm string, held_out long, accuracy double")
+        arm = int(rows["arm"].iloc[0])
+        x, y = rows[names].to_numpy(float), rows[f"y{arm}"].to_numpy(float)
+        mean, scale = x.mean(0), x.std(0) + 1e-9
+        net = M.Mlp(epochs=60).fit(*M.oversampled_rows((x - mean) / scale, y))
+        return pd.DataFrame({"arm": [arm], "net": [pickle.dumps((net, mean, scale))]})
+
+    nets = {r["arm"]: bytes(r["net"]) for r in arms.groupBy("arm").applyInPandas(train, "arm int, net binary").collect()}
+
+    def judge(batches):
+        known = {arm: pickle.loads(net) for arm, net in nets.items()}
+        for rows in batches:
+            x = rows[names].to_numpy(float)
+            for arm, (net, mean, scale) in known.items():
+                right = (net.predict((x - mean) / scale) > 0.5) == (rows[f"y{arm}"].to_numpy() > 0)
+                yield pd.DataFrame({"arm": [PREDICATES[arm]], "held_out": [len(x)], "right": [int(right.sum())]})
+
+    per = feats.where("grp >= 6").mapInPandas(judge, "arm string, held_out long, right long")
+    return per.groupBy("arm").agg(F.sum("held_out").alias("held_out"), (F.sum("right") / F.sum("held_out")).alias("accuracy"))
 
 
 @registry.add("k18_digest", "SELECT doc_id, sha256(text) AS digest FROM documents")

@@ -304,6 +304,18 @@ def test_network_learns():
     assert ((model.predict(x) > 0.5) == y).mean() > 0.9
 
 
+def test_networks_meet_every_held_out_pair(spark, small_dir):
+    from scenegrain.queries import _inputs, text
+    from scenegrain.types import PREDICATES
+
+    rows = text.mlp(spark, small_dir).collect()
+    assert {r.arm for r in rows} == set(PREDICATES) and len(rows) == len(PREDICATES)
+    assert {r.held_out for r in rows} == {_inputs.scene(spark, small_dir).where("a_grp >= 6").count()}
+    assert all(r.accuracy > 0.9 for r in rows)
+    x, y = stats.oversampled_rows(np.arange(105.0)[:, None], np.r_[np.ones(5), np.zeros(100)])
+    assert y.sum() == 10 and len(x) == 110 and set(x[y == 1, 0]) == {0, 1, 2, 3, 4}
+
+
 def test_spaced_sample(spark):
     claims = spark.createDataFrame([(1, f, i) for i, f in enumerate([0, 5, 10, 30, 31, 60])], "g int, frame int, n int")
     got = S.spaced_sample(claims, ["g"], "frame", 20).collect()
