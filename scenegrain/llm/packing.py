@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,9 +24,10 @@ HARD_CUT = 5
 HARD_GAP, HARD_STEP = 10, 8
 #: Tokens gathered before windows are settled; two windows stay open for what follows.
 HORIZON = 1 << 17
-CACHE_WORDS = 250_000
 #: Fixed value: the vocabulary's one special token, whose text it reads as that token.
 SPECIAL = "<|endoftext|>"
+#: The type code of unsigned 32-bit numbers.
+UNSIGNED = "I" if array("I").itemsize == 4 else "L"
 
 PIECES = T.StructType(
     [
@@ -43,29 +44,16 @@ PIECES = T.StructType(
 _loaded: dict = {}
 
 
-class _Words(dict):
-    """Ids, as little-endian bytes, of ' ' + word; unknown words are encoded when first met."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word):
-        ids = np.asarray(self.encode(" " + word), "<u4").tobytes()
-        if len(self) < CACHE_WORDS:
-            self[word] = ids
-        return ids
-
-
 class ByteBpe:
     """Ids of the byte-level BPE vocabulary, equal to Tokenizer.encode(add_special_tokens=False).
 
-    A text is cut at single spaces between two other non-space characters, where the vocabulary's
-    splitting pattern always starts a new piece, so each word can be encoded once and remembered.
-    Texts with white space side by side are encoded whole.
+    The vocabulary's pattern looks ahead only where white space stands side by side. Texts without
+    that are cut by the pattern without its look-ahead, which gives the same pieces for less time.
     """
 
-    ADJACENT = re.compile(r"\s\s|^\s|\s$")
+    LOOK_AHEAD = r"|\s+(?!\S)"
+    #: White space side by side, and white space other than spaces and line ends.
+    BESIDE = ("  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"))
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
@@ -73,24 +61,18 @@ class ByteBpe:
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.exact, self.fast = (tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (pattern, pattern.replace(self.LOOK_AHEAD, "")))
         self.slow = lru_cache(1)(lambda: Tokenizer.from_file(json_path))  # large: only where it is needed
-        self.words = _Words(self.fast.encode_ordinary)
-        ends = np.zeros(max(ranks.values()) + 64, bool)
+        self.sentence_end = np.zeros(max(ranks.values()) + 64, bool)
         for token, rank in ranks.items():
-            ends[rank] = token.rstrip(b"\"')")[-1:] in (b".", b"!", b"?", b"\n") and len(token) > 0
-        self.sentence_end = ends
+            self.sentence_end[rank] = token.rstrip(b"\"')")[-1:] in (b".", b"!", b"?", b"\n")
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
         if SPECIAL in text:
-            return np.asarray(self.slow().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.ADJACENT.search(text):
-            return np.asarray(self.fast.encode_ordinary(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        head = np.asarray(self.fast.encode_ordinary(first), "<u4").tobytes()
-        return head + b"".join(map(self.words.__getitem__, rest))
+            ids = self.slow().encode(text, add_special_tokens=False).ids
+        else:
+            ids = (self.exact if any(map(text.__contains__, self.BESIDE)) else self.fast).encode_ordinary(text)
+        return array(UNSIGNED, ids).tobytes()
 
 
 def loaded(json_path: str, ranks_path: str, pattern: str) -> ByteBpe:
@@ -127,20 +109,20 @@ def best_cuts(pos: list[int], penalty: list[int], window: int) -> tuple[list[int
     return out[::-1], cost[-1]
 
 
-def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray) -> tuple[list[int], list[int]]:
-    """Candidate cut positions in a run of tokens with their penalties; both ends are in it."""
-    soft = np.flatnonzero(sentence_end[ids]) + 1
-    at = np.union1d(soft, doc_ends)
-    at = np.union1d(at, [0, len(ids)]).astype(np.int64)
-    gaps = np.diff(at)
-    wide = np.flatnonzero(gaps > HARD_GAP)
-    hard = [np.arange(at[i] + HARD_STEP, at[i + 1], HARD_STEP) for i in wide]
-    hard_at = np.concatenate(hard) if hard else np.empty(0, np.int64)
-    every = np.concatenate([at, hard_at])
-    cost = np.concatenate([np.full(len(at), SENTENCE_CUT), np.full(len(hard_at), HARD_CUT)])
-    cost[: len(at)][np.isin(at, doc_ends)] = 0
-    order = np.argsort(every, kind="stable")
-    return every[order].tolist(), cost[order].tolist()
+def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, window: int) -> tuple[list[int], list[int]]:
+    """Candidate cut positions in a run of tokens with their penalties; both ends are in it, and no gap is above window."""
+    kind = np.zeros(len(ids) + 1, np.int8)
+    kind[1:][sentence_end[ids]] = SENTENCE_CUT
+    kind[[0, len(ids)]] = SENTENCE_CUT
+    free = np.zeros(len(ids) + 1, bool)
+    free[doc_ends] = True
+    at = np.flatnonzero((kind > 0) | free)
+    gaps, step = np.diff(at), min(HARD_STEP, window)
+    more = np.where(gaps > min(HARD_GAP, window), (gaps - 1) // step, 0)  # hard cuts in each gap
+    ordinal = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+    kind[np.repeat(at[:-1], more) + step * (ordinal + 1)] = HARD_CUT
+    every = np.flatnonzero((kind > 0) | free)
+    return every.tolist(), np.where(free, 0, kind)[every].tolist()
 
 
 def tail_lengths(length: int, window: int) -> list[int]:
@@ -171,7 +153,7 @@ class Packer:
         data = b"".join(self.bytes)
         ids = np.frombuffer(data, "<u4")
         ends = np.cumsum([len(b) // 4 for b in self.bytes])
-        pos, penalty = candidates(ids, ends, self.bpe.sentence_end)
+        pos, penalty = candidates(ids, ends, self.bpe.sentence_end, self.window)
         cuts = [pos[i] for i in best_cuts(pos, penalty, self.window)[0]]
         if final:
             last = cuts.pop()

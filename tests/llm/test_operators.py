@@ -154,6 +154,25 @@ def tokenizer_once():
     return _once[0]
 
 
+@pytest.mark.parametrize("window", range(1, 17))
+def test_small_windows(window):
+    """Every id lies in one sequence of at most window ids, in order, and no cut is dearer than the cheapest of all."""
+    import public_tokenizers as p
+
+    bpe = packing.loaded(p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
+    packer = packing.Packer(bpe, window, 0)
+    texts = ["", "One. Two? Three!", "no end of a sentence anywhere in these many words " * 3, "x"]
+    pieces = [x for i, t in enumerate(texts) for x in packer.add(i, t)] + packer.settle(True)
+    ids = b"".join(x[3] for x in pieces)
+    assert ids == b"".join(bpe.encode(t) + b"\0\0\0\0" for t in texts)
+    lengths = defaultdict(int)
+    for x in pieces:
+        lengths[x[5]] += x[2]
+    assert max(lengths.values()) <= window
+    pos, penalty = packing.candidates(np.frombuffer(ids, "<u4"), np.cumsum([len(bpe.encode(t)) // 4 + 1 for t in texts]), bpe.sentence_end, window)
+    assert max(np.diff(pos)) <= window
+
+
 def test_packing_odd(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, LONG), (4, "x<|endoftext|>y"), (5, "nospaces" * 3000)], "doc_id long, text string")
     check_pieces(packing.digested(clashing(df)).collect(), {r.doc_id: r.text for r in df.collect()}, tokenizer())
