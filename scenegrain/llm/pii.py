@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import table, text_of
+from ._common import named, table, text_of
 
 #: Kinds in the order in which spans with one start are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "email_spoken", "uri", "secret", "account")
@@ -78,11 +78,11 @@ def find(text: str) -> list[tuple[str, int, int]]:
 
     Base kinds equal leftmost non-overlapping matches of their patterns. Each kind keeps the end of
     its last match (also of one that failed validation: no retries), and the parsers never look
-    behind it: an at-sign expands left over the local part and right over the domain, a digit that
+    behind it, so that a text is read a bounded number of times: an at-sign expands left over the local part and right over the domain, a digit that
     no earlier match covers starts an address or a card, a plus sign starts a phone number.
     """
     out: list[tuple[str, int, int]] = []
-    email = ip = card = phone = 0
+    email = ip = card = phone = uri = 0
     for last, (kind, length) in anchors().iter(text):
         at = last - length + 1
         if kind == "0":
@@ -113,14 +113,17 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 phone = m.end()
                 if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
                     out.append(("phone", at, phone))
-        elif kind == "uri":
+        elif kind == "uri" and at >= uri:
             start = at
-            while start > max(0, at - 16) and text[start - 1] in SCHEME:
+            while start > max(uri, at - 16) and text[start - 1] in SCHEME:
                 start -= 1
             if start < at and (m := AUTHORITY.match(text, last + 1)):
+                uri = m.end()
                 # personal only where it names somebody: user data before the host, an address in the path, a numeric host
                 if "@" in m[0] or (host := IP.match(m[1])) and all(map(small, host.groups())):
-                    out.append(("uri", start, m.end()))
+                    out.append(("uri", start, uri))
+        elif kind == "uri":
+            continue
         elif kind == "spoken":
             before = SPOKEN_LOCAL.search(text[max(0, at - 65) : at])
             if before and (m := SPOKEN_DOMAIN.match(text, last + 1)):
@@ -148,7 +151,7 @@ def spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> D
                 rows = [[{"kind": k, "start": a, "end": b, "base": k in BASE} for k, a, b in find(t)] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, ARROW_SPANS.field(1).type)], schema=ARROW_SPANS)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, SPANS)
+    return df.select(named(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, SPANS)
 
 
 def redact(text: str, found: list[tuple[str, int, int]]) -> str:
@@ -164,7 +167,12 @@ def redact(text: str, found: list[tuple[str, int, int]]) -> str:
 
 
 def redacted(df: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The same rows and columns, personal data in text_col replaced; a null text stays null."""
+    """The same rows and columns, personal data in text_col replaced.
+
+    A null text stays null and an empty one empty; null ids and repeated rows are rows like any other;
+    overlapping spans are replaced once, by the first, longest one; an empty table gives no rows; other
+    columns are kept as they are, whatever their names.
+    """
     names = df.columns
     where = names.index(text_col)
 
@@ -189,5 +197,6 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(k) for k in KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(joined("base_spans").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    counts = {k: count(k) for k in KINDS}
+    digests = F.sha2(joined("base_spans").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans")
+    return found.select("doc_id", *(counts[k] for k in KINDS[:4]), *digests, *(counts[k] for k in KINDS[4:]))

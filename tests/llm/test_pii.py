@@ -61,3 +61,18 @@ def test_query_against_brute_force(spark, small_dir):
         want = brute(text)
         assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert [got[i][f"n_{k}"] for k in pii.KINDS[:4]] == [sum(s[0] == k for s in want) for k in pii.KINDS[:4]]
+
+
+def test_long_texts_take_time_in_proportion():
+    """A megabyte of what starts a match again and again, with and without a match at its end."""
+    import time
+
+    for text in ("a://" * 250_000, "a://" * 250_000 + "@", "1.2.3." * 160_000, "a@" * 500_000, "+1(" * 330_000, "token" * 200_000, "iban " * 200_000):
+        began = time.process_time()
+        found = pii.find(text)
+        assert time.process_time() - began < 15 and sum(b - a for _, a, b in found) <= 4 * len(text)
+
+
+def test_uri_covers_its_run_once():
+    text = "see ftp://a:b@host/x://y@z and http://10.0.0.1/p://q http://example.org/x"
+    assert [(k, text[a:b]) for k, a, b in pii.find(text) if k == "uri"] == [("uri", "ftp://a:b@host/x://y@z"), ("uri", "http://10.0.0.1/p://q")]
