@@ -6,13 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD_CLASS, stored, table, text_of
+from ._common import WORD_CLASS, named, stored, table, text_of
 
 SHARDS = 8
 #: Small groups share this many units; a group above 1 / UNITS of all bytes, tokens or rows is one of its own.
 UNITS = 4096
-#: A group above this share of a shard is dealt out in parts of at most a quarter of that.
-WHOLE = 0.25
+#: A group that doesn't fit into a shard is dealt out in parts of at most this share of one.
+PART = 1 / 16
 DIMS = ("size", "tokens", "rows")
 
 
@@ -36,7 +36,7 @@ def measured(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The few bytes per row that sharding needs, so that texts are read once and never shuffled."""
     text = text_of(text_col)
     return df.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        named(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.regexp_count(text, F.lit(WORD_CLASS)).cast("long").alias("tokens"),
@@ -47,9 +47,9 @@ def measured(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def assign(df: DataFrame, *, shards: int = SHARDS, units: int = UNITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shard and slot of every row: doc_id, size, text_crc32, tokens, shard, slot.
 
-    Equal texts form a group and stay together, unless the group is above WHOLE of a shard in bytes,
+    Equal texts form a group and stay together, unless the group is larger than a shard in bytes,
     tokens or rows: then its rows are dealt, by a hash of their id, to parts that are placed one by
-    one. Groups below 1 / units of the total share units by their hash. So at most 7 * units units
+    one. Groups below 1 / units of the total, too small to matter singly, share units by their hash. So at most 7 * units units
     and cells reach the driver, whatever the input, each three sums, and the table of their places,
     at most 7 * units rows, is sent to all tasks. Slots count from 0 in each shard without gaps: a
     cell's first slot, plus a row's rank in its cell, which holds about 1 / units of all rows.
@@ -69,7 +69,7 @@ def assign(df: DataFrame, *, shards: int = SHARDS, units: int = UNITS, id_col: s
     large = base.groupBy("g").agg(*sums).withColumn("share", share).where(F.col("share") > 1 / units).select("g", "share", "rows").collect()
     table_rows, first = [], units
     for r in sorted(large, key=lambda r: (-r["share"], r["g"])):
-        parts = int(np.ceil(r["share"] * shards * 4 / WHOLE)) if r["share"] * shards > WHOLE else 1
+        parts = int(np.ceil(r["share"] * shards / PART)) if r["share"] * shards > 1 else 1
         cells = max(1, int(np.ceil(r["rows"] / total["rows"] * units / parts)))  # of each part, so that ranks are counted over few rows
         table_rows.append((r["g"], first, parts, cells))
         first += parts * cells
