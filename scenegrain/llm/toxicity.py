@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACE_CLASS, id_text_crc_mod, table
+from ._common import SPACE_CLASS, id_text_crc_mod, named, table, text_of
 from .quality_gam import SCORES, labelled
 
 #: Labelled rows that a fit takes at most, landmark words, and where a score counts as toxic.
@@ -22,8 +22,10 @@ HELD_OUT_MOD = 5
 THRESHOLD = 0.5
 #: Subsequences of three characters that span SPAN characters at most; a character of span costs DECAY.
 SPAN, DECAY = 5, 0.6
-#: Kernel values below this count as 0, the others are raised to this power (products of kernels are kernels).
+#: The kernel is this power of the subsequence kernel (products of kernels are kernels); where that is below LEAST, it counts as 0.
 LEAST, POWER = 0.4, 2
+#: A text's mean word is taken so many times: one insult in so many words weighs as much as the largest value.
+MEAN_WEIGHT = 50.0
 #: Longer words are scored by windows, MARGIN characters longer than a landmark and MARGIN apart; landmarks are no longer.
 WORD_MOST, MARGIN = 40, 2
 #: Words and windows that a worker looks at together.
@@ -65,7 +67,7 @@ def forms(word: str) -> list[str]:
 
 
 class Kernel:
-    """Kernel values of words with the landmarks; remembers what it has met.
+    """Kernel values of words with the landmarks; remembers what it has met, up to SEEN_MOST words.
 
     A word is first screened by a bound: the sum of its subsequence weights times the largest weight
     that any landmark gives that subsequence, over the least norm that a word of that length has.
@@ -174,26 +176,34 @@ class Kernel:
         return {w: (np.array(list(m), np.int64), np.array(list(m.values()))) for w, m in out.items()}
 
     def pooled(self, texts: list[str]) -> np.ndarray:
-        """For each text and landmark the largest value over its words, then the sum over root of their number."""
+        """For each text and landmark the largest value over its words, the second largest, and their mean."""
         each = [t.split() for t in texts]
         for words, t in zip(each, texts, strict=True):
             if SPELLED.search(t):
                 words += [" " + m[0].replace(" ", "").replace("\t", "") for m in SPELLED.finditer(t)]
+        if len(self.known) > SEEN_MOST:
+            self.known.clear()
         new = set().union(*each) - self.seen - self.known.keys()
         found = self.learn(new)
         self.known.update(found)
         if len(self.seen) < SEEN_MOST:
             self.seen |= {w for w in new - found.keys() if len(w) <= WORD_MOST}
-        top, total = np.zeros((len(texts), self.size)), np.zeros((len(texts), self.size))
+        top, second, mean = np.zeros((3, len(texts), self.size))
         for i, words in enumerate(each):
             if hits := [x for x in map(self.known.get, words) if x is not None]:
                 at, values = np.concatenate([x[0] for x in hits]), np.concatenate([x[1] for x in hits])
-                np.maximum.at(top[i], at, values)
-                total[i] = np.bincount(at, values, self.size) / len(words) ** 0.5
+                mean[i] = np.bincount(at, values, self.size) / len(words)
+                order = np.lexsort((values, at))
+                at, values = at[order], values[order]
+                last = np.flatnonzero(np.append(at[1:] != at[:-1], True))
+                top[i, at[last]] = values[last]
+                last = last[1:] if last[0] == 0 else last
+                last = last[at[last - 1] == at[last]]
+                second[i, at[last]] = values[last - 1]
         for w in found:
             if len(w) > WORD_MOST:
                 del self.known[w]
-        return np.hstack([top, total])
+        return np.hstack([top, second, mean])
 
 
 @dataclass
@@ -209,18 +219,26 @@ class Svm:
     def margins(self, pooled: np.ndarray) -> np.ndarray:
         if self.mapping is None:
             return np.zeros(len(pooled))
-        m = len(self.landmarks)
-        x = np.hstack([pooled[:, :m] @ self.mapping, pooled[:, m:] @ self.mapping, np.ones((len(pooled), 1))])
-        return x @ self.weights
+        return design(pooled, self.mapping) @ self.weights
 
     def score(self, pooled: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.margins(pooled) + self.shift)))
 
 
+def design(pooled: np.ndarray, mapping: np.ndarray) -> np.ndarray:
+    """What the machine weighs: the two largest kernel values by landmark, the Nyström features of the mean word, and 1.
+
+    The map is linear, so the features of a mean of kernel rows are the mean of the words' features.
+    """
+    m = len(mapping)
+    return np.hstack([pooled[:, : 2 * m], MEAN_WEIGHT * (pooled[:, 2 * m :] @ mapping), np.ones((len(pooled), 1))])
+
+
 def nystrom(landmarks: list[str]) -> np.ndarray:
-    """The inverse square root of the landmarks' kernel matrix."""
+    """The inverse square root of the landmarks' kernel matrix, of the kernel that words are valued by."""
     maps = [subsequences(w) for w in landmarks]
-    k = np.array([[sum(v * b.get(u, 0.0) for u, v in a.items()) for b in maps] for a in maps]) ** POWER
+    k = np.array([[sum(v * b.get(u, 0.0) for u, v in a.items()) for b in maps] for a in maps])
+    k = np.where(k >= LEAST, k**POWER, 0)
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     return vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
 
@@ -252,15 +270,14 @@ def logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(pooled: np.ndarray, toxic: np.ndarray, landmarks: list[str], *, c: float = 2.0) -> Svm:
+def fit(pooled: np.ndarray, toxic: np.ndarray, landmarks: list[str], *, c: float = 0.5) -> Svm:
     """Fits weights on all rows, and the scores' line on margins from a two-fold split."""
     prior = (toxic.sum() + 1) / (len(toxic) + 2)
     model = Svm(shift=float(np.log(prior / (1 - prior))))
     if not landmarks or len(toxic) < 4 or toxic.min() == toxic.max():
         return model
     model.landmarks, model.mapping = landmarks, nystrom(landmarks)
-    m = len(landmarks)
-    x = np.hstack([pooled[:, :m] @ model.mapping, pooled[:, m:] @ model.mapping, np.ones((len(pooled), 1))])
+    x = design(pooled, model.mapping)
     y, weight = np.where(toxic > 0, 1.0, -1.0), np.where(toxic > 0, 2.0, 1.0)
     margins, fold = np.zeros(len(y)), np.arange(len(y)) % 2
     for f in (0, 1):
@@ -295,7 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     Word counts are aggregated by Spark and only words of at least three toxic texts that are twice
     as frequent there are fetched, at most 20 * landmarks of them; then each labelled text's pooled
-    kernel values (2 * landmarks numbers).
+    kernel values (3 * landmarks numbers).
     """
     rows = labelled(docs, labels, label, id_col=id_col, text_col=text_col, held_out_mod=held_out_mod, max_rows=max_rows)
     words = rows.select("_y", F.explode(F.array_distinct(F.split(F.lower("_text"), f"{SPACE_CLASS}+"))).alias("w")).select("_y", F.btrim("w", F.lit(EDGES)).alias("w")).where("w <> ''").where(F.length("w") <= WORD_MOST)
@@ -330,7 +347,7 @@ def scored(docs: DataFrame, model: Svm, *, id_col: str = "doc_id", text_col: str
                 x = kernel.pooled(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, SCORES)
+    return docs.select(named(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, SCORES)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, held_out_mod: int = HELD_OUT_MOD) -> DataFrame:
