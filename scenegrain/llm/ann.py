@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import stored, table
+from ._common import named, stored, table
 
 #: Vectors that the centroids are fitted on, at most (smallest hash of the id), and vectors a list is meant to hold.
 SAMPLE, LIST_SIZE, LISTS_MOST = 20_000, 256, 4096
@@ -149,7 +149,7 @@ def nearest(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray
 
 def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id and vector (doubles) of the rows that take part."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = df.select(named(id_col).cast("long").alias("id"), named(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
     return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 

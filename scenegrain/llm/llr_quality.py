@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACE_CLASS, table, text_of
+from ._common import SPACE_CLASS, named, table, text_of
 
 #: Buckets of hashed word n-grams (1 and 2 words); the model is one array of that length.
 BUCKETS = 1 << 14
@@ -85,7 +85,7 @@ def model(docs: DataFrame, trusted: DataFrame, *, id_col: str, text_col: str, mo
     themselves are never shuffled.
     """
     ids = trusted.select(F.col("doc_id").cast("long").alias("_trusted")).where("_trusted is not null").distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), grams(words_of(text_of(text_col))).cast("array<smallint>").alias("_grams"))
+    rows = docs.select(named(id_col).cast("long").alias("_id"), grams(words_of(text_of(text_col))).cast("array<smallint>").alias("_grams"))
     if ids.count() <= most_sent:
         marked = rows.join(F.broadcast(ids), F.col("_id") == F.col("_trusted"), "left")
         hashed = marked.select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode("_grams").alias("b"))
@@ -117,7 +117,7 @@ def judged(docs: DataFrame, trusted: DataFrame, *, threshold: float = THRESHOLD,
     ratios = model(docs, trusted, id_col=id_col, text_col=text_col)
     # a literal of BUCKETS integers: parsed once, when the plan is optimised
     ratio = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("words", words_of(F.col("text")))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("words", words_of(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select(
         "doc_id",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import WORD_CLASS, stored, table, text_of
+from ._common import WORD_CLASS, named, stored, table, text_of, unused
 
 #: Blocks of a source, at most; a budget is met to within half a block.
 BLOCKS = 4096
@@ -21,7 +21,7 @@ BROADCAST_SOURCES = 20_000
 
 def source_key(col: str) -> Column:
     """The source as a key without nulls: rows without a source form one of their own."""
-    return F.coalesce(F.concat(F.lit("s"), F.col(col).cast("string")), F.lit("-"))
+    return F.coalesce(F.concat(F.lit("s"), named(col).cast("string")), F.lit("-"))
 
 
 def exponent(shares: DataFrame, *, repetition: float | None, entropy: float | None) -> float:
@@ -74,14 +74,20 @@ def plan(keyed: DataFrame, *, repetition: float | None, entropy: float | None, b
     return shares.join(cut, "_source").select("_source", "weight", "repeats", "full", F.coalesce("cut", F.lit(-1)).alias("cut")), whole["n"]
 
 
+def own_names(columns: list[str]) -> dict[str, str]:
+    """Names of the columns that mix adds: each as here, with more underscores before it where docs has that name."""
+    wanted = ["_source", "_block", "_epoch", "_weight", "_repeats", "_at"]
+    return dict(zip(wanted, unused(columns, *wanted), strict=True))
+
+
 def mix(docs: DataFrame, *, repetition: float | None = REPETITION, entropy: float | None = None, budget: int | None = None, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs in the shares that the mixture asks for, with columns before their own:
 
-    _source (key), _block, _epoch, _weight, _repeats, _at. A source with repeats 2.3 has each row in
-    epochs 0 and 1 and the blocks that come first in its third permutation, up to 0.3 of its tokens,
-    in epoch 2. _at, from 0 to 1, orders the mixture: in every stretch of it each source has its
-    weight. A row costs its words, one at least. A budget in tokens below what shows every row once
-    leaves out blocks, as asked; without one every row is kept.
+    _source (key), _block, _epoch, _weight, _repeats, _at (own_names, where docs has these already).
+    A source with repeats 2.3 has each row in epochs 0 and 1 and the blocks that come first in its
+    third permutation, up to 0.3 of its tokens, in epoch 2. _at, from 0 to 1, orders the mixture: in
+    every stretch of it each source has its weight. A row costs its words, one at least. A budget in
+    tokens below what shows every row once leaves out blocks, as asked; without one every row is kept.
 
     Only functions of Spark SQL. Rows are neither shuffled nor collected: the plan has a row per source
     and joins them by broadcast (up to BROADCAST_SOURCES) or by key; a source's tokens are summed per
@@ -89,12 +95,12 @@ def mix(docs: DataFrame, *, repetition: float | None = REPETITION, entropy: floa
 
     Rows without a source are a source of their own; null ids and null texts are rows like any other;
     repeated rows are in one block; one source alone has repeats 1; an empty table gives no rows. Other
-    columns are kept; names with the prefix of those above must not occur.
+    columns are kept, whatever their names.
     """
     keyed = docs.select(
-        "*",
+        F.struct(*map(named, docs.columns)).alias("_row"),  # so that none of their names meets one of ours
         source_key(source_col).alias("_source"),
-        F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED)), F.lit(blocks)).cast("int").alias("_block"),
+        F.pmod(F.xxhash64(named(id_col), F.lit(SEED)), F.lit(blocks)).cast("int").alias("_block"),
         F.greatest(F.regexp_count(text_of(text_col), F.lit(WORD_CLASS)), F.lit(1)).cast("long").alias("_tokens"),
     )
     by_source, sources = plan(keyed, repetition=repetition, entropy=entropy, budget=budget, blocks=blocks)
@@ -103,7 +109,8 @@ def mix(docs: DataFrame, *, repetition: float | None = REPETITION, entropy: floa
     copies = F.col("_full") + (order_of(F.col("_full")) <= F.col("_cut")).cast("int")
     shown = joined.withColumn("_epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
     at = (F.col("_epoch") + order_of(F.col("_epoch")) / F.lit(float(1 << 31))) / F.greatest("_repeats", F.lit(1e-9))
-    return shown.select("_source", "_block", "_epoch", "_weight", "_repeats", F.least(at, F.lit(1.0)).alias("_at"), *[F.col(f"`{c}`") for c in docs.columns])
+    shown = shown.withColumn("_at", F.least(at, F.lit(1.0)))
+    return shown.select(*(F.col(ours).alias(name) for ours, name in own_names(docs.columns).items()), *(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import table, text_of
+from ._common import named, table, text_of
 
 WINDOW = 1024
 SENTENCE_CUT = 2
@@ -220,7 +220,7 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", windo
         if found := packer.settle(True):
             yield rows(found)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, PIECES)
+    return df.select(named(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
 def digested(docs: DataFrame) -> DataFrame:

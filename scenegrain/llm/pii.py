@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import named, table, text_of
+from ._common import map_rows, named, table, text_of
 
 #: Kinds in the order in which spans with one start are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "email_spoken", "uri", "secret", "account")
@@ -184,7 +184,7 @@ def redacted(df: DataFrame, *, text_col: str = "text") -> DataFrame:
                 columns = [pa.array(clean, part.schema.field(where).type) if i == where else part.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return df.mapInArrow(run, df.schema)
+    return map_rows(df, run)
 
 
 def joined(spans_col: str):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import id_text_crc_mod, table, text_of
+from ._common import id_text_crc_mod, map_rows, named, table, text_of
 
 #: Labelled rows that a fit takes at most: those with the smallest hash of their id.
 MAX_LABELLED = 20_000
@@ -175,7 +175,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, tex
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(max_rows)
     )
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
+    rows = docs.select(named(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
     return rows.join(F.broadcast(taken), "_id")
 
 
@@ -207,11 +207,16 @@ def scored(docs: DataFrame, model: Gam, *, id_col: str = "doc_id", text_col: str
                 x = np.array([features(t) for t in part.column(1).to_pylist()], float)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, SCORES)
+    return docs.select(named(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, SCORES)
 
 
 def accepted(docs: DataFrame, model: Gam, *, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose score reaches the threshold."""
+    """The rows, with all their columns, whose score reaches the threshold.
+
+    Null and empty texts have the score of a text without words; repeated rows share their verdict;
+    null ids are rows like any other; an empty table gives no rows; other columns are kept, whatever
+    their names.
+    """
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +226,7 @@ def accepted(docs: DataFrame, model: Gam, *, threshold: float = THRESHOLD, text_
                 x = np.array([features(t or "") for t in part.column(where).to_pylist()], float)
                 yield part.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, held_out_mod: int = HELD_OUT_MOD) -> DataFrame:
