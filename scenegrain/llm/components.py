@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, stored
+from ._common import discard, looked_up, stored
 
 ROUNDS_MOST = 60
 
@@ -21,19 +21,19 @@ def components(edges: DataFrame) -> DataFrame:
     Small star: a node and its smaller neighbours are tied to the smallest of them. Both keep the
     components, and repeated they leave one star for each, in a number of rounds that grows with the
     logarithm of a component's size. Each round is written to the shared folder, so the plan stays
-    short and a lost executor costs one task. Minima are aggregated before the shuffle and joined
-    back, so the neighbours of a hub are never one task's group.
+    short and a lost executor costs one task. Minima are aggregated before the shuffle and looked up
+    by node, hubs by broadcast, so the neighbours of a hub are never one task's group.
     """
     spark = edges.sparkSession
     now, path = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _signature(now)
     for _ in range(ROUNDS_MOST):
         both = now.union(now.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, both["a"] == least["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        tied = large.join(small, large["a"] == small["u"])
-        new = tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = looked_up(both, least, "a", "n", 2 * seen[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        tied = looked_up(large, small, "a", "n", seen[0])
+        new = tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct()
         after, after_path = stored(new, "edges")
         discard(spark, path)
         now, path = after, after_path

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import stored, table, text_of
+from ._common import looked_up, map_rows, named, stored, table, text_of, unused
 from .components import components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 #: A bucket of more fingerprints than this is cut again by variants of the other segment.
 BUCKET_MOST = 4096
+#: Fingerprints that one task makes the keys of.
+SPREAD = 100_000
 #: Tables of at most this many pairs of numbers (32 MB) are sent to all tasks, larger ones joined by key.
 BROADCAST_ROWS = 2_000_000
 
@@ -53,7 +55,7 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(named(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def variants(distinct: DataFrame) -> DataFrame:
@@ -118,7 +120,8 @@ def edges(distinct: DataFrame, *, bucket_most: int = BUCKET_MOST) -> DataFrame:
     halves of the other segment, of which one again differs by one bit at most: such a part holds at
     most 2 ** 18 different fingerprints, whatever the input. Nothing is dropped.
     """
-    keyed = variants(distinct)
+    spread = max(distinct.sparkSession.sparkContext.defaultParallelism, 1 + distinct.count() // SPREAD)  # a task makes 64 rows of each
+    keyed = variants(distinct.repartition(spread, "fp"))
     counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     buckets, _ = stored(counted, "buckets")
     sizes = buckets.agg(F.count_if(F.col("n") > 2).alias("more"), F.count_if(F.col("n") > bucket_most).alias("huge")).first()
@@ -138,13 +141,14 @@ def edges(distinct: DataFrame, *, bucket_most: int = BUCKET_MOST) -> DataFrame:
 
 
 def groups(fps: DataFrame) -> DataFrame:
-    """fp, root (smallest connected fingerprint) and component_id (smallest doc_id) of each distinct fp of fps."""
-    distinct, _ = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(edges(distinct.select("fp")))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted, _ = stored(rooted, "rooted")
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "root", "component_id")
+    """Of each distinct fp of fps: n (rows), first (smallest doc_id), component_id (smallest doc_id reachable), keeper (the fp whose first that is)."""
+    distinct, _ = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
+    roots = components(edges(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    rooted, _ = stored(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    ids = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("k"), F.count("*").alias("size"))
+    ids = ids.select("root", "size", F.col("k.first").alias("component_id"), F.col("k.fp").alias("keeper"))
+    found, _ = stored(looked_up(rooted, ids, "root", "size", rooted.count()).select("fp", "n", "first", "component_id", "keeper"), "found")
+    return found
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,37 +161,40 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Repeated rows are rows of their own; an empty table gives no rows; other columns are ignored.
     """
     fps, _ = stored(fingerprints(df, id_col=id_col, text_col=text_col), "fingerprints")
-    found = groups(fps)
-    return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = looked_up(fps, groups(fps).select("fp", "n", "component_id"), "fp", "n", fps.count())
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row, with all its columns, of each component: that of the smallest id, or of the smallest fingerprint if ids tie or are null."""
+    """One row, with all its columns, of each component: that of the smallest id, or of the smallest fingerprint if ids tie or are null.
+
+    Null and empty texts are copies of each other (fingerprint 0). Of repeated rows one is left. An
+    empty table gives no rows; other columns are kept, whatever their names.
+    """
     names = docs.columns
     where = names.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+    own_fp, gone_id, gone_fp = unused(names, "_fp", "_gone", "_gone_fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 fp = np.array([fingerprint(t or "") for t in part.column(where).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp)], names=[*names, "_fp"])
-
-    with_fp, _ = stored(docs.mapInArrow(run, schema), "with-fp")
-    fps = with_fp.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col("_fp").alias("fp"))
-    found, _ = stored(groups(fps), "found")
-    best = fps.join(found, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp")).alias("k"))
-    rows = fps.groupBy("doc_id", "fp").agg(F.count("*").alias("c")).join(found.select("fp", "root"), "fp").join(best, "root")
-    rows = rows.select("doc_id", "fp", "c", (F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("fp") == F.col("k.fp"))).alias("keep"))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp)], names=[*part.schema.names, f"c{len(names)}"])
+
+    with_fp, _ = stored(map_rows(docs, run, T.StructField(own_fp, T.LongType())), "with-fp")
+    fps = with_fp.select(named(id_col).cast("long").alias("doc_id"), F.col(own_fp).alias("fp"))
+    found = groups(fps)
+    each = fps.groupBy("doc_id", "fp").agg(F.count("*").alias("c"))
+    rows = looked_up(each, found, "fp", "n", fps.count()).select("doc_id", "fp", "c", ((F.col("fp") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("first"))).alias("keep"))
     out, _ = stored(rows.where("not keep or c > 1"), "dropped")
     sizes = out.agg(F.count_if(~F.col("keep")).alias("drop"), F.count_if("keep").alias("repeated")).first()
-    gone = out.where("not keep").select(F.col("doc_id").alias("_gone"), F.col("fp").alias("_gone_fp"))
-    gone = F.broadcast(gone) if sizes["drop"] <= BROADCAST_ROWS else gone
-    kept = with_fp.join(gone, (with_fp["_fp"] == gone["_gone_fp"]) & with_fp[id_col].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    gone = out.where("not keep").select(F.col("doc_id").alias(gone_id), F.col("fp").alias(gone_fp))
+    gone = F.broadcast(gone) if sizes["drop"] <= BROADCAST_ROWS else gone  # beyond it dealt by id and fingerprint, so that copies part
+    kept = with_fp.join(gone, (F.col(own_fp) == F.col(gone_fp)) & named(id_col).cast("long").eqNullSafe(F.col(gone_id)), "left_anti")
     if sizes["repeated"]:
-        kept = kept.dropDuplicates([id_col, "_fp"])
-    return kept.select(*[F.col(f"`{c}`") for c in names])
+        kept = kept.dropDuplicates([id_col, own_fp])
+    return kept.select(*map(named, names))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

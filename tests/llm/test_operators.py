@@ -18,7 +18,7 @@ LONG = "word other thing " * 7000
 ODD = [(1, None, "a"), (1, None, "a"), (None, "some text", "a"), (None, None, None), (2, "", "b"), (3, " \n\t ", "b"), (4, LONG, "b"), (5, "one two three four", "c"), (5, "one two three four", "c"), (6, "é ß 漢字 \U0001f600", None)]
 SCHEMA = "doc_id long, text string, source string"
 #: Columns whose names the operators use themselves.
-CLASHING = ["shard", "slot", "size", "fp", "h", "at", "score", "cell", "rank", "words", "t1", "kind", "g", "tokens"]
+CLASHING = ["_block", "_source", "_tokens", "_cut", "_full", "_at", "_row", "_fp", "_gone", "a.b", "shard", "slot", "size", "fp", "h", "at", "score", "cell", "rank", "words", "t1", "kind", "g", "tokens"]
 
 
 def odd(spark):
@@ -53,7 +53,7 @@ def test_sharding(spark, small_dir):
     home = defaultdict(set)
     for r in rows:
         home[texts[r.doc_id]].add(r.shard)
-    assert all(len(s) == 1 for s in home.values())  # no group here is above a quarter of a shard
+    assert all(len(s) == 1 for s in home.values())  # no group here is larger than a shard
 
 
 def test_sharding_odd(spark):
@@ -69,6 +69,17 @@ def test_hot_group_is_dealt_out(spark):
     assert max(got.values()) - min(got.values()) <= 12
 
 
+def test_group_that_fits_a_shard_stays_whole(spark):
+    """Of 3000 rows a tenth has one text, a shard has an eighth."""
+    df = spark.createDataFrame([(i, "one text of a tenth of the rows" if i % 10 == 0 else f"text number {i} of the others.") for i in range(3000)], "doc_id long, text string")
+    got = sharding.assign(df).collect()
+    assert len({r.shard for r in got if r.doc_id % 10 == 0}) == 1
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.size
+    assert max(size.values()) < 1.01 * min(size.values())
+
+
 def test_place_takes_the_largest_dot_product():
     units = np.array([[4.0, 1, 1], [1, 4, 1], [2, 2, 2], [1, 1, 4]])
     share, residual = units / units.sum(0), np.full((2, 3), 0.5)
@@ -386,6 +397,24 @@ def test_edges_connect_what_brute_force_connects(spark, most):
     assert len({root.get(v, v) for v in signed}) == len(groups)
 
 
+def test_hot_keys_are_looked_up_by_broadcast(spark):
+    """A key with most rows, many seldom ones, and one that nothing has."""
+    from pyspark.sql import functions as F
+
+    from scenegrain.llm._common import looked_up
+
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("k"), "id")
+    found = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("hot"))
+    got = Counter(tuple(r) for r in looked_up(rows, found, "k", "n", 3000).select("k", "id", "hot").collect())
+    assert got == Counter((7, i, 0) if i < 2000 else (i, i, i) for i in range(3000))
+
+
+def test_deduplicated_keeps_columns_of_any_name(spark):
+    kept = simhash.deduplicated(clashing(odd(spark))).collect()
+    assert len(kept) == len({brute_fp(t or "") for _, t, _ in ODD}) and len(kept[0]) == 3 + len(CLASHING)
+    assert simhash.deduplicated(clashing(odd(spark)).limit(0)).count() == 0
+
+
 def test_simhash_odd(spark):
     rows = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(clashing(odd(spark))).collect()}
     assert {r for r in rows if r[1] == "0" * 16} == {(1, "0" * 16, 1), (None, "0" * 16, 1), (2, "0" * 16, 1), (3, "0" * 16, 1)}
@@ -413,12 +442,49 @@ def test_substrings(spark, small_dir):
     assert [got[i] for i, _ in docs] == brute_removed([t for _, t in docs])
 
 
+WORDS_ODD = ["", "a b  a", "x" * 5000 + " a b", " lead trail ", "one\ttwo\x0bthree\x1cfour \u00a0five", "a b a", "é 漢字 é", "q " * 300_000, "ab ba"]
+
+
+@pytest.mark.parametrize("skip", [0, 2])
+def test_word_hashes(skip):
+    """Equal words have equal hashes, others don't, wherever they stand; rows are those that split() gives."""
+    import pyarrow as pa
+
+    batch, known = pa.RecordBatch.from_arrays([pa.array(WORDS_ODD)], names=["t"]).slice(skip), {}
+    for part, h, row in substrings.parts_of(batch, 0):
+        words = [(i, w) for i, t in enumerate(part.column(0).to_pylist()) for w in t.encode().split()]
+        assert row.tolist() == [i for i, _ in words] and len(h) == len(words)
+        for (_, w), x in zip(words, h.tolist(), strict=True):
+            assert known.setdefault(w, x) == x
+    assert len(set(known.values())) == len(known)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=90), max_size=6))
+def test_anchors(texts):
+    """Each window of a block's length has an anchor, the same place in equal windows; each block has one of the index."""
+    h = substrings.mixed(np.array([w + 1 for t in texts for w in t], np.uint64))
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    first = np.searchsorted(row, np.arange(len(texts) + 1))
+    at, core, block = substrings.anchors_of(h, row, first)
+    size, reach = substrings.BLOCK, substrings.BLOCK - substrings.CORE
+    found = dict(zip(at.tolist(), core.tolist(), strict=True))
+    index = {i for i, b in zip(at.tolist(), block.tolist(), strict=True) if b}
+    seen = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - size + 1 if len(t) >= substrings.LEAST else 0):
+            mine = [(k, found[first[i] + j + k]) for k in range(reach + 1) if first[i] + j + k in found]
+            least = [(k, c) for k, c in mine if c == min(c for _, c in mine)]
+            assert mine and seen.setdefault(tuple(t[j : j + size]), least) == least
+            assert j % size or {first[i] + j + k for k, _ in least} <= index
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_substrings_odd(spark, small, monkeypatch):
-    """Overlapping passages, repeats within a text, copies, repeated rows, null ids; by broadcast and by key, with a filter and without."""
+    """Overlapping passages, repeats within a text, copies, repeated rows, null ids; by broadcast and by key, and with small chunks."""
     if not small:
         monkeypatch.setattr(substrings, "BROADCAST_NUMBERS", 0)
-        monkeypatch.setattr(substrings, "FILTER_BYTES", 0)
+        monkeypatch.setattr(substrings, "CHUNK", 50)
     rng = np.random.default_rng(5)
     make = lambda n: " ".join(f"w{v}" for v in rng.integers(0, 10_000, n))
     p, q = make(60), make(34)
@@ -496,3 +562,56 @@ def test_long_words_and_spelled_runs_are_scored_to_their_ends():
 def test_windows_hold_every_landmark(before, after, landmark):
     kernel = toxicity.Kernel(["scum", "idiot", "réêou"])
     assert any(landmark in w and len(w) <= len(landmark) + 2 for w in kernel.windows("k" * before + landmark + "m" * after))
+
+
+def test_gam_scores_equal_a_plain_loop(spark, small_dir):
+    """op9's scores against tables read value by value: the bin is the number of edges at or below the feature."""
+    docs = documents(spark, small_dir)
+    model = quality_gam.train(docs, spark.read.parquet(f"{small_dir}/labels.parquet"))
+    got = {r.doc_id: (r.score, r.predicted) for r in quality_gam.op9_quality_gam(spark, small_dir).collect()}
+    assert model.single and len(got) == docs.count()
+    for r in docs.collect():
+        x = quality_gam.features(r.text or "")
+        b = [sum(e <= v for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+        z = model.base + sum(t[k] for t, k in zip(model.single, b, strict=True)) + sum(t[b[i]][b[j]] for i, j, t in model.pairs)
+        score = 1 / (1 + math.exp(-z))
+        assert abs(got[r.doc_id][0] - score) < 1e-9 and got[r.doc_id][1] == (got[r.doc_id][0] >= 0.3)
+
+
+def plain_kernel(a, b):
+    """Weighted common subsequences of three characters, counted by going through all triples of places, over the two norms."""
+    def weights(word):
+        s, out = f"^{word}$", Counter()
+        for places in itertools.combinations(range(len(s)), 3):
+            if places[2] - places[0] < toxicity.SPAN:
+                out["".join(s[i] for i in places)] += toxicity.DECAY ** (places[2] - places[0])
+        return out
+
+    x, y = weights(a), weights(b)
+    norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return sum(v * y[u] for u, v in x.items()) / norm if norm else 0.0
+
+
+def test_svm_scores_equal_a_plain_loop(spark, small_dir):
+    """op10's scores, of texts without long or spelled-out words, from kernels counted plainly, word by word."""
+    docs = documents(spark, small_dir)
+    sf = "/root/testdata/sf0.01"
+    model = toxicity.train(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert len(model.landmarks) > 5
+    m, known = len(model.landmarks), {}
+
+    def values(word):
+        if word not in known:
+            rows = [[plain_kernel(f, x) for x in model.landmarks] for f in toxicity.forms(word)] or [[0.0] * m]
+            known[word] = [max(v**2 if v >= 0.4 else 0.0 for v in column) for column in zip(*rows, strict=True)]
+        return known[word]
+
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    texts = [(r.doc_id, r.text) for r in docs.collect() if r.text and len(r.text) < 700 and not toxicity.SPELLED.search(r.text) and max(map(len, r.text.split()), default=0) <= 40]
+    assert len(texts) > 20
+    for doc_id, text in texts[:60]:
+        columns = [sorted(c, reverse=True) + [0.0] for c in zip(*map(values, text.split()), strict=True)]
+        n = len(text.split())
+        mean = [50 * sum(c) / n for c in columns]
+        z = sum(w * x for w, x in zip(model.weights, [*(c[0] for c in columns), *(c[1] for c in columns), *(sum(a * b for a, b in zip(mean, model.mapping[:, k], strict=True)) for k in range(m)), 1.0], strict=True))
+        assert abs(got[doc_id] - 1 / (1 + math.exp(-(model.slope * z + model.shift)))) < 1e-4

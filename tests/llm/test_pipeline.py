@@ -38,6 +38,34 @@ def test_stages_take_effect(spark, small_dir):
     assert sum(p.length for p in pieces) == total
 
 
+ODD = [(1, None, None, "a", None), (1, None, None, "a", None), (None, "Some text.", "en", "a", 10), (None, None, None, None, None), (2, "", "en", "b", 0), (3, " \n\t ", "en", "b", 4), (4, "Write to ann@example.org now. " * 400, "en", None, 7), (5, "one two three four", None, "c", 18), (5, "one two three four", None, "c", 18)]
+
+
+def test_odd_rows_of_every_stage(spark, tmp_path):
+    """Nulls in any column, repeated rows, a long text, names that the operators use themselves, and no rows at all."""
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(5, 1, 0), (5, 1, 0), (None, 1, 0), (4, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    more = docs.select("*", *[F.lit(1).alias(c) for c in ("_fp", "_at", "_source", "_block", "_row", "_gone", "a.b", "fp", "at")])
+    for now in (docs, more, docs.drop("n_chars"), more.limit(0)):
+        rows, names = now.count(), now.columns
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, str(tmp_path)).cache()
+            assert name == "windows" or now.columns == names
+            if name == "near_duplicates":
+                assert now.count() <= min(rows, 4)  # without words, some text, four words, the long one
+            elif name == "personal_data":
+                assert not now.where("text like '%@%'").count()
+        assert (now.count() > 0) == (rows > 0)
+
+
+def test_run_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def quality_gam_score(model, text):
     import numpy as np
 
