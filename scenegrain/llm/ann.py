@@ -13,16 +13,16 @@ from pyspark.sql.window import Window
 
 from ._common import named, stored, table
 
-#: Vectors that the centroids are fitted on, at most (smallest hash of the id), and vectors a list is meant to hold.
-SAMPLE, LIST_SIZE, LISTS_MOST = 20_000, 256, 4096
-#: A list beyond this is dealt out in parts by a hash of the id.
+#: Vectors a list is meant to hold, and rows that each list's centroid is fitted on; numbers that a fit takes on the driver (64 MB).
+LIST_SIZE, FIT_EACH, FIT_NUMBERS = 256, 64, 1 << 24
+#: Vectors of a list, and queries of one, that meet in one task; more are dealt out in parts by a hash of the id.
 PART_MOST = 4096
-#: A vector is put into up to COPIES lists whose centroids are at most (1 + BOUNDARY) times as far as the nearest.
-COPIES, BOUNDARY = 4, 0.12
-#: A query probes lists up to (1 + PRUNE) times as far as the nearest, and PROBES_LEAST at least, PROBES_MOST at most.
-PRUNE, PROBES_LEAST, PROBES_MOST = 0.22, 12, 512
-#: Neighbours of a centroid in the graph; a search keeps BEAM of them in view, or as many as it must return.
-DEGREE, BEAM = 24, 48
+#: A vector is put into up to COPIES of its NEAR nearest lists, whose centroids are at most (1 + BOUNDARY) times as far as the nearest.
+COPIES, BOUNDARY, NEAR = 4, 0.12, 16
+#: A query probes all lists up to (1 + PRUNE) times as far as the nearest, and PROBES_LEAST at least.
+PRUNE, PROBES_LEAST = 0.22, 12
+#: Neighbours of a centroid in the graph; a walk keeps BEAM centroids in view at first and opens OPEN of them at a time.
+DEGREE, BEAM, OPEN = 24, 48, 4
 
 
 @dataclass
@@ -43,35 +43,66 @@ class Centroids:
         ring = np.stack([(np.arange(k) + 1) % k, (np.arange(k) - 1) % k], 1)
         return cls(vectors, np.concatenate([near, ring], 1).astype(np.int64))
 
-    def search(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of x the numbers of up to `most` near centroids, nearest first, and their distances.
+    def walk(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of x the numbers of the `width` nearest centroids that a walk over the graph finds, nearest first, and their similarities.
 
-        All rows walk at once: each step opens every row's nearest centroid that isn't opened yet, and
-        keeps the best `most` seen. It ends when no row has an unopened one in view.
+        Each step opens a row's OPEN nearest centroids that aren't opened yet, looks at those of their
+        neighbours that it hasn't seen, and keeps the best `width`. A row is done when all in its view
+        are opened, so it looks at some width * DEGREE centroids, however many there are.
         """
         n, k = len(x), len(self.vectors)
-        width = min(k, max(most, BEAM))
-        rows = np.arange(n)
-        start = np.linspace(0, k - 1, min(8, k)).astype(np.int64)
-        opened = np.zeros((n, k), bool)
-        sims = np.full((n, k), -2.0, np.float32)
-        sims[:, start] = x @ self.vectors[start].T
-        for _ in range(2 * width):
-            view = np.where(opened, -3.0, sims)
-            best = view.argmax(1)
-            reach = np.partition(sims, k - width, axis=1)[:, k - width]
-            go = np.flatnonzero((view[rows, best] > -2) & (view[rows, best] >= reach))
-            if not len(go):
-                break
-            opened[go, best[go]] = True
-            ring = self.near[best[go]]
-            new = np.einsum("nd,nmd->nm", x[go], self.vectors[ring])
-            sims[go[:, None], ring] = new
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :most]
-        value = np.take_along_axis(sims, order, 1)
-        distance = np.sqrt(np.maximum(2 - 2 * value, 0))
-        distance[value <= -2] = np.inf
-        return order, distance
+        start = np.linspace(0, k - 1, min(width, k, 16)).astype(np.int64)
+        view = np.zeros((n, width), np.int64)
+        sims = np.full((n, width), -3.0, np.float32)
+        opened = np.ones((n, width), bool)
+        view[:, : len(start)], sims[:, : len(start)], opened[:, : len(start)] = start, x @ self.vectors[start].T, False
+        seen = np.zeros((n, k), bool)
+        seen[:, start] = True
+        claim = np.zeros((n, k), np.int32)
+        go, step = np.arange(n), max(OPEN, width // 16)
+        while len(go):
+            best = np.argsort(np.where(opened[go], -4.0, sims[go]), axis=1)[:, : -step - 1 : -1]
+            fresh = ~np.take_along_axis(opened[go], best, 1)
+            ring = np.where(fresh[:, :, None], self.near[np.take_along_axis(view[go], best, 1)], -1).reshape(len(go), -1)
+            opened[go[:, None], best] = True
+            order = np.broadcast_to(np.arange(ring.shape[1], dtype=np.int32), ring.shape)
+            row = np.broadcast_to(go[:, None], ring.shape)
+            new = (ring >= 0) & ~seen[row, ring]
+            claim[row[new], ring[new]] = order[new]  # of a centroid that two opened ones lead to, one
+            new &= claim[row, ring] == order
+            seen[row[new], ring[new]] = True
+            value = np.full(ring.shape, -3.0, np.float32)
+            at = np.nonzero(new)
+            value[at] = np.einsum("nd,nd->n", x[row[at]], self.vectors[ring[at]])
+            every = np.concatenate([sims[go], value], 1)
+            keep = np.argpartition(-every, width - 1, axis=1)[:, :width]
+            sims[go] = np.take_along_axis(every, keep, 1)
+            view[go] = np.take_along_axis(np.concatenate([view[go], ring], 1), keep, 1)
+            opened[go] = np.take_along_axis(np.concatenate([opened[go], ~new], 1), keep, 1)
+            go = go[~opened[go].all(1)]
+        order = np.argsort(-sims, axis=1, kind="stable")
+        return np.take_along_axis(view, order, 1), np.take_along_axis(sims, order, 1)
+
+    def search(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of centroids, nearest first, and their distances (inf: none): all that a walk finds within `ratio` times the nearest one's.
+
+        The view is doubled for the rows whose farthest centroid in view is still within the ratio.
+        """
+        n, k = len(x), len(self.vectors)
+        width = min(k, BEAM)
+        order, distance = np.zeros((n, 0), np.int64), np.zeros((n, 0), np.float32)
+        left = np.arange(n)
+        while True:
+            view, sims = self.walk(x[left], width)
+            far = np.where(sims > -2, np.sqrt(np.maximum(2 - 2 * sims, 0)), np.inf)
+            wider = width - order.shape[1]
+            order = np.concatenate([order, np.zeros((n, wider), np.int64)], 1)
+            distance = np.concatenate([distance, np.full((n, wider), np.inf, np.float32)], 1)
+            order[left], distance[left] = view, far
+            left = left[far[:, -1] <= far[:, 0] * ratio] if width < k else left[:0]
+            if not len(left):
+                return order, distance
+            width = min(k, 2 * width)
 
 
 def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -93,26 +124,34 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def lists_of(x: np.ndarray, centroids: Centroids) -> tuple[np.ndarray, np.ndarray]:
-    """Row and list pairs: the nearest list of each vector and, near a boundary, more that lie in other directions."""
-    order, distance = centroids.search(x, min(16, len(centroids.vectors)))
+    """Row and list pairs: the nearest list of each vector and, near a boundary, more of the NEAR nearest that lie in other directions.
+
+    Lists are filled by a product with all centroids: for a block of vectors, and some thousands of
+    centroids, that takes a small part of the time of walks, which queries take.
+    """
+    sims = x @ centroids.vectors.T
+    near = min(NEAR, sims.shape[1])
+    order = np.argpartition(-sims, near - 1, axis=1)[:, :near]
+    order = np.take_along_axis(order, np.argsort(-np.take_along_axis(sims, order, 1), axis=1, kind="stable"), 1)
+    distance = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(sims, order, 1), 0))
+    own = centroids.vectors[order]
+    gaps = np.sqrt(np.maximum(2 - 2 * own @ own.transpose(0, 2, 1), 0))
+    # a centroid nearer to one already taken than to the vector adds little
+    beside = gaps <= distance[:, :, None] * 0.8
     taken = np.zeros(order.shape, bool)
     taken[:, 0] = True
-    within = distance <= distance[:, :1] * (1 + BOUNDARY)
-    for m in range(1, order.shape[1]):
-        apart = np.ones(len(x), bool)
-        for p in range(m):  # a centroid nearer to one already taken than to the vector adds little
-            gap = np.sqrt(np.maximum(2 - 2 * np.einsum("nd,nd->n", centroids.vectors[order[:, m]], centroids.vectors[order[:, p]]), 0))
-            apart &= ~taken[:, p] | (gap > distance[:, m] * 0.8)
-        taken[:, m] = within[:, m] & apart & (taken[:, :m].sum(1) < COPIES)
+    for m in range(1, near):
+        apart = ~(beside[:, m, :m] & taken[:, :m]).any(1) & (taken[:, :m].sum(1) < COPIES)
+        taken[:, m] = apart & (distance[:, m] <= distance[:, 0] * (1 + BOUNDARY))
     row, m = np.nonzero(taken)
     return row, order[row, m]
 
 
-def probes_of(x: np.ndarray, centroids: Centroids) -> tuple[np.ndarray, np.ndarray]:
-    """Row and list pairs that each query reads: all within the distance ratio."""
-    order, distance = centroids.search(x, min(PROBES_MOST, len(centroids.vectors)))
-    keep = distance <= distance[:, :1] * (1 + PRUNE)
-    keep[:, : min(PROBES_LEAST, keep.shape[1])] = True
+def probes_of(x: np.ndarray, centroids: Centroids, ratio: float = 1 + PRUNE) -> tuple[np.ndarray, np.ndarray]:
+    """Row and list pairs that each query reads: all within the distance ratio, and the PROBES_LEAST nearest."""
+    order, distance = centroids.search(x, ratio)
+    keep = distance <= distance[:, :1] * ratio
+    keep[:, :PROBES_LEAST] = True
     row, m = np.nonzero(keep & np.isfinite(distance))
     return row, order[row, m]
 
@@ -154,14 +193,18 @@ def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", list_size: int = LIST_SIZE, fit_numbers: int = FIT_NUMBERS, ratio: float = 1 + PRUNE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found of each row of queries, never itself.
 
-    Fit: centroids on SAMPLE vectors at most, N / LIST_SIZE lists, LISTS_MOST at most. Index: every
-    vector, in one list or more; a list above PART_MOST is dealt out in parts, so no task holds more
-    however many vectors are alike. Search: the lists within a distance ratio of the nearest, found
-    through the centroids' graph; each part gives its k best for a query, and these are merged. Scores
-    are cosines of the original vectors in double precision.
+    Fit: a list for each list_size vectors, its centroid fitted on FIT_EACH vectors or more of a sample
+    (smallest hashes of ids) of at most fit_numbers numbers; so many that a vector of the sample isn't
+    much nearer to its centroid than others are. Where fit_numbers is too small for that, lists are
+    fewer and longer. Index: every vector, in one list or more. Search: all lists within the distance
+    ratio of the nearest, found by a walk over the centroids' graph; a query that these give fewer than
+    k others reads every list, and an infinite ratio makes all do so, which is exact. Vectors and
+    queries of a list meet in parts of PART_MOST each, so no task holds more however many are alike;
+    each part gives its k best for a query, and these are merged. Scores are cosines of the original
+    vectors in double precision.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers take no part, nor do null
     ids or vectors of another length than most. A repeated id counts once, with its best score. Ties
@@ -176,54 +219,66 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str =
     dim, total = sizes[0]["d"], sizes[0]["count"]
     rows = rows.where(F.size("v") == dim)
     asked = valid(queries, id_col, vector_col).where(F.size("v") == dim)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    lists = int(min(max(1, total // LIST_SIZE), LISTS_MOST))
+    fitted = max(FIT_EACH, fit_numbers // dim)
+    lists = int(max(1, min(total // list_size, fitted // FIT_EACH)))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(min(fitted, max(20_000, FIT_EACH * lists))).toArrow()
     centroids = Centroids.of(balanced_centroids(unit(matrix(sample["v"].combine_chunks(), dim)), lists))
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                row, which = lists_of(unit(matrix(part.column(1), dim)), centroids)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), part.column(0).take(at), part.column(1).take(at)], names=["list", "id", "v"])
+    def listed(of, rows_together: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, rows_together):
+                    part = batch.slice(lo, rows_together)
+                    row, which = of(unit(matrix(part.column(1), dim)))
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), part.column(0).take(at), part.column(1).take(at)], names=["list", "id", "v"])
+
+        return run
 
     schema = "list int, id long, v array<double>"
-    postings, _ = stored(rows.mapInArrow(index, schema), "postings")
-    counts = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS_MOST at most
-    parts = np.ones(lists, np.int64)
-    for which, n in counts.items():
-        parts[which] = -(-n // PART_MOST)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                row, which = probes_of(unit(matrix(part.column(1), dim)), centroids)
-                times = parts[which]
-                sub = np.concatenate([np.arange(t) for t in times]) if len(times) else np.empty(0, np.int64)
-                at = pa.array(np.repeat(row, times))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(which, times).astype(np.int32)), part.column(0).take(at), part.column(1).take(at), pa.array(sub.astype(np.int32))], names=["list", "id", "v", "part"])
-
-    split = spark.createDataFrame([(int(i), int(p)) for i, p in enumerate(parts)], "list int, parts int")
-    left = postings.join(F.broadcast(split), "list").select("list", "id", "v", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    right = asked.mapInArrow(probe, schema + ", part int")
+    postings, _ = stored(rows.mapInArrow(listed(lambda x: lists_of(x, centroids), 512), schema), "postings")
+    held = postings.groupBy("list").agg(F.count("*").alias("n"))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, v = a["id"].to_numpy(), matrix(a["v"].combine_chunks(), dim)
         out = ([], [], [])
-        for lo in range(0, b.num_rows, 512):
-            some = b.slice(lo, 512)
-            for into, new in zip(out, nearest(ids, v, some["id"].to_numpy(), matrix(some["v"].combine_chunks(), dim), k), strict=True):
-                into.extend(new)
+        if a.num_rows and b.num_rows:
+            ids, v = a["id"].to_numpy(), matrix(a["v"].combine_chunks(), dim)
+            for lo in range(0, b.num_rows, 512):
+                some = b.slice(lo, 512)
+                for into, new in zip(out, nearest(ids, v, some["id"].to_numpy(), matrix(some["v"].combine_chunks(), dim), k), strict=True):
+                    into.extend(new)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    found = left.groupBy("list", "part").cogroup(right.groupBy("list", "part")).applyInArrow(compare, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def best(of: DataFrame, probing) -> DataFrame:
+        """Up to k ranked rows for each of the queries, from the lists that probing says."""
+        probes, _ = stored(of.mapInArrow(listed(probing, 64), schema), "probes")
+        asking = probes.groupBy("list").agg(F.count("*").alias("m"))
+        # a row for each list, of which the fit bounds the number
+        split = held.join(asking, "list").select("list", F.ceil(F.col("n") / PART_MOST).cast("int").alias("parts"), F.ceil(F.col("m") / PART_MOST).cast("int").alias("turns")).collect()
+        split = F.broadcast(spark.createDataFrame([tuple(r) for r in split], "list int, parts int, turns int"))
+
+        def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+            """Each row in one part of its own kind, and before all parts of the other."""
+            mine, theirs = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
+            return df.join(split, "list").select("list", "id", "v", mine, theirs)
+
+        keys = ["list", "parts", "turns"]
+        found = dealt(postings, "parts", "turns").groupBy(*keys).cogroup(dealt(probes, "turns", "parts").groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return once.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def everything(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(x)), lists), np.tile(np.arange(lists), len(x))
+
+    if lists <= PROBES_LEAST or ratio == float("inf"):
+        return best(asked, everything)
+    found, _ = stored(best(asked, lambda x: probes_of(x, centroids, ratio)), "found")
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("full"))
+    short = asked.join(full, F.col("id") == F.col("full"), "left_anti")
+    if short.isEmpty():
+        return found
+    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(best(short, everything))
 
 
 def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -341,6 +341,72 @@ def test_ann_many_equal_vectors(spark):
     assert [r.vec_id for r in got] == [1, 2, 4, 5, 7] * 2
 
 
+def test_walks_find_what_a_product_finds():
+    rng = np.random.default_rng(3)
+    x, c = (ann.unit(rng.normal(size=(n, 24))) for n in (200, 900))
+    centroids = ann.Centroids.of(c)
+    sims = x @ c.T
+    view, found = centroids.walk(x, 48)
+    assert all(len(set(v)) == 48 for v in view.tolist()) and np.allclose(np.take_along_axis(sims, view, 1), found, atol=1e-5)
+    assert (np.diff(found, axis=1) <= 0).all()
+    best = np.argsort(-sims, axis=1)[:, :16]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(best.tolist(), view.tolist(), strict=True)]) > 15
+    order, distance = centroids.search(x, 1.4)  # no number of lists is the most: the view widens
+    exact = np.sqrt(np.maximum(2 - 2 * sims, 0))
+    want = (exact <= exact.min(1, keepdims=True) * 1.4).sum(1)
+    assert want.max() > 48 and (distance <= distance[:, :1] * 1.4).sum() > 0.9 * want.sum()
+
+
+@pytest.fixture(scope="module")
+def many_vectors(spark):
+    """24,000 vectors of 32 numbers without structure, of which 20,000 are fitted on; and the ids of both kinds."""
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(11).normal(size=(24_000, 32))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").cache()
+    ids = [r.vec_id for r in df.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").collect()]
+    return df, x / np.linalg.norm(x, axis=1, keepdims=True), ids[:20_000:200], ids[20_000::40]
+
+
+@pytest.mark.parametrize("sampled", [True, False])
+def test_recall_of_pruned_lists(spark, many_vectors, sampled):
+    """Recall against all vectors, for queries that the centroids were fitted on and for others, with under half of the lists read."""
+    df, x, *asked = many_vectors
+    ids = asked[0] if sampled else asked[1]
+    got = defaultdict(set)
+    for r in ann.search(df, df.where(df["vec_id"].isin(ids))).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for i in ids:
+        score = x @ x[i]
+        score[i] = -9
+        hits += len(got[i] & set(np.argpartition(-score, 5)[:5].tolist()))
+    assert set(got) == set(ids) and hits / (5 * len(ids)) >= 0.9
+
+
+def test_share_of_lists_read(many_vectors):
+    _, x, *_ = many_vectors
+    centroids = ann.Centroids.of(ann.balanced_centroids(x[:20_000].astype(np.float32), 24_000 // ann.LIST_SIZE))
+    for rows in (x[:1000], x[20_000:21_000]):
+        row, _ = ann.probes_of(rows.astype(np.float32), centroids)
+        assert len(row) < 0.5 * len(rows) * len(centroids.vectors)
+
+
+def test_queries_and_lists_in_parts_give_the_same(spark, monkeypatch):
+    """Parts of two, few vectors to a list, and a query whose lists hold too few others."""
+    rng = np.random.default_rng(2)
+    rows = [(i, (np.eye(12)[i % 12] + 0.01 * rng.normal(size=12)).tolist()) for i in range(150)] + [(150, [-1.0] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 10 = 0")
+    want = ann.search(df, asked, list_size=5, fit_numbers=64 * 12 * 30, ratio=float("inf")).orderBy("query_id", "rank").collect()
+    assert len(want) == 16 * 5
+    monkeypatch.setattr(ann, "PART_MOST", 2)
+    monkeypatch.setattr(ann, "PROBES_LEAST", 1)
+    got = ann.search(df, asked, list_size=5, fit_numbers=64 * 12 * 30, ratio=1.0001).orderBy("query_id", "rank").collect()
+    assert Counter(r.query_id for r in got) == Counter(r.query_id for r in want)
+    assert ann.search(df, asked, list_size=5, fit_numbers=64 * 12 * 30, ratio=float("inf")).orderBy("query_id", "rank").collect() == want
+
+
 # 7 SimHash
 
 
