@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,21 +115,48 @@ def fit_near(unordered: DataFrame, points: int = 100) -> DataFrame:
     return best.select(F.col("b.i").cast("int").alias("i"), F.round(F.col("b.lo") + F.col("b.i") * F.col("b.step"), 6).alias("T"), F.round("b.f1", 6).alias("f1"))
 
 
-def bootstrap(per_image: DataFrame, iters: int = 200) -> DataFrame:
-    """Percentile intervals of recall when whole images are drawn with replacement.
+def bootstrap(per_image: DataFrame, iters: int = 2000) -> DataFrame:
+    """Percentile intervals of recall when whole images are drawn with replacement: k, draws, lo, hi.
 
-    Each draw gives an image a Poisson(1) weight, from a hash of draw and image: the large-sample form
-    of drawing with replacement, which needs no list of images in one place. Images are summed into
-    draws before anything is shuffled.
+    per_image: image_id, k, hits, total. Each draw gives an image a Poisson(1) weight, from a hash of
+    draw and image: the large-sample form of drawing with replacement, which needs no list of images
+    in one place. Images become rows first; a task multiplies their weights for all draws with their
+    counts, block by block, and gives one row a predicate and draw, so nothing is exploded.
     """
-    weights = F.array(*[num(x) for x in POISSON])
-    drawn = per_image.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(iters))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("draw").cast("string"), F.col("image_id").cast("string"))), 1, 8), 16, 10).cast("long") / num(4294967296)
-    weight = F.aggregate(weights, F.lit(0), lambda acc, p: acc + (u >= p).cast("int"))
-    draws = drawn.withColumn("w", weight).groupBy("k", "draw").agg(F.sum(F.col("w") * F.col("hits")).alias("h"), F.sum(F.col("w") * F.col("total")).alias("t")).where("t > 0")
+    names = PREDICATES
+    counts = [F.coalesce(F.sum(F.when(F.col("k") == p, F.col(c))), F.lit(0)).cast("double").alias(f"{c}{i}") for c in ("hits", "total") for i, p in enumerate(names)]
+    whole = dict(per_image.dtypes)["image_id"] in ("tinyint", "smallint", "int", "bigint")
+    image = F.pmod(F.col("image_id").cast("long") if whole else F.xxhash64("image_id"), F.lit(DRAW_PRIME).cast("long"))
+    wide = per_image.groupBy("image_id").agg(*counts).select(image.alias("image"), F.array(*[f"{c}{i}" for c in ("hits", "total") for i in range(len(names))]).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = np.arange(1, iters + 1)
+        sums = np.zeros((iters, 2 * len(names)))
+        for batch in batches:
+            images, v = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * len(names))
+            for lo in range(0, len(images), 512):
+                sums += draw_weights(draw[:, None], images[None, lo : lo + 512]) @ v[lo : lo + 512]
+        at = np.repeat(np.arange(len(names)), iters)
+        hits, total = (sums[:, i * len(names) : (i + 1) * len(names)].T.ravel() for i in (0, 1))
+        keep = total > 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[at[keep]]), pa.array(np.tile(draw, len(names))[keep]), pa.array(hits[keep]), pa.array(total[keep])], names=["k", "draw", "h", "t"])
+
+    draws = wide.mapInArrow(run, "k string, draw long, h double, t double").groupBy("k", "draw").agg(F.sum("h").alias("h"), F.sum("t").alias("t"))
     return draws.groupBy("k").agg(F.count("*").alias("draws"), F.round(F.percentile(F.col("h") / F.col("t"), num(0.025)), 6).alias("lo"), F.round(F.percentile(F.col("h") / F.col("t"), num(0.975)), 6).alias("hi"))
 
 
+#: The hash of draw and image works modulo this prime, so that all products fit into 64 bits.
+DRAW_PRIME, DRAW_A, DRAW_B = 2_147_483_647, 1_103_515_245, 69_621
+
+
+def draw_weights(draw: np.ndarray, image: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights of images in draws: the steps that a hash of both, as a share of the prime, has passed."""
+    x = (image * DRAW_A + draw * DRAW_B + 12_345) % DRAW_PRIME
+    x = (x * x + image) % DRAW_PRIME
+    x = (x * x + draw) % DRAW_PRIME
+    return np.searchsorted(np.array(POISSON), x / DRAW_PRIME, side="right").astype(float)
+
+
 #: Cumulative probabilities of a Poisson variable of mean 1 being 0, at most 1, ... at most 7.
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
 

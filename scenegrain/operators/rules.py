@@ -111,15 +111,27 @@ def evaluate_pairs_once(objs: DataFrame, t: Thresholds | None = None, *, correct
     return half.select("image_id", "flags", "gap_rel", F.explode(both).alias("r")).select("image_id", "r.subj", "r.obj", "r.predicates", "flags", "gap_rel")
 
 
+def with_gold(objs: DataFrame, gold: DataFrame) -> DataFrame:
+    """Objects with gold_of: a map from each partner to what is stated of the two."""
+    pairs_gold = gold.groupBy("image_id", "subj", "obj").agg(F.sort_array(F.collect_set("predicate")).alias("p"))
+    per = pairs_gold.groupBy("image_id", F.col("subj").alias("idx")).agg(F.map_from_entries(F.collect_list(F.struct("obj", "p"))).alias("gold_of"))
+    return objs.join(per, ["image_id", "idx"], "left")
+
+
+def corrected_and_raw(objs: DataFrame, t: Thresholds | None = None, *, contact: DataFrame | None = None) -> DataFrame:
+    """Every ordered pair judged both ways in one projection: predicates and flags without the corrections, kept and kept_flags with them."""
+    t = t or Thresholds()
+    pairs = object_pairs(with_evidence(objs, contact, t))
+    return judged(judged(pairs, t, True).withColumnsRenamed({"predicates": "kept", "flags": "kept_flags"}), t, False)
+
+
 def fact(objs: DataFrame, gold: DataFrame, t: Thresholds | None = None, *, contact: DataFrame | None = None, correct: bool = True) -> DataFrame:
     """The pair table on which evaluation works: image_id, grp, subj, obj, gap_rel, dist3d, pred, flags, gold, gold_rev.
 
     Gold, too, is brought to objects (a map from partner to predicates) before pairs are made.
     """
     t = t or Thresholds()
-    pairs_gold = gold.groupBy("image_id", "subj", "obj").agg(F.sort_array(F.collect_set("predicate")).alias("p"))
-    per = pairs_gold.groupBy("image_id", F.col("subj").alias("idx")).agg(F.map_from_entries(F.collect_list(F.struct("obj", "p"))).alias("gold_of"))
-    scene = evaluate_scene(objs.join(per, ["image_id", "idx"], "left"), t, correct=correct, contact=contact)
+    scene = evaluate_scene(with_gold(objs, gold), t, correct=correct, contact=contact)
     none = F.array().cast("array<string>")
     dist = (F.col("a_cx") - F.col("b_cx"), F.col("a_cy") - F.col("b_cy"), F.col("a_depth") - F.col("b_depth"))
     return scene.select(

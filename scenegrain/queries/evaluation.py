@@ -199,20 +199,24 @@ def calibration(spark, sf):
 
 @registry.add("a17_correction_delta", with_("objects", "contact", "gold", "res", scene(correct=False, name="raw"), "fact", fact(name="rawfact", res="raw")) + "SELECT k, count(*) AS suppressed, count(*) FILTER (list_contains(gold, k)) AS lost FROM (SELECT image_id, subj, obj, gold, unnest(list_filter(pred, lambda x: NOT list_contains(p2, x))) AS k FROM (SELECT r.image_id, r.subj, r.obj, r.gold, r.pred, f.pred AS p2 FROM rawfact r JOIN fact f ON f.image_id = r.image_id AND f.subj = r.subj AND f.obj = r.obj)) GROUP BY k")
 def correction_delta(spark, sf):
-    """What the correction suppresses, and how much of that was gold; both runs are two projections of one pair table."""
+    """What the correction suppresses, and how much of that was gold; both ways are judged on one pair row."""
     objs = inputs.objects(spark, sf)
-    c, g = fixtures.contact(objs), fixtures.gold(objs)
-    keys = ["image_id", "subj", "obj"]
-    with_, without = rules.fact(objs, g, contact=c), rules.fact(objs, g, contact=c, correct=False)
-    both = without.select(*keys, "gold", "pred").join(with_.select(*keys, F.col("pred").alias("kept")), keys)
-    return both.withColumn("k", F.explode(F.array_except("pred", "kept"))).groupBy("k").agg(F.count("*").alias("suppressed"), F.count_if(F.expr("array_contains(gold, k)")).alias("lost"))
+    both = rules.corrected_and_raw(rules.with_gold(objs, fixtures.gold(objs)), contact=fixtures.contact(objs))
+    lost = both.select(F.explode(F.array_except("predicates", "kept")).alias("k"), F.col("a_gold_of")[F.col("b_idx")].alias("gold"))
+    return lost.groupBy("k").agg(F.count("*").alias("suppressed"), F.count_if(F.expr("coalesce(array_contains(gold, k), false)")).alias("lost"))
+
 
+STEPS = " + ".join(f"(u >= {d(p)})::INT" for p in V.POISSON)
 
-@registry.add("a22_bootstrap", WH + f""", per AS (SELECT image_id, k, count(*) AS total, count(*) FILTER (hit) AS hits FROM h GROUP BY 1, 2), dr AS (SELECT k, draw, hits, total, list_sum([{', '.join(f'(u >= {d(p)})::INT' for p in V.POISSON)}]) AS w FROM (SELECT k, hits, total, draw, ('0x' || substr(md5(draw || '-' || image_id), 1, 8))::BIGINT / 4294967296::DOUBLE AS u FROM per, range(1, 51) t(draw))),
- s AS (SELECT k, draw, sum(w * hits) AS h, sum(w * total) AS t FROM dr GROUP BY 1, 2 HAVING sum(w * total) > 0) SELECT k, count(*) AS draws, round(quantile_cont(h::DOUBLE / t::DOUBLE, 0.025), 6) AS lo, round(quantile_cont(h::DOUBLE / t::DOUBLE, 0.975), 6) AS hi FROM s GROUP BY k""")
+
+@registry.add("a22_bootstrap", WH + f""", per AS (SELECT image_id, k, count(*) AS total, count(*) FILTER (hit) AS hits FROM h GROUP BY 1, 2),
+ x0 AS (SELECT i AS image_id, i % {V.DRAW_PRIME} AS i, draw, ((i % {V.DRAW_PRIME}) * {V.DRAW_A} + draw * {V.DRAW_B} + 12345) % {V.DRAW_PRIME} AS x FROM (SELECT DISTINCT image_id::BIGINT AS i FROM per), range(1, 2001) t(draw)),
+ x1 AS (SELECT image_id, draw, (x * x + i) % {V.DRAW_PRIME} AS x FROM x0), x2 AS (SELECT image_id, draw, ((x * x + draw) % {V.DRAW_PRIME}) / {V.DRAW_PRIME}::DOUBLE AS u FROM x1), ws AS (SELECT image_id, draw, {STEPS} AS w FROM x2),
+ s AS (SELECT k, draw, sum(w * hits) AS h, sum(w * total) AS t FROM per JOIN ws USING (image_id) GROUP BY 1, 2 HAVING sum(w * total) > 0) SELECT k, count(*) AS draws, round(quantile_cont(h::DOUBLE / t::DOUBLE, 0.025), 6) AS lo, round(quantile_cont(h::DOUBLE / t::DOUBLE, 0.975), 6) AS hi FROM s GROUP BY k""")
 def bootstrap(spark, sf):
+    """2,000 draws of images."""
     h = V.hits(inputs.fact(spark, sf)).groupBy("image_id", "k").agg(F.count("*").alias("total"), F.count_if("hit").alias("hits"))
-    return V.bootstrap(h, 50)
+    return V.bootstrap(h)
 
 
 @registry.add("a24_report", with_(*FACT, COUNTS.format(by="grp,")) + prf_sql("grp, k"))
@@ -394,13 +398,15 @@ def discordant(spark, sf):
     return rows.groupBy("k").agg(F.count_if(F.col("a") & ~F.col("b")).alias("only_masks"), F.count_if(F.col("b") & ~F.col("a")).alias("only_boxes"), F.count_if(F.col("a") == F.col("b")).alias("ties"))
 
 
-@registry.add("j13_contradictions", with_("objects", "contact", "res", "g2 AS (SELECT image_id, subj AS s, unnest(pred) AS p, obj AS o FROM res WHERE (image_id + subj + obj) % 3 > 0)", "iv(p, q) AS (VALUES ('on', 'under'), ('under', 'on'), ('to the left of', 'to the right of'), ('to the right of', 'to the left of'), ('in front of', 'behind'), ('behind', 'in front of'))") + "SELECT g.p, count(*) AS n, count(*) FILTER (m.s IS NOT NULL) AS mirrored FROM g2 g JOIN iv ON iv.p = g.p LEFT JOIN g2 m ON m.image_id = g.image_id AND m.s = g.o AND m.o = g.s AND m.p = iv.q GROUP BY g.p")
+@registry.add("j13_contradictions", with_(*FACT, "g2 AS (SELECT image_id, subj AS s, obj AS o, unnest(gold) AS p FROM fact)", "e2 AS (SELECT image_id, subj AS s, obj AS o, unnest(pred) AS p FROM fact)", "iv(p, q) AS (VALUES ('on', 'under'), ('under', 'on'), ('to the left of', 'to the right of'), ('to the right of', 'to the left of'), ('in front of', 'behind'), ('behind', 'in front of'))") + "SELECT g.p, count(*) AS n, count(m.s) AS mirrored, count(c.s) AS contradicted FROM g2 g JOIN iv ON iv.p = g.p LEFT JOIN e2 m ON m.image_id = g.image_id AND m.s = g.o AND m.o = g.s AND m.p = iv.q LEFT JOIN e2 c ON c.image_id = g.image_id AND c.s = g.s AND c.o = g.o AND c.p = iv.q GROUP BY g.p")
 def contradictions(spark, sf):
-    """Of a thinned set of triplets, how many have their inverse stated as well."""
-    t = inputs.scene(spark, sf).where((F.col("image_id") + F.col("a_idx") + F.col("b_idx")) % 3 > 0).select("image_id", F.col("a_idx").alias("s"), F.explode("predicates").alias("p"), F.col("b_idx").alias("o")).where("p <> 'near'")
+    """Of stated triplets, how many have their inverse among the emitted ones, and how many are contradicted by one of the same direction."""
+    f = inputs.fact(spark, sf)
     turn = F.expr("CASE p WHEN 'on' THEN 'under' WHEN 'under' THEN 'on' WHEN 'to the left of' THEN 'to the right of' WHEN 'to the right of' THEN 'to the left of' WHEN 'in front of' THEN 'behind' ELSE 'in front of' END")
-    inverse = t.select("image_id", F.col("s").alias("o"), F.col("o").alias("s"), turn.alias("p"), F.lit(1).alias("m"))
-    return t.join(inverse, ["image_id", "s", "p", "o"], "left").groupBy("p").agg(F.count("*").alias("n"), F.count("m").alias("mirrored"))
+    stated = f.select("image_id", F.col("subj").alias("s"), F.col("obj").alias("o"), "pred", F.explode("gold").alias("p")).where("p <> 'near'").withColumn("c", F.exists("pred", lambda x: x == turn)).drop("pred")
+    emitted = f.select("image_id", F.col("obj").alias("s"), F.col("subj").alias("o"), F.explode("pred").alias("p")).where("p <> 'near'")
+    inverse = emitted.select("image_id", "s", "o", turn.alias("p"), F.lit(1).alias("m"))
+    return stated.join(inverse, ["image_id", "s", "o", "p"], "left").groupBy("p").agg(F.count("*").alias("n"), F.count("m").alias("mirrored"), F.count_if("c").alias("contradicted"))
 
 
 @registry.add("j20_complete_scenes", with_("objects") + "SELECT image_id FROM objects WHERE label IN ('book', 'box', 'cube') GROUP BY image_id HAVING count(DISTINCT label) = 3")

@@ -195,11 +195,11 @@ def clopper_pearson(spark, sf):
     return s.select("source", F.round("ci.lo", 6).alias("lo"), F.round("ci.hi", 6).alias("hi"))
 
 
-@registry.add("m05_mcnemar", """WITH d AS (SELECT source, count(*) FILTER (quality = 1 AND toxic = 0) % 9 AS x, count(*) FILTER (quality = 0 AND toxic = 1) % 9 AS y FROM documents JOIN labels USING (doc_id) GROUP BY source), f AS (SELECT source, x, y, sum(CASE WHEN i <= least(x, y) THEN factorial((x + y)::INT) / (factorial(i::INT) * factorial((x + y - i)::INT)) ELSE 0 END) AS s FROM d, range(0, 9) t(i) WHERE i <= x + y GROUP BY 1, 2, 3)
- SELECT source, x, y, round(CASE WHEN x + y = 0 THEN 1::DOUBLE ELSE least(1::DOUBLE, 2 * s::DOUBLE / power(2, x + y)) END, 6) AS p FROM f""")
+@registry.add("m05_mcnemar", """WITH d AS (SELECT source, count(*) FILTER (quality = 1 AND toxic = 0) AS x, count(*) FILTER (quality = 0 AND toxic = 1) AS y FROM documents JOIN labels USING (doc_id) GROUP BY source), f AS (SELECT source, x, y, unnest(range(0, least(x, y) + 1)) AS i FROM d)
+ SELECT source, x, y, round(CASE WHEN x + y = 0 THEN 1::DOUBLE ELSE least(1::DOUBLE, 2 * sum(exp(lgamma((x + y + 1)::DOUBLE) - lgamma((i + 1)::DOUBLE) - lgamma((x + y - i + 1)::DOUBLE) - (x + y) * ln(2::DOUBLE)))) END, 6) AS p FROM f GROUP BY 1, 2, 3""")
 def mcnemar(spark, sf):
     j = read(spark, sf, "documents").select("doc_id", "source").join(read(spark, sf, "labels"), "doc_id")
-    d = j.groupBy("source").agg((F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)) % 9).alias("x"), (F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)) % 9).alias("y"))
+    d = j.groupBy("source").agg(F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("x"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("y"))
     return d.select("source", "x", "y", F.round(M.mcnemar(F.col("x"), F.col("y")), 6).alias("p"))
 
 
@@ -259,9 +259,9 @@ def standardise(spark, sf):
     return M.standardised(x, ["c"], F.col("doc_id") % 3 > 0).select("doc_id", F.round("c", 6).alias("c"))
 
 
-@registry.add("m10_oversample_counts", "WITH c AS (SELECT count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic = 0) AS n FROM labels WHERE doc_id % 4 > 0 OR toxic = 0) SELECT 1 AS y, CAST(p * ceil(greatest(p, ceil(n * 0.3::DOUBLE)) / p) AS BIGINT) AS n FROM c UNION ALL SELECT 0, n FROM c")
+@registry.add("m10_oversample_counts", "WITH c AS (SELECT count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic = 0) AS n FROM labels) SELECT 1 AS y, CAST(p * ceil(greatest(p, ceil(n * 0.3::DOUBLE)) / p) AS BIGINT) AS n FROM c UNION ALL SELECT 0, n FROM c")
 def oversample(spark, sf):
-    x = read(spark, sf, "labels").where("doc_id % 4 > 0 or toxic = 0").withColumn("y", F.col("toxic"))
+    x = read(spark, sf, "labels").withColumn("y", F.col("toxic"))
     return M.oversampled(x, "y", 0.3).groupBy("y").agg(F.count("*").alias("n"))
 
 
