@@ -27,6 +27,7 @@ HELD_OUT_GROUPS = (6, 7, 8)
 class Thresholds:
     """What the seven rules compare with. The default is the profile that is shipped."""
 
+    # Names as in configuration files, and the numbers of the shipped profile.
     near_T: float = 1.372
     on_vertical_gap: float = 0.05
     on_horizontal_overlap: float = 0.20
@@ -51,7 +52,6 @@ class Thresholds:
         return cls(**plain, on_contact_min=float(p.get("on_contact_min", 0.60)), flag_near_band=float(c.get("flag_near_band", 0.15)), no_support_classes=tuple(p.get("no_support_classes", ("human",))))
 
 
-
 # Declared, never inferred: what files hold.
 ANNOTATION = "width INT, height INT, boxes_1024 ARRAY<ARRAY<INT>>, boxes_512 ARRAY<ARRAY<INT>>, attribute ARRAY<ARRAY<INT>>, labels ARRAY<INT>, relationships ARRAY<ARRAY<INT>>, predicates ARRAY<INT>"
 GEOMETRY = "idx INT, label STRING, box ARRAY<DOUBLE>, cx DOUBLE, cy DOUBLE, depth DOUBLE, pos3d ARRAY<DOUBLE>"
