@@ -62,6 +62,34 @@ def write_caches(objs: DataFrame, contact: DataFrame, path: str) -> None:
     contact.withColumn("frac", F.bround("frac", 4)).write.parquet(f"{path}/contact")
 
 
+def geometry_documents(objs: DataFrame) -> DataFrame:
+    """image_id and value: a list of an image's measured objects, as the cache of one file per image holds it."""
+    o = F.struct("idx", "label", F.array("x1", "y1", "x2", "y2").alias("box"), "cx", "cy", "depth", F.array("cx", "cy", "depth").alias("pos3d"))
+    return objs.groupBy("image_id").agg(F.sort_array(F.collect_list(o)).alias("o")).select("image_id", F.to_json("o").alias("value"))
+
+
+def contact_documents(objs: DataFrame, contact: DataFrame) -> DataFrame:
+    """image_id and value: contact keyed "i-j" with four places; an image without contact has an empty document, which says that there are masks."""
+    per = contact.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("-", "i", "j"), F.bround("frac", 4)))).alias("c"))
+    return objs.select("image_id").distinct().join(per, "image_id", "left").select("image_id", F.coalesce(F.to_json("c"), F.lit("{}")).alias("value"))
+
+
+def result_documents(detections: DataFrame, triplets: DataFrame) -> DataFrame:
+    """image_id and value: detections (box_px, label, score) and triplets of an image's result."""
+    d = detections.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("det", F.array("x1", "y1", "x2", "y2").alias("box_px"), "label", "score"))).alias("detections"))
+    t = triplets.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(F.col("subj").alias("subject"), "predicate", F.col("obj").alias("object")))).alias("triplets"))
+    doc = F.struct("detections", F.coalesce("triplets", F.array().cast("array<struct<subject:int,predicate:string,object:int>>")).alias("triplets"))
+    return d.join(t, "image_id", "left").select("image_id", F.to_json(doc).alias("value"))
+
+
+def markdown(rows: DataFrame, columns: list[str], most: int = 50) -> str:
+    """A table of a report's first `most` rows, with how many more there are; a report is of groups, not of rows."""
+    n, head = rows.count(), rows.limit(most).collect()
+    lines = ["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns)]
+    lines += ["| " + " | ".join(f"{v:.3f}" if isinstance(v, float) else str(v) for v in (r[c] for c in columns)) + " |" for r in head]
+    return "\n".join(lines + [f"(+{n - len(head)} more)"] * (n > len(head)))
+
+
 def image_ids(objs: DataFrame) -> DataFrame:
     """split, image_id, id: ids from 0 in each split, in order of image.
 

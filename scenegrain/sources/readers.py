@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenegrain.functions.geometry import Box, box_from_1024, clipped, num
-from scenegrain.types import ANNOTATION, DETECTION, FRAMES, GEOMETRY, LABEL_IDS, PAIRS_CSV, PREDICATE_IDS, REPLIES
+from scenegrain.types import ANNOTATION, DETECTION, FRAMES, LABEL_IDS, PAIRS_CSV, PREDICATE_IDS, REPLIES
 
 
 def _named(ids: dict[str, int], key: Column, prefix: str) -> Column:
@@ -15,21 +16,39 @@ def _named(ids: dict[str, int], key: Column, prefix: str) -> Column:
 
 
 def located(df: DataFrame) -> DataFrame:
-    """image_id (group/stem) from the file's path; the group is the grandparent of files under `output`."""
+    """image_id (group/stem) from the file's path; the group is the grandparent of files under `output`.
+
+    Files that Spark has written one for each image (folders.write_per_image) have both in their folders' names.
+    """
     path = F.col("_metadata.file_path")
     stem, parent, grand = (F.regexp_extract(path, p, 1) for p in (r"([^/]+)\.[^./]+$", r"([^/]+)/[^/]+$", r"([^/]+)/[^/]+/[^/]+$"))
-    return df.withColumn("image_id", F.concat_ws("/", F.when(parent == "output", grand).otherwise(parent), stem))
+    plain = F.concat_ws("/", F.when(parent == "output", grand).otherwise(parent), stem)
+    written = F.concat_ws("/", *(F.regexp_extract(path, f"{k}=([^/]+)/", 1) for k in ("group", "stem")))
+    return df.withColumn("image_id", F.when(path.rlike("/group=[^/]+/stem=[^/]+/[^/]+$"), written).otherwise(plain))
+
 
+def documents(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """image_id and value of every file below root whose name matches."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    return located(files.select("value", "_metadata")).select("image_id", "value")
 
-def annotations(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, int]:
+
+def annotations(spark: SparkSession, root: str, glob: str = "[0-9]*.json") -> tuple[DataFrame, DataFrame, int]:
     """Objects and target relations of all annotation files below root, and the number of files, empty ones included.
 
-    Files whose name starts with a digit are annotations. A file without boxes or labels gives nothing;
-    lists of unequal length are paired up to the shorter; unknown labels are label_<id>, and relations
-    of other predicates are left out.
+    Files whose name starts with a digit are annotations (glob).
     """
-    files = located(spark.read.schema(ANNOTATION).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "[0-9]*.json").json(root).select("*", "_metadata"))
-    total = files.count()
+    files = documents(spark, root, glob)
+    return *annotation_rows(files), files.count()
+
+
+def annotation_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Objects and target relations of annotation documents (image_id, value).
+
+    A document without boxes or labels gives nothing; lists of unequal length are paired up to the
+    shorter; unknown labels are label_<id>, and relations of other predicates are left out.
+    """
+    files = files.select("image_id", F.from_json("value", ANNOTATION).alias("d")).select("image_id", "d.*")
     files = files.where("size(boxes_1024) > 0 and size(labels) > 0")
     n = F.least(F.size("boxes_1024"), F.size("labels"))
     rows = files.select("image_id", "width", "height", F.posexplode(F.slice(F.arrays_zip("boxes_1024", "labels"), F.lit(1), n)).alias("idx", "z"))
@@ -39,7 +58,7 @@ def annotations(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, i
     m = F.least(F.size("relationships"), F.size("predicates"))
     pairs = files.where("size(relationships) > 0").select("image_id", F.explode(F.slice(F.arrays_zip("relationships", "predicates"), F.lit(1), F.greatest(m, F.lit(0)))).alias("z"))
     relations = pairs.where(F.col("z.predicates").isin(*PREDICATE_IDS.values())).select("image_id", F.element_at("z.relationships", 1).alias("subj"), F.element_at("z.relationships", 2).alias("obj"), F.col("z.predicates").alias("predicate_id"), _named(PREDICATE_IDS, F.col("z.predicates"), "id_").alias("predicate"))
-    return objects, relations, total
+    return objects, relations
 
 
 def vocabulary(spark: SparkSession, root: str, name: str = "labels.json") -> DataFrame:
@@ -50,26 +69,25 @@ def vocabulary(spark: SparkSession, root: str, name: str = "labels.json") -> Dat
 
 
 def geometry(spark: SparkSession, root: str) -> DataFrame:
-    """Measured objects of a cache with one file per image."""
-    g = located(spark.read.schema(GEOMETRY).option("multiLine", True).option("recursiveFileLookup", True).json(root).select("*", "_metadata"))
+    """Measured objects of a cache with one file per image: a list of objects."""
+    kind = "array<struct<idx:int,label:string,box:array<double>,cx:double,cy:double,depth:double>>"
+    g = documents(spark, root).select("image_id", F.explode(F.from_json("value", kind)).alias("o")).select("image_id", "o.*")
     return g.select("image_id", "idx", "label", *[F.element_at("box", i + 1).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], "cx", "cy", "depth")
 
 
 def contact(spark: SparkSession, root: str) -> DataFrame:
     """(image_id, i, j, frac) of sidecars keyed "i-j"; an image whose file is empty still has masks: see has_masks."""
-    c = located(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select("value", "_metadata"))
-    e = c.select("image_id", F.explode(F.from_json("value", "map<string,double>")).alias("k", "frac"))
+    e = documents(spark, root).select("image_id", F.explode(F.from_json("value", "map<string,double>")).alias("k", "frac"))
     return e.select("image_id", F.split_part("k", F.lit("-"), F.lit(1)).cast("int").alias("i"), F.split_part("k", F.lit("-"), F.lit(2)).cast("int").alias("j"), "frac")
 
 
 def has_masks(spark: SparkSession, root: str) -> DataFrame:
-    return located(spark.read.option("recursiveFileLookup", True).text(root).select("_metadata")).select("image_id").distinct()
+    return documents(spark, root).select("image_id").distinct()
 
 
 def elevated(spark: SparkSession, root: str) -> DataFrame:
     """(image_id, idx) known to rest on something that isn't annotated."""
-    e = located(spark.read.schema("elevated ARRAY<INT>").option("multiLine", True).option("recursiveFileLookup", True).json(root).select("*", "_metadata"))
-    return e.select("image_id", F.explode("elevated").alias("idx"))
+    return documents(spark, root).select("image_id", F.explode(F.from_json("value", "elevated array<int>")["elevated"]).alias("idx"))
 
 
 def pairs_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -81,22 +99,59 @@ def pairs_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def detections(spark: SparkSession, root: str, width: int, height: int) -> DataFrame:
     """Detections of one file per image, a bare list or under `detections`; score 1 where absent, clipped to the image."""
-    files = located(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select("value", "_metadata"))
     kind = f"array<struct<{DETECTION.replace(' ARRAY', ':array').replace(' STRING', ':string').replace(' DOUBLE', ':double')}>>"
     body = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", "$.detections"))
-    d = files.select("image_id", F.posexplode(F.from_json(body, kind)).alias("det", "d"))
+    d = documents(spark, root).select("image_id", F.posexplode(F.from_json(body, kind)).alias("det", "d"))
     b = clipped(Box(*(F.element_at("d.box_px", i) for i in range(1, 5))), num(width), num(height))
     return d.select("image_id", "det", "d.label", F.coalesce("d.score", num(1)).alias("score"), b.x1.alias("x1"), b.y1.alias("y1"), b.x2.alias("x2"), b.y2.alias("y2"))
 
 
+def result_triplets(spark: SparkSession, root: str) -> DataFrame:
+    """(image_id, subj, predicate, obj) of result documents, whose triplets are lists or objects."""
+    t = documents(spark, root).select("image_id", F.explode(F.from_json(F.get_json_object("value", "$.triplets"), "array<string>")).alias("t"))
+    s, p, o = (F.coalesce(F.get_json_object("t", f"$[{i}]"), F.get_json_object("t", f"$.{k}")) for i, k in enumerate(("subject", "predicate", "object")))
+    return t.select("image_id", s.cast("int").alias("subj"), p.alias("predicate"), o.cast("int").alias("obj"))
+
+
 def frames(spark: SparkSession, path: str) -> DataFrame:
     """Frame records, one JSON line each; blank lines are skipped."""
     return spark.read.schema(FRAMES).json(path).where("frame is not null")
 
 
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of a file of JSON lines; blank lines are skipped, and no file is no records."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    return lines.where(F.trim("value") != "").select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def replies(spark: SparkSession, path: str) -> DataFrame:
-    """Stored replies; the last one of an image counts."""
-    return spark.read.schema(REPLIES).json(path).where("image_id is not null")
+    """Stored replies, one a line."""
+    return json_lines(spark, path, REPLIES).where("image_id is not null")
+
+
+def asked(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Relations (image_id, subj, predicate, obj) of replies, and the images that were asked: one without relations was asked, too."""
+    r = answers.select("image_id", F.explode("relations").alias("r"))
+    return r.select("image_id", F.col("r")[0].cast("int").alias("subj"), F.col("r")[1].alias("predicate"), F.col("r")[2].cast("int").alias("obj")).distinct(), answers.select("image_id").distinct()
+
+
+def runs(spark: SparkSession, root: str) -> DataFrame:
+    """arm, seed and recall of run folders: .../arm=<arm>/seed=<seed>/..., or <arm>_seed<seed> in a folder's name; the recall is the mean of a document's list."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select("value", F.col("_metadata.file_path").alias("path"))
+    arm = F.coalesce(*(F.nullif(F.regexp_extract("path", p, 1), F.lit("")) for p in ("/arm=([^/]+)/", "/([^/]+)_seed[0-9]+/")))
+    seed = F.regexp_extract("path", "seed[=]?([0-9]+)/", 1).cast("int")
+    values = F.from_json("value", "recall array<double>")["recall"]
+    return files.select(arm.alias("arm"), seed.alias("seed"), (F.aggregate(values, num(0), lambda a, x: a + x) / F.size(values)).alias("recall"))
+
+
+def verdict_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Rows of a verdict table with header whose verdict is y or n; others are left out."""
+    return spark.read.schema(columns).option("header", True).csv(path).where(F.lower(F.trim("verdict")).isin("y", "n")).withColumn("verdict", F.lower(F.trim("verdict")))
 
 
 def images(spark: SparkSession, root: str) -> DataFrame:

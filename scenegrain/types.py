@@ -54,7 +54,6 @@ class Thresholds:
 
 # Declared, never inferred: what files hold.
 ANNOTATION = "width INT, height INT, boxes_1024 ARRAY<ARRAY<INT>>, boxes_512 ARRAY<ARRAY<INT>>, attribute ARRAY<ARRAY<INT>>, labels ARRAY<INT>, relationships ARRAY<ARRAY<INT>>, predicates ARRAY<INT>"
-GEOMETRY = "idx INT, label STRING, box ARRAY<DOUBLE>, cx DOUBLE, cy DOUBLE, depth DOUBLE, pos3d ARRAY<DOUBLE>"
 PAIRS_CSV = "image_id STRING, subj INT, obj INT, near_metric DOUBLE, dist3d DOUBLE, gold_near INT, gold_any INT, gold_contact INT, pred STRING, gold STRING"
 FRAMES = "frame INT, time DOUBLE, tracks MAP<STRING,INT>, detections ARRAY<STRUCT<label STRING, score DOUBLE, box_px ARRAY<DOUBLE>>>, triplets_raw ARRAY<ARRAY<STRING>>, triplets_smoothed ARRAY<ARRAY<STRING>>, triplets_named ARRAY<STRING>"
 DETECTION = "box_px ARRAY<DOUBLE>, label STRING, score DOUBLE"
