@@ -140,17 +140,35 @@ def detections(spark, sf):
     return inputs.objects(spark, sf).where((F.col("image_id") + F.col("idx")) % 7 > 0).select("image_id", "idx", "label", (F.col("x1") + shift).alias("x1"), "y1", (F.col("x2") + shift).alias("x2"), "y2")
 
 
+def greedy_sql(candidates: str, keys: tuple[str, ...] = ("image_id",), name: str = "m") -> str:
+    """CTEs from candidates (keys, i, j, v) to `name`: the greedy matches, one candidate a step."""
+    k, on = ", ".join(keys), " AND ".join(f"c.{x} = st.{x}" for x in keys)
+    free = "NOT list_contains(ui, c.i) AND NOT list_contains(uj, c.j)"
+    return f"""cand AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY v DESC, i DESC, j DESC) AS rn FROM ({candidates})),
+st AS (SELECT {k}, rn, i, j, v, [i] AS ui, [j] AS uj, TRUE AS take FROM cand WHERE rn = 1 UNION ALL SELECT {", ".join(f"c.{x}" for x in keys)}, c.rn, c.i, c.j, c.v, CASE WHEN {free} THEN list_append(ui, c.i) ELSE ui END, CASE WHEN {free} THEN list_append(uj, c.j) ELSE uj END, {free} FROM st JOIN cand c ON {on} AND c.rn = st.rn + 1),
+{name} AS (SELECT {k}, i, j, v FROM st WHERE take)"""
+
+
+BOTH = "(greatest(0::DOUBLE, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0::DOUBLE, least(a.y2, b.y2) - greatest(a.y1, b.y1)))"
+IOU = f"(CASE WHEN (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {BOTH} > 0 THEN {BOTH} / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {BOTH}) ELSE 0::DOUBLE END)"
+MATCHED = greedy_sql(f"SELECT a.image_id, a.idx AS i, b.idx AS j, {IOU} AS v FROM objects a JOIN dt b ON b.image_id = a.image_id AND b.label = a.label WHERE {IOU} >= 0.5")
+
+
+def recursive(*parts: str) -> str:
+    return with_(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def matches(spark, sf):
     return S.match_by_iou(inputs.objects(spark, sf), detections(spark, sf), ["image_id"])
 
 
-@registry.add("j06_greedy_match")
+@registry.add("j06_greedy_match", recursive("objects", DET, MATCHED) + "SELECT image_id, i, j, round(v, 6) AS v FROM m")
 def greedy_match(spark, sf):
-    """Objects matched to detections, best overlap first; sequential, so checked by tests rather than by SQL."""
+    """Objects matched to detections, best overlap first."""
     return matches(spark, sf).select("image_id", "i", "j", F.round("v", 6).alias("v"))
 
 
-@registry.add("a18_detection_counts")
+@registry.add("a18_detection_counts", recursive("objects", DET, MATCHED, "g AS (SELECT label, count(*) AS gold FROM objects GROUP BY 1)", "f AS (SELECT label, count(*) AS found FROM dt GROUP BY 1)", "t AS (SELECT o.label, count(*) AS tp FROM m JOIN objects o ON o.image_id = m.image_id AND o.idx = m.i GROUP BY 1)") + "SELECT g.label, tp, found - tp AS fp, gold - tp AS fn, round(tp / found::DOUBLE, 6) AS precision, round(tp / gold::DOUBLE, 6) AS recall FROM g JOIN f USING (label) JOIN t USING (label)")
 def detection_counts(spark, sf):
     """Matched, missed and invented objects per class, with precision and recall."""
     o, dets = inputs.objects(spark, sf), detections(spark, sf)
@@ -160,7 +178,7 @@ def detection_counts(spark, sf):
     return n.select("label", "tp", (F.col("found") - F.col("tp")).alias("fp"), (F.col("gold") - F.col("tp")).alias("fn"), F.round(F.col("tp") / F.col("found"), 6).alias("precision"), F.round(F.col("tp") / F.col("gold"), 6).alias("recall"))
 
 
-@registry.add("a19_conditional_recall")
+@registry.add("a19_conditional_recall", recursive("objects", "contact", "gold", "res", DET, MATCHED, "h AS (SELECT g.predicate, coalesce(list_contains(r.pred, g.predicate), FALSE) AS said, ms.i IS NOT NULL AND mo.i IS NOT NULL AS ends FROM gold g LEFT JOIN m ms ON ms.image_id = g.image_id AND ms.i = g.subj LEFT JOIN m mo ON mo.image_id = g.image_id AND mo.i = g.obj LEFT JOIN res r ON r.image_id = g.image_id AND r.subj = g.subj AND r.obj = g.obj)") + "SELECT predicate, count(*) AS gold, round(avg((said AND ends)::INT), 6) AS recall, round(avg(said::INT) FILTER (ends), 6) AS conditional FROM h GROUP BY predicate")
 def conditional_recall(spark, sf):
     """Gold triplets recovered through matched detections, over all and over those with both ends found."""
     g, m = inputs.gold(spark, sf), matches(spark, sf).select("image_id", "i")
@@ -170,7 +188,10 @@ def conditional_recall(spark, sf):
     return r.groupBy("predicate").agg(F.count("*").alias("gold"), F.round(F.avg(F.coalesce(F.col("said"), F.lit(0)) * F.col("both")), 6).alias("recall"), F.round(F.avg(F.when(F.col("both") == 1, F.coalesce(F.col("said"), F.lit(0)))), 6).alias("conditional"))
 
 
-@registry.add("a20_propagation")
+CARRIED = greedy_sql(f"SELECT a.image_id AS anchor, b.image_id, a.idx AS i, b.idx AS j, {IOU} AS v FROM objects a JOIN objects b ON a.image_id = b.image_id - b.image_id % 32 AND b.image_id <> a.image_id AND b.label = a.label WHERE {IOU} >= 0.3", ("anchor", "image_id"))
+
+
+@registry.add("a20_propagation", recursive("objects", "contact", "res", CARRIED, "x AS (SELECT ms.anchor, k.pred AS kept, r.pred FROM res k JOIN m ms ON ms.anchor = k.image_id AND ms.i = k.subj JOIN m mo ON mo.anchor = k.image_id AND mo.image_id = ms.image_id AND mo.i = k.obj JOIN res r ON r.image_id = ms.image_id AND r.subj = ms.j AND r.obj = mo.j)") + "SELECT anchor, count(*) AS pairs, round(avg(CASE WHEN len(kept) + len(pred) = 0 THEN 1::DOUBLE ELSE len(list_intersect(kept, pred)) / len(list_distinct(list_concat(kept, pred)))::DOUBLE END), 6) AS stability FROM x GROUP BY anchor")
 def propagation(spark, sf):
     """Predicates of a keyframe carried to the next image of its group through matched objects."""
     o = inputs.objects(spark, sf).withColumn("anchor", F.expr("image_id - image_id % 32"))
@@ -214,8 +235,12 @@ def tumbling(spark, sf):
     return e.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-@registry.add("w07_spaced_sample")
+SPACED = """cl AS MATERIALIZED (SELECT grp, la, lb, p, image_id, subj, obj, row_number() OVER (PARTITION BY grp, la, lb, p ORDER BY md5(concat_ws('|', 'audit', grp, la, lb, p, image_id, subj, obj))) AS rn FROM (SELECT grp, la, lb, unnest(pred) AS p, image_id, subj, obj FROM res) WHERE p IN ('on', 'under')),
+st AS (SELECT *, [image_id] AS taken, TRUE AS take FROM cl WHERE rn = 1 UNION ALL SELECT c.*, CASE WHEN f THEN list_append(taken, c.image_id) ELSE taken END, f FROM (SELECT c, s.taken, len(list_filter(s.taken, lambda t: abs(t - c.image_id) < 30)) = 0 AS f FROM st s JOIN cl c ON c.grp = s.grp AND c.la = s.la AND c.lb = s.lb AND c.p = s.p AND c.rn = s.rn + 1))"""
+
+
+@registry.add("w07_spaced_sample", recursive("objects", "contact", "res", SPACED) + "SELECT grp, la, lb, p, image_id, subj, obj FROM st WHERE take")
 def spaced_sample(spark, sf):
-    """Claims per group, classes and predicate, with images 30 or more apart; sequential, so checked by tests rather than by SQL."""
+    """Claims per group, classes and predicate, with images 30 or more apart."""
     s = inputs.scene(spark, sf).select(F.col("a_grp").alias("grp"), F.col("a_label").alias("la"), F.col("b_label").alias("lb"), F.explode("predicates").alias("p"), "image_id", F.col("a_idx").alias("subj"), F.col("b_idx").alias("obj"))
     return S.spaced_sample(s.where(F.col("p").isin("on", "under")), ["grp", "la", "lb", "p"], "image_id", 30)
