@@ -302,6 +302,33 @@ def test_llr_tells_words_of_one_shape_apart(spark):
     assert all(r.kept == (r.doc_id < 200) for r in rows)
 
 
+@pytest.mark.parametrize("most_sent", [1_000_000, 5])
+def test_llr_equals_a_plain_count(spark, small_dir, most_sent):
+    """llr and kept of every document, from n-grams counted one by one; ids broadcast, or joined."""
+    import struct
+
+    docs, labels = documents(spark, small_dir), spark.read.parquet(f"{small_dir}/labels.parquet")
+    trusted = labels.where("quality = 1 and toxic = 0")
+    ids = {r.doc_id for r in trusted.collect()}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def buckets(text):
+        h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        pair = lambda a, b: signed(xxhash.xxh64_intdigest(struct.pack("<q", b), xxhash.xxh64_intdigest(struct.pack("<q", a), 42)))
+        return [x % llr_quality.BUCKETS for x in [*h, *(pair(a, b) for a, b in zip(h, h[1:], strict=False))]]
+
+    grams = {r.doc_id: buckets(r.text) for r in docs.collect()}
+    every = Counter(b for g in grams.values() for b in g)
+    target = Counter(b for i, g in grams.items() if i in ids for b in g)
+    share = target.total() / every.total()
+    ratio = {b: round(10_000 * math.log((target[b] + 8) / (share * n + 8))) for b, n in every.items()}
+    model = llr_quality.model(docs, trusted, id_col="doc_id", text_col="text", most_sent=most_sent)
+    assert [abs(model[b] - r) <= 1 for b, r in ratio.items()].count(False) == 0
+    for r in llr_quality.op5_llr_quality(spark, small_dir).collect():
+        want = sum(ratio[b] for b in grams[r.doc_id]) / max(1, len(grams[r.doc_id])) / 10_000
+        assert abs(r.llr - want) < 2e-4 and r.kept == (not r.base_failed and r.llr >= -0.06)
+
+
 # 6 nearest neighbours
 
 
