@@ -125,6 +125,14 @@ def corrected_and_raw(objs: DataFrame, t: Thresholds | None = None, *, contact:
     return judged(judged(pairs, t, True).withColumnsRenamed({"predicates": "kept", "flags": "kept_flags"}), t, False)
 
 
+def with_and_without_masks(objs: DataFrame, contact: DataFrame, t: Thresholds | None = None) -> DataFrame:
+    """Every ordered pair judged by masks (masked) and by boxes alone (boxed) in one projection."""
+    t = t or Thresholds()
+    by_masks = judged(object_pairs(with_evidence(objs, contact, t)), t).select("*", F.col("predicates").alias("masked"))
+    no_masks = {c: F.lit(None).cast("map<int,double>") for c in ("a_touches", "b_touches")}
+    return judged(by_masks.withColumns(no_masks), t).withColumnRenamed("predicates", "boxed")
+
+
 def fact(objs: DataFrame, gold: DataFrame, t: Thresholds | None = None, *, contact: DataFrame | None = None, correct: bool = True) -> DataFrame:
     """The pair table on which evaluation works: image_id, grp, subj, obj, gap_rel, dist3d, pred, flags, gold, gold_rev.
 

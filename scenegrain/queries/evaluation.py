@@ -146,9 +146,8 @@ def _sweep_sql() -> str:
 def sweep(spark, sf):
     """All points of a threshold sweep in one pass over the pairs: the rule is written once per point, in one projection."""
     objs = inputs.objects(spark, sf)
-    f = rules.fact(objs, fixtures.gold(objs), Thresholds(depth_eps=0.0))
-    depth = objs.select("image_id", F.col("idx"), "depth")
-    per = f.where("size(gold) > 0").join(depth.withColumnsRenamed({"idx": "subj", "depth": "za"}), ["image_id", "subj"]).join(depth.withColumnsRenamed({"idx": "obj", "depth": "zb"}), ["image_id", "obj"])
+    judged = rules.evaluate_scene(rules.with_gold(objs, fixtures.gold(objs)), Thresholds(depth_eps=0.0))
+    per = judged.select(F.col("a_grp").alias("grp"), F.col("a_depth").alias("za"), F.col("b_depth").alias("zb"), F.col("predicates").alias("pred"), F.col("a_gold_of")[F.col("b_idx")].alias("gold")).where("size(gold) > 0")
     points = F.array(*[num(e) for e in SWEEP])
     rows = per.withColumn("k", F.explode("gold")).withColumn("depth_eps", F.explode(points))
     front, behind = F.col("zb") - F.col("za") > F.col("depth_eps"), F.col("za") - F.col("zb") > F.col("depth_eps")
@@ -390,11 +389,10 @@ def zero_shot(spark, sf):
 
 @registry.add("e07_discordant", with_(*FACT, HITS.replace("h AS", "hm AS"), "box", fact(name="bf", res="box")) + "SELECT k, count(*) FILTER (a AND NOT b) AS only_masks, count(*) FILTER (b AND NOT a) AS only_boxes, count(*) FILTER (a = b) AS ties FROM (SELECT m.k, m.hit AS a, list_contains(b.pred, m.k) AS b FROM hm m JOIN bf b ON b.image_id = m.image_id AND b.subj = m.subj AND b.obj = m.obj) GROUP BY k")
 def discordant(spark, sf):
-    """Gold triplets that only one of two runs finds."""
-    keys = ["image_id", "subj", "obj"]
-    m = inputs.fact(spark, sf).where("size(gold) > 0").select(*keys, "gold", "pred")
-    b = inputs.fact(spark, sf, masks=False).where("size(gold) > 0").select(*keys, F.col("pred").alias("boxed"))
-    rows = m.join(b, keys).withColumn("k", F.explode("gold")).withColumns({"a": F.expr("array_contains(pred, k)"), "b": F.expr("array_contains(boxed, k)")})
+    """Gold triplets that only one of two runs finds; both runs are judged on one pair row."""
+    objs = inputs.objects(spark, sf)
+    both = rules.with_and_without_masks(rules.with_gold(objs, fixtures.gold(objs)), fixtures.contact(objs))
+    rows = both.select(F.explode(F.col("a_gold_of")[F.col("b_idx")]).alias("k"), "masked", "boxed").select("k", F.expr("array_contains(masked, k)").alias("a"), F.expr("array_contains(boxed, k)").alias("b"))
     return rows.groupBy("k").agg(F.count_if(F.col("a") & ~F.col("b")).alias("only_masks"), F.count_if(F.col("b") & ~F.col("a")).alias("only_boxes"), F.count_if(F.col("a") == F.col("b")).alias("ties"))
 
 
