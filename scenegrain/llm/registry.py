@@ -19,6 +19,9 @@ NAMES = {
     "op8_substrings": "substrings",
     "op9_quality_gam": "quality_gam",
     "op10_toxicity_svm": "toxicity",
+    "op11_merkle": "merkle",
+    "op12_tiered_search": "tiered",
+    "op13_sentencepiece": "pieces",
 }
 
 
