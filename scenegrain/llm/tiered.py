@@ -17,7 +17,7 @@ TOP = 10
 #: Bytes of item text that are searched together; with more, the items are dealt to several blocks, each with an index of its terms.
 ITEM_BYTES = 1 << 20
 #: Share of a term's postings, in order of impact, that the tiers down to each one hold, and postings of which the first tier has no fewer.
-SHARES, LEAST = (1 / 16, 1 / 4, 1.0), 256
+SHARES, LEAST = (1 / 4, 1 / 2, 7 / 8, 1.0), 2048
 #: Impacts are below 10 ** 6; tiers are cut between this many levels of it.
 LEVELS = 64
 LEVEL = 10**6 // LEVELS
@@ -103,13 +103,12 @@ def cuts(rows: DataFrame, terms: int, docs: int, length: int) -> tuple[np.ndarra
     by = Window.partitionBy("term").orderBy(F.desc("level"))
     before = F.sum("c").over(by.rowsBetween(Window.unboundedPreceding, -1))
     whole = F.sum("c").over(Window.partitionBy("term"))
-    placed = levels(rows, docs, length).select("term", "level", "most", "c", F.coalesce(before, F.lit(0)).alias("before"), whole.alias("df"))
-    found = [placed]
+    found = levels(rows, docs, length).select("term", "level", "most", "c", F.coalesce(before, F.lit(0)).alias("before"), whole.alias("df"))
     wanted = [F.greatest(F.lit(LEAST), F.ceil(F.col("df") * share)) if share < 1 else F.col("df") for share in SHARES]
     begins = [F.min(F.when(F.col("before") < w, F.col("level"))).alias(f"begin{k}") for k, w in enumerate(wanted)]
     below = [F.max(F.when(F.col("before") >= w, F.col("most"))).alias(f"below{k}") for k, w in enumerate(wanted)]
     df, begin, bound = np.zeros(terms, np.int64), np.zeros((len(SHARES), terms), np.int64), np.zeros((len(SHARES), terms), np.int64)
-    for r in found[0].groupBy("term").agg(F.first("df").alias("df"), *begins, *below).collect():
+    for r in found.groupBy("term").agg(F.first("df").alias("df"), *begins, *below).collect():
         df[r["term"]] = r["df"]
         for k in range(len(SHARES)):
             begin[k, r["term"]], bound[k, r["term"]] = r[f"begin{k}"], r[f"below{k}"] or 0
