@@ -107,9 +107,14 @@ def folded(digest: str, path: list[str]) -> str:
     return digest
 
 
-def height_of(n: int, whole: int) -> int:
+def height_of(n: int, whole: int, block: int) -> int:
     """Levels of a block of n nodes in a tree of `whole` nodes: those of a full block, unless it is the tree's only one."""
-    return BLOCK if whole > 1 << BLOCK else (n - 1).bit_length()
+    return block if whole > 1 << block else (n - 1).bit_length()
+
+
+def fewer(n: str, block: int) -> Column:
+    """Blocks that n nodes fill."""
+    return F.expr(f"({n} + {(1 << block) - 1}) div {1 << block}")
 
 
 def positions(rows: DataFrame, *order: str) -> DataFrame:
@@ -130,7 +135,7 @@ def positions(rows: DataFrame, *order: str) -> DataFrame:
     return ranged.join(F.broadcast(begins) if few else begins, ["p", "g"]).withColumn("pos", F.col("seq") + F.col("shift")).drop("p", "seq", "shift")
 
 
-def packed(nodes: DataFrame, *more: str) -> DataFrame:
+def packed(nodes: DataFrame, block: int, *more: str) -> DataFrame:
     """One row of each aligned block of nodes (g, pos, n, digest): g, block, n, digests, what `more` names as arrays, and its root."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -138,13 +143,13 @@ def packed(nodes: DataFrame, *more: str) -> DataFrame:
         digests = group["digest"].to_pylist()
         whole = group["n"][0].as_py()
         lists = [pa.array([group[c].to_pylist()], pa.list_(group.schema.field(c).type)) for c in ("digest", *more)]
-        root = root_of(digests, height_of(len(digests), whole))
+        root = root_of(digests, height_of(len(digests), whole, block))
         return pa.Table.from_arrays([pa.array([group["g"][0].as_py()], pa.string()), pa.array([group["block"][0].as_py()], pa.int64()), pa.array([whole], pa.int64()), *lists, pa.array([root], pa.string())], names=names)
 
     names = ["g", "block", "n", "digests", *(f"{c}s" for c in more), "root"]
     kinds = [T.StringType(), T.LongType(), T.LongType(), T.ArrayType(T.StringType()), *(T.ArrayType(nodes.schema[c].dataType) for c in more), T.StringType()]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)])
-    rows = nodes.select("g", F.shiftright("pos", BLOCK).alias("block"), "n", "pos", "digest", *more)
+    rows = nodes.select("g", F.shiftright("pos", block).alias("block"), "n", "pos", "digest", *more)
     return stored(rows.groupBy("g", "block").applyInArrow(run, schema), "merkle-blocks")[0]
 
 
@@ -160,45 +165,45 @@ def with_upper(blocks: DataFrame, upper: DataFrame) -> DataFrame:
     return blocks.join(F.broadcast(upper) if blocks.count() <= BROADCAST_ROWS else upper, ["g", "block"])
 
 
-def above(nodes: DataFrame, n: int) -> DataFrame:
+def above(nodes: DataFrame, n: int, block: int) -> DataFrame:
     """g, block (the node's pos), path to the root of its group, and that root as top, of nodes (g, pos, n, digest) in groups of at most n.
 
-    A tree of blocks of blocks: as many rounds as n has digits of base 2 ** BLOCK.
+    A tree of blocks of blocks: as many rounds as n has digits of base 2 ** block.
     """
     if n <= 1:
         return nodes.select("g", F.col("pos").alias("block"), F.array().cast("array<string>").alias("path"), F.col("digest").alias("top"))
-    blocks = packed(nodes)
-    up = with_upper(blocks, above(blocks.select("g", F.col("block").alias("pos"), F.expr(f"(n + {(1 << BLOCK) - 1}) div {1 << BLOCK}").alias("n"), F.col("root").alias("digest")), -(-n >> BLOCK)))
+    blocks = packed(nodes, block)
+    up = with_upper(blocks, above(blocks.select("g", F.col("block").alias("pos"), fewer("n", block).alias("n"), F.col("root").alias("digest")), -(-n >> block), block))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows_of(batches):
             digests = r["digests"]
-            own = [p + r["path"] for p in paths(digests, height_of(len(digests), r["n"]))]
-            at = [(r["block"] << BLOCK) + i for i in range(len(digests))]
+            own = [p + r["path"] for p in paths(digests, height_of(len(digests), r["n"], block))]
+            at = [(r["block"] << block) + i for i in range(len(digests))]
             yield pa.RecordBatch.from_arrays([pa.array([r["g"]] * len(own), pa.string()), pa.array(at, pa.int64()), pa.array(own, pa.list_(pa.string())), pa.array([r["top"]] * len(own), pa.string())], names=["g", "block", "path", "top"])
 
     return stored(up.select("g", "block", "n", "digests", "path", "top").mapInArrow(run, "g string, block long, path array<string>, top string"), "merkle-above")[0]
 
 
-def _walked(df: DataFrame, of: Callable[[str, str | None, list[str], str, str], tuple], fields: list[T.StructField], columns: tuple[str, ...], id_col: str, group_col: str, claimed: Column | None) -> DataFrame:
+def _walked(df: DataFrame, of: Callable[[str, str | None, list[str], str, str], tuple], fields: list[T.StructField], columns: tuple[str, ...], id_col: str, group_col: str, claimed: Column | None, block: int) -> DataFrame:
     """doc_id and what of(leaf, claimed leaf, path, subroot, root) gives, of every row."""
     key = F.coalesce(F.concat(F.lit("v"), named(group_col).cast("string")), F.lit("n"))  # null first, then the groups bytewise
     base = df.select(named(id_col).cast("long").alias("doc_id"), key.alias("g"), leaf_of(*map(named, columns)).alias("digest"), (F.lit(None) if claimed is None else claimed).cast("string").alias("claim"), F.monotonically_increasing_id().alias("salt"))
     ranked = positions(stored(base, "merkle-leaves")[0], "doc_id", "digest")
-    blocks = packed(ranked, "doc_id", "claim")
+    blocks = packed(ranked, block, "doc_id", "claim")
     most = blocks.agg(F.max("n")).first()[0] or 0
-    roots = blocks.select("g", F.col("block").alias("pos"), F.expr(f"(n + {(1 << BLOCK) - 1}) div {1 << BLOCK}").alias("n"), F.col("root").alias("digest"))
-    upper = above(roots, -(-most >> BLOCK))
+    roots = blocks.select("g", F.col("block").alias("pos"), fewer("n", block).alias("n"), F.col("root").alias("digest"))
+    upper = above(roots, -(-most >> block), block)
     subroots, _ = stored(upper.where("block = 0").select(F.lit("").alias("g"), F.col("g").alias("name"), F.col("top").alias("digest"), F.lit(0).alias("salt")), "merkle-subroots")
     groups = positions(subroots, "name")
-    tops = above(groups.select("g", "pos", "n", "digest"), subroots.count()).select(F.col("block").alias("pos"), F.col("path").alias("last"), F.col("top").alias("whole"))
+    tops = above(groups.select("g", "pos", "n", "digest"), subroots.count(), block).select(F.col("block").alias("pos"), F.col("path").alias("last"), F.col("top").alias("whole"))
     named_tops = groups.select(F.col("name").alias("g"), "pos").join(tops, "pos").drop("pos")
     whole = with_upper(blocks, upper.join(named_tops, "g").select("g", "block", F.concat("path", "last").alias("path"), "top", "whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows_of(batches):
             leaves = r["digests"]
-            walk = paths(leaves, height_of(len(leaves), r["n"]))
+            walk = paths(leaves, height_of(len(leaves), r["n"], block))
             found = [of(leaf, claim, path + r["path"], r["top"], r["whole"]) for leaf, claim, path in zip(leaves, r["claims"], walk, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), arrow, strict=True))], names=["doc_id", *(f.name for f in fields)])
 
@@ -211,27 +216,27 @@ def _strings(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.StringType()) for n in names]
 
 
-def proofs(df: DataFrame, *, columns: tuple[str, ...] = FIELDS, id_col: str = "doc_id", group_col: str = "lang") -> DataFrame:
+def proofs(df: DataFrame, *, columns: tuple[str, ...] = FIELDS, id_col: str = "doc_id", group_col: str = "lang", block: int = BLOCK) -> DataFrame:
     """doc_id, leaf, path, subroot and root of every row; path as in paths(), from the leaf via the group's root to the root.
 
     A group's leaves ascend by id, null first, equal ids by leaf; equal rows have equal leaves and take
     any of their places. Groups ascend bytewise, null first. Null fields, ids and groups are values of
     their own; empty and long texts are hashed where they are read, and nothing longer than a digest is
     shuffled. A tree of one leaf is that leaf, with an empty path. An empty table gives no rows; other
-    columns are ignored, whatever their names. Blocks of 2 ** BLOCK leaves are walked one by one and get
+    columns are ignored, whatever their names. Blocks of 2 ** block leaves are walked one by one and get
     the path of their root from rounds over the roots of blocks.
     """
-    return _walked(df, lambda leaf, _, path, subroot, root: (leaf, path, subroot, root), [*_strings("leaf"), T.StructField("path", T.ArrayType(T.StringType())), *_strings("subroot", "root")], columns, id_col, group_col, None)
+    return _walked(df, lambda leaf, _, path, subroot, root: (leaf, path, subroot, root), [*_strings("leaf"), T.StructField("path", T.ArrayType(T.StringType())), *_strings("subroot", "root")], columns, id_col, group_col, None, block)
 
 
-def checked(df: DataFrame, claimed: Column, *, columns: tuple[str, ...] = FIELDS, id_col: str = "doc_id", group_col: str = "lang") -> DataFrame:
+def checked(df: DataFrame, claimed: Column, *, columns: tuple[str, ...] = FIELDS, id_col: str = "doc_id", group_col: str = "lang", block: int = BLOCK) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of every row, the claimed leaf (null: its own) folded along its path; odd rows as in proofs()."""
 
     def of(leaf: str, claim: str | None, path: list[str], subroot: str, root: str) -> tuple:
         found = folded(claim or leaf, path)
         return leaf, subroot, root, sha256("".join(s[1:] for s in path).encode()).hexdigest(), found, found == root
 
-    return _walked(df, of, [*_strings("leaf", "subroot", "root", "proof_sha256", "folded_root"), T.StructField("verified", T.BooleanType())], columns, id_col, group_col, claimed)
+    return _walked(df, of, [*_strings("leaf", "subroot", "root", "proof_sha256", "folded_root"), T.StructField("verified", T.BooleanType())], columns, id_col, group_col, claimed, block)
 
 
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

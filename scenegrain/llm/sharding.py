@@ -11,8 +11,8 @@ from ._common import WORD_CLASS, named, stored, table, text_of
 SHARDS = 8
 #: Small groups share this many units; a group above 1 / UNITS of all bytes, tokens or rows is one of its own.
 UNITS = 4096
-#: A group that doesn't fit into a shard is dealt out in parts of at most this share of one.
-PART = 1 / 16
+#: Cells of a shard's worth, at least, that a group larger than a shard is dealt to before it is cut.
+CELLS = 64
 DIMS = ("size", "tokens", "rows")
 
 
@@ -20,13 +20,15 @@ def place(units: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each unit (rows: units, columns: bytes, tokens, rows).
 
     Largest unit first, each goes where the dot product of its vector with the shard's residual
-    capacity is highest, both as shares of the total; the lowest shard number wins a tie.
+    capacity is highest, both as shares of the total, among the shards that have room for its bytes;
+    where none has, to the one with the most. The lowest shard number wins a tie.
     """
     share = units / np.maximum(units.sum(0), 1)
     residual = np.full((shards, units.shape[1]), 1 / shards)
     out = np.zeros(len(units), np.int64)
     for i in np.lexsort((-share.sum(1), -share.max(1))):
-        s = int(np.argmax(residual @ share[i]))
+        room = residual[:, 0] >= share[i, 0]
+        s = int(np.argmax(np.where(room, residual @ share[i], -np.inf) if room.any() else residual[:, 0]))
         residual[s] -= share[i]
         out[i] = s
     return out
@@ -47,12 +49,13 @@ def measured(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def assign(df: DataFrame, *, shards: int = SHARDS, units: int = UNITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shard and slot of every row: doc_id, size, text_crc32, tokens, shard, slot.
 
-    Equal texts form a group and stay together, unless the group is larger than a shard in bytes,
-    tokens or rows: then its rows are dealt, by a hash of their id, to parts that are placed one by
-    one. Groups below 1 / units of the total, too small to matter singly, share units by their hash. So at most 7 * units units
-    and cells reach the driver, whatever the input, each three sums, and the table of their places,
-    at most 7 * units rows, is sent to all tasks. Slots count from 0 in each shard without gaps: a
-    cell's first slot, plus a row's rank in its cell, which holds about 1 / units of all rows.
+    Equal texts form a group and stay together as long as their bytes fit into a shard, whatever their
+    tokens and rows. The rows of a larger group are dealt to cells by a hash of their id, and its cells cut
+    into parts of one shard's bytes and a rest, so that it fills as few shards as it needs. Groups below
+    1 / units of the total, too small to matter singly, share units by their hash. So at most 7 * units
+    units and cells reach the driver, whatever the input, each three sums, and the table of their
+    places, at most 7 * units rows, is sent to all tasks. Slots count from 0 in each shard without gaps:
+    a cell's first slot, plus a row's rank in its cell, which holds about 1 / units of all rows.
 
     A null text has size 1, no tokens, and is grouped with empty texts; null ids and repeated rows
     are rows like any other; an empty table gives no rows; other columns are ignored, whatever their
@@ -66,23 +69,26 @@ def assign(df: DataFrame, *, shards: int = SHARDS, units: int = UNITS, id_col: s
         return base.select("doc_id", "size", "text_crc32", "tokens", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     share = F.greatest(*(F.col(d) / F.lit(max(1, total[d] or 0)) for d in DIMS))
     # at most 3 * units groups: each has over 1 / units of one of three totals
-    large = base.groupBy("g").agg(*sums).withColumn("share", share).where(F.col("share") > 1 / units).select("g", "share", "rows").collect()
-    table_rows, first = [], units
+    large = base.groupBy("g").agg(*sums).withColumn("share", share).where(F.col("share") > 1 / units).select("g", "share", "rows", "size").collect()
+    table_rows, parts, first = [], [], units
     for r in sorted(large, key=lambda r: (-r["share"], r["g"])):
-        parts = int(np.ceil(r["share"] * shards / PART)) if r["share"] * shards > 1 else 1
-        cells = max(1, int(np.ceil(r["rows"] / total["rows"] * units / parts)))  # of each part, so that ranks are counted over few rows
-        table_rows.append((r["g"], first, parts, cells))
-        first += parts * cells
-    big = spark.createDataFrame(table_rows, "g long, first long, parts int, cells int")
-    own = F.col("first") + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts") * F.col("cells"))
+        worth = r["size"] / total["size"] * shards  # in shards
+        cells = int(np.ceil(r["rows"] / total["rows"] * units))  # so many that ranks are counted over few rows
+        if worth > 1:
+            cells = max(cells, int(np.ceil(worth * CELLS)))
+        table_rows.append((r["g"], first, cells))
+        parts.append(np.minimum(np.arange(cells) * worth // cells, cells - 1).astype(np.int64) if worth > 1 else np.zeros(cells, np.int64))
+        first += cells
+    big = spark.createDataFrame(table_rows, "g long, first long, cells int")
+    own = F.col("first") + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("cells"))
     celled = base.join(F.broadcast(big), "g", "left").withColumn("cell", F.coalesce(own, F.pmod(F.xxhash64("g", F.lit(2)), F.lit(units))))
     got = celled.groupBy("cell").agg(*sums).orderBy("cell").collect()
     cell = np.array([r["cell"] for r in got], np.int64)
     vector = np.array([[r[d] or 0 for d in DIMS] for r in got], float)
     unit = cell.copy()
-    for _, begin, parts, cells in table_rows:
-        mine = (cell >= begin) & (cell < begin + parts * cells)
-        unit[mine] = begin + (cell[mine] - begin) // cells
+    for (_, begin, cells), part in zip(table_rows, parts, strict=True):
+        mine = (cell >= begin) & (cell < begin + cells)
+        unit[mine] = begin + part[cell[mine] - begin]
     names, which = np.unique(unit, return_inverse=True)
     summed = np.zeros((len(names), len(DIMS)))
     np.add.at(summed, which, vector)

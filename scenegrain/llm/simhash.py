@@ -168,7 +168,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, with all its columns, of each component: that of the smallest id, or of the smallest fingerprint if ids tie or are null.
 
-    Null and empty texts are copies of each other (fingerprint 0). Of repeated rows one is left. An
+    Null and empty texts are copies of each other (fingerprint 0). Of repeated rows one is left;
+    rows of one id and fingerprint but different texts count as repeated, and any of them stays. An
     empty table gives no rows; other columns are kept, whatever their names.
     """
     names = docs.columns

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import discard, stored, table, text_of
+from ._common import discard, named, stored, table, text_of
 
 #: Words of a repeat that counts, and of a reference block: any 35 words hold a whole block of 18.
 LEAST = 35
@@ -144,7 +144,7 @@ CHUNK, BROADCAST_NUMBERS = 1 << 18, 4_000_000
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows by id and hash of the text: rows that agree in both are interchangeable, and named once."""
     text = text_of(text_col)
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), text.alias("text"))
+    return df.select(named(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), text.alias("text"))
 
 
 def _with(keyed: DataFrame, other: DataFrame, how: str, small: bool) -> DataFrame:

@@ -63,21 +63,63 @@ def test_sharding_odd(spark):
     assert sharding.assign(odd(spark).limit(0)).count() == 0
 
 
-def test_hot_group_is_dealt_out(spark):
-    df = spark.createDataFrame([(i, "same text here" if i % 3 else f"text number {i}") for i in range(1200)], "doc_id long, text string")
-    got = Counter(r.shard for r in sharding.assign(df, units=64).collect())
-    assert max(got.values()) - min(got.values()) <= 12
-
-
-def test_group_that_fits_a_shard_stays_whole(spark):
-    """Of 3000 rows a tenth has one text, a shard has an eighth."""
-    df = spark.createDataFrame([(i, "one text of a tenth of the rows" if i % 10 == 0 else f"text number {i} of the others.") for i in range(3000)], "doc_id long, text string")
-    got = sharding.assign(df).collect()
-    assert len({r.shard for r in got if r.doc_id % 10 == 0}) == 1
+def sizes_of(rows):
     size = Counter()
-    for r in got:
+    for r in rows:
         size[r.shard] += r.size
-    assert max(size.values()) < 1.01 * min(size.values())
+    return size
+
+
+def of_one_group(spark, text, share, other, n=4000):
+    """n rows, of which a share has one text; shards of the group's rows and of all."""
+    many = int(n * share)
+    rows = sharding.assign(spark.createDataFrame([(i, text if i < many else f"{i:05d} {other}") for i in range(n)], "doc_id long, text string")).collect()
+    return Counter(r.shard for r in rows if r.doc_id < many), sizes_of(rows), Counter(r.shard for r in rows)
+
+
+def test_hot_group_fills_few_shards(spark):
+    """Two thirds of the bytes are 5.4 shards: five whole ones, and a sixth in part."""
+    mine, size, _ = of_one_group(spark, "same text here, again", 2 / 3, "other text here")
+    assert len(mine) == 6 and max(size.values()) < 1.15 * min(size.values())
+
+
+def test_group_at_the_edge_of_a_shard(spark):
+    """An eighth of the bytes is a shard: a little less stays whole, a little more fills one shard and a part of another."""
+    less, size, _ = of_one_group(spark, "x" * 29, 0.99 / 8, "y" * 23)
+    assert len(less) == 1 and max(size.values()) < 1.02 * min(size.values())
+    more, size, _ = of_one_group(spark, "x" * 29, 1.06 / 8, "y" * 23)
+    assert len(more) == 2 and max(more.values()) > 0.9 * sum(more.values()) and max(size.values()) < 1.05 * min(size.values())
+
+
+def test_group_of_many_tokens_stays_whole(spark):
+    """0.8 of a shard's bytes, four of its tokens: the law is bytes."""
+    mine, size, rows = of_one_group(spark, "a b c d e f g h i j k l m n", 0.1, "y" * 28)
+    assert len(mine) == 1 and max(size.values()) < 1.02 * min(size.values()) and sum(rows.values()) == 4000
+
+
+def test_sharding_against_a_plain_version(spark, small_dir):
+    """Units, vectors and places worked out row by row, for groups of one unit each."""
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, small_dir)
+    units, shards = 1 << 16, 5  # so many that every group is one of its own
+    got = {r.doc_id: r for r in sharding.assign(docs, shards=shards, units=units).collect()}
+    hashes = {r.doc_id: r.g for r in docs.select("doc_id", F.xxhash64("text").alias("g")).collect()}
+    vector, total = defaultdict(lambda: [0, 0, 0]), [0, 0, 0]
+    for r in docs.collect():
+        for d, x in enumerate((len(r.text.encode()) + 1, len(re.findall(r"[^\x20\x09-\x0D]+", r.text)), 1)):
+            vector[hashes[r.doc_id]][d] += x
+            total[d] += x
+    share = {g: [x / t for x, t in zip(v, total, strict=True)] for g, v in vector.items()}
+    assert all(max(s) > 1 / units for s in share.values())
+    rank = {g: i for i, g in enumerate(sorted(share, key=lambda g: (-max(share[g]), g)))}  # the order that cells are numbered in
+    left, home = [[1 / shards] * 3 for _ in range(shards)], {}
+    for g in sorted(share, key=lambda g: (-max(share[g]), -sum(share[g]), rank[g])):
+        best = [sum(a * b for a, b in zip(room, share[g], strict=True)) for room in left]
+        room = [s for s in range(shards) if left[s][0] >= share[g][0]]
+        home[g] = max(room, key=lambda s: (best[s], -s)) if room else max(range(shards), key=lambda s: (left[s][0], -s))
+        left[home[g]] = [a - b for a, b in zip(left[home[g]], share[g], strict=True)]
+    assert all(home[hashes[i]] == r.shard for i, r in got.items())
 
 
 def test_place_takes_the_largest_dot_product():
@@ -85,7 +127,8 @@ def test_place_takes_the_largest_dot_product():
     share, residual = units / units.sum(0), np.full((2, 3), 0.5)
     want = {}
     for i in sorted(range(4), key=lambda i: (-share[i].max(), -share[i].sum())):
-        want[i] = max(range(2), key=lambda s: (float(residual[s] @ share[i]), -s))
+        room = [s for s in range(2) if residual[s][0] >= share[i][0]]
+        want[i] = max(room, key=lambda s: (float(residual[s] @ share[i]), -s)) if room else max(range(2), key=lambda s: (residual[s][0], -s))
         residual[want[i]] -= share[i]
     assert sharding.place(units, 2).tolist() == [want[i] for i in range(4)]
 
