@@ -6,7 +6,7 @@ from importlib import import_module
 
 from scenegrain.queries._sql import Query
 
-MODULES = ["scene", "evaluation", "sequence", "text", "files"]
+MODULES = ["scene", "evaluation", "sequence", "text", "files", "masks"]
 
 
 def queries() -> dict[str, Query]:

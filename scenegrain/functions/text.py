@@ -21,7 +21,6 @@ HOLD_VERBS = r"pick(?:s|ing)?\s+up|pick|grasp\w*|grip\w*|lift\w*|grab\w*|take"
 ACT_VERBS = HOLD_VERBS + r"|remove|move|slide|push|place|set|put|transfer|relocate|clear"
 OBJECT_TOKEN = r"\b([a-z]+[0-9]+)\b"
 STEP_MARK = r"(?m)^\s*(?:[0-9]+[.)]|[-*])\s+"
-REPLY = "struct<relations:array<struct<s:string,p:string,o:string>>>"
 
 
 def canonical_predicate(raw: Column) -> Column:
@@ -31,22 +30,33 @@ def canonical_predicate(raw: Column) -> Column:
     return names[p]
 
 
+def _whole(value: Column) -> Column:
+    """A JSON value as a whole number: numbers cut towards zero, true and false as 1 and 0, text only if it is a whole number."""
+    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    written = F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).try_cast("bigint"))
+    number = F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")).otherwise(F.try_variant_get(value, "$", "double").try_cast("bigint"))
+    return F.when(kind == "STRING", written).when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("bigint")).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), number)
+
+
 def parsed_relations(df: DataFrame, reply: str, n_objects: str) -> DataFrame:
     """Every record of the JSON in a reply: s, p, o and problem (null for a good one).
 
-    From the first brace to the last; a reply without readable JSON has one row with a problem, and a
-    bad record doesn't spoil the others. The input's columns are kept.
+    From the first brace to the last. A reply without readable JSON, or whose relations are no list, has
+    one row with a problem; one without relations has none. Records are judged one by one: whatever a
+    record is (text, null, a list), it is a row of its own and the others stay. The input's columns are kept.
     """
-    body = F.regexp_extract(F.col(reply), r"(?s)\{.*\}", 0)
-    data = F.from_json(body, REPLY, {"mode": "PERMISSIVE"})
-    kept = df.withColumn("_body", body).withColumn("_r", data["relations"])
-    problem = F.when(F.col("_body") == "", "no JSON object").when(F.expr("try_parse_json(_body)").isNull(), "unreadable JSON")
-    kept = kept.withColumn("_bad", problem)
-    rows = kept.select(*df.columns, "_bad", F.explode_outer(F.when(F.col("_bad").isNull(), F.col("_r"))).alias("_x")).where("_bad is not null or _x is not null")
-    s, o, p = F.expr("try_cast(_x.s as int)"), F.expr("try_cast(_x.o as int)"), canonical_predicate(F.col("_x.p"))
-    n = F.col(n_objects)
-    bad = F.when(F.col("_bad").isNotNull(), F.col("_bad")).when(s.isNull() | o.isNull() | F.col("_x.p").isNull(), "malformed record").when(p.isNull(), "unknown predicate").when((s < 0) | (o < 0) | (s >= n) | (o >= n) | (s == o), "index out of range or self-pair")
-    return rows.select(*df.columns, s.alias("s"), p.alias("p"), o.alias("o"), bad.alias("problem"))
+    data = df.withColumn("_body", F.regexp_extract(F.col(reply), r"(?s)\{.*\}", 0)).withColumn("_v", F.try_parse_json("_body"))
+    listed = F.try_variant_get("_v", "$.relations", "variant")
+    problem = F.when(F.coalesce(F.col("_body"), F.lit("")) == "", "no JSON object").when(F.col("_v").isNull(), "unreadable JSON").when(listed.isNotNull() & ~F.schema_of_variant(listed).startswith("ARRAY"), "relations is no list")
+    kept = data.withColumn("_bad", problem)
+    records = F.when(F.col("_bad").isNotNull(), F.array(F.lit(None).cast("variant"))).otherwise(F.try_variant_get(listed, "$", "array<variant>"))
+    rows = kept.select(*df.columns, "_bad", F.explode(records).alias("_x"))
+    got = {c: F.try_variant_get("_x", f"$.{c}", "variant") for c in "spo"}
+    rows = rows.withColumns({"_s": _whole(got["s"]), "_o": _whole(got["o"]), "_p": got["p"]})
+    s, o, n = F.col("_s"), F.col("_o"), F.col(n_objects)
+    p = canonical_predicate(F.try_variant_get("_p", "$", "string"))
+    bad = F.when(F.col("_bad").isNotNull(), F.col("_bad")).when(s.isNull() | o.isNull() | F.col("_p").isNull(), "malformed record").when(p.isNull(), "unknown predicate").when((s < 0) | (o < 0) | (s >= n) | (o >= n) | (s == o), "index out of range or self-pair")
+    return rows.select(*df.columns, s.try_cast("int").alias("s"), p.alias("p"), o.try_cast("int").alias("o"), bad.alias("problem"))
 
 
 def verdict(reply: Column) -> Column:

@@ -266,17 +266,6 @@ def depth_sources(spark, sf):
     return both.select("k", "n", "first", "second", F.round(F.col("second") - F.col("first"), 3).alias("delta"))
 
 
-@registry.add("x03_gained", "WITH d AS (SELECT doc_id, doc_id % 5 AS kind FROM documents), p(kind, s, p, o) AS (VALUES (0, 0, 'on', 1), (0, 2, 'to the left of', 0), (3, 0, 'behind', 2)) SELECT p.p, count(*) AS gained FROM d JOIN p ON p.kind = d.kind WHERE NOT (d.doc_id % 3 = 0 AND p.p <> 'behind') GROUP BY p.p")
-def gained(spark, sf):
-    """Stored replies parsed again: what the new parse has that the stored one lacked, by predicate."""
-    from .text import REPLIES as KINDS
-
-    replies = read(spark, sf, "documents").select("doc_id", pick(KINDS, F.col("doc_id") % 5).alias("reply"), F.lit(3).alias("n"))
-    now = X.parsed_relations(replies, "reply", "n").where("problem is null").select("doc_id", "s", "p", "o")
-    stored = now.where("doc_id % 3 = 0 and p <> 'behind'")
-    return now.join(stored, ["doc_id", "s", "p", "o"], "left_anti").groupBy("p").agg(F.count("*").alias("gained"))
-
-
 # planning sheets
 
 

@@ -10,6 +10,7 @@ from scenegrain.functions import text as X
 from scenegrain.functions.geometry import num
 from scenegrain.operators import evaluate as V
 from scenegrain.sources.fixtures import read
+from scenegrain.types import PREDICATES
 
 from . import _inputs as inputs
 from ._sql import FACT, Registry, with_
@@ -19,31 +20,88 @@ registry = Registry()
 SPELLINGS = ["To_The_Left_Of", " on ", "left of", "next to", "IN_FRONT_OF", "infront of", "below", "Near"]
 
 
-@registry.add("x01_canonical_predicate", "WITH s(i, raw) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(SPELLINGS)) + "), r AS (SELECT doc_id, list_extract(['" + "', '".join(SPELLINGS) + "'], 1 + doc_id % 8) AS raw FROM documents), c AS (SELECT doc_id, trim(regexp_replace(replace(lower(raw), '_', ' '), '\\s+', ' ', 'g')) AS p FROM r) SELECT doc_id, CASE WHEN p IN ('on', 'under', 'to the left of', 'to the right of', 'in front of', 'behind', 'near') THEN p WHEN p = 'left of' THEN 'to the left of' WHEN p = 'infront of' THEN 'in front of' END AS p FROM c")
+def sql_value(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+
+def spelled(at):
+    """A spelling of a predicate by a number, as Spark and as SQL have it."""
+    return F.element_at(F.array(*map(F.lit, SPELLINGS)), (at % len(SPELLINGS) + 1).cast("int"))
+
+
+SPELLED = "list_extract([" + ", ".join(f"'{x}'" for x in SPELLINGS) + "], 1 + (({}) % " + str(len(SPELLINGS)) + ")::INT)"
+CANONICAL = "CASE trim(regexp_replace(replace(lower({0}), '_', ' '), '\\s+', ' ', 'g')) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ({p: p for p in PREDICATES} | X.ALIASES).items()) + " END"
+
+
+@registry.add("x01_canonical_predicate", f"WITH r AS (SELECT doc_id, {SPELLED.format('doc_id + coalesce(n_chars, 0)')} || repeat(' ', (doc_id % 3)::INT) AS raw FROM documents) SELECT doc_id, {CANONICAL.format('raw')} AS p FROM r")
 def canonical(spark, sf):
-    raw = F.element_at(F.array(*map(F.lit, SPELLINGS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    raw = F.concat(spelled(F.col("doc_id") + F.coalesce("n_chars", F.lit(0))), F.repeat(F.lit(" "), (F.col("doc_id") % 3).cast("int")))
     return read(spark, sf, "documents").select("doc_id", X.canonical_predicate(raw).alias("p"))
 
 
-REPLIES = [
-    '{"relations": [{"s": 0, "p": "on", "o": 1}, {"s": "2", "p": "left of", "o": 0}]}',
-    '```json\n{"relations": [{"s": 0, "p": "next to", "o": 1}, {"s": 9, "p": "near", "o": 1}]}\n```',
-    "no graph here",
-    '{"relations": [{"s": 1, "p": "near", "o": 1}, {"s": "x", "p": "on", "o": 1}, {"s": 0, "p": "behind", "o": 2}]}',
-    '{"relations": [{"s": 0, "p": ',
-]
-PARSED = [(0, 0, "on", 1, None), (0, 2, "to the left of", 0, None), (1, 0, None, 1, "unknown predicate"), (1, 9, "near", 1, "index out of range or self-pair"), (2, None, None, None, "no JSON object"), (3, 1, "near", 1, "index out of range or self-pair"), (3, None, "on", 1, "malformed record"), (3, 0, "behind", 2, None), (4, None, None, None, "no JSON object")]
+def replies(spark, sf):
+    """Replies made of a document's numbers (doc_id, reply, n): three records, good or broken in nine ways, in six kinds of wrapping."""
+    d, c = F.col("doc_id"), F.coalesce("n_chars", F.lit(0)).cast("long")
 
+    def record(k: int):
+        s, o, p = (d + k) % 4, (c + 2 * k) % 5, spelled(d + c + k)
+        forms = ['{"s": %1$d, "p": "%3$s", "o": %2$d}', '{"s": "%1$d", "p": "%3$s", "o": %2$d}', '{"s": %1$d.9, "p": "%3$s", "o": %2$d}', '{"s": true, "p": "%3$s", "o": %2$d}', '"junk %1$d"', "null", "[%1$d, %2$d]", '{"s": %1$d, "o": %2$d}', '{"s": %1$d, "p": null, "o": "x"}']
+        made = F.lit(None)
+        for i, form in enumerate(forms):
+            made = F.when((c + d * k + k) % 9 == i, F.format_string(form, s, o, p)).otherwise(made)
+        return made
 
-def sql_value(v) -> str:
-    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    r = [record(k) for k in range(3)]
+    whole = F.concat(F.lit('{"relations": ['), F.concat_ws(", ", *r), F.lit("]}"))
+    kind = (d + c) % 6
+    reply = F.when(kind < 2, whole).when(kind == 2, F.concat(F.lit("Here:\n```json\n"), whole, F.lit("\n```"))).when(kind == 3, F.concat(F.lit('{"relations": '), r[0], F.lit("}"))).when(kind == 4, F.concat(F.lit('{"relations": ['), r[0], F.lit(", "))).otherwise(F.concat(F.lit('{"other": ['), r[0], F.lit("]}")))
+    return read(spark, sf, "documents").select("doc_id", reply.alias("reply"), F.lit(4).alias("n"))
+
+
+def _record_sql(k: int) -> str:
+    s, o, p = f"((doc_id + {k}) % 4)", f"((c + {2 * k}) % 5)", SPELLED.format(f"doc_id + c + {k}")
+    forms = [f"""'{{"s": ' || {s} || ', "p": "' || {p} || '", "o": ' || {o} || '}}'""", f"""'{{"s": "' || {s} || '", "p": "' || {p} || '", "o": ' || {o} || '}}'""", f"""'{{"s": ' || {s} || '.9, "p": "' || {p} || '", "o": ' || {o} || '}}'""", f"""'{{"s": true, "p": "' || {p} || '", "o": ' || {o} || '}}'""", f"""'"junk ' || {s} || '"'""", "'null'", f"'[' || {s} || ', ' || {o} || ']'", f"""'{{"s": ' || {s} || ', "o": ' || {o} || '}}'""", f"""'{{"s": ' || {s} || ', "p": null, "o": "x"}}'"""]
+    return f"CASE (c + doc_id * {k} + {k}) % 9 " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms)) + f" END AS r{k}"
+
+
+def _whole_sql(c: str) -> str:
+    return f"CASE json_type(x, '$.{c}') WHEN 'VARCHAR' THEN TRY_CAST(x->>'$.{c}' AS BIGINT) WHEN 'BOOLEAN' THEN (x->>'$.{c}' = 'true')::BIGINT WHEN 'DOUBLE' THEN trunc((x->>'$.{c}')::DOUBLE)::BIGINT WHEN 'UBIGINT' THEN (x->>'$.{c}')::BIGINT WHEN 'BIGINT' THEN (x->>'$.{c}')::BIGINT END"
+
+
+PARSED = f"""d0 AS (SELECT doc_id, coalesce(n_chars, 0) AS c FROM documents), d1 AS (SELECT *, {_record_sql(0)}, {_record_sql(1)}, {_record_sql(2)} FROM d0),
+d2 AS (SELECT *, '{{"relations": [' || r0 || ', ' || r1 || ', ' || r2 || ']}}' AS w FROM d1),
+d3 AS (SELECT doc_id, CASE (doc_id + c) % 6 WHEN 0 THEN w WHEN 1 THEN w WHEN 2 THEN 'Here:' || chr(10) || '```json' || chr(10) || w || chr(10) || '```' WHEN 3 THEN '{{"relations": ' || r0 || '}}' WHEN 4 THEN '{{"relations": [' || r0 || ', ' ELSE '{{"other": [' || r0 || ']}}' END AS reply FROM d2),
+d4 AS (SELECT doc_id, regexp_extract(reply, '(?s)\\{{.*\\}}') AS body FROM d3), d5 AS (SELECT *, CASE WHEN body <> '' AND json_valid(body) THEN body::JSON END AS v FROM d4),
+d6 AS (SELECT *, CASE WHEN body = '' THEN 'no JSON object' WHEN v IS NULL THEN 'unreadable JSON' WHEN json_type(v, '$.relations') <> 'ARRAY' THEN 'relations is no list' END AS bad FROM d5),
+d7 AS (SELECT doc_id, bad, NULL::JSON AS x FROM d6 WHERE bad IS NOT NULL UNION ALL SELECT doc_id, NULL, unnest(from_json(json_extract(v, '$.relations'), '["JSON"]')) FROM d6 WHERE bad IS NULL),
+d8 AS (SELECT doc_id, bad, {_whole_sql("s")} AS s, {_whole_sql("o")} AS o, json_type(x, '$.p') AS kind, x->>'$.p' AS raw FROM d7),
+d9 AS (SELECT doc_id, s::INT AS s, {CANONICAL.format("raw")} AS p, o::INT AS o, raw, kind, bad FROM d8),
+parsed AS (SELECT doc_id, s, p, o, raw, CASE WHEN bad IS NOT NULL THEN bad WHEN s IS NULL OR o IS NULL OR kind IS NULL THEN 'malformed record' WHEN p IS NULL THEN 'unknown predicate' WHEN s < 0 OR o < 0 OR s >= 4 OR o >= 4 OR s = o THEN 'index out of range or self-pair' END AS problem FROM d9)"""
 
 
-@registry.add("x02_parse_relations", "WITH e(k, s, p, o, problem) AS (VALUES " + ", ".join("(" + ", ".join(map(sql_value, r)) + ")" for r in PARSED) + ") SELECT doc_id, s::INT AS s, p, o::INT AS o, problem FROM documents JOIN e ON e.k = doc_id % 5")
+@registry.add("x02_parse_relations", f"WITH {PARSED} SELECT doc_id, s, p, o, problem FROM parsed")
 def parse_relations(spark, sf):
-    """Replies of five kinds, one per document."""
-    replies = read(spark, sf, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, REPLIES)), (F.col("doc_id") % 5 + 1).cast("int")).alias("reply"), F.lit(3).alias("n"))
-    return X.parsed_relations(replies, "reply", "n").select("doc_id", "s", "p", "o", "problem")
+    """Replies of every document, record by record."""
+    return X.parsed_relations(replies(spark, sf), "reply", "n").select("doc_id", "s", "p", "o", "problem")
+
+
+@registry.add("x03_gained", f"WITH {PARSED} SELECT p, count(*) AS gained FROM parsed WHERE problem IS NULL AND lower(raw) <> p GROUP BY p")
+def gained(spark, sf):
+    """Stored replies parsed again: by predicate, what the parser finds that one without other spellings didn't."""
+    now = X.parsed_relations(replies(spark, sf), "reply", "n").where("problem is null")
+    known = {x.lower() for x in SPELLINGS if x.lower() in PREDICATES}
+    before = X.parsed_relations(replies(spark, sf).withColumn("reply", F.regexp_replace("reply", r'(?i)"p": "(?!(?:' + "|".join(sorted(known)) + r')")[^"]*"', '"p": "?"')), "reply", "n").where("problem is null")
+    counts = [x.groupBy("p").agg(F.count("*").alias(c)) for x, c in ((now, "a"), (before, "b"))]
+    return counts[0].join(counts[1], "p", "left").select("p", (F.col("a") - F.coalesce("b", F.lit(0))).alias("gained")).where("gained > 0")
+
+
+@registry.add("a46_reply_status", f"WITH {PARSED} SELECT status, count(*) AS replies, sum(good)::BIGINT AS relations, sum(bad)::BIGINT AS problems FROM (SELECT d.doc_id, count(*) FILTER (p.doc_id IS NOT NULL AND problem IS NULL) AS good, count(problem) AS bad, CASE WHEN count(*) FILTER (p.doc_id IS NOT NULL AND problem IS NULL) > 0 THEN CASE WHEN count(problem) > 0 THEN 'partly' ELSE 'good' END WHEN count(problem) > 0 THEN 'bad' ELSE 'empty' END AS status FROM documents d LEFT JOIN parsed p ON p.doc_id = d.doc_id GROUP BY d.doc_id) GROUP BY status")
+def reply_status(spark, sf):
+    """Replies by what came of them, with their good and bad records."""
+    rows = X.parsed_relations(replies(spark, sf), "reply", "n").groupBy("doc_id").agg(F.count_if(F.col("problem").isNull()).alias("good"), F.count("problem").alias("bad"))
+    each = replies(spark, sf).select("doc_id").join(rows, "doc_id", "left").na.fill(0)
+    status = F.when((F.col("good") > 0) & (F.col("bad") > 0), "partly").when(F.col("good") > 0, "good").when(F.col("bad") > 0, "bad").otherwise("empty")
+    return each.groupBy(status.alias("status")).agg(F.count("*").alias("replies"), F.sum("good").alias("relations"), F.sum("bad").alias("problems"))
 
 
 @registry.add("s16_detections", "SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(TRY_CAST(json_extract_string(props, '$.score') AS DOUBLE), 1::DOUBLE) AS score FROM events")
