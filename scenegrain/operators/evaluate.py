@@ -171,7 +171,3 @@ def failure_cause(t, inverted=(6, 8)) -> Column:
     near = F.when(F.arrays_overlap("pred", F.array(F.lit("on"), F.lit("under"))), "called support").when(F.col("gap_rel") > num(t.near_T), "gap too large").otherwise("other")
     lateral = F.when(F.abs(F.col("a_cx") - F.col("b_cx")) <= num(t.lateral_center_eps), "centre band").otherwise("centre flip")
     return F.when(F.col("k").isin("in front of", "behind"), depth).when(F.col("k").isin("on", "under"), support).when(F.col("k") == "near", near).otherwise(lateral)
-
-
-def all_predicates(spark) -> DataFrame:
-    return spark.createDataFrame([(p, i) for i, p in enumerate(PREDICATES)], "k string, pos int")

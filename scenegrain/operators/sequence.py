@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scenegrain.functions.geometry import Box, iou, num
+from scenegrain.types import PREDICATES
 
 
 def thumb_distance(a: Column, b: Column) -> Column:
@@ -21,31 +28,73 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, num(1)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def segments(frames: DataFrame, tau: float, *, key: str = "clip", ord_col: str = "ord", sig: str = "sig", min_len: int = 1) -> DataFrame:
-    """Segment number of every frame: a new one opens where a frame is further than tau from the one that opened the last.
+def segment_sweep(frames: DataFrame, taus: list[float], *, key: str = "clip", ord_col: str = "ord", sig: str = "sig") -> DataFrame:
+    """key, ord and segs of every frame: for each tau its segment number; a new one opens where a frame is further than tau from the one that opened the last.
 
-    What a frame belongs to depends on all before it in its clip, so a clip is folded in order inside
-    its row; clips are spread over tasks. Groups under min_len join the one before (a leading one stays).
+    What a frame belongs to depends on all before it in its clip: clips are dealt to tasks and sorted
+    there, and a task folds its rows batch by batch, holding a batch and one anchor per tau, however
+    long a clip is. Frames whose signature is null or of another length than the anchor's open a segment.
     """
-    rows = frames.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(ord_col).alias("o"), F.col(sig).cast("array<double>").alias("s")))).alias("f"))
-    first = F.struct(F.element_at("f", 1)["s"].alias("anchor"), F.lit(-1).alias("seg"), F.array().cast("array<int>").alias("out"))
+    kinds = [frames.schema[c].dataType for c in (key, ord_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clip, seg, anchor = object(), [-1] * len(taus), [None] * len(taus)
+        for batch in batches:
+            clips, sigs = batch.column(0).to_pylist(), batch.column(2)
+            segs = np.zeros((batch.num_rows, len(taus)), np.int32)
+            starts = [i for i in range(len(clips)) if clips[i] != (clips[i - 1] if i else clip)] if clips else []
+            for lo, hi in zip([0, *starts], [*starts, len(clips)], strict=True):
+                if lo == hi:
+                    continue
+                if lo in starts:
+                    seg, anchor = [-1] * len(taus), [None] * len(taus)
+                part = sigs.slice(lo, hi - lo)
+                sizes = pc.fill_null(pc.list_value_length(part), -1).to_numpy()
+                size = int(sizes[0]) if len(sizes) else -1
+                even = size > 0 and bool((sizes == size).all())
+                rows = part.flatten().to_numpy(zero_copy_only=False).reshape(-1, size) if even else [None if v is None else np.array(v, float) for v in part.to_pylist()]
+                for k, tau in enumerate(taus):
+                    seg[k], anchor[k] = folded(rows, tau, seg[k], anchor[k], segs[lo:hi, k])
+            if clips:
+                clip = clips[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(segs), pa.list_(pa.int32()))], names=[key, ord_col, "segs"])
+
+    schema = T.StructType([T.StructField(key, kinds[0]), T.StructField(ord_col, kinds[1]), T.StructField("segs", T.ArrayType(T.IntegerType()))])
+    rows = frames.select(key, ord_col, F.col(sig).cast("array<double>").alias("sig"))
+    return rows.repartition(key).sortWithinPartitions(key, ord_col).mapInArrow(run, schema)
+
+
+def folded(rows, tau: float, seg: int, anchor: np.ndarray | None, out: np.ndarray) -> tuple[int, np.ndarray | None]:
+    """Fills in the segments of signatures that follow an anchor; returns the last segment and its anchor."""
+    at, n, step = 0, len(rows), 1
+    while at < n:
+        if anchor is not None and isinstance(rows, np.ndarray) and rows.shape[1] == len(anchor):
+            some = np.abs(rows[at : at + step] - anchor)
+            far = np.flatnonzero(np.cumsum(some, axis=1)[:, -1] / rows.shape[1] > tau)  # added up from the left, as an expression would
+            stay = int(far[0]) if len(far) else len(some)
+            out[at : at + stay] = seg
+            at, step = at + stay, min(2 * step, 4096) if not len(far) else 1
+            if not len(far):
+                continue
+        elif anchor is not None and rows[at] is not None and len(rows[at]) == len(anchor) and np.cumsum(np.abs(rows[at] - anchor))[-1] / len(anchor) <= tau:
+            out[at], at = seg, at + 1
+            continue
+        seg, anchor = seg + 1, None if rows[at] is None or not len(rows[at]) else np.array(rows[at])
+        out[at], at = seg, at + 1
+    return seg, anchor
 
-    def step(acc, x):
-        new = (acc["seg"] < 0) | (thumb_distance(x["s"], acc["anchor"]) > num(tau))
-        seg = F.when(new, acc["seg"] + 1).otherwise(acc["seg"])
-        return F.struct(F.when(new, x["s"]).otherwise(acc["anchor"]).alias("anchor"), seg.alias("seg"), F.concat(acc["out"], F.array(seg)).alias("out"))
 
-    folded = rows.withColumn("seg", F.aggregate("f", first, step, lambda acc: acc["out"]))
-    flat = folded.select(key, F.explode(F.arrays_zip(F.transform("f", lambda x: x["o"]).alias("o"), F.col("seg"))).alias("z")).select(key, F.col("z.o").alias(ord_col), F.col("z.seg").alias("seg"))
+def segments(frames: DataFrame, tau: float, *, key: str = "clip", ord_col: str = "ord", sig: str = "sig", min_len: int = 1) -> DataFrame:
+    """Segment number of every frame, as segment_sweep() has it for one tau. Segments under min_len join the one before (a leading one stays)."""
+    flat = segment_sweep(frames, [tau], key=key, ord_col=ord_col, sig=sig).select(key, ord_col, F.col("segs")[0].alias("seg"))
     return flat if min_len <= 1 else folded_short(flat, key, min_len)
 
 
 def folded_short(flat: DataFrame, key: str, min_len: int) -> DataFrame:
     """Segments under min_len joined to the one before: numbers are counted again over those that stay."""
-    sized = flat.withColumn("n", F.count("*").over(Window.partitionBy(key, "seg")))
     seg = flat.groupBy(key, "seg").agg(F.count("*").alias("n"))
     new = F.sum(((F.col("n") >= min_len) | (F.col("seg") == 0)).cast("int")).over(Window.partitionBy(key).orderBy("seg")) - 1
-    return sized.drop("n").join(seg.withColumn("new", new.cast("int")).drop("n"), [key, "seg"]).withColumn("seg", F.col("new")).drop("new")
+    return flat.join(seg.withColumn("new", new.cast("int")).drop("n"), [key, "seg"]).withColumn("seg", F.col("new")).drop("new")
 
 
 def keyframes(frames: DataFrame, seg: DataFrame, *, key: str = "clip", ord_col: str = "ord", sig: str = "sig") -> DataFrame:
@@ -57,6 +106,42 @@ def keyframes(frames: DataFrame, seg: DataFrame, *, key: str = "clip", ord_col:
     return per.withColumn("keyframe", F.when(F.col("n") <= 2, F.col("start")).otherwise(F.col("best"))).drop("best")
 
 
+def propagated(fact: DataFrame, objs: DataFrame, keyed: DataFrame, by: list[str], least: float = 0.5) -> DataFrame:
+    """Every pair of every frame that isn't its own keyframe, with what is said of its match in the keyframe.
+
+    fact: image_id, subj, obj, pred, gold; objs: image_id, idx, label and boxes; keyed: `by`, image_id and
+    key_id, the keyframe of the frame's segment. Objects are matched once per frame and keyframe, the
+    best overlap first, of one label and `least` or more. Returns `by`, image_id, subj, obj, pred, gold,
+    matched (both ends are) and kept, the keyframe's predicates of the two (empty where it has none).
+    A frame's pairs and matches are gathered into its row, which is no larger than a scene: what is
+    joined is a row a frame.
+    """
+    both = lambda a, b: F.shiftleft(a.cast("long"), 32) + b
+    said = fact.groupBy("image_id").agg(F.collect_list(F.struct("subj", "obj", "pred", "gold")).alias("pairs"))
+    whole = said.select(F.col("image_id").alias("key_id"), F.map_from_entries(F.transform("pairs", lambda p: F.struct(both(p["subj"], p["obj"]), p["pred"]))).alias("known"))
+    frames = keyed.where("image_id <> key_id").select(*by, "image_id", "key_id")
+    links = frames.select("image_id", "key_id").distinct()
+    boxes = objs.select("image_id", "idx", "label", "x1", "y1", "x2", "y2")
+    there = links.join(boxes.withColumnRenamed("image_id", "key_id"), "key_id")
+    found = match_by_iou(links.join(boxes, "image_id"), there, ["image_id", "key_id"], least)
+    matches = found.groupBy("image_id", "key_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "j"))).alias("m"))
+    rows = frames.join(said, "image_id").join(whole, "key_id", "left").join(matches, ["image_id", "key_id"], "left")
+    pairs = rows.select(*by, "image_id", "known", "m", F.explode("pairs").alias("p"))
+    i, j = F.col("m")[F.col("p.subj")], F.col("m")[F.col("p.obj")]
+    none = F.array().cast("array<string>")
+    return pairs.select(*by, "image_id", "p.*", (i.isNotNull() & j.isNotNull()).alias("matched"), F.coalesce(F.col("known")[both(i, j)], none).alias("kept"))
+
+
+def propagation_scores(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Of propagated() pairs with both ends matched, by predicate: support and stability (stated in the frame, and kept), gold, and the recall of what is kept and of what the frame itself states."""
+    k = F.explode(F.array(*map(F.lit, PREDICATES))).alias("k")
+    has = lambda c: F.array_contains(c, F.col("k"))
+    each = pairs.where("matched").select(*by, "pred", "gold", "kept", k).where(has("pred") | has("gold"))
+    n = each.groupBy(*by, "k").agg(F.count_if(has("pred")).alias("support"), F.count_if(has("pred") & has("kept")).alias("agree"), F.count_if(has("gold")).alias("gold"), F.count_if(has("gold") & has("kept")).alias("carried"), F.count_if(has("gold") & has("pred")).alias("own"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6))
+    return n.select(*by, "k", "support", share("agree", "support").alias("stability"), "gold", share("carried", "gold").alias("recall_propagated"), share("own", "gold").alias("recall_per_frame"))
+
+
 def boundary_scores(found: DataFrame, truth: DataFrame, tol: int, *, key: str = "clip", at: str = "at") -> DataFrame:
     """Precision, recall and F1 of boundaries, matched within a tolerance in either direction.
 

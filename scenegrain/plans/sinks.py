@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scenegrain.functions.geometry import Box, center_form, num
+from scenegrain.operators.ranks import placed
+from scenegrain.sources.folders import write_per_image
 from scenegrain.types import LABEL_IDS, PREDICATE_IDS
 
 
@@ -48,7 +49,9 @@ def annotations(objs: DataFrame, scene: DataFrame, width: int = 1280, height: in
 
 
 def write_annotations(objs: DataFrame, scene: DataFrame, path: str) -> None:
-    annotations(objs, scene).withColumn("grp", F.col("image_id") % 9).write.partitionBy("grp").parquet(path)
+    """A JSON file per image, in a folder per image below one per group; ids are group/stem, others are put below their grp."""
+    names = objs.select("image_id", F.when(F.contains(F.col("image_id").cast("string"), F.lit("/")), F.col("image_id").cast("string")).otherwise(F.concat_ws("/", F.col("grp").cast("string"), F.col("image_id").cast("string"))).alias("name")).distinct()
+    write_per_image(annotations(objs, scene).join(names, "image_id").select(F.col("name").alias("image_id"), "value"), path)
 
 
 def write_pairs_csv(rows: DataFrame, path: str) -> None:
@@ -56,12 +59,6 @@ def write_pairs_csv(rows: DataFrame, path: str) -> None:
     rows.sortWithinPartitions("image_id", "subj", "obj").write.option("header", True).option("emptyValue", "").csv(path)
 
 
-def write_caches(objs: DataFrame, contact: DataFrame, path: str) -> None:
-    """Geometry and contact as Parquet, so that rules can run again without pixels."""
-    objs.write.parquet(f"{path}/geometry")
-    contact.withColumn("frac", F.bround("frac", 4)).write.parquet(f"{path}/contact")
-
-
 def geometry_documents(objs: DataFrame) -> DataFrame:
     """image_id and value: a list of an image's measured objects, as the cache of one file per image holds it."""
     o = F.struct("idx", "label", F.array("x1", "y1", "x2", "y2").alias("box"), "cx", "cy", "depth", F.array("cx", "cy", "depth").alias("pos3d"))
@@ -91,16 +88,9 @@ def markdown(rows: DataFrame, columns: list[str], most: int = 50) -> str:
 
 
 def image_ids(objs: DataFrame) -> DataFrame:
-    """split, image_id, id: ids from 0 in each split, in order of image.
-
-    A global rank per split would sort a split in one task: images are ranked within ranges instead,
-    and a range's first id is the number of images in those before it.
-    """
-    images = objs.select(split_of(F.col("grp")).alias("split"), "image_id").distinct().withColumn("part", F.expr("image_id div 100000"))
-    counts = images.groupBy("split", "part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("split").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    rank = F.row_number().over(Window.partitionBy("split", "part").orderBy("image_id")) - 1
-    return images.withColumn("rank", rank).join(before, ["split", "part"]).select("split", "image_id", (F.col("before") + F.col("rank")).alias("id"))
+    """split, image_id, id: ids from 0 in each split, in order of image, whatever the type of its id; the split is that of the image's group (grp)."""
+    images = objs.select(split_of(F.col("grp")).alias("split"), "image_id").distinct()
+    return placed(images, ["split"], ["image_id"], rank="id").select("split", "image_id", "id")
 
 
 def relation_export(objs: DataFrame, triplets: DataFrame, width: int = 1280, height: int = 720) -> dict[str, DataFrame]:

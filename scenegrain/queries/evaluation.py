@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from scenegrain.functions.geometry import num
 from scenegrain.operators import evaluate as V
 from scenegrain.operators import rules
+from scenegrain.operators.ranks import placed
 from scenegrain.sources import fixtures
 from scenegrain.types import PREDICATES, Thresholds
 
@@ -296,9 +297,8 @@ def image_ratio(spark, sf):
 @registry.add("w04_quartiles", with_("objects", "contact", "res", "y AS (SELECT grp, dist3d, row_number() OVER (PARTITION BY grp ORDER BY dist3d, image_id, subj, obj) - 1 AS r, count(*) OVER (PARTITION BY grp) AS n FROM res)") + "SELECT grp, CAST(least(r // (n // 4), 3) AS INT) AS quartile, count(*) AS n, round(min(dist3d), 6) AS lo, round(max(dist3d), 6) AS hi FROM y WHERE n >= 8 GROUP BY 1, 2")
 def quartiles(spark, sf):
     """Four equal parts by distance within a group of clips; the last one takes the remainder, groups under 8 have none."""
-    f = inputs.fact(spark, sf)
-    w = Window.partitionBy("grp")
-    y = f.select("grp", "dist3d", (F.row_number().over(w.orderBy("dist3d", "image_id", "subj", "obj")) - 1).alias("r"), F.count("*").over(w).alias("n")).where("n >= 8")
+    f = inputs.fact(spark, sf).select("grp", "dist3d", "image_id", "subj", "obj")
+    y = placed(f, ["grp"], ["dist3d", "image_id", "subj", "obj"]).where("n >= 8")
     return y.groupBy("grp", F.least(F.expr("r div (n div 4)"), F.lit(3)).cast("int").alias("quartile")).agg(F.count("*").alias("n"), F.round(F.min("dist3d"), 6).alias("lo"), F.round(F.max("dist3d"), 6).alias("hi"))
 
 
@@ -319,9 +319,8 @@ def per_stratum(spark, sf):
 
 @registry.add("w09_even_picks", with_("objects", "y AS (SELECT grp, image_id, row_number() OVER (PARTITION BY grp ORDER BY image_id) - 1 AS r, count(*) OVER (PARTITION BY grp) AS n FROM (SELECT DISTINCT grp, image_id FROM objects))") + "SELECT DISTINCT grp, image_id FROM y, range(0, 5) t(i) WHERE r = round_even(i * (n - 1) / 4::DOUBLE, 0)")
 def even_picks(spark, sf):
-    w = Window.partitionBy("grp")
-    y = inputs.objects(spark, sf).select("grp", "image_id").distinct().withColumns({"r": F.row_number().over(w.orderBy("image_id")) - 1, "n": F.count("*").over(w)})
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.bround(i * (F.col("n") - 1) / num(4), 0).cast("int"))
+    y = placed(inputs.objects(spark, sf).select("grp", "image_id").distinct(), ["grp"], ["image_id"])
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.bround(i * (F.col("n") - 1) / num(4), 0).cast("long"))
     return y.where(F.array_contains(wanted, F.col("r"))).select("grp", "image_id")
 
 

@@ -11,6 +11,7 @@ from scenegrain.functions import text as X
 from scenegrain.functions.geometry import num
 from scenegrain.operators import evaluate as V
 from scenegrain.operators import rules
+from scenegrain.operators.ranks import placed
 from scenegrain.plans import sinks
 from scenegrain.sources import fixtures, folders, readers
 from scenegrain.sources.fixtures import read
@@ -317,8 +318,9 @@ def top_and_more(spark, sf):
 
 @registry.add("o08_seeded_shuffle", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS place FROM documents")
 def seeded_shuffle(spark, sf):
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.md5(F.concat(F.lit("42|"), F.col("doc_id").cast("string"))), "doc_id"))
-    return read(spark, sf, "documents").select("source", "doc_id", place.cast("long").alias("place"))
+    """Places of a seeded order within a source, whichever its size."""
+    rows = read(spark, sf, "documents").select("source", "doc_id", F.md5(F.concat(F.lit("42|"), F.col("doc_id").cast("string"))).alias("h"))
+    return placed(rows, ["source"], ["h", "doc_id"]).select("source", "doc_id", (F.col("r") + 1).alias("place"))
 
 
 @registry.add("w13_progress", "SELECT user_id, event_id, done, round(done / elapsed::DOUBLE, 6) AS rate, round((total - done) / (done / elapsed::DOUBLE), 6) AS eta FROM (SELECT user_id, event_id, row_number() OVER w AS done, count(*) OVER (PARTITION BY user_id) AS total, 1 + floor(epoch(ts))::BIGINT - floor(epoch(min(ts) OVER (PARTITION BY user_id)))::BIGINT AS elapsed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")

@@ -8,14 +8,22 @@ from pyspark.sql.window import Window
 from scenegrain.functions.geometry import num
 from scenegrain.operators import sequence as S
 from scenegrain.sources.fixtures import read
+from scenegrain.types import PREDICATES
 
 from . import _inputs as inputs
 from ._sql import Registry, with_
 
 registry = Registry()
 
-FOLD = """e AS (SELECT label AS clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS ord, embedding::DOUBLE[] AS sig FROM embeddings),
-sg AS (SELECT clip, ord, 0 AS seg, sig AS anchor FROM e WHERE ord = 0 UNION ALL SELECT e.clip, e.ord, CASE WHEN x.far THEN s.seg + 1 ELSE s.seg END, CASE WHEN x.far THEN e.sig ELSE s.anchor END FROM sg s JOIN e ON e.clip = s.clip AND e.ord = s.ord + 1, LATERAL (SELECT list_sum(list_transform(range(1, len(e.sig) + 1), lambda i: abs(e.sig[i] - s.anchor[i]))) / len(e.sig) > 0.14::DOUBLE AS far) x)"""
+SIGNATURES = "e AS (SELECT label AS clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS ord, embedding::DOUBLE[] AS sig FROM embeddings)"
+
+
+def fold_sql(tau: float, name: str = "sg", frames: str = "e") -> str:
+    """A recursive CTE from frames (clip, ord, sig) to segments, a frame a step."""
+    return f"""{name} AS (SELECT clip, ord, 0 AS seg, sig AS anchor FROM {frames} WHERE ord = 0 UNION ALL SELECT e.clip, e.ord, CASE WHEN x.far THEN s.seg + 1 ELSE s.seg END, CASE WHEN x.far THEN e.sig ELSE s.anchor END FROM {name} s JOIN {frames} e ON e.clip = s.clip AND e.ord = s.ord + 1, LATERAL (SELECT list_sum(list_transform(range(1, len(e.sig) + 1), lambda i: abs(e.sig[i] - s.anchor[i]))) / len(e.sig) > {tau}::DOUBLE AS far) x)"""
+
+
+FOLD = SIGNATURES + ",\n" + fold_sql(0.14)
 
 
 def signatures(spark, sf):
@@ -50,10 +58,18 @@ def keyframes(spark, sf):
     return S.keyframes(x, S.segments(x, TAU, min_len=2))
 
 
-@registry.add("a40_segment_sweep", "WITH RECURSIVE " + FOLD + " SELECT clip, count(DISTINCT seg) AS segments, round(count(*) / count(DISTINCT seg)::DOUBLE, 6) AS compression FROM sg GROUP BY clip")
+TAUS = (0.12, 0.14, 0.16)
+FOLDS = ", ".join([SIGNATURES, *(fold_sql(tau, f"sg{i}") for i, tau in enumerate(TAUS))])
+LENGTHS = ", ln AS (" + " UNION ALL ".join(f"SELECT clip, {tau}::DOUBLE AS tau, seg, count(*) AS n FROM sg{i} GROUP BY clip, seg" for i, tau in enumerate(TAUS)) + ")"
+
+
+@registry.add("a40_segment_sweep", "WITH RECURSIVE " + FOLDS + LENGTHS + " SELECT clip, tau, count(*) AS segments, round(sum(n) / count(*)::DOUBLE, 6) AS compression, median(n)::DOUBLE AS median_length, max(n) AS longest FROM ln GROUP BY clip, tau")
 def segment_sweep(spark, sf):
-    s = S.segments(signatures(spark, sf), TAU).groupBy("clip", "seg").agg(F.count("*").alias("n"))
-    return s.groupBy("clip").agg(F.count("*").alias("segments"), F.round(F.sum("n") / F.count("*"), 6).alias("compression"))
+    """Segments, compression and lengths of every clip for a sweep of taus, all of which one pass folds."""
+    segs = S.segment_sweep(signatures(spark, sf), list(TAUS)).select("clip", F.posexplode("segs").alias("k", "seg"))
+    tau = F.element_at(F.array(*map(num, TAUS)), F.col("k") + 1)
+    n = segs.groupBy("clip", tau.alias("tau"), "seg").agg(F.count("*").alias("n"))
+    return n.groupBy("clip", "tau").agg(F.count("*").alias("segments"), F.round(F.sum("n") / F.count("*"), 6).alias("compression"), F.median("n").alias("median_length"), F.max("n").alias("longest"))
 
 
 @registry.add("a41_boundary_scores", "WITH RECURSIVE " + FOLD + """, b AS (SELECT DISTINCT clip, min(ord) OVER (PARTITION BY clip, seg) AS at FROM sg), t AS (SELECT clip, ord AS at FROM e WHERE ord % 9 = 0), c AS (SELECT (SELECT count(*) FROM b) AS found, (SELECT count(*) FROM t) AS truth, (SELECT count(*) FROM b WHERE EXISTS (SELECT 1 FROM t WHERE t.clip = b.clip AND abs(t.at - b.at) <= 2)) AS hit, (SELECT count(*) FROM t WHERE EXISTS (SELECT 1 FROM b WHERE t.clip = b.clip AND abs(t.at - b.at) <= 2)) AS got)
@@ -188,21 +204,59 @@ def conditional_recall(spark, sf):
     return r.groupBy("predicate").agg(F.count("*").alias("gold"), F.round(F.avg(F.coalesce(F.col("said"), F.lit(0)) * F.col("both")), 6).alias("recall"), F.round(F.avg(F.when(F.col("both") == 1, F.coalesce(F.col("said"), F.lit(0)))), 6).alias("conditional"))
 
 
-CARRIED = greedy_sql(f"SELECT a.image_id AS anchor, b.image_id, a.idx AS i, b.idx AS j, {IOU} AS v FROM objects a JOIN objects b ON a.image_id = b.image_id - b.image_id % 32 AND b.image_id <> a.image_id AND b.label = a.label WHERE {IOU} >= 0.3", ("anchor", "image_id"))
+CELLS = 8
+DRIFTS = (0.08, 0.11, 0.14)
+
+
+def frame_signatures(spark, sf):
+    """Images as frames: 256 ids are a clip, and its signature counts the objects in eight cells of the picture."""
+    objs = inputs.objects(spark, sf)
+    cell = F.floor(F.least(F.col("cx"), num(0.99)) * 4) + F.when(F.col("cy") >= num(0.5), 4).otherwise(0)
+    counts = [F.count_if(cell == k) / num(10) for k in range(CELLS)]
+    images = objs.groupBy("image_id").agg(F.array(*counts).alias("sig")).withColumn("clip", F.expr("image_id div 256"))
+    return images.withColumn("ord", F.row_number().over(Window.partitionBy("clip").orderBy("image_id")) - 1)
+
+
+def keyed_frames(spark, sf):
+    """tau, image_id and key_id: the keyframe of every frame's segment, for a sweep of taus."""
+    frames = frame_signatures(spark, sf)
+    segs = S.segment_sweep(frames, list(DRIFTS)).select("clip", "ord", F.posexplode("segs").alias("k", "seg")).withColumn("track", F.struct("k", "clip"))
+    keys = S.keyframes(frames.crossJoin(F.broadcast(spark.range(len(DRIFTS)).select(F.col("id").cast("int").alias("k")))).withColumn("track", F.struct("k", "clip")), segs.select("track", "ord", "seg"), key="track")
+    named = segs.join(keys.select("track", "seg", "keyframe"), ["track", "seg"]).join(frames.select("clip", "ord", "image_id"), ["clip", "ord"])
+    firsts = frames.select("clip", F.col("ord").alias("keyframe"), F.col("image_id").alias("key_id"))
+    return named.join(firsts, ["clip", "keyframe"]).select(F.element_at(F.array(*map(num, DRIFTS)), F.col("k") + 1).alias("tau"), "image_id", "key_id")
+
+
+_CELL = "(floor(least(cx, 0.99::DOUBLE) * 4) + CASE WHEN cy >= 0.5 THEN 4 ELSE 0 END)"
+FRAMED = f"fr AS MATERIALIZED (SELECT image_id // 256 AS clip, row_number() OVER (PARTITION BY image_id // 256 ORDER BY image_id) - 1 AS ord, image_id, sig FROM (SELECT image_id, [" + ", ".join(f"count(*) FILTER ({_CELL} = {k}) / 10::DOUBLE" for k in range(CELLS)) + "] AS sig FROM objects GROUP BY image_id))"
+DRIFTED = ", ".join(fold_sql(tau, f"d{i}", "fr") for i, tau in enumerate(DRIFTS)) + ", ds AS (" + " UNION ALL ".join(f"SELECT {tau}::DOUBLE AS tau, clip, ord, seg FROM d{i}" for i, tau in enumerate(DRIFTS)) + ")"
+KEYED = """dv AS (SELECT tau, clip, seg, ord, unnest(sig) AS v, unnest(range(1, len(sig) + 1)) AS pos FROM ds JOIN fr USING (clip, ord)), dm AS (SELECT tau, clip, seg, pos, avg(v) AS mean FROM dv GROUP BY ALL), dd AS (SELECT tau, clip, seg, ord, round(avg(abs(v - mean)), 9) AS d FROM dv JOIN dm USING (tau, clip, seg, pos) GROUP BY ALL),
+dk AS (SELECT tau, clip, seg, CASE WHEN count(*) <= 2 THEN min(ord) ELSE arg_min(ord, d * 1000000 + ord * 1e-9) END AS ord FROM dd GROUP BY ALL),
+keyed AS (SELECT ds.tau, f.image_id, k.image_id AS key_id FROM ds JOIN dk USING (tau, clip, seg) JOIN fr f ON f.clip = ds.clip AND f.ord = ds.ord JOIN fr k ON k.clip = ds.clip AND k.ord = dk.ord)"""
+CARRIED = greedy_sql(f"SELECT l.image_id, l.key_id, a.idx AS i, b.idx AS j, {IOU} AS v FROM (SELECT DISTINCT image_id, key_id FROM keyed WHERE image_id <> key_id) l JOIN objects a ON a.image_id = l.image_id JOIN objects b ON b.image_id = l.key_id AND b.label = a.label WHERE {IOU} >= 0.5", ("image_id", "key_id"))
+JUDGED = "x AS (SELECT t.tau, f.image_id, f.subj, f.obj, f.pred, f.gold, ms.i IS NOT NULL AND mo.i IS NOT NULL AS matched, coalesce(k.pred, []::VARCHAR[]) AS kept FROM keyed t JOIN fact f ON f.image_id = t.image_id LEFT JOIN m ms ON ms.image_id = t.image_id AND ms.key_id = t.key_id AND ms.i = f.subj LEFT JOIN m mo ON mo.image_id = t.image_id AND mo.key_id = t.key_id AND mo.i = f.obj LEFT JOIN fact k ON k.image_id = t.key_id AND k.subj = ms.j AND k.obj = mo.j WHERE t.image_id <> t.key_id)"
+CARRYING = recursive("objects", "contact", "gold", "res", "fact", FRAMED, DRIFTED, KEYED, CARRIED, JUDGED, f"pk AS (SELECT tau, k, list_contains(pred, k) AS p, list_contains(gold, k) AS g, list_contains(kept, k) AS c FROM (SELECT *, unnest({list(PREDICATES)}) AS k FROM x WHERE matched))", "sc AS (SELECT tau, k, count(*) FILTER (p) AS support, round(count(*) FILTER (p AND c) / count(*) FILTER (p)::DOUBLE, 6) AS stability, count(*) FILTER (g) AS gold, round(count(*) FILTER (g AND c) / count(*) FILTER (g)::DOUBLE, 6) AS recall_propagated, round(count(*) FILTER (g AND p) / count(*) FILTER (g)::DOUBLE, 6) AS recall_per_frame FROM pk WHERE p OR g GROUP BY tau, k)")
+SCORES = ("stability", "recall_propagated", "recall_per_frame")
+
+
+def carried(spark, sf):
+    return S.propagated(inputs.fact(spark, sf), inputs.objects(spark, sf), keyed_frames(spark, sf), ["tau"])
 
 
-@registry.add("a20_propagation", recursive("objects", "contact", "res", CARRIED, "x AS (SELECT ms.anchor, k.pred AS kept, r.pred FROM res k JOIN m ms ON ms.anchor = k.image_id AND ms.i = k.subj JOIN m mo ON mo.anchor = k.image_id AND mo.image_id = ms.image_id AND mo.i = k.obj JOIN res r ON r.image_id = ms.image_id AND r.subj = ms.j AND r.obj = mo.j)") + "SELECT anchor, count(*) AS pairs, round(avg(CASE WHEN len(kept) + len(pred) = 0 THEN 1::DOUBLE ELSE len(list_intersect(kept, pred)) / len(list_distinct(list_concat(kept, pred)))::DOUBLE END), 6) AS stability FROM x GROUP BY anchor")
+@registry.add("a20_propagation", CARRYING + "SELECT tau, k, support, CASE WHEN support > 0 THEN stability END AS stability, gold, CASE WHEN gold > 0 THEN recall_propagated END AS recall_propagated, CASE WHEN gold > 0 THEN recall_per_frame END AS recall_per_frame FROM sc")
 def propagation(spark, sf):
-    """Predicates of a keyframe carried to the next image of its group through matched objects."""
-    o = inputs.objects(spark, sf).withColumn("anchor", F.expr("image_id - image_id % 32"))
-    key = o.where("image_id = anchor").select("anchor", "idx", "label", "x1", "y1", "x2", "y2")
-    rest = o.where("image_id <> anchor").select("anchor", "image_id", "idx", "label", "x1", "y1", "x2", "y2")
-    frames = rest.select("anchor", "image_id").distinct()
-    m = S.match_by_iou(key.join(frames, "anchor"), rest, ["anchor", "image_id"], 0.3)
-    s = inputs.scene(spark, sf).select("image_id", F.col("a_idx").alias("s"), F.col("b_idx").alias("o"), "predicates")
-    carried = s.select(F.col("image_id").alias("anchor"), F.col("s").alias("ks"), F.col("o").alias("ko"), F.col("predicates").alias("kept")).join(m.select("anchor", "image_id", F.col("i").alias("ks"), F.col("j").alias("s")), ["anchor", "ks"]).join(m.select("anchor", "image_id", F.col("i").alias("ko"), F.col("j").alias("o")), ["anchor", "image_id", "ko"])
-    r = carried.join(s, ["image_id", "s", "o"]).withColumn("j", S.jaccard(F.col("kept"), F.col("predicates")))
-    return r.groupBy("anchor").agg(F.count("*").alias("pairs"), F.round(F.avg("j"), 6).alias("stability"))
+    """Predicates of the keyframes of drift segments carried to their frames through matched objects, by tau and predicate."""
+    return S.propagation_scores(carried(spark, sf), ["tau"])
+
+
+@registry.add("a20_propagation_summary", CARRYING + ", fk AS (SELECT tau, count(*) AS frames, count(*) FILTER (image_id = key_id) AS keyframes FROM keyed GROUP BY tau), mt AS (SELECT tau, count(*) FILTER (matched) AS matched, count(*) FILTER (NOT matched) AS unmatched FROM x GROUP BY tau), mn AS (SELECT tau, " + ", ".join(f"round(avg({c}) FILTER ({n} > 0), 6) AS mean_{c}" for c, n in zip(SCORES, ("support", "gold", "gold"), strict=True)) + " FROM sc GROUP BY tau) SELECT * FROM (SELECT tau, frames, keyframes, round(frames / keyframes::DOUBLE, 6) AS compression FROM fk) JOIN mt USING (tau) JOIN mn USING (tau)")
+def propagation_summary(spark, sf):
+    """By tau: frames, keyframes and compression, pairs with both ends matched and without, and the means over predicates."""
+    keyed, pairs = keyed_frames(spark, sf), carried(spark, sf)
+    n = keyed.groupBy("tau").agg(F.count("*").alias("frames"), F.count_if(F.col("image_id") == F.col("key_id")).alias("keyframes")).withColumn("compression", F.round(F.col("frames") / F.col("keyframes"), 6))
+    matched = pairs.groupBy("tau").agg(F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("unmatched"))
+    means = S.propagation_scores(pairs, ["tau"]).groupBy("tau").agg(*[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in SCORES])
+    return n.join(matched, "tau").join(means, "tau")
 
 
 @registry.add("j21_frame_gap", with_("frames") + "SELECT a.clip, a.ord, round(b.x1 - a.x1, 6) AS shift FROM frames a JOIN frames b ON b.clip = a.clip AND b.ord = a.ord + 10")

@@ -19,6 +19,13 @@ def shared(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df written as Parquet to a new shared folder and read again, with the path: what follows doesn't work it out anew."""
+    path = shared(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def write_per_image(documents: DataFrame, path: str) -> str:
     """Documents (image_id as group/stem, value) as one file each: group=<group>/stem=<stem>/part-*.txt."""
     parts = F.split("image_id", "/", 2)
