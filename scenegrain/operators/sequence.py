@@ -133,13 +133,15 @@ def propagated(fact: DataFrame, objs: DataFrame, keyed: DataFrame, by: list[str]
 
 
 def propagation_scores(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Of propagated() pairs with both ends matched, by predicate: support and stability (stated in the frame, and kept), gold, and the recall of what is kept and of what the frame itself states."""
+    """Of propagated() pairs, by predicate: support and stability (stated in the frame, and kept), gold, and the recall of what is kept and of what the frame itself states.
+
+    These are of pairs with both ends matched; how many pairs are, and aren't, is in every row.
+    """
     k = F.explode(F.array(*map(F.lit, PREDICATES))).alias("k")
-    has = lambda c: F.array_contains(c, F.col("k"))
-    each = pairs.where("matched").select(*by, "pred", "gold", "kept", k).where(has("pred") | has("gold"))
-    n = each.groupBy(*by, "k").agg(F.count_if(has("pred")).alias("support"), F.count_if(has("pred") & has("kept")).alias("agree"), F.count_if(has("gold")).alias("gold"), F.count_if(has("gold") & has("kept")).alias("carried"), F.count_if(has("gold") & has("pred")).alias("own"))
+    has = lambda c: F.col("matched") & F.array_contains(c, F.col("k"))
+    n = pairs.select(*by, "matched", "pred", "gold", "kept", k).groupBy(*by, "k").agg(F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("unmatched"), F.count_if(has("pred")).alias("support"), F.count_if(has("pred") & has("kept")).alias("agree"), F.count_if(has("gold")).alias("gold"), F.count_if(has("gold") & has("kept")).alias("carried"), F.count_if(has("gold") & has("pred")).alias("own"))
     share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6))
-    return n.select(*by, "k", "support", share("agree", "support").alias("stability"), "gold", share("carried", "gold").alias("recall_propagated"), share("own", "gold").alias("recall_per_frame"))
+    return n.select(*by, "k", "matched", "unmatched", "support", share("agree", "support").alias("stability"), "gold", share("carried", "gold").alias("recall_propagated"), share("own", "gold").alias("recall_per_frame"))
 
 
 def boundary_scores(found: DataFrame, truth: DataFrame, tol: int, *, key: str = "clip", at: str = "at") -> DataFrame:

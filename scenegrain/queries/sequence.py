@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scenegrain.functions.geometry import num
+from scenegrain.operators import rules
 from scenegrain.operators import sequence as S
+from scenegrain.sources import fixtures
 from scenegrain.sources.fixtures import read
 from scenegrain.types import PREDICATES
 
@@ -205,15 +207,33 @@ def conditional_recall(spark, sf):
 
 
 CELLS = 8
-DRIFTS = (0.08, 0.11, 0.14)
+DRIFTS = (0.01, 0.03, 0.06)
+
+
+def moving_objects(spark, sf):
+    """The images of 32 ids as frames of a clip: its first image's objects, moved by what else the frame's image has, some of them out of sight."""
+    own = inputs.objects(spark, sf).withColumn("clip", F.expr("image_id div 32"))
+    sizes = own.groupBy("clip", "image_id", "grp").agg(F.count("*").alias("size"))
+    frames = sizes.withColumn("ord", F.row_number().over(Window.partitionBy("clip").orderBy("image_id")) - 1)
+    first = frames.where("ord = 0").select("clip", F.col("image_id").alias("first"))
+    there = own.drop("grp").withColumnRenamed("image_id", "first").join(first, ["clip", "first"])
+    o = there.join(frames, "clip").where((F.col("ord") == 0) | ((F.col("idx") + F.col("image_id")) % 11 > 0))
+    by = num(0.004) * F.col("size") * F.col("ord")
+    depth = F.col("depth") + num(0.01) * F.col("ord") * ((F.col("idx") + F.col("image_id")) % 3 - 1)
+    return o.select("image_id", "grp", "idx", "label", *[(F.col(c) + by).alias(c) if c in ("x1", "x2", "cx") else F.col(c) for c in ("x1", "y1", "x2", "y2", "cx", "cy")], depth.alias("depth"))
+
+
+MOVING = """sizes AS (SELECT image_id // 32 AS clip, image_id, grp, count(*) AS size FROM still GROUP BY ALL), fm AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY image_id) - 1 AS ord FROM sizes),
+objects AS MATERIALIZED (SELECT f.image_id, f.grp, o.idx, label, x1 + 0.004::DOUBLE * f.size * f.ord AS x1, y1, x2 + 0.004::DOUBLE * f.size * f.ord AS x2, y2, cx + 0.004::DOUBLE * f.size * f.ord AS cx, cy, depth + 0.01::DOUBLE * f.ord * ((o.idx + f.image_id) % 3 - 1) AS depth
+ FROM fm f JOIN fm b ON b.clip = f.clip AND b.ord = 0 JOIN still o ON o.image_id = b.image_id WHERE f.ord = 0 OR (o.idx + f.image_id) % 11 > 0)"""
 
 
 def frame_signatures(spark, sf):
-    """Images as frames: 256 ids are a clip, and its signature counts the objects in eight cells of the picture."""
-    objs = inputs.objects(spark, sf)
+    """clip, ord, image_id and sig of the frames: a signature counts the objects in eight cells of the picture."""
+    objs = moving_objects(spark, sf)
     cell = F.floor(F.least(F.col("cx"), num(0.99)) * 4) + F.when(F.col("cy") >= num(0.5), 4).otherwise(0)
     counts = [F.count_if(cell == k) / num(10) for k in range(CELLS)]
-    images = objs.groupBy("image_id").agg(F.array(*counts).alias("sig")).withColumn("clip", F.expr("image_id div 256"))
+    images = objs.groupBy("image_id").agg(F.array(*counts).alias("sig")).withColumn("clip", F.expr("image_id div 32"))
     return images.withColumn("ord", F.row_number().over(Window.partitionBy("clip").orderBy("image_id")) - 1)
 
 
@@ -228,35 +248,36 @@ def keyed_frames(spark, sf):
 
 
 _CELL = "(floor(least(cx, 0.99::DOUBLE) * 4) + CASE WHEN cy >= 0.5 THEN 4 ELSE 0 END)"
-FRAMED = f"fr AS MATERIALIZED (SELECT image_id // 256 AS clip, row_number() OVER (PARTITION BY image_id // 256 ORDER BY image_id) - 1 AS ord, image_id, sig FROM (SELECT image_id, [" + ", ".join(f"count(*) FILTER ({_CELL} = {k}) / 10::DOUBLE" for k in range(CELLS)) + "] AS sig FROM objects GROUP BY image_id))"
+FRAMED = f"fr AS MATERIALIZED (SELECT image_id // 32 AS clip, row_number() OVER (PARTITION BY image_id // 32 ORDER BY image_id) - 1 AS ord, image_id, sig FROM (SELECT image_id, [" + ", ".join(f"count(*) FILTER ({_CELL} = {k}) / 10::DOUBLE" for k in range(CELLS)) + "] AS sig FROM objects GROUP BY image_id))"
 DRIFTED = ", ".join(fold_sql(tau, f"d{i}", "fr") for i, tau in enumerate(DRIFTS)) + ", ds AS (" + " UNION ALL ".join(f"SELECT {tau}::DOUBLE AS tau, clip, ord, seg FROM d{i}" for i, tau in enumerate(DRIFTS)) + ")"
 KEYED = """dv AS (SELECT tau, clip, seg, ord, unnest(sig) AS v, unnest(range(1, len(sig) + 1)) AS pos FROM ds JOIN fr USING (clip, ord)), dm AS (SELECT tau, clip, seg, pos, avg(v) AS mean FROM dv GROUP BY ALL), dd AS (SELECT tau, clip, seg, ord, round(avg(abs(v - mean)), 9) AS d FROM dv JOIN dm USING (tau, clip, seg, pos) GROUP BY ALL),
 dk AS (SELECT tau, clip, seg, CASE WHEN count(*) <= 2 THEN min(ord) ELSE arg_min(ord, d * 1000000 + ord * 1e-9) END AS ord FROM dd GROUP BY ALL),
 keyed AS (SELECT ds.tau, f.image_id, k.image_id AS key_id FROM ds JOIN dk USING (tau, clip, seg) JOIN fr f ON f.clip = ds.clip AND f.ord = ds.ord JOIN fr k ON k.clip = ds.clip AND k.ord = dk.ord)"""
 CARRIED = greedy_sql(f"SELECT l.image_id, l.key_id, a.idx AS i, b.idx AS j, {IOU} AS v FROM (SELECT DISTINCT image_id, key_id FROM keyed WHERE image_id <> key_id) l JOIN objects a ON a.image_id = l.image_id JOIN objects b ON b.image_id = l.key_id AND b.label = a.label WHERE {IOU} >= 0.5", ("image_id", "key_id"))
 JUDGED = "x AS (SELECT t.tau, f.image_id, f.subj, f.obj, f.pred, f.gold, ms.i IS NOT NULL AND mo.i IS NOT NULL AS matched, coalesce(k.pred, []::VARCHAR[]) AS kept FROM keyed t JOIN fact f ON f.image_id = t.image_id LEFT JOIN m ms ON ms.image_id = t.image_id AND ms.key_id = t.key_id AND ms.i = f.subj LEFT JOIN m mo ON mo.image_id = t.image_id AND mo.key_id = t.key_id AND mo.i = f.obj LEFT JOIN fact k ON k.image_id = t.key_id AND k.subj = ms.j AND k.obj = mo.j WHERE t.image_id <> t.key_id)"
-CARRYING = recursive("objects", "contact", "gold", "res", "fact", FRAMED, DRIFTED, KEYED, CARRIED, JUDGED, f"pk AS (SELECT tau, k, list_contains(pred, k) AS p, list_contains(gold, k) AS g, list_contains(kept, k) AS c FROM (SELECT *, unnest({list(PREDICATES)}) AS k FROM x WHERE matched))", "sc AS (SELECT tau, k, count(*) FILTER (p) AS support, round(count(*) FILTER (p AND c) / count(*) FILTER (p)::DOUBLE, 6) AS stability, count(*) FILTER (g) AS gold, round(count(*) FILTER (g AND c) / count(*) FILTER (g)::DOUBLE, 6) AS recall_propagated, round(count(*) FILTER (g AND p) / count(*) FILTER (g)::DOUBLE, 6) AS recall_per_frame FROM pk WHERE p OR g GROUP BY tau, k)")
+STILL = with_("objects").removeprefix("WITH ").replace("objects AS", "still AS", 1).rstrip()
+CARRYING = recursive(STILL, MOVING, "contact", "gold", "res", "fact", FRAMED, DRIFTED, KEYED, CARRIED, JUDGED, f"pk AS (SELECT tau, k, list_contains(pred, k) AS p, list_contains(gold, k) AS g, list_contains(kept, k) AS c FROM (SELECT *, unnest({list(PREDICATES)}) AS k FROM x WHERE matched))", "sc AS (SELECT tau, k, count(*) FILTER (p) AS support, round(count(*) FILTER (p AND c) / count(*) FILTER (p)::DOUBLE, 6) AS stability, count(*) FILTER (g) AS gold, round(count(*) FILTER (g AND c) / count(*) FILTER (g)::DOUBLE, 6) AS recall_propagated, round(count(*) FILTER (g AND p) / count(*) FILTER (g)::DOUBLE, 6) AS recall_per_frame FROM pk WHERE p OR g GROUP BY tau, k)")
 SCORES = ("stability", "recall_propagated", "recall_per_frame")
 
 
 def carried(spark, sf):
-    return S.propagated(inputs.fact(spark, sf), inputs.objects(spark, sf), keyed_frames(spark, sf), ["tau"])
+    objs = moving_objects(spark, sf)
+    fact = rules.fact(objs, fixtures.gold(objs), contact=fixtures.contact(objs))
+    return S.propagated(fact, objs, keyed_frames(spark, sf), ["tau"])
 
 
 @registry.add("a20_propagation", CARRYING + "SELECT tau, k, support, CASE WHEN support > 0 THEN stability END AS stability, gold, CASE WHEN gold > 0 THEN recall_propagated END AS recall_propagated, CASE WHEN gold > 0 THEN recall_per_frame END AS recall_per_frame FROM sc")
 def propagation(spark, sf):
     """Predicates of the keyframes of drift segments carried to their frames through matched objects, by tau and predicate."""
-    return S.propagation_scores(carried(spark, sf), ["tau"])
+    return S.propagation_scores(carried(spark, sf), ["tau"]).where("support > 0 or gold > 0").drop("matched", "unmatched")
 
 
 @registry.add("a20_propagation_summary", CARRYING + ", fk AS (SELECT tau, count(*) AS frames, count(*) FILTER (image_id = key_id) AS keyframes FROM keyed GROUP BY tau), mt AS (SELECT tau, count(*) FILTER (matched) AS matched, count(*) FILTER (NOT matched) AS unmatched FROM x GROUP BY tau), mn AS (SELECT tau, " + ", ".join(f"round(avg({c}) FILTER ({n} > 0), 6) AS mean_{c}" for c, n in zip(SCORES, ("support", "gold", "gold"), strict=True)) + " FROM sc GROUP BY tau) SELECT * FROM (SELECT tau, frames, keyframes, round(frames / keyframes::DOUBLE, 6) AS compression FROM fk) JOIN mt USING (tau) JOIN mn USING (tau)")
 def propagation_summary(spark, sf):
     """By tau: frames, keyframes and compression, pairs with both ends matched and without, and the means over predicates."""
-    keyed, pairs = keyed_frames(spark, sf), carried(spark, sf)
-    n = keyed.groupBy("tau").agg(F.count("*").alias("frames"), F.count_if(F.col("image_id") == F.col("key_id")).alias("keyframes")).withColumn("compression", F.round(F.col("frames") / F.col("keyframes"), 6))
-    matched = pairs.groupBy("tau").agg(F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("unmatched"))
-    means = S.propagation_scores(pairs, ["tau"]).groupBy("tau").agg(*[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in SCORES])
-    return n.join(matched, "tau").join(means, "tau")
+    n = keyed_frames(spark, sf).groupBy("tau").agg(F.count("*").alias("frames"), F.count_if(F.col("image_id") == F.col("key_id")).alias("keyframes")).withColumn("compression", F.round(F.col("frames") / F.col("keyframes"), 6))
+    scores = S.propagation_scores(carried(spark, sf), ["tau"])
+    return n.join(scores.groupBy("tau").agg(F.max("matched").alias("matched"), F.max("unmatched").alias("unmatched"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in SCORES]), "tau")
 
 
 @registry.add("j21_frame_gap", with_("frames") + "SELECT a.clip, a.ord, round(b.x1 - a.x1, 6) AS shift FROM frames a JOIN frames b ON b.clip = a.clip AND b.ord = a.ord + 10")
