@@ -13,14 +13,18 @@ from pyspark.sql.window import Window
 
 from ._common import named, stored, table
 
-#: Vectors a list is meant to hold, and rows that each list's centroid is fitted on; numbers that a fit takes on the driver (64 MB).
-LIST_SIZE, FIT_EACH, FIT_NUMBERS = 256, 64, 1 << 24
+#: Vectors a list is meant to hold, and rows that each list's centroid is fitted on; numbers that a fit takes on the driver (32 MB as doubles).
+LIST_SIZE, FIT_EACH, FIT_NUMBERS = 128, 64, 1 << 22
 #: Vectors of a list, and queries of one, that meet in one task; more are dealt out in parts by a hash of the id.
-PART_MOST = 4096
+PART_MOST, TURN_MOST = 1 << 16, 4096
+#: A part of more lists' worth of vectors than this has lists of its own.
+WHOLE = 8
+#: Rows that a matrix product takes at once.
+BLOCK = 4096
 #: A vector is put into up to COPIES of its NEAR nearest lists, whose centroids are at most (1 + BOUNDARY) times as far as the nearest.
 COPIES, BOUNDARY, NEAR = 4, 0.12, 16
 #: A query probes all lists up to (1 + PRUNE) times as far as the nearest, and PROBES_LEAST at least.
-PRUNE, PROBES_LEAST = 0.22, 12
+PRUNE, PROBES_LEAST = 0.24, 8
 #: Neighbours of a centroid in the graph; a walk keeps BEAM centroids in view at first and opens OPEN of them at a time.
 DEGREE, BEAM, OPEN = 24, 48, 4
 
@@ -35,10 +39,12 @@ class Centroids:
     @classmethod
     def of(cls, vectors: np.ndarray) -> Centroids:
         k = len(vectors)
-        sims = vectors @ vectors.T
-        np.fill_diagonal(sims, -2)
         degree = min(DEGREE, max(1, k - 1))
-        near = np.argsort(-sims, axis=1, kind="stable")[:, :degree]
+        near = np.zeros((k, degree), np.int64)
+        for lo in range(0, k, 512):
+            sims = vectors[lo : lo + 512] @ vectors.T
+            sims[np.arange(len(sims)), np.arange(lo, lo + len(sims))] = -2
+            near[lo : lo + 512] = np.argsort(-sims, axis=1, kind="stable")[:, :degree]
         # a ring over all centroids keeps the graph connected
         ring = np.stack([(np.arange(k) + 1) % k, (np.arange(k) - 1) % k], 1)
         return cls(vectors, np.concatenate([near, ring], 1).astype(np.int64))
@@ -106,13 +112,13 @@ class Centroids:
 
 
 def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means whose assignment is charged for a list's excess over the mean size."""
+    """Spherical k-means whose assignment is charged for a list's excess over the mean size; no more than BLOCK rows meet all centroids at once."""
     rng = np.random.default_rng(7)
     c = x[rng.permutation(len(x))[:k]].copy()
     charge = np.zeros(k)
     mean = len(x) / k
     for _ in range(rounds):
-        own = (x @ c.T - charge).argmax(1)
+        own = np.concatenate([(x[lo : lo + BLOCK] @ c.T - charge.astype(np.float32)).argmax(1) for lo in range(0, len(x), BLOCK)])
         counts = np.bincount(own, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
@@ -161,7 +167,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    """Vectors, each times the power of two that brings its largest number below 1: cosines stay the same, and squares don't overflow."""
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
 
 
 def nearest(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
@@ -186,6 +194,50 @@ def nearest(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray
     return out
 
 
+def within(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, ratio: float, list_size: int) -> tuple[list, list, list]:
+    """The k best candidates of each query in one part; a part of many lists' worth of vectors gets lists of its own.
+
+    These are fitted on FIT_EACH of the part's vectors each, filled and found like those of the first level, so that
+    the rows that a query is compared with don't grow with a list of the first level. An infinite ratio
+    compares all, block by block.
+    """
+    lists = len(ids) // list_size if ratio < float("inf") and len(ids) > WHOLE * list_size else 0
+    if lists:
+        some = np.random.default_rng(7).permutation(len(ids))[: FIT_EACH * lists]
+        centroids = Centroids.of(balanced_centroids(unit(v[some]), lists))
+        rows = _by_blocks(lambda x: lists_of(x, centroids), v, 512)
+        asks = _by_blocks(lambda x: probes_of(x, centroids, ratio), q, 64)
+        by_rows, by_asks = np.argsort(rows[1], kind="stable"), np.argsort(asks[1], kind="stable")
+        row_ends, ask_ends = np.searchsorted(rows[1][by_rows], np.arange(lists + 1)), np.searchsorted(asks[1][by_asks], np.arange(lists + 1))
+        meetings = [(rows[0][by_rows[row_ends[i] : row_ends[i + 1]]], asks[0][by_asks[ask_ends[i] : ask_ends[i + 1]]]) for i in range(lists)]
+    else:
+        meetings = [(np.arange(len(ids)), np.arange(len(query_ids)))]
+    best = ([], [], [])
+    for mine, asking in meetings:
+        for lo in range(0, len(mine), BLOCK):
+            for at in range(0, len(asking), 512):
+                m, a = mine[lo : lo + BLOCK], asking[at : at + 512]
+                for into, new in zip(best, nearest(ids[m], v[m], query_ids[a], q[a], k), strict=True):
+                    into.extend(new)
+    if len(meetings) == 1 and len(ids) <= BLOCK:
+        return best
+    query, vec, score = np.array(best[0], np.int64), np.array(best[1], np.int64), np.array(best[2], np.float64)
+    order = np.lexsort((vec, -score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    if len(query):  # a vector of several lists has one score
+        new = np.append(True, (query[1:] != query[:-1]) | (vec[1:] != vec[:-1]))
+        query, vec, score = query[new], vec[new], score[new]
+        starts = np.append(True, query[1:] != query[:-1])
+        first = np.arange(len(query)) - np.maximum.accumulate(np.where(starts, np.arange(len(query)), 0)) < k
+        query, vec, score = query[first], vec[first], score[first]
+    return query.tolist(), vec.tolist(), score.tolist()
+
+
+def _by_blocks(of, x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    found = [(row + lo, which) for lo in range(0, len(x), size) for row, which in [of(unit(x[lo : lo + size]))]]
+    return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
 def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id and vector (doubles) of the rows that take part."""
     rows = df.select(named(id_col).cast("long").alias("id"), named(vector_col).cast("array<double>").alias("v"))
@@ -199,10 +251,12 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str =
     Fit: a list for each list_size vectors, its centroid fitted on FIT_EACH vectors or more of a sample
     (smallest hashes of ids) of at most fit_numbers numbers; so many that a vector of the sample isn't
     much nearer to its centroid than others are. Where fit_numbers is too small for that, lists are
-    fewer and longer. Index: every vector, in one list or more. Search: all lists within the distance
-    ratio of the nearest, found by a walk over the centroids' graph; a query that these give fewer than
-    k others reads every list, and an infinite ratio makes all do so, which is exact. Vectors and
-    queries of a list meet in parts of PART_MOST each, so no task holds more however many are alike;
+    fewer and longer, and those longer than WHOLE lists are cut into lists of list_size once more, by the
+    tasks that hold them: so lists in all grow with the rows, while the driver holds the first level
+    only. Index: every vector, in one list or more of either level. Search: all lists within the
+    distance ratio of the nearest, found by a walk over the centroids' graph, at both levels; a query
+    that these give fewer than k others reads every list, and an infinite ratio makes all do so, which is
+    exact. PART_MOST vectors and TURN_MOST queries of a list meet in one task, however many are alike;
     each part gives its k best for a query, and these are merged. Scores are cosines of the original
     vectors in double precision.
 
@@ -239,22 +293,21 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str =
     postings, _ = stored(rows.mapInArrow(listed(lambda x: lists_of(x, centroids), 512), schema), "postings")
     held = postings.groupBy("list").agg(F.count("*").alias("n"))
 
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if a.num_rows and b.num_rows:
-            ids, v = a["id"].to_numpy(), matrix(a["v"].combine_chunks(), dim)
-            for lo in range(0, b.num_rows, 512):
-                some = b.slice(lo, 512)
-                for into, new in zip(out, nearest(ids, v, some["id"].to_numpy(), matrix(some["v"].combine_chunks(), dim), k), strict=True):
-                    into.extend(new)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+    def compare(near: float):
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            out = ([], [], [])
+            if a.num_rows and b.num_rows:
+                out = within(a["id"].to_numpy(), matrix(a["v"].combine_chunks(), dim), b["id"].to_numpy(), matrix(b["v"].combine_chunks(), dim), k, near, list_size)
+            return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+        return run
 
-    def best(of: DataFrame, probing) -> DataFrame:
-        """Up to k ranked rows for each of the queries, from the lists that probing says."""
+    def best(of: DataFrame, probing, near: float) -> DataFrame:
+        """Up to k ranked rows for each of the queries, from the lists that probing says, within which lists of lists are read up to the ratio `near`."""
         probes, _ = stored(of.mapInArrow(listed(probing, 64), schema), "probes")
         asking = probes.groupBy("list").agg(F.count("*").alias("m"))
         # a row for each list, of which the fit bounds the number
-        split = held.join(asking, "list").select("list", F.ceil(F.col("n") / PART_MOST).cast("int").alias("parts"), F.ceil(F.col("m") / PART_MOST).cast("int").alias("turns")).collect()
+        split = held.join(asking, "list").select("list", F.ceil(F.col("n") / PART_MOST).cast("int").alias("parts"), F.ceil(F.col("m") / TURN_MOST).cast("int").alias("turns")).collect()
         split = F.broadcast(spark.createDataFrame([tuple(r) for r in split], "list int, parts int, turns int"))
 
         def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
@@ -263,7 +316,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str =
             return df.join(split, "list").select("list", "id", "v", mine, theirs)
 
         keys = ["list", "parts", "turns"]
-        found = dealt(postings, "parts", "turns").groupBy(*keys).cogroup(dealt(probes, "turns", "parts").groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
+        found = dealt(postings, "parts", "turns").groupBy(*keys).cogroup(dealt(probes, "turns", "parts").groupBy(*keys)).applyInArrow(compare(near), "query_id long, vec_id long, score double")
         once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return once.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -271,14 +324,15 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str =
     def everything(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(x)), lists), np.tile(np.arange(lists), len(x))
 
-    if lists <= PROBES_LEAST or ratio == float("inf"):
-        return best(asked, everything)
-    found, _ = stored(best(asked, lambda x: probes_of(x, centroids, ratio)), "found")
+    exact = float("inf")
+    if ratio == exact or total <= WHOLE * list_size:
+        return best(asked, everything, exact)
+    found, _ = stored(best(asked, everything if lists <= PROBES_LEAST else lambda x: probes_of(x, centroids, ratio), ratio), "found")
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("full"))
     short = asked.join(full, F.col("id") == F.col("full"), "left_anti")
     if short.isEmpty():
         return found
-    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(best(short, everything))
+    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(best(short, everything, exact))
 
 
 def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -477,6 +477,77 @@ def test_queries_and_lists_in_parts_give_the_same(spark, monkeypatch):
     assert ann.search(df, asked, list_size=5, fit_numbers=64 * 12 * 30, ratio=float("inf")).orderBy("query_id", "rank").collect() == want
 
 
+def clustered(rng, n, dim=32, centres=150):
+    c = rng.normal(size=(centres, dim))
+    return (c[rng.integers(0, centres, n)] + 0.45 * rng.normal(size=(n, dim))).astype(np.float64)
+
+
+def test_long_lists_have_lists_of_their_own():
+    """A part of 20,000 vectors, as a first level cut short would leave it: recall, and how many rows a query meets."""
+    rng = np.random.default_rng(4)
+    v = clustered(rng, 20_000)
+    ids, asked = np.arange(len(v)), np.arange(0, len(v), 100)
+    met = []
+    plain = ann.nearest
+
+    def counted(some, x, query_ids, q, k):
+        met.append(len(some) * len(query_ids))
+        return plain(some, x, query_ids, q, k)
+
+    ann.nearest = counted
+    try:
+        query, vec, score = ann.within(ids, v, asked, v[asked], 5, 1.24, 128)
+    finally:
+        ann.nearest = plain
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = unit[asked] @ unit.T
+    sims[np.arange(len(asked)), asked] = -9
+    true = {int(i): set(np.argsort(-row)[:5].tolist()) for i, row in zip(asked, sims, strict=True)}
+    got = defaultdict(list)
+    for i, x, s in zip(query, vec, score, strict=True):
+        got[i].append((x, s))
+    assert all(len(g) == 5 and [s for _, s in g] == sorted((s for _, s in g), reverse=True) for g in got.values())
+    assert sum(len(true[i] & {x for x, _ in g}) for i, g in got.items()) >= 0.9 * 5 * len(asked)
+    assert sum(met) < 0.25 * len(v) * len(asked)
+    exact = ann.within(ids, v, asked, v[asked], 5, float("inf"), 128)
+    assert all(set(np.array(exact[1])[np.array(exact[0]) == i].tolist()) == true[i] for i in true)
+
+
+def test_lists_grow_beyond_the_fit(spark):
+    """A first level of 12 lists for 6,000 vectors: the second level keeps recall."""
+    rng = np.random.default_rng(9)
+    v = clustered(rng, 6000, 16, 60)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hit = n = 0
+    for r in ann.search(df, df.where("vec_id % 50 = 0"), list_size=40, fit_numbers=64 * 12 * 16).collect():
+        row = unit @ unit[r.query_id]
+        row[r.query_id] = -9
+        hit += r.vec_id in np.argsort(-row)[:5]
+        n += 1
+    assert n == 5 * 120 and hit >= 0.9 * n
+
+
+def test_the_fit_is_bounded_on_the_driver():
+    """The settings of two million vectors of 64 numbers: as large as a fit gets."""
+    import tracemalloc
+
+    n = ann.FIT_NUMBERS // 64
+    x = ann.unit(np.random.default_rng(1).normal(size=(n, 64)))
+    tracemalloc.start()
+    ann.Centroids.of(ann.balanced_centroids(x, n // ann.FIT_EACH, rounds=2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+
+
+def test_vectors_of_any_magnitude(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [3.0, 6.0]), (4, [2e200, -1e200]), (5, [-1e-300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ann.search(df, df).collect()}
+    assert [got[1, 2], got[1, 3], got[2, 3]] == pytest.approx([1, 1, 1]) and got[1, 4] == pytest.approx(0) and got[3, 5] == pytest.approx(-1 / math.sqrt(5))
+
+
 # 7 SimHash
 
 
