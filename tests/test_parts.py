@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -283,7 +284,14 @@ def run_stream(spark, make, batches, schema, tmp_path, name):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     query = make(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}-c").trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    end = time.time() + 60  # a stream with timers goes on without data: it is stopped a batch after the last rows
+    total = sum(map(len, batches))
+    while query.isActive and time.time() < end:
+        seen = [p["numInputRows"] for p in query.recentProgress]
+        if sum(seen) >= total and (not seen[-1] or len(seen) > 2 * len(batches)):
+            break
+        time.sleep(0.1)
+    query.stop()
     return spark.table(name)
 
 
@@ -298,16 +306,117 @@ def test_streams_equal_batch(spark, tmp_path, rocks):
     assert [r.seg for r in got.orderBy("ord").collect()] == [0, 0, 0, 1, 1, 1, 2]
 
 
-def test_append_once_and_whole_scenes(spark, tmp_path):
+FRAME_SCHEMA = "clip long, ord int, tracks array<int>, said array<struct<s:int,p:string,o:int>>, last boolean"
+
+
+def voting_frames(spark, small_dir):
+    """What seen_tracks() shows and states, a row a frame."""
+    from pyspark.sql import functions as F
+
+    from scenegrain.queries import sequence
+
+    said, visible = sequence.seen_tracks(spark, small_dir)
+    clips = [r.clip for r in visible.groupBy("clip").count().orderBy(F.desc("count"), "clip").limit(6).collect()]
+    said, visible = (x.where(F.col("clip").isin(clips)) for x in (said, visible))
+    shown = visible.groupBy("clip", "ord").agg(F.collect_list("track").alias("tracks"))
+    stated = said.groupBy("clip", "ord").agg(F.collect_list(F.struct("s", "p", "o")).alias("said"))
+    ends = visible.groupBy("clip").agg(F.max("ord").alias("end"))
+    rows = shown.join(stated, ["clip", "ord"], "left").join(ends, "clip").collect()
+    return [(r.clip, r.ord, r.tracks, [tuple(t) for t in r.said or []], r.ord == r.end) for r in sorted(rows, key=lambda r: (r.ord, r.clip))], said, visible
+
+
+def test_votes_as_frames_come_are_those_of_the_whole_clip(spark, small_dir, tmp_path, rocks):
+    rows, said, visible = voting_frames(spark, small_dir)
+    third = len(rows) // 3
+    batches = [rows[:third], rows[max(0, third - 5) : 2 * third], rows[2 * third :]]  # some frames come twice
+    got = run_stream(spark, stateful.voted_stream, batches, FRAME_SCHEMA, tmp_path, "votes")
+    want = S.majority_vote(said, visible)
+    assert want.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("clip", "ord", "s", "p", "o").collect()))
+
+
+def test_votes_of_a_silent_clip_go_out_by_the_timer(spark, tmp_path, rocks):
+    near = [(1, "near", 2)]
+    batches = [[(1, i, [1, 2], near if i != 2 else [], False) for i in range(5)], [(2, 0, [1], [], False)], [(2, 1, [1], [], False)]]
+    got = run_stream(spark, lambda s: stateful.voted_stream(s, patience=0), batches, FRAME_SCHEMA, tmp_path, "silent")
+    assert sorted((r.clip, r.ord) for r in got.collect()) == [(1, i) for i in range(5)]
+
+
+def test_scenes_go_out_whole_and_once(spark, tmp_path, rocks):
+    schema = "scene long, condition string, model string, reply string, parsed boolean"
+    row = lambda scene, c, model="m", reply="y", parsed=True: (scene, c, model, reply, parsed)
+    batches = [
+        [row(1, "A"), row(1, "B", reply="??", parsed=False), row(2, "A"), row(2, "B"), row(2, "C"), row(3, "A"), row(4, "A"), row(4, "B", "other"), row(4, "C")],
+        [row(1, "B", reply="n"), row(1, "C"), row(2, "A", reply="changed"), row(2, "B"), row(2, "C"), row(1, "D")],
+        [row(4, "B", reply="late"), row(2, "A")],
+    ]
+    got = run_stream(spark, lambda s: stateful.whole_scenes(s, ["A", "B", "C"]), batches, schema, tmp_path, "scenes")
+    assert sorted((r.scene, r.condition, r.reply) for r in got.collect()) == [(1, "A", "y"), (1, "B", "n"), (1, "C", "y"), (2, "A", "y"), (2, "B", "y"), (2, "C", "y"), (4, "A", "y"), (4, "B", "late"), (4, "C", "y")]
+    patient = run_stream(spark, lambda s: stateful.whole_scenes(s, ["A", "B"], patience=0), [[row(1, "A")], [row(2, "A")], [row(1, "B")], [row(1, "A")]], schema, tmp_path, "dropped")
+    assert sorted((r.scene, r.condition) for r in patient.collect()) in ([], [(1, "A"), (1, "B")])  # the first answer was dropped; the last two are whole if they come in time
+
+
+def test_a_repeated_batch_adds_nothing(spark, tmp_path):
     log = f"{tmp_path}/log"
-    rows = spark.createDataFrame([(1, "y"), (2, "n")], "id int, v string")
-    stateful.append_once(rows, log, "id")
-    stateful.append_once(rows.union(spark.createDataFrame([(3, "y")], "id int, v string")), log, "id")
-    assert sorted(r.id for r in spark.read.parquet(log).collect()) == [1, 2, 3]
+    schema = spark.createDataFrame([], "id long, verdict string, parsed boolean").schema
+    write = stateful.commit_batch(log)
+    assert stateful.committed(spark, log, schema).count() == 0
+    first = spark.createDataFrame([(1, "y", True), (2, "?", False)], schema)
+    write(first, 0)
+    write(first, 0)
+    second = spark.createDataFrame([(3, "n", True), (4, None, None)], schema)
+    second.write.parquet(f"{log}/rows/batch=1")  # a crash before the manifest has it
+    assert sorted(r.id for r in stateful.committed(spark, log, schema).collect()) == [1, 2]
+    write(second, 1)
+    done = stateful.committed(spark, log, schema)
+    assert sorted(r.id for r in done.collect()) == [1, 2, 3, 4]
+    prompts = spark.range(1, 7).toDF("id")
+    assert sorted(r.id for r in stateful.to_ask(prompts, done, ["id"]).collect()) == [2, 4, 5, 6]
     parts = spark.createDataFrame([(1, "A"), (1, "B"), (2, "A")], "scene int, c string")
     assert {r.scene for r in stateful.complete_scenes(parts, "scene", "c", 2).collect()} == {1}
 
 
+def test_segments_of_long_clips_by_batches(spark):
+    """Arrow batches far shorter than a clip, clips that begin within them, and signatures that are null or of another length."""
+    rng = np.random.default_rng(6)
+    rows = [(c, i, None if (c, i) in {(1, 5), (2, 0)} else rng.normal(size=4 if (c, i) != (2, 7) else 3).tolist()) for c in range(4) for i in range(0 if c == 3 else 40 + c)]
+    df = spark.createDataFrame(rows, "clip long, ord int, sig array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.clip, r.ord): r.segs for r in S.segment_sweep(df, [0.5, 1.2]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k, tau in enumerate((0.5, 1.2)):
+        for clip in range(3):
+            seg, anchor = -1, None
+            for _, order, sig in sorted((r for r in rows if r[0] == clip), key=lambda r: r[1]):
+                if anchor is None or sig is None or len(sig) != len(anchor) or sum(abs(a - b) for a, b in zip(sig, anchor, strict=True)) / len(sig) > tau:
+                    seg, anchor = seg + 1, sig
+                assert got[clip, order][k] == seg, (clip, order)
+
+
+def test_places_within_large_groups(spark):
+    from scenegrain.operators.ranks import placed
+
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 7 == 0 else f"g{min(i % 5, 2)}", f"{rng.integers(0, 40):03d}" if i % 11 else None, i % 400) for i in range(1200)]
+    got = placed(spark.createDataFrame(rows, "g string, name string, i long").repartition(5), ["g"], ["name"]).collect()
+    assert len(got) == len(rows)
+    for g in {r.g for r in got}:
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r.r)
+        assert [r.r for r in mine] == list(range(len(mine))) and {r.n for r in mine} == {len(mine)}
+        names = [(r["name"] is not None, r["name"] or "") for r in mine]
+        assert names == sorted(names)
+
+
+def test_images_of_any_id_are_numbered(spark):
+    objs = spark.createDataFrame([(f"group_{g}/{i:06d}", g, j) for g in range(9) for i in range(20) for j in range(2)], "image_id string, grp int, idx int")
+    got = sinks.image_ids(objs).collect()
+    assert len(got) == 180
+    for split in ("train", "val", "test"):
+        mine = sorted((r for r in got if r.split == split), key=lambda r: r.id)
+        assert [r.id for r in mine] == list(range(len(mine))) and [r.image_id for r in mine] == sorted(r.image_id for r in mine)
+
+
 def test_network_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 4))
