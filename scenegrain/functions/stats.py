@@ -160,7 +160,8 @@ class Mlp:
     def __init__(self, seed: int = 0, hidden=(64, 32), epochs: int = 60, rate: float = 1e-3, batch: int = 200):
         self.seed, self.hidden, self.epochs, self.rate, self.batch = seed, hidden, epochs, rate, batch
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Mlp:
+    def fit(self, x: np.ndarray, y: np.ndarray, after=None) -> Mlp:
+        """Trains on all epochs; `after` is called with the network after each."""
         rng = np.random.default_rng(self.seed)
         sizes = [x.shape[1], *self.hidden, 1]
         self.w = [rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:], strict=False)]
@@ -174,6 +175,8 @@ class Mlp:
                     m[i] = 0.9 * m[i] + 0.1 * g
                     v[i] = 0.999 * v[i] + 0.001 * g * g
                     p -= self.rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+            if after:
+                after(self)
         return self
 
     def _forward(self, x):

@@ -7,8 +7,10 @@ from pyspark.sql.window import Window
 
 from scenegrain.functions import stats as M
 from scenegrain.functions import text as X
-from scenegrain.functions.geometry import num
+from scenegrain.functions.geometry import num, pair_features
 from scenegrain.operators import evaluate as V
+from scenegrain.operators import learning, rules
+from scenegrain.sources import fixtures
 from scenegrain.sources.fixtures import read
 from scenegrain.types import PREDICATES
 
@@ -16,6 +18,8 @@ from . import _inputs as inputs
 from ._sql import FACT, Registry, with_
 
 registry = Registry()
+#: What names a pair.
+PAIR = ["image_id", "a_idx", "b_idx"]
 
 SPELLINGS = ["To_The_Left_Of", " on ", "left of", "next to", "IN_FRONT_OF", "infront of", "below", "Near"]
 
@@ -381,6 +385,41 @@ def mlp(spark, sf):
     return per.groupBy("arm").agg(F.sum("held_out").alias("held_out"), (F.sum("right") / F.sum("held_out")).alias("accuracy"))
 
 
+def learning_pairs(spark, sf):
+    """Pairs with features, what the rules state (y0..) and what annotators do (h0..), whether they did at all; and the names of these columns."""
+    objs = inputs.objects(spark, sf)
+    scene = rules.evaluate_scene(rules.with_gold(objs, fixtures.gold(objs)), contact=fixtures.contact(objs))
+    gold = F.coalesce(F.col("a_gold_of")[F.col("b_idx")], F.array().cast("array<string>"))
+    features = pair_features()
+    stated = [F.array_contains("predicates", p).cast("int").alias(f"y{i}") for i, p in enumerate(PREDICATES)]
+    told = [F.array_contains(gold, p).cast("int").alias(f"h{i}") for i, p in enumerate(PREDICATES)]
+    rows = scene.select(F.col("a_grp").alias("grp"), "image_id", "a_idx", "b_idx", *features, *stated, *told, (F.size(gold) > 0).alias("known"))
+    n, arms = len(features), len(PREDICATES)
+    return rows, rows.columns[4 : 4 + n], rows.columns[4 + n : 4 + n + arms], rows.columns[4 + n + arms : 4 + n + 2 * arms]
+
+
+def arm_name():
+    return F.element_at(F.array(*map(F.lit, PREDICATES)), F.col("arm") + 1)
+
+
+@registry.add("m14_learning_curve")
+def learning_curve(spark, sf):
+    """Recall on every held-out pair after each of 60 epochs, by predicate: one training run each, on MLP_ROWS pairs."""
+    rows, features, labels, _ = learning_pairs(spark, sf)
+    curve = learning.learning_curve(rows.where("grp < 6"), rows.where("grp >= 6"), features, labels, PAIR, most=MLP_ROWS)
+    return curve.withColumn("arm", arm_name())
+
+
+@registry.add("m12_self_training")
+def self_training(spark, sf):
+    """A teacher on sparse human labels, its confident answers on every pair that nobody annotated, and a student judged on every held-out pair."""
+    rows, features, _, labels = learning_pairs(spark, sf)
+    got = learning.self_trained(rows.where("grp < 6"), rows.where("grp >= 6"), features, labels, "known", PAIR, most=MLP_ROWS)
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(num(0))
+    return got.withColumns({"arm": arm_name(), "precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn)})
+
+
 @registry.add("k18_digest", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def digest(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))

@@ -425,6 +425,57 @@ def test_network_learns():
     assert ((model.predict(x) > 0.5) == y).mean() > 0.9
 
 
+def toy_pairs(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 4))
+    y = np.stack([(x[:, 0] > 0.3), (x[:, 1] * x[:, 2] > 0.2), np.zeros(900, bool)], 1).astype(int)
+    known = rng.random(900) < 0.4
+    told = y * known[:, None]
+    rows = [(i, *v, *a, *b, bool(k)) for i, (v, a, b, k) in enumerate(zip(x.tolist(), y.tolist(), told.tolist(), known, strict=True))]
+    df = spark.createDataFrame(rows, "i long, a double, b double, c double, d double, y0 int, y1 int, y2 int, h0 int, h1 int, h2 int, known boolean")
+    return df, x, y, told, known
+
+
+def plain_net(x, y, epochs):
+    """One network after each epoch, and what it says of rows."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    if not 0 < y.sum() < len(y):
+        return lambda rows: [np.zeros(len(rows))] * epochs
+    return lambda rows: [stats.Mlp(epochs=e).fit(*stats.oversampled_rows((x - mean) / scale, y.astype(float))).predict((rows - mean) / scale) for e in range(1, epochs + 1)]
+
+
+def test_learning_curve_against_separate_trainings(spark):
+    from scenegrain.operators import learning
+
+    df, x, y, *_ = toy_pairs(spark)
+    got = {(r.arm, r.epoch): r for r in learning.learning_curve(df.where("i < 600"), df.where("i >= 600"), list("abcd"), ["y0", "y1", "y2"], ["i"], most=600, epochs=4).collect()}
+    assert set(got) == {(a, e) for a in (0, 1) for e in range(1, 5)} | {(2, 1)}
+    for arm in (0, 1):
+        order = sorted(range(600))  # rows are sorted by key before training
+        for e, p in enumerate(plain_net(x[order], y[order, arm], 4)(x[600:]), 1):
+            said, true = p > 0.5, y[600:, arm] > 0
+            assert (got[arm, e].tp, got[arm, e].fn) == (int((said & true).sum()), int((~said & true).sum()))
+    assert got[0, 4].recall > 0.5
+
+
+def test_self_training_against_a_plain_version(spark):
+    from scenegrain.operators import learning
+
+    df, x, y, told, known = toy_pairs(spark)
+    got = {r.arm: r for r in learning.self_trained(df.where("i < 600"), df.where("i >= 600"), list("abcd"), ["h0", "h1", "h2"], "known", ["i"], most=600, epochs=8).collect()}
+    tx, tk = x[:600], known[:600]
+    for arm in range(3):
+        label = told[:600, arm]
+        p = plain_net(tx, label, 8)(tx)[-1] if label.any() else np.full(600, 0.5)
+        mine = np.where(tk, label, np.where(p >= 0.9, 1, np.where(p <= 0.1, 0, -1)))
+        keep = mine >= 0
+        said = plain_net(tx[keep], mine[keep], 8)(x[600:])[-1] > 0.5
+        true = told[600:, arm] > 0
+        r = got[arm]
+        assert (r.annotated, r.pseudo_pos, r.pseudo_neg) == (tk.sum(), (~tk & (mine == 1)).sum(), (~tk & (mine == 0)).sum())
+        assert (r.tp, r.fp, r.fn) == ((said & true).sum(), (said & ~true).sum(), (~said & true).sum())
+
+
 def test_networks_meet_every_held_out_pair(spark, small_dir):
     from scenegrain.queries import _inputs, text
     from scenegrain.types import PREDICATES

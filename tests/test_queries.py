@@ -8,7 +8,7 @@ import pytest
 from scenegrain import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"m11_mlp"}
+SLOW = {"m11_mlp", "m12_self_training", "m14_learning_curve"}
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, small_dir, name):
     if name in SLOW:
-        pytest.skip("trains networks; covered by test_network_learns")
+        pytest.skip("trains networks; covered by tests of parts")
     df = catalog.queries()[name](spark, small_dir)
     names = sorted(df.columns)
     rows = df.collect()
