@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scenegrain.functions.geometry import Box, iou, num
+from scenegrain.sources.folders import stored
 from scenegrain.types import PREDICATES
 
 
@@ -251,12 +253,28 @@ def match_by_iou(left: DataFrame, right: DataFrame, keys: list[str], least: floa
 def spaced_sample(claims: DataFrame, by: list[str], frame: str, gap: int, seed: str = "audit") -> DataFrame:
     """Of each stratum, in a seeded order, the claims whose frames are at least `gap` from those taken before.
 
-    What is taken depends on what was, so a stratum (a group, two classes and a predicate: few claims)
-    is folded inside its row.
+    In rounds: a claim that is first, in that order, of all that are left within its gap is taken whatever
+    the others are, and those near it are out; so a round settles all such claims of all strata at once,
+    and the result is that of taking one after another. Claims meet by cells of the gap's width, so no
+    task needs a whole stratum; what is left is written after each round. There are as many rounds as
+    the longest chain of claims, each within the gap of the next and before it in the order: for a
+    hashed order that grows with the logarithm of the claims. Equal claims are one.
     """
     key = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in claims.columns]))
-    rest = [c for c in claims.columns if c not in by]
-    rows = claims.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(key.alias("_k"), *rest))).alias("c"))
-    start = F.array().cast(rows.schema["c"].dataType)
-    taken = F.aggregate("c", start, lambda acc, x: F.when(F.exists(acc, lambda t: F.abs(t[frame] - x[frame]) < gap), acc).otherwise(F.concat(acc, F.array(x))))
-    return rows.select(*by, F.explode(taken).alias("t")).select(*by, *[F.col(f"t.{c}").alias(c) for c in rest])
+    cell = F.floor(F.col(frame) / gap).cast("long")
+    left, _ = stored(claims.distinct().withColumns({"_k": key, "_c": cell}), "claims")
+    taken, order = [], F.struct("_k", *claims.columns)
+    stratum = F.struct(*[F.col(c) for c in by])
+    while not left.isEmpty():
+        near = F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1))
+        # a stratum's claims within the gap lie in the same cell or in the next: a window over frames sees them
+        frames = Window.partitionBy(*by, "_w").orderBy(F.col(frame).cast("long")).rangeBetween(-(gap - 1), gap - 1)
+        seen = left.select("*", near.alias("_w")).withColumn("_first", F.min(order).over(frames))
+        first = seen.where("_w = _c").withColumn("_take", F.col("_first") == order)
+        now, _ = stored(first.drop("_first", "_w"), "judged-claims")
+        picked = now.where("_take").drop("_take")
+        taken.append(picked)
+        around = picked.select(stratum.alias("_s"), F.col(frame).alias("_f"), near.alias("_n"))
+        gone = (stratum == F.col("_s")) & (F.col("_c") == F.col("_n")) & (F.abs(F.col(frame) - F.col("_f")) < gap)
+        left, _ = stored(now.where("not _take").drop("_take").join(around, gone, "left_anti"), "claims")
+    return reduce(DataFrame.unionByName, taken, left).select(*claims.columns)

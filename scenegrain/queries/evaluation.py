@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scenegrain.functions.geometry import num
+from scenegrain.functions.geometry import distance_3d, num
 from scenegrain.operators import evaluate as V
 from scenegrain.operators import rules
 from scenegrain.operators.ranks import placed
@@ -219,6 +219,28 @@ def bootstrap(spark, sf):
     return V.bootstrap(h)
 
 
+def _draws_sql(per: str, name: str) -> str:
+    """CTEs from per (image_id, k, total, hits) to `name`: k, lo, hi over 2,000 draws."""
+    p = V.DRAW_PRIME
+    return f"""{name}0 AS (SELECT i AS image_id, i % {p} AS i, draw, ((i % {p}) * {V.DRAW_A} + draw * {V.DRAW_B} + 12345) % {p} AS x FROM (SELECT DISTINCT image_id::BIGINT AS i FROM {per}), range(1, 2001) t(draw)),
+{name}1 AS (SELECT image_id, draw, (x * x + i) % {p} AS x FROM {name}0), {name}2 AS (SELECT image_id, draw, ((x * x + draw) % {p}) / {p}::DOUBLE AS u FROM {name}1), {name}w AS (SELECT image_id, draw, {STEPS} AS w FROM {name}2),
+{name}s AS (SELECT k, draw, sum(w * hits) AS h, sum(w * total) AS t FROM {per} JOIN {name}w USING (image_id) GROUP BY 1, 2 HAVING sum(w * total) > 0), {name} AS (SELECT k, round(quantile_cont(h::DOUBLE / t::DOUBLE, 0.025), 6) AS lo, round(quantile_cont(h::DOUBLE / t::DOUBLE, 0.975), 6) AS hi FROM {name}s GROUP BY k)"""
+
+
+@registry.add("a22_report", with_(*FACT, HITS, "pa AS (SELECT image_id, k, count(*) AS total, count(*) FILTER (hit) AS hits FROM h GROUP BY 1, 2)", "ph AS (SELECT image_id, k, count(*) AS total, count(*) FILTER (hit) AS hits FROM h WHERE grp >= 6 GROUP BY 1, 2)", _draws_sql("pa", "da"), _draws_sql("ph", "dh"), "rp AS (SELECT 'pooled' AS scope, k, sum(total)::BIGINT AS gold, sum(hits) / sum(total)::DOUBLE AS recall, any_value(lo) AS lo, any_value(hi) AS hi FROM pa JOIN da USING (k) GROUP BY k UNION ALL SELECT 'held out', k, sum(total)::BIGINT, sum(hits) / sum(total)::DOUBLE, any_value(lo), any_value(hi) FROM ph JOIN dh USING (k) GROUP BY k)") + "SELECT scope, k, gold, round(recall, 6) AS recall, lo, hi FROM rp UNION ALL SELECT scope, 'MEAN', sum(gold)::BIGINT, round(avg(recall), 6), NULL, NULL FROM rp GROUP BY scope")
+def bootstrap_report(spark, sf):
+    """Recall with intervals of 2,000 draws of images, over all groups and over those held out, and the means over predicates."""
+    h = V.hits(inputs.fact(spark, sf)).groupBy("image_id", "grp", "k").agg(F.count("*").alias("total"), F.count_if("hit").alias("hits"))
+    scopes = []
+    for scope, rows in (("pooled", h), ("held out", h.where("grp >= 6"))):
+        point = rows.groupBy("k").agg(F.sum("total").alias("gold"), (F.sum("hits") / F.sum("total")).alias("recall"))
+        scopes.append(point.join(V.bootstrap(rows.drop("grp")).drop("draws"), "k").select(F.lit(scope).alias("scope"), "k", "gold", "recall", "lo", "hi"))
+    each = scopes[0].unionByName(scopes[1])
+    none = F.lit(None).cast("double")
+    means = each.groupBy("scope").agg(F.sum("gold").alias("gold"), F.round(F.avg("recall"), 6).alias("recall")).select("scope", F.lit("MEAN").alias("k"), "gold", "recall", none.alias("lo"), none.alias("hi"))
+    return each.withColumn("recall", F.round("recall", 6)).unionByName(means)
+
+
 @registry.add("a24_report", with_(*FACT, COUNTS.format(by="grp,")) + prf_sql("grp, k"))
 def report(spark, sf):
     return V.prf(V.counts_per_predicate(inputs.fact(spark, sf), ["grp"]))
@@ -378,12 +400,34 @@ def relation_order(spark, sf):
     return rows.select("image_id", F.array_join(F.transform("r", lambda x: F.concat_ws(" ", x["s"], x["p"], x["o"])), "; ").alias("said"))
 
 
-@registry.add("e05_zero_shot", with_(*FACT, "ty AS (SELECT DISTINCT grp, la, p, lb FROM (SELECT grp, la, lb, unnest(pred) AS p FROM res))") + "SELECT la, p, lb FROM ty WHERE grp >= 6 EXCEPT SELECT la, p, lb FROM ty WHERE grp < 6")
+#: Types of triplets: labels, predicate and twentieths of distance, so fine that some types of the test groups are new to training.
+TYPED = "gt AS (SELECT f.grp, f.pred, unnest(f.gold) AS p, r.la, r.lb, floor(f.dist3d * 20)::INT AS far FROM fact f JOIN res r USING (image_id, subj, obj)), known AS (SELECT DISTINCT la, p, lb, far FROM gt WHERE grp < 6)"
+
+
+def typed_gold(spark, sf):
+    """Gold triplets with their type, what is said of the pair, and whether training groups have that type."""
+    objs = inputs.objects(spark, sf)
+    scene = rules.evaluate_scene(rules.with_gold(objs, fixtures.gold(objs)), contact=fixtures.contact(objs))
+    far = F.floor(distance_3d(*(F.col(f"{side}_{c}") for side in "ab" for c in ("cx", "cy", "depth"))) * 20).cast("int")
+    gold = F.coalesce(F.col("a_gold_of")[F.col("b_idx")], F.array().cast("array<string>"))
+    return scene.select(F.col("a_grp").alias("grp"), "predicates", F.col("a_label").alias("la"), F.col("b_label").alias("lb"), far.alias("far"), F.explode(gold).alias("p"))
+
+
+@registry.add("e05_zero_shot", with_(*FACT, TYPED) + "SELECT la, p, lb, far FROM gt WHERE grp >= 6 EXCEPT SELECT la, p, lb, far FROM known")
 def zero_shot(spark, sf):
     """Triplet types of the test groups that training groups never show."""
-    t = inputs.scene(spark, sf).select("a_grp", F.col("a_label").alias("la"), F.explode("predicates").alias("p"), F.col("b_label").alias("lb")).distinct()
-    types = t.select("la", "p", "lb", (F.col("a_grp") < 6).alias("train"))
-    return types.groupBy("la", "p", "lb").agg(F.bool_or("train").alias("known")).where("not known").drop("known")
+    types = typed_gold(spark, sf).groupBy("la", "p", "lb", "far").agg(F.bool_or(F.col("grp") < 6).alias("known"))
+    return types.where("not known").drop("known")
+
+
+@registry.add("a38_zero_shot_share", with_(*FACT, TYPED) + "SELECT p, count(*) AS gold, count(*) FILTER (new) AS zero_shot, round(avg(new::INT), 6) AS share, round(avg(list_contains(pred, p)::INT), 6) AS recall, round(avg(list_contains(pred, p)::INT) FILTER (new), 6) AS zero_shot_recall FROM (SELECT gt.*, k.p IS NULL AS new FROM gt LEFT JOIN known k USING (la, p, lb, far) WHERE grp >= 6) GROUP BY p")
+def zero_shot_share(spark, sf):
+    """By predicate: held-out gold, what of it is of a type that training never shows, and recall over all and over those."""
+    gold = typed_gold(spark, sf)
+    known = gold.where("grp < 6").select("la", "p", "lb", "far").distinct().withColumn("known", F.lit(True))
+    rows = gold.where("grp >= 6").join(known, ["la", "p", "lb", "far"], "left").withColumns({"new": F.col("known").isNull(), "hit": F.array_contains("predicates", F.col("p")).cast("int")})
+    mean = lambda c: F.round(F.avg(c), 6)
+    return rows.groupBy("p").agg(F.count("*").alias("gold"), F.count_if("new").alias("zero_shot"), mean(F.col("new").cast("int")).alias("share"), mean("hit").alias("recall"), mean(F.when(F.col("new"), F.col("hit"))).alias("zero_shot_recall"))
 
 
 @registry.add("e07_discordant", with_(*FACT, HITS.replace("h AS", "hm AS"), "box", fact(name="bf", res="box")) + "SELECT k, count(*) FILTER (a AND NOT b) AS only_masks, count(*) FILTER (b AND NOT a) AS only_boxes, count(*) FILTER (a = b) AS ties FROM (SELECT m.k, m.hit AS a, list_contains(b.pred, m.k) AS b FROM hm m JOIN bf b ON b.image_id = m.image_id AND b.subj = m.subj AND b.obj = m.obj) GROUP BY k")

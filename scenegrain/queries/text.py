@@ -296,6 +296,25 @@ def seed_summary(spark, sf):
     return r.groupBy("arm").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean"), F.round(F.min("p"), 6).alias("lo"), F.round(F.max("p"), 6).alias("hi"), F.round(F.stddev_pop("p"), 6).alias("sd"))
 
 
+@registry.add("a35_frechet_summary", AGREE + ", f AS (SELECT greatest(0::DOUBLE, a.p + b.p - 1) AS lo, 1 - abs(a.p - b.p) AS hi FROM s a JOIN s b ON a.source < b.source), u AS (SELECT 'lower' AS bound, lo AS v FROM f UNION ALL SELECT 'upper', hi FROM f) SELECT bound, count(*) AS pairs, round(avg(v), 6) AS mean, round(min(v), 6) AS least, round(max(v), 6) AS most, round(stddev_pop(v), 6) AS sd FROM u GROUP BY bound")
+def frechet_summary(spark, sf):
+    """Both bounds over all pairs of judges: mean, range and population deviation."""
+    s = judges(spark, sf)
+    lo, hi = M.frechet(F.col("p"), F.col("q"))
+    pairs = s.join(F.broadcast(s.select(F.col("source").alias("b"), F.col("p").alias("q"))), F.col("source") < F.col("b"))
+    each = pairs.select(F.explode(F.array(F.struct(F.lit("lower").alias("bound"), lo.alias("v")), F.struct(F.lit("upper").alias("bound"), hi.alias("v")))).alias("u")).select("u.*")
+    return each.groupBy("bound").agg(F.count("*").alias("pairs"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.min("v"), 6).alias("least"), F.round(F.max("v"), 6).alias("most"), F.round(F.stddev_pop("v"), 6).alias("sd"))
+
+
+@registry.add("a25_ranges_overlap", AGREE + ", r AS (SELECT CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 AS arm, avg(p) AS mean, min(p) AS lo, max(p) AS hi FROM s GROUP BY 1) SELECT a.arm AS a, b.arm AS b, round(b.mean - a.mean, 6) AS delta, a.lo <= b.hi AND b.lo <= a.hi AS overlap FROM r a JOIN r b ON a.arm < b.arm")
+def ranges_overlap(spark, sf):
+    """Every two arms: the difference of their means, and whether the ranges of their runs overlap."""
+    r = judges(spark, sf).groupBy((F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % 4).alias("arm")).agg(F.avg("p").alias("mean"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    a, b = (r.select(*[F.col(c).alias(f"{side}_{c}") for c in r.columns]) for side in "ab")
+    both = a.join(F.broadcast(b), F.col("a_arm") < F.col("b_arm"))  # a row an arm
+    return both.select(F.col("a_arm").alias("a"), F.col("b_arm").alias("b"), F.round(F.col("b_mean") - F.col("a_mean"), 6).alias("delta"), ((F.col("a_lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("a_hi"))).alias("overlap"))
+
+
 @registry.add("a39_cost", "SELECT event_type, count(*) AS n, round(median(value), 6) AS median, round(avg(value), 6) AS mean, count(*) FILTER (value > 90) AS truncated, round(avg(value) * 836 / 3600, 6) AS hours FROM events GROUP BY event_type")
 def cost(spark, sf):
     e = read(spark, sf, "events")

@@ -488,6 +488,54 @@ def test_networks_meet_every_held_out_pair(spark, small_dir):
     assert y.sum() == 10 and len(x) == 110 and set(x[y == 1, 0]) == {0, 1, 2, 3, 4}
 
 
+def test_spaced_sample_is_that_of_one_after_another(spark):
+    import hashlib
+
+    rng = np.random.default_rng(5)
+    rows = list(dict.fromkeys((int(g), int(f), int(n)) for g, f, n in zip(rng.integers(0, 3, 500), rng.integers(-80, 900, 500), rng.integers(0, 3, 500), strict=True)))
+    got = {tuple(r) for r in S.spaced_sample(spark.createDataFrame(rows + rows[:9], "g int, frame int, n int"), ["g"], "frame", 25).collect()}
+    taken = []
+    for r in sorted(rows, key=lambda r: (hashlib.md5("|".join(["audit", *map(str, r)]).encode()).hexdigest(), r)):
+        if all(t[0] != r[0] or abs(t[1] - r[1]) >= 25 for t in taken):
+            taken.append(r)
+    assert got == set(taken)
+
+
+def test_tracks_of_whole_tables_against_a_plain_tracker(spark, small_dir):
+    """Every clip of the table: best detection first, the first of the unused boxes of its label that overlap most."""
+    from scenegrain.queries import _inputs, sequence
+
+    got = {(r.clip, r.ord, r.det): r.track for r in sequence.tracks(spark, small_dir).collect()}
+    boxes = [(r.clip, r.ord // 3, r.ord % 3, r.label, r.value, (r.x1, 0.2, r.x1 + 0.3, 0.6)) for r in _inputs.frames(spark, small_dir).collect()]
+
+    def share(a, b):
+        both = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+        return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
+
+    want = {}
+    for clip in {b[0] for b in boxes}:
+        before, number, frames = [], 0, {}
+        for b in boxes:
+            if b[0] == clip:
+                frames.setdefault(b[1], []).append(b)
+        for order in sorted(frames):
+            if order - 1 not in frames:
+                before = []
+            here, free = sorted(frames[order], key=lambda b: b[2]), list(before)
+            for b in sorted(here, key=lambda b: -b[4]):
+                best = None
+                for old in free:
+                    if old[1] == b[3] and share(b[5], old[2]) > (share(b[5], best[2]) if best else 0.30):
+                        best = old
+                if best:
+                    free.remove(best)
+                    want[clip, order, b[2]] = best[0]
+                else:
+                    want[clip, order, b[2]], number = number, number + 1
+            before = [(want[clip, order, b[2]], b[3], b[5]) for b in here]
+    assert got == want
+
+
 def test_spaced_sample(spark):
     claims = spark.createDataFrame([(1, f, i) for i, f in enumerate([0, 5, 10, 30, 31, 60])], "g int, frame int, n int")
     got = S.spaced_sample(claims, ["g"], "frame", 20).collect()
