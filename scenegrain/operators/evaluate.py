@@ -171,3 +171,55 @@ def failure_cause(t, inverted=(6, 8)) -> Column:
     near = F.when(F.arrays_overlap("pred", F.array(F.lit("on"), F.lit("under"))), "called support").when(F.col("gap_rel") > num(t.near_T), "gap too large").otherwise("other")
     lateral = F.when(F.abs(F.col("a_cx") - F.col("b_cx")) <= num(t.lateral_center_eps), "centre band").otherwise("centre flip")
     return F.when(F.col("k").isin("in front of", "behind"), depth).when(F.col("k").isin("on", "under"), support).when(F.col("k") == "near", near).otherwise(lateral)
+
+
+def ablation(pairs: DataFrame, points: list[tuple[str, float]], held: Column) -> DataFrame:
+    """Of every point of threshold sweeps and predicate the whole record: gold, recalled, held-out ones, tp, fp (on annotated pairs), emitted, and their rates.
+
+    pairs: a pair judged at base thresholds, with predicates, gold, gap_rel and both depths. A point is
+    near_T or depth_eps and a value: all are judged in the pair's row, and a pair is a row for each
+    predicate that is stated or gold at a point.
+    """
+    base = F.col("predicates")
+    dz, back = F.col("b_depth") - F.col("a_depth"), F.col("a_depth") - F.col("b_depth")
+    free = ~(F.array_contains(base, "on") | F.array_contains(base, "under"))
+
+    def said(param: str, value: float) -> Column:
+        if param == "near_T":
+            return F.concat(F.array_remove(base, "near"), F.when(free & (F.col("gap_rel") <= num(value)), F.array(F.lit("near"))).otherwise(F.array().cast("array<string>")))
+        depth = F.when(dz > num(value), "in front of").when(back > num(value), "behind")
+        return F.array_compact(F.concat(F.array_remove(F.array_remove(base, "in front of"), "behind"), F.array(depth)))
+
+    at = F.explode(F.array(*[F.struct(F.lit(p).alias("param"), num(v).alias("value"), said(p, v).alias("said")) for p, v in points]))
+    each = pairs.select("gold", held.alias("held"), at.alias("t")).select("gold", "held", "t.*")
+    rows = each.select("*", F.explode(F.array_union("said", "gold")).alias("k"))
+    gold, stated = F.array_contains("gold", F.col("k")), F.array_contains("said", F.col("k"))
+    n = rows.groupBy("param", "value", "k").agg(F.count_if(gold).alias("gold"), F.count_if(gold & stated).alias("tp"), F.count_if(gold & F.col("held")).alias("gold_held"), F.count_if(gold & stated & F.col("held")).alias("tp_held"), F.count_if(stated & ~gold & (F.size("gold") > 0)).alias("fp"), F.count_if(stated).alias("emitted"))
+    share = lambda a, b, none: F.when(b > 0, a / b).otherwise(none)
+    tp, zero = F.col("tp"), num(0)
+    p, r = share(tp, tp + F.col("fp"), zero), share(tp, F.col("gold"), zero)
+    rates = {"recall": r, "recall_held": share(F.col("tp_held"), F.col("gold_held"), F.lit(None)), "precision": p, "f1": share(2 * p * r, p + r, zero)}
+    return n.withColumns({c: F.round(v, 6) for c, v in rates.items()})
+
+
+def residual_motion(shifts: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
+    """keys, idx and residual: how far an object's shift (dx, dy) is from the median shift of its image, for images of `least` objects or more.
+
+    Turning the camera moves all objects alike, so the median carries no depth; what is left grows with nearness.
+    """
+    middle = shifts.groupBy(*keys).agg(F.median("dx").alias("_mx"), F.median("dy").alias("_my"), F.count("*").alias("_n")).where(F.col("_n") >= least)
+    x, y = F.col("dx") - F.col("_mx"), F.col("dy") - F.col("_my")
+    return shifts.join(middle, keys).select(*keys, "idx", F.round(F.sqrt(x * x + y * y), 9).alias("residual"))
+
+
+def parallax(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Gold depth pairs ordered by residual motion: by, image_id, subj, obj, right (parallax), mono (null: not committed), mono_right, agree, separation.
+
+    pairs: by, image_id, subj, obj, gold, pred, ra and rb. The larger residual is nearer, that is in front.
+    """
+    front, behind = (lambda c: F.array_contains(c, "in front of")), (lambda c: F.array_contains(c, "behind"))
+    truth, nearer = front("gold"), F.col("ra") > F.col("rb")
+    mono = F.when(front("pred"), True).when(behind("pred"), False)
+    apart = F.abs(F.col("ra") - F.col("rb")) / F.greatest(F.abs("ra"), F.abs("rb"), num(1e-9))
+    known = pairs.where((front("gold") | behind("gold")) & F.col("ra").isNotNull() & F.col("rb").isNotNull())
+    return known.select(*by, "image_id", "subj", "obj", (nearer == truth).alias("right"), mono.alias("mono"), F.coalesce(mono == truth, F.lit(False)).alias("mono_right"), (mono == nearer).alias("agree"), F.round(apart, 9).alias("separation"))

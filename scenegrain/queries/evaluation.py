@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -157,6 +159,57 @@ def sweep(spark, sf):
     return rows.withColumn("hit", hit).groupBy("depth_eps", "k").agg(F.count("*").alias("gold"), F.count_if("hit").alias("recalled"), F.count_if(held).alias("gold_held"), F.count_if(held & F.col("hit")).alias("recalled_held"))
 
 
+POINTS = [("near_T", 1.0), ("near_T", 1.372), ("near_T", 1.8), ("depth_eps", 0.01), ("depth_eps", 0.03), ("depth_eps", 0.06)]
+ABLATED = ",\n".join(scene(contact=False, t=replace(T0, **{p: v}), name=f"b{i}") for i, (p, v) in enumerate(POINTS))
+ABLATED += ", gl AS (SELECT image_id, subj, obj, list_sort(list_distinct(list(predicate))) AS gold FROM gold GROUP BY 1, 2, 3), ab AS (" + " UNION ALL ".join(f"SELECT '{p}' AS param, {d(v)} AS value, b.grp, b.pred, coalesce(g.gold, []::VARCHAR[]) AS gold FROM b{i} b LEFT JOIN gl g USING (image_id, subj, obj)" for i, (p, v) in enumerate(POINTS)) + ")"
+ABLATED += ", an AS (SELECT param, value, k, count(*) FILTER (g) AS gold, count(*) FILTER (g AND p) AS tp, count(*) FILTER (g AND grp >= 6) AS gold_held, count(*) FILTER (g AND p AND grp >= 6) AS tp_held, count(*) FILTER (p AND NOT g AND n > 0) AS fp, count(*) FILTER (p) AS emitted FROM (SELECT param, value, grp, k, len(gold) AS n, list_contains(gold, k) AS g, list_contains(pred, k) AS p FROM (SELECT *, unnest(list_distinct(list_concat(pred, gold))) AS k FROM ab)) GROUP BY ALL)"
+ABLATED += ", ar AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END AS p, CASE WHEN gold > 0 THEN tp / gold::DOUBLE ELSE 0 END AS r FROM an)"
+
+
+@registry.add("a14_ablation_report", with_("objects", "gold", ABLATED) + "SELECT param, value, k, gold, tp, gold_held, tp_held, fp, emitted, round(r, 6) AS recall, CASE WHEN gold_held > 0 THEN round(tp_held / gold_held::DOUBLE, 6) END AS recall_held, round(p, 6) AS precision, CASE WHEN p + r > 0 THEN round(2 * p * r / (p + r), 6) ELSE 0 END AS f1 FROM ar")
+def ablation_report(spark, sf):
+    """The whole record of every point of two sweeps, from one judgement of each pair; the SQL judges the scenes anew at each point."""
+    objs = inputs.objects(spark, sf)
+    judged = rules.evaluate_scene(rules.with_gold(objs, fixtures.gold(objs)))
+    gold = F.coalesce(F.col("a_gold_of")[F.col("b_idx")], F.array().cast("array<string>"))
+    return V.ablation(judged.select("predicates", gold.alias("gold"), "gap_rel", "a_depth", "b_depth", "a_grp"), POINTS, F.col("a_grp") >= 6)
+
+
+#: Shifts of objects between frames: the camera's motion over depth, times the gap, and what an estimate adds.
+GAPS = (1, 2)
+PARALLAX = f"""sh AS (SELECT image_id, idx, g, g * 0.05::DOUBLE / (0.2::DOUBLE + depth) + ((idx * 7 + image_id) % 5) * 0.002::DOUBLE AS dx, ((idx * 3 + image_id) % 4) * 0.003::DOUBLE AS dy FROM objects, (VALUES {", ".join(f"({g})" for g in GAPS)}) t(g)),
+sm AS (SELECT image_id, g, median(dx) AS mx, median(dy) AS my FROM sh GROUP BY 1, 2 HAVING count(*) >= 3), rs AS (SELECT image_id, idx, g, round(sqrt((dx - mx) * (dx - mx) + (dy - my) * (dy - my)), 9) AS r FROM sh JOIN sm USING (image_id, g)),
+px AS (SELECT f.image_id, subj, obj, a.g AS gap, a.r AS ra, b.r AS rb, list_contains(gold, 'in front of') AS truth, CASE WHEN list_contains(pred, 'in front of') THEN TRUE WHEN list_contains(pred, 'behind') THEN FALSE END AS mono FROM fact f JOIN rs a ON a.image_id = f.image_id AND a.idx = subj JOIN rs b ON b.image_id = f.image_id AND b.idx = obj AND b.g = a.g WHERE list_contains(gold, 'in front of') OR list_contains(gold, 'behind')),
+pz AS (SELECT *, (ra > rb) = truth AS ok, round(abs(ra - rb) / greatest(abs(ra), abs(rb), 1e-9), 9) AS sep FROM px)"""
+
+
+def parallax_pairs(spark, sf):
+    objs = inputs.objects(spark, sf)
+    gap, i = F.explode(F.array(*map(F.lit, GAPS))).alias("gap"), F.col("image_id")
+    shifts = objs.select("image_id", "idx", "depth", gap).select("image_id", "idx", "gap", (F.col("gap") * num(0.05) / (num(0.2) + F.col("depth")) + (F.col("idx") * 7 + i) % 5 * num(0.002)).alias("dx"), ((F.col("idx") * 3 + i) % 4 * num(0.003)).alias("dy"))
+    moved = V.residual_motion(shifts, ["image_id", "gap"]).groupBy("image_id", "idx").agg(F.map_from_entries(F.collect_list(F.struct("gap", "residual"))).alias("moved"))
+    # residuals go to objects, as gold does, so that pairs are made with them
+    scene_ = rules.evaluate_scene(rules.with_gold(objs, fixtures.gold(objs)).join(moved, ["image_id", "idx"], "left"), contact=fixtures.contact(objs))
+    gold = F.coalesce(F.col("a_gold_of")[F.col("b_idx")], F.array().cast("array<string>"))
+    rows = scene_.select("image_id", F.col("a_idx").alias("subj"), F.col("b_idx").alias("obj"), gold.alias("gold"), F.col("predicates").alias("pred"), "a_moved", "b_moved", gap)
+    return V.parallax(rows.withColumns({"ra": F.col("a_moved")[F.col("gap")], "rb": F.col("b_moved")[F.col("gap")]}), ["gap"])
+
+
+@registry.add("a43_parallax", with_(*FACT, PARALLAX) + "SELECT gap, count(*) AS pairs, count(DISTINCT image_id) AS images, round(avg(ok::INT), 6) AS parallax_accuracy, round(avg(coalesce(mono = truth, FALSE)::INT), 6) AS monocular_accuracy, count(mono) AS committed, round(count(*) FILTER (mono = (ra > rb)) / count(mono)::DOUBLE, 6) AS agreement FROM pz GROUP BY gap")
+def parallax_report(spark, sf):
+    """Order of gold depth pairs by residual motion, against gold and the monocular order, by gap of frames."""
+    p = parallax_pairs(spark, sf)
+    mean = lambda c: F.round(F.avg(F.col(c).cast("int")), 6)
+    return p.groupBy("gap").agg(F.count("*").alias("pairs"), F.count_distinct("image_id").alias("images"), mean("right").alias("parallax_accuracy"), mean("mono_right").alias("monocular_accuracy"), F.count("mono").alias("committed"), F.round(F.count_if("agree") / F.count("mono"), 6).alias("agreement"))
+
+
+@registry.add("a43_separation_quartiles", with_(*FACT, PARALLAX, "pr AS (SELECT *, row_number() OVER (PARTITION BY gap ORDER BY sep, image_id, subj, obj) - 1 AS r, count(*) OVER (PARTITION BY gap) AS n FROM pz)") + "SELECT gap, CAST(least(r // (n // 4), 3) AS INT) AS quartile, count(*) AS pairs, round(avg(ok::INT), 6) AS accuracy, round(max(sep), 6) AS largest FROM pr WHERE n >= 8 GROUP BY 1, 2")
+def separation_quartiles(spark, sf):
+    """Accuracy of the parallax order by quarter of separation; the last quarter takes the remainder."""
+    p = placed(parallax_pairs(spark, sf).select("gap", "image_id", "subj", "obj", "right", "separation"), ["gap"], ["separation", "image_id", "subj", "obj"]).where("n >= 8")
+    return p.groupBy("gap", F.least(F.expr("r div (n div 4)"), F.lit(3)).cast("int").alias("quartile")).agg(F.count("*").alias("pairs"), F.round(F.avg(F.col("right").cast("int")), 6).alias("accuracy"), F.round(F.max("separation"), 6).alias("largest"))
+
+
 SUPPORT = "c AS (SELECT grp < 6 AS train, count(*) FILTER (list_contains(gold, k) AND list_contains(pred, k)) AS tp, count(*) FILTER (NOT list_contains(gold, k) AND list_contains(pred, k)) AS fp, count(*) FILTER (list_contains(gold, k) AND NOT list_contains(pred, k)) AS fn FROM (SELECT *, unnest(list_distinct(list_concat(gold, pred))) AS k FROM fact WHERE len(gold) > 0) WHERE k IN ('on', 'under') GROUP BY 1)"
 
 
