@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scenegrain.types import PREDICATES
 
@@ -104,6 +105,38 @@ def markdown_rows(lines: DataFrame, text: str = "value") -> DataFrame:
     return lines.where(F.trim(F.col(text)).startswith("|") & ~F.col(text).rlike(r"^\s*\|[\s:|-]+\|\s*$")).withColumn("cells", cells)
 
 
+def markdown_tables(lines: DataFrame, doc: str = "doc", at: str = "at", text: str = "value") -> DataFrame:
+    """Rows of all pipe tables of documents given as lines: doc, tab (from 1), row (0: header) and cells, without emphasis.
+
+    A table is a run of lines that begin with a pipe; rulers between header and body are left out, and a
+    line of anything else ends it.
+    """
+    in_doc = Window.partitionBy(doc).orderBy(at)
+    piped = F.startswith(F.ltrim(F.col(text)), F.lit("|"))
+    opens = F.col("_piped") & ~F.coalesce(F.lag("_piped").over(in_doc), F.lit(False))
+    runs = lines.withColumn("_piped", F.coalesce(piped, F.lit(False))).withColumn("tab", F.sum(opens.cast("int")).over(in_doc)).where("_piped")
+    cells = F.transform(F.split(F.btrim(F.trim(text), F.lit("|")), r"\|"), lambda c: F.trim(F.regexp_replace(c, r"[*`]", "")))
+    rows = runs.withColumn("cells", cells).where(~F.forall("cells", lambda c: c.rlike(r"^[-: ]*$")))
+    place = F.row_number().over(Window.partitionBy(doc, "tab").orderBy(at)) - 1
+    return rows.select(doc, F.col("tab").cast("int").alias("tab"), place.alias("row"), "cells")
+
+
+def table_cells(rows: DataFrame, doc: str = "doc") -> DataFrame:
+    """Cells of markdown_tables(): doc, tab, head (the header's cells), label (the row's first cell), col (from 0) and cell."""
+    head = F.concat_ws(" | ", F.first("cells").over(Window.partitionBy(doc, "tab").orderBy("row")))
+    return rows.withColumn("head", head).where("row > 0").select(doc, "tab", "head", "row", F.col("cells")[0].alias("label"), F.posexplode("cells").alias("col", "cell"))
+
+
+def table_drift(quoted: DataFrame, generated: DataFrame, doc: str = "doc") -> DataFrame:
+    """Cells of quoted tables that differ from those of the generated table of the same header, row label and column: doc, head, label, col, quoted and generated.
+
+    Of several generated tables with one header the first counts, of rows with one label the last.
+    """
+    first = generated.groupBy("head").agg(F.min(F.struct(doc, "tab")).alias("_one")).select("head", "_one.*")
+    known = generated.join(first, ["head", doc, "tab"]).groupBy("head", "label", "col").agg(F.max_by("cell", "row").alias("generated"))
+    return quoted.join(known, ["head", "label", "col"]).where(F.col("cell") != F.col("generated")).select(doc, "head", "label", "col", F.col("cell").alias("quoted"), "generated")
+
+
 def half_up(x: Column, places: int = 2) -> Column:
     """Half-up rounding of the number as written."""
     return F.format_string(f"%.{places}f", F.round(F.col(x) if isinstance(x, str) else x, places))

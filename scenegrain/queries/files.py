@@ -338,3 +338,48 @@ def progress(spark, sf):
 def ranks(spark, sf):
     w, t = Window.partitionBy("user_id").orderBy("event_type"), Window.partitionBy("user_id").orderBy("ts", "event_id")
     return read(spark, sf, "events").select("event_id", F.rank().over(w).cast("long").alias("r"), F.dense_rank().over(w).cast("long").alias("d"), F.round(F.percent_rank().over(w), 6).alias("p"), F.lag("event_type").over(t).alias("before"))
+
+
+# reports as Markdown files: a file a source, with two tables
+
+
+REPORTED = "rl AS (SELECT source, lang, count(*) AS n, sum(coalesce(n_chars, 0)) // count(*) AS chars FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2), rt AS (SELECT source, (coalesce(n_chars, 0) // 1000)::BIGINT AS size, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1, 2)"
+
+
+def reports(spark, sf, quoted: bool) -> DataFrame:
+    """A Markdown document per source: documents by language and by size. A quoted one stresses labels, and has numbers that are a day old."""
+    docs = read(spark, sf, "documents").where("source is not null")
+    chars = F.coalesce("n_chars", F.lit(0))
+    aged = (lambda n: F.when(n % 3 == 0, n + 1).otherwise(n)) if quoted else (lambda n: n)
+    stress = (lambda c: F.concat(F.lit("**"), c, F.lit("**"))) if quoted else (lambda c: c)
+    line = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *[c.cast("string") for c in cells]), F.lit(" |"))
+
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("source").agg(F.concat_ws("\n", F.sort_array(F.collect_list("line"))).alias(name))
+
+    by_lang = docs.where("lang is not null").groupBy("source", "lang").agg(F.count("*").alias("n"), F.expr("sum(coalesce(n_chars, 0)) div count(*)").alias("chars"))
+    by_size = docs.groupBy("source", F.floor(chars / 1000).cast("long").alias("size")).agg(F.count("*").alias("n"))
+    langs = listed(by_lang.select("source", line(stress(F.col("lang")), aged(F.col("n")), F.col("chars")).alias("line")), "a")
+    sizes = listed(by_size.select("source", line(F.col("size"), aged(F.col("n"))).alias("line")), "b")
+    text = F.concat(F.lit("# Report\n\n| lang of "), "source", F.lit(" | documents | characters |\n|---|--:|--:|\n"), F.coalesce("a", F.lit("")), F.lit("\n\nSizes, in thousands:\n\n| size of "), "source", F.lit(" | documents |\n|:-:|---|\n"), "b", F.lit("\nThe end | of it.\n"))
+    return sizes.join(langs, "source", "left").select(F.concat(F.lit("reports/"), "source").alias("image_id"), text.alias("value"))
+
+
+def report_cells(spark, sf, quoted: bool) -> DataFrame:
+    """The tables' cells, of files that are written and read again: a file is a document, its lines in order."""
+    path = folders.write_per_image(reports(spark, sf, quoted), folders.shared(spark, "reports"))
+    whole = spark.read.text(path, wholetext=True)
+    lines = whole.select(F.col("stem").alias("doc"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
+    return X.table_cells(X.markdown_tables(lines))
+
+
+@registry.add("s26_report_tables", f"WITH {REPORTED} SELECT source AS doc, 1 AS tab, 'lang of ' || source || ' | documents | characters' AS head, count(*) AS rows, 3::BIGINT AS cols FROM rl GROUP BY source UNION ALL SELECT source, 2, 'size of ' || source || ' | documents', count(*), 2 FROM rt GROUP BY source")
+def report_tables(spark, sf):
+    """Pipe tables of Markdown files, two to a document, with their headers and sizes."""
+    return report_cells(spark, sf, False).groupBy("doc", "tab", "head").agg(F.count_distinct("row").alias("rows"), F.count_distinct("col").alias("cols"))
+
+
+@registry.add("x16_report_drift", f"WITH {REPORTED}, u AS (SELECT source AS doc, 'lang of ' || source || ' | documents | characters' AS head, lang AS label, n FROM rl UNION ALL SELECT source, 'size of ' || source || ' | documents', size::VARCHAR, n FROM rt) SELECT doc, head, label, 1 AS col, (n + 1)::VARCHAR AS quoted, n::VARCHAR AS generated FROM u WHERE n % 3 = 0")
+def report_drift(spark, sf):
+    """Cells of quoted tables that no longer are what the generated ones say, joined by header, row label and column."""
+    return X.table_drift(report_cells(spark, sf, True), report_cells(spark, sf, False))

@@ -171,6 +171,17 @@ def test_replies(spark):
         assert [r.problem for r in rows if r.i == i and r.problem is not None] == bad
 
 
+def test_markdown_tables(spark):
+    doc = ["| a | **b** |", "|---|:-:|", "| x | `1` |", "|  y  |  |", "text | with pipe", "  | a | b | c |", "| x | 2 | 3 |", "", "| lone |", None, "| | |", "| p | q |"]
+    lines = spark.createDataFrame([("d", i, v) for i, v in enumerate(doc)] + [("e", 0, "no table")], "doc string, at int, value string")
+    rows = text.markdown_tables(lines)
+    assert sorted((r.tab, r.row, r.cells) for r in rows.collect()) == [(1, 0, ["a", "b"]), (1, 1, ["x", "1"]), (1, 2, ["y", ""]), (2, 0, ["a", "b", "c"]), (2, 1, ["x", "2", "3"]), (3, 0, ["lone"]), (4, 0, ["p", "q"])]
+    cells = text.table_cells(rows)
+    assert sorted((r["head"], r.label, r.col, r.cell) for r in cells.where("tab = 1").collect()) == [("a | b", "x", 0, "x"), ("a | b", "x", 1, "1"), ("a | b", "y", 0, "y"), ("a | b", "y", 1, "")]
+    other = text.table_cells(text.markdown_tables(spark.createDataFrame([("g", i, v) for i, v in enumerate(["|a|b|", "|x|1.0|", "|z|9|"])], "doc string, at int, value string")))
+    assert [tuple(r) for r in text.table_drift(cells, other).collect()] == [("d", "a | b", "x", 1, "1", "1.0")]
+
+
 def test_plans(spark):
     plan = "To pick up box0 do this:\n1. Remove cube1 near lamp2\n2. Pick up box0"
     df = spark.createDataFrame([(plan, "box0", "cube1", ["box0", "cube1"])], "reply string, target string, must_clear string, allowed array<string>")
