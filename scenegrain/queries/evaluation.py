@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scenegrain.functions.geometry import distance_3d, num
+from scenegrain.functions.geometry import Box, distance_3d, drop_fraction, num
 from scenegrain.operators import evaluate as V
 from scenegrain.operators import rules
 from scenegrain.operators.ranks import placed
@@ -330,6 +330,41 @@ def miss_taxonomy(spark, sf):
     return h.groupBy("k", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+GUARD_TAUS = (0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50)
+#: Pairs that masks and depth take for support without the class guard: held by a person, or resting as gold says.
+DROPS = "rg AS (SELECT image_id, subj, obj, bool_or(predicate = 'on') AS rests FROM gold GROUP BY 1, 2, 3), dr AS (SELECT image_id, subj, obj, CASE WHEN la = 'human' OR lb = 'human' THEN 'held' WHEN rests THEN 'resting' END AS kind, (ay2 - by1) / (by2 - by1) AS v FROM raw LEFT JOIN rg USING (image_id, subj, obj) WHERE on1 AND by2 - by1 > 0), dk AS (SELECT * FROM dr WHERE kind IS NOT NULL)"
+DROPPED = with_("objects", "contact", "gold", scene(correct=False, name="raw"), DROPS)
+
+
+def dropped_pairs(spark, sf):
+    """image_id, subj, obj, kind and v, the drop fraction, of those pairs."""
+    objs = inputs.objects(spark, sf)
+    raw = rules.evaluate_scene(rules.with_gold(objs, fixtures.gold(objs)), correct=False, contact=fixtures.contact(objs)).where(F.array_contains("predicates", "on"))
+    person = (F.col("a_label") == "human") | (F.col("b_label") == "human")
+    rests = F.array_contains(F.coalesce(F.col("a_gold_of")[F.col("b_idx")], F.array().cast("array<string>")), "on")
+    v = drop_fraction(Box.of("a_"), Box.of("b_"))
+    return raw.select("image_id", F.col("a_idx").alias("subj"), F.col("b_idx").alias("obj"), F.when(person, "held").when(rests, "resting").alias("kind"), v.alias("v")).where("kind is not null and v is not null")
+
+
+@registry.add("a37_drops_by_kind", DROPPED + ", y AS (SELECT kind, v, row_number() OVER (PARTITION BY kind ORDER BY v, image_id, subj, obj) - 1 AS r, count(*) OVER (PARTITION BY kind) AS n FROM dk) SELECT kind, any_value(n) AS n, round(min(v), 6) AS least, round(max(v) FILTER (r = floor(0.1 * (n - 1))), 6) AS p10, round(avg(v) FILTER (r = (n - 1) // 2 OR r = n // 2), 6) AS median, round(max(v) FILTER (r = floor(0.9 * (n - 1))), 6) AS p90, round(max(v), 6) AS most FROM y GROUP BY kind")
+def drops_by_kind(spark, sf):
+    """Exact quantiles of the drop fraction of resting pairs and of those that a person holds."""
+    y = placed(dropped_pairs(spark, sf), ["kind"], ["v", "image_id", "subj", "obj"])
+    r, n = F.col("r"), F.col("n")
+    at = lambda q: F.round(F.max(F.when(r == F.floor(num(q) * (n - 1)), F.col("v"))), 6)
+    middle = F.when((r == F.expr("(n - 1) div 2")) | (r == F.expr("n div 2")), F.col("v"))
+    return y.groupBy("kind").agg(F.max("n").alias("n"), F.round(F.min("v"), 6).alias("least"), at(0.1).alias("p10"), F.round(F.avg(middle), 6).alias("median"), at(0.9).alias("p90"), F.round(F.max("v"), 6).alias("most"))
+
+
+@registry.add("a37_class_free_guard", DROPPED + " SELECT tau, round(avg((v <= tau)::INT) FILTER (kind = 'resting'), 6) AS resting_kept, round(avg((v > tau)::INT) FILTER (kind = 'held'), 6) AS held_blocked FROM dk, (VALUES " + ", ".join(f"({d(t)})" for t in GUARD_TAUS) + ") t(tau) GROUP BY tau")
+def class_free_guard(spark, sf):
+    """What a bound on the drop fraction would keep of resting pairs and block of held ones, instead of the class guard."""
+    tau = F.explode(F.array(*map(num, GUARD_TAUS))).alias("tau")
+    rows = dropped_pairs(spark, sf).select("kind", "v", tau)
+    share = lambda kind, test: F.round(F.avg(F.when(F.col("kind") == kind, test.cast("int"))), 6)
+    return rows.groupBy("tau").agg(share("resting", F.col("v") <= F.col("tau")).alias("resting_kept"), share("held", F.col("v") > F.col("tau")).alias("held_blocked"))
+
+
 @registry.add("a37_drop_distribution", with_("objects", "contact", "res", "x AS (SELECT (ay2 - by1) / (by2 - by1) AS v FROM res WHERE on1 AND by2 - by1 > 0)", "y AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r, count(*) OVER () AS n FROM x)") + "SELECT q, round(v, 6) AS v FROM y, (VALUES (0::DOUBLE), (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE), (1::DOUBLE)) t(q) WHERE r = floor(q * (n - 1))")
 def drop_distribution(spark, sf):
     """Lower-nearest quantiles of the drop fraction of emitted support: exact, from counts per distinct value.
@@ -337,8 +372,6 @@ def drop_distribution(spark, sf):
     Ranks aren't taken over one ordered partition: values are counted first, and running sums go over
     the counts of value ranges.
     """
-    from scenegrain.functions.geometry import Box, drop_fraction
-
     v = inputs.scene(spark, sf).where(F.array_contains("predicates", "on")).select(F.round(drop_fraction(Box.of("a_"), Box.of("b_")), 6).alias("v")).where("v is not null")
     counts = v.groupBy("v").agg(F.count("*").alias("c")).withColumn("part", F.floor(F.col("v") * 16))
     before = counts.groupBy("part").agg(F.sum("c").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("s").over(Window.partitionBy(F.lit(1))))
