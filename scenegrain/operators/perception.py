@@ -24,12 +24,25 @@ def register(kind: str, make: Callable[[dict], Detector]) -> None:
     KINDS[kind] = make
 
 
+# What older configuration files call detectors and their settings, and the kind of files that name none.
+BACKENDS = {"yolov10m": "yolo", "yolov8m": "yolo", "groundingdino": "grounding_dino"}
+RENAMED = {"conf_threshold": "threshold"}
+UNUSED = {"iou_nms"}
+DEFAULT_KIND = "grounding_dino"
+
+
 def detector_from(config: dict) -> Detector:
-    """A registered detector by its kind; `type` is read where `kind` is absent; unknown kinds are an error."""
-    kind = config.get("kind", config.get("type"))
+    """A registered detector by its kind, made from the `detector` block of a configuration, or from the block itself.
+
+    Where `kind` is absent `type` is read, then `backend` in its older spelling. Settings have their present
+    names and come without the kind. An unknown kind is an error.
+    """
+    block = dict(config.get("detector") or config)
+    named = [block.pop("kind", None), block.pop("type", None), BACKENDS.get(block.pop("backend", None))]
+    kind = next(filter(None, named), DEFAULT_KIND)
     if kind not in KINDS:
         raise ValueError(f"unknown detector {kind!r}; known: {', '.join(sorted(KINDS)) or 'none'}")
-    return KINDS[kind](config)
+    return KINDS[kind]({RENAMED.get(k, k): v for k, v in block.items() if k not in UNUSED})
 
 
 DETECTIONS = "path string, det int, label string, score double, x1 double, y1 double, x2 double, y2 double"

@@ -568,12 +568,12 @@ def subset_cascade(spark, sf):
     return kept.join(n(fixtures.gold(o).join(images, "image_id", "left_semi"), "relations"), F.lit(True))
 
 
-@registry.add("j18_precedence", "WITH a AS (SELECT doc_id, quality AS v, 'first' AS src FROM labels WHERE doc_id % 3 = 0), b AS (SELECT doc_id, toxic AS v, 'second' AS src FROM labels WHERE doc_id % 2 = 0) SELECT * FROM b UNION ALL SELECT * FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b)")
+@registry.add("j18_precedence", "WITH b AS (SELECT doc_id, toxic AS v, 'second' AS src FROM labels WHERE toxic = 1 OR quality IS NULL) SELECT * FROM b UNION ALL SELECT doc_id, quality, 'first' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM b)")
 def precedence(spark, sf):
-    """Two sources of a record, the later one taking precedence."""
+    """Two sources of a record, the later one, where it has something to say, taking precedence."""
     lab = fixtures.read(spark, sf, "labels")
-    a = lab.where("doc_id % 3 = 0").select("doc_id", F.col("quality").alias("v"), F.lit("first").alias("src"))
-    b = lab.where("doc_id % 2 = 0").select("doc_id", F.col("toxic").alias("v"), F.lit("second").alias("src"))
+    a = lab.select("doc_id", F.col("quality").alias("v"), F.lit("first").alias("src"))
+    b = lab.where("toxic = 1 or quality is null").select("doc_id", F.col("toxic").alias("v"), F.lit("second").alias("src"))
     return b.unionByName(a.join(b, "doc_id", "left_anti"))
 
 

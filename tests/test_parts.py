@@ -221,6 +221,13 @@ def test_detectors(spark):
     assert isinstance(P.detector_from({"type": "fake"}), Fake)
     with pytest.raises(ValueError, match="unknown detector"):
         P.detector_from({"kind": "none"})
+    seen = []
+    for kind in ("yolo", "grounding_dino"):
+        P.register(kind, lambda config, kind=kind: seen.append((kind, config)) or Fake())
+    P.detector_from({"detector": {"backend": "yolov10m", "conf_threshold": 0.4, "iou_nms": 0.5, "weights": "w"}})
+    P.detector_from({"detector": {"kind": "yolo", "threshold": 0.3}})
+    P.detector_from({})
+    assert seen == [("yolo", {"threshold": 0.4, "weights": "w"}), ("yolo", {"threshold": 0.3}), ("grounding_dino", {})]
     df = spark.createDataFrame([("a.png", bytearray(b"x"))], "path string, content binary")
     got = P.detect(df, Fake, lambda b: np.zeros((20, 30, 3)), {"mug": "cup"}).collect()
     assert [(r.label, r.score, r.x1, r.x2, r.y2) for r in got] == [("cup", 0.1234, 0.0, 30.0, 10.0)] or got[0].score == 0.1235
