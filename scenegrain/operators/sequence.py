@@ -142,7 +142,7 @@ def propagation_scores(pairs: DataFrame, by: list[str]) -> DataFrame:
     k = F.explode(F.array(*map(F.lit, PREDICATES))).alias("k")
     has = lambda c: F.col("matched") & F.array_contains(c, F.col("k"))
     n = pairs.select(*by, "matched", "pred", "gold", "kept", k).groupBy(*by, "k").agg(F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("unmatched"), F.count_if(has("pred")).alias("support"), F.count_if(has("pred") & has("kept")).alias("agree"), F.count_if(has("gold")).alias("gold"), F.count_if(has("gold") & has("kept")).alias("carried"), F.count_if(has("gold") & has("pred")).alias("own"))
-    share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return n.select(*by, "k", "matched", "unmatched", "support", share("agree", "support").alias("stability"), "gold", share("carried", "gold").alias("recall_propagated"), share("own", "gold").alias("recall_per_frame"))
 
 

@@ -256,7 +256,7 @@ keyed AS (SELECT ds.tau, f.image_id, k.image_id AS key_id FROM ds JOIN dk USING
 CARRIED = greedy_sql(f"SELECT l.image_id, l.key_id, a.idx AS i, b.idx AS j, {IOU} AS v FROM (SELECT DISTINCT image_id, key_id FROM keyed WHERE image_id <> key_id) l JOIN objects a ON a.image_id = l.image_id JOIN objects b ON b.image_id = l.key_id AND b.label = a.label WHERE {IOU} >= 0.5", ("image_id", "key_id"))
 JUDGED = "x AS (SELECT t.tau, f.image_id, f.subj, f.obj, f.pred, f.gold, ms.i IS NOT NULL AND mo.i IS NOT NULL AS matched, coalesce(k.pred, []::VARCHAR[]) AS kept FROM keyed t JOIN fact f ON f.image_id = t.image_id LEFT JOIN m ms ON ms.image_id = t.image_id AND ms.key_id = t.key_id AND ms.i = f.subj LEFT JOIN m mo ON mo.image_id = t.image_id AND mo.key_id = t.key_id AND mo.i = f.obj LEFT JOIN fact k ON k.image_id = t.key_id AND k.subj = ms.j AND k.obj = mo.j WHERE t.image_id <> t.key_id)"
 STILL = with_("objects").removeprefix("WITH ").replace("objects AS", "still AS", 1).rstrip()
-CARRYING = recursive(STILL, MOVING, "contact", "gold", "res", "fact", FRAMED, DRIFTED, KEYED, CARRIED, JUDGED, f"pk AS (SELECT tau, k, list_contains(pred, k) AS p, list_contains(gold, k) AS g, list_contains(kept, k) AS c FROM (SELECT *, unnest({list(PREDICATES)}) AS k FROM x WHERE matched))", "sc AS (SELECT tau, k, count(*) FILTER (p) AS support, round(count(*) FILTER (p AND c) / count(*) FILTER (p)::DOUBLE, 6) AS stability, count(*) FILTER (g) AS gold, round(count(*) FILTER (g AND c) / count(*) FILTER (g)::DOUBLE, 6) AS recall_propagated, round(count(*) FILTER (g AND p) / count(*) FILTER (g)::DOUBLE, 6) AS recall_per_frame FROM pk WHERE p OR g GROUP BY tau, k)")
+CARRYING = recursive(STILL, MOVING, "contact", "gold", "res", "fact", FRAMED, DRIFTED, KEYED, CARRIED, JUDGED, f"pk AS (SELECT tau, k, list_contains(pred, k) AS p, list_contains(gold, k) AS g, list_contains(kept, k) AS c FROM (SELECT *, unnest({list(PREDICATES)}) AS k FROM x WHERE matched))", "sc AS (SELECT tau, k, count(*) FILTER (p) AS support, count(*) FILTER (p AND c) / count(*) FILTER (p)::DOUBLE AS stability, count(*) FILTER (g) AS gold, count(*) FILTER (g AND c) / count(*) FILTER (g)::DOUBLE AS recall_propagated, count(*) FILTER (g AND p) / count(*) FILTER (g)::DOUBLE AS recall_per_frame FROM pk WHERE p OR g GROUP BY tau, k)")
 SCORES = ("stability", "recall_propagated", "recall_per_frame")
 
 
@@ -266,10 +266,11 @@ def carried(spark, sf):
     return S.propagated(fact, objs, keyed_frames(spark, sf), ["tau"])
 
 
-@registry.add("a20_propagation", CARRYING + "SELECT tau, k, support, CASE WHEN support > 0 THEN stability END AS stability, gold, CASE WHEN gold > 0 THEN recall_propagated END AS recall_propagated, CASE WHEN gold > 0 THEN recall_per_frame END AS recall_per_frame FROM sc")
+@registry.add("a20_propagation", CARRYING + "SELECT tau, k, support, CASE WHEN support > 0 THEN round(stability, 6) END AS stability, gold, CASE WHEN gold > 0 THEN round(recall_propagated, 6) END AS recall_propagated, CASE WHEN gold > 0 THEN round(recall_per_frame, 6) END AS recall_per_frame FROM sc")
 def propagation(spark, sf):
     """Predicates of the keyframes of drift segments carried to their frames through matched objects, by tau and predicate."""
-    return S.propagation_scores(carried(spark, sf), ["tau"]).where("support > 0 or gold > 0").drop("matched", "unmatched")
+    scores = S.propagation_scores(carried(spark, sf), ["tau"]).where("support > 0 or gold > 0").drop("matched", "unmatched")
+    return scores.withColumns({c: F.round(c, 6) for c in SCORES})
 
 
 @registry.add("a20_propagation_summary", CARRYING + ", fk AS (SELECT tau, count(*) AS frames, count(*) FILTER (image_id = key_id) AS keyframes FROM keyed GROUP BY tau), mt AS (SELECT tau, count(*) FILTER (matched) AS matched, count(*) FILTER (NOT matched) AS unmatched FROM x GROUP BY tau), mn AS (SELECT tau, " + ", ".join(f"round(avg({c}) FILTER ({n} > 0), 6) AS mean_{c}" for c, n in zip(SCORES, ("support", "gold", "gold"), strict=True)) + " FROM sc GROUP BY tau) SELECT * FROM (SELECT tau, frames, keyframes, round(frames / keyframes::DOUBLE, 6) AS compression FROM fk) JOIN mt USING (tau) JOIN mn USING (tau)")
