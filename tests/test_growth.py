@@ -5,7 +5,7 @@ import pytest
 from scenegrain import catalog
 from scenegrain.sources import folders, readers
 
-DOCUMENTED = ["k07_reannotation", "s06_geometry_cache", "s07_contact_cache", "s01_annotation_files"]
+DOCUMENTED = ["k07_reannotation", "s06_geometry_cache", "s07_contact_cache", "s01_annotation_files", "s03_annotation_objects"]
 
 
 @pytest.mark.parametrize("name", DOCUMENTED)
