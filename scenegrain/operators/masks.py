@@ -6,10 +6,14 @@ mask don't overlap; a row may have several. An empty mask is an empty array. Row
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scenegrain.functions.geometry import Box, num
 
@@ -18,6 +22,13 @@ RUNS = "array<struct<row:int,first:int,end:int>>"
 BAND = 5
 #: Contact that raises an object on a surface, and overlap beyond which the surface is the object itself.
 SURFACE_CONTACT, SAME_REGION = 0.60, 0.80
+#: Pixels, pairs or columns that are worked on at once, unless one mask or object has more.
+TOGETHER = 1 << 20
+
+
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
 def run(row: Column, first: Column, end: Column) -> Column:
@@ -27,9 +38,13 @@ def run(row: Column, first: Column, end: Column) -> Column:
 def rect(box: Box, height: int, width: int) -> Column:
     """A box (shares of the image) filled in, its sides rounded half to even."""
     x1, y1, x2, y2 = (F.bround(v * n, 0).cast("int") for v, n in ((box.x1, width), (box.y1, height), (box.x2, width), (box.y2, height)))
-    x1, x2, y1, y2 = F.greatest(x1, F.lit(0)), F.least(x2, F.lit(width)), F.greatest(y1, F.lit(0)), F.least(y2, F.lit(height))
-    rows = F.transform(F.sequence(y1, F.greatest(y2 - 1, y1)), lambda r: run(r, x1, x2))
-    return F.when((y2 > y1) & (x2 > x1), rows).otherwise(F.array().cast(RUNS))
+    sides = F.struct(F.greatest(x1, F.lit(0)).alias("x1"), F.least(x2, F.lit(width)).alias("x2"), F.greatest(y1, F.lit(0)).alias("y1"), F.least(y2, F.lit(height)).alias("y2"))
+
+    def filled(q: Column) -> Column:
+        rows = F.transform(F.sequence(q["y1"], F.greatest(q["y2"] - 1, q["y1"])), lambda r: run(r, q["x1"], q["x2"]))
+        return F.when((q["y2"] > q["y1"]) & (q["x2"] > q["x1"]), rows).otherwise(F.array().cast(RUNS))
+
+    return let(sides, filled)
 
 
 def _total(runs: Column, of: Callable[[Column], Column]) -> Column:
@@ -51,9 +66,8 @@ def centroid(runs: Column, height: int, width: int) -> Column:
 
 def median(values: Column) -> Column:
     """Of an array without nulls: the middle value, or the mean of the two; null for an empty one."""
-    ordered, n = F.array_sort(values), F.size(values)
-    at = lambda i: F.get(ordered, F.floor(i).cast("int"))
-    return F.when(n > 0, (at((n - 1) / 2) + at(n / 2)) / 2)
+    middle = lambda v: F.when(F.size(v) > 0, (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2)
+    return let(F.sort_array(values), middle)
 
 
 def depth(runs: Column, at: Callable[[Column, Column], Column], overall: Column) -> Column:
@@ -62,52 +76,128 @@ def depth(runs: Column, at: Callable[[Column, Column], Column], overall: Column)
     return F.coalesce(median(pixels), overall)
 
 
-def bottom(runs: Column) -> Column:
-    """The lowest pixel of each column that the mask has: array of (col, row)."""
-    columns = F.array_distinct(F.flatten(F.transform(runs, lambda q: F.sequence(q["first"], q["end"] - 1))))
-    lowest = lambda c: F.array_max(F.transform(F.filter(runs, lambda q: (q["first"] <= c) & (c < q["end"])), lambda q: q["row"]))
-    return F.transform(columns, lambda c: F.struct(c.alias("col"), lowest(c).alias("row")))
-
-
 def extent(runs: Column) -> Column:
     """top and low rows, left column and right end of a mask; nulls for an empty one."""
     of = lambda name: F.transform(runs, lambda q: q[name])
     return F.struct(F.array_min(of("row")).alias("top"), F.array_max(of("row")).alias("low"), F.array_min(of("first")).alias("left"), F.array_max(of("end")).alias("right"))
 
 
-def contact_below(lowest: Column, other: Column, height: int, band: int = BAND) -> Column:
-    """Share of the columns of a bottom whose pixel has the other mask within `band` rows below, or on the image's last row; 0 for an empty mask."""
-    last = F.lit(height - 1)
-    rests = lambda p: F.exists(other, lambda q: q["row"].between(F.least(p["row"] + 1, last), F.least(p["row"] + band, last)) & (q["first"] <= p["col"]) & (p["col"] < q["end"]))
-    return F.when(F.size(lowest) == 0, num(0)).otherwise(F.size(F.filter(lowest, rests)) / F.size(lowest))
+def _scenes(masks: DataFrame, name: str, *keep: str) -> DataFrame:
+    """image_id and its masks in a row, which is no larger than a scene. What is grouped by image already doesn't move."""
+    return masks.where("image_id is not null").groupBy("image_id").agg(F.collect_list(F.struct(*keep, F.coalesce("runs", F.array().cast(RUNS)).alias("runs"))).alias(name))
+
+
+def _blocks(weights: np.ndarray, most: int = TOGETHER) -> Iterator[slice]:
+    """Slices, in order, of what weighs no more than `most` together, or of one that weighs more."""
+    ends, at = np.cumsum(weights), 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield slice(at, end)
+        at = end
 
 
-def overlap_area(a: Column, b: Column) -> Column:
-    """Pixels that both masks have."""
-    shared = lambda q: _total(F.filter(b, lambda o: o["row"] == q["row"]), lambda o: F.greatest(F.lit(0), F.least(q["end"], o["end"]) - F.greatest(q["first"], o["first"])))
-    return _total(a, shared)
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, .. (sizes[0] of them), starts[1], .."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
 
 
-def _measured(masks: DataFrame, prefix: str, *keep: str) -> DataFrame:
-    """What pairs need of a mask, worked out once a mask: its extent, and its bottom where it is to rest on something."""
-    runs = F.col("runs")
-    found = [extent(runs).alias(f"{prefix}_box"), runs.alias(f"{prefix}_runs")]
-    return masks.select("image_id", *[F.col(k).alias(f"{prefix}_{k}") for k in keep], *found, *([bottom(runs).alias("lowest")] if prefix == "a" else []))
+class _Masks:
+    """A column of lists of masks as flat arrays: of each list its masks, of each mask its runs."""
 
+    def __init__(self, column: pa.Array):
+        self.sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        *keep, runs = column.flatten().flatten()
+        self.idx = keep[0].to_numpy() if keep else np.zeros(len(runs), np.int32)
+        n = pc.list_value_length(runs).to_numpy(zero_copy_only=False).astype(np.int64)
+        row, first, end = (f.to_numpy().astype(np.int64) for f in runs.flatten().flatten())
+        of, full = np.repeat(np.arange(len(n)), n), end > first
+        self.of, self.row, self.first, self.end = of[full], row[full], first[full], end[full]
+        n = np.bincount(self.of, minlength=len(n))
+        self.first_run, self.runs = np.cumsum(n) - n, n
+        self.area = np.bincount(self.of, weights=self.end - self.first, minlength=len(n)).astype(np.int64)
+        self.box = [self._of_runs(f, v) for f, v in ((np.minimum, self.row), (np.maximum, self.row), (np.minimum, self.first), (np.maximum, self.end))]
 
-def _may_touch(height: int) -> Column:
-    """By their extents alone: shared columns, and rows near enough for contact. Most pairs of a scene end here."""
-    a, b = F.col("a_box"), F.col("b_box")
-    last = F.lit(height - 1)
-    return (a["left"] < b["right"]) & (b["left"] < a["right"]) & (b["low"] >= F.least(a["top"] + 1, last)) & (b["top"] <= F.least(a["low"] + BAND, last))
+    def _of_runs(self, f: np.ufunc, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.runs), np.int64)
+        if len(values):
+            out[self.runs > 0] = f.reduceat(values, self.first_run[self.runs > 0])
+        return out
+
+    def pixels(self, some: np.ndarray, height: int, width: int) -> np.ndarray:
+        """Of the masks `some` their pixels as ((place in some) * width + column) * height + row, in order."""
+        at = _spread(self.first_run[some], self.runs[some])
+        of, wide = np.repeat(np.arange(len(some)), self.runs[some]), (self.end - self.first)[at]
+        columns = _spread(self.first[at], wide)
+        return np.sort((np.repeat(of, wide) * width + columns) * height + np.repeat(self.row[at], wide))
+
+
+def _rests(a: _Masks, b: _Masks, image: slice, height: int, other: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of the scenes of a slice, pairs of masks that may touch: their places in a and b, the share of a's bottom that rests on b, and the pixels they share.
+
+    Extents leave most pairs out. A bottom is the lowest pixel of each column; it rests on what has a pixel
+    in its column within BAND rows below, or on the last row.
+    """
+    last = height - 1
+    ours = _spread(a.starts[image], a.sizes[image])
+    theirs, partners = np.repeat(b.starts[image], a.sizes[image]), np.repeat(b.sizes[image], a.sizes[image])
+    for some in _blocks(partners):
+        i, j = np.repeat(ours[some], partners[some]), _spread(theirs[some], partners[some])
+        (a_top, a_low, a_left, a_right), (b_top, b_low, b_left, b_right) = ([v[at] for v in m.box] for m, at in ((a, i), (b, j)))
+        may = (a.area[i] > 0) & (b.area[j] > 0) & (a_left < b_right) & (b_left < a_right) & (b_low >= np.minimum(a_top + 1, last)) & (b_top <= np.minimum(a_low + BAND, last))
+        if not other:
+            may &= i != j
+        i, j = i[may], j[may]
+        for part in _blocks(a.area[i] + b.area[j]):
+            yield i[part], j[part], *_judged(a, b, i[part], j[part], height)
+
+
+def _judged(a: _Masks, b: _Masks, i: np.ndarray, j: np.ndarray, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of masks the share of the one's bottom that rests on the other, and the pixels that both have."""
+    last = height - 1
+    (mine, i), (yours, j) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+    left = min(a.box[2][mine].min(), b.box[2][yours].min(), 0)
+    top = min(a.box[0][mine].min(), b.box[0][yours].min(), 0)
+    width = max(a.box[3][mine].max(), b.box[3][yours].max()) - left
+    tall = max(a.box[1][mine].max(), b.box[1][yours].max(), last) - top + 1
+    shift = -left * tall - top
+    own, put = a.pixels(mine, tall, width) + shift, b.pixels(yours, tall, width) + shift
+    column = own // tall
+    low = np.append(column[1:] != column[:-1], True)  # in order of rows: the last of a column is its lowest
+    wide = np.bincount(column[low] // width, minlength=len(mine))
+
+    def met(pixels: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of each pair how many of the one's pixels have one of the other's in their column, from lo to hi."""
+        at = _spread((np.cumsum(n) - n)[i], n[i])
+        pair = np.repeat(np.arange(len(i)), n[i])
+        base = (j[pair] * width + (pixels // tall % width)[at]) * tall
+        found = np.searchsorted(put, base + lo[at])
+        hit = (found < len(put)) & (put[np.minimum(found, len(put) - 1)] <= base + hi[at])
+        return np.bincount(pair[hit], minlength=len(i))
+
+    below = own[low] % tall + top
+    lo, hi = np.minimum(below + 1, last) - top, np.minimum(below + BAND, last) - top
+    row = own % tall
+    return met(own[low], wide, lo, hi) / wide[i], met(own, np.bincount(own // (tall * width), minlength=len(mine)), row, row)
 
 
 def pair_contacts(masks: DataFrame, height: int, least: float = 0.05) -> DataFrame:
     """(image_id, i, j, frac): contact of every ordered pair of masks (image_id, idx, runs) of an image, from `least` up, judged before it is rounded to four places."""
-    a, b = _measured(masks, "a", "idx"), _measured(masks, "b", "idx").drop("lowest")
-    pairs = a.join(b, "image_id").where((F.col("a_idx") != F.col("b_idx")) & _may_touch(height))
-    found = pairs.withColumn("frac", contact_below(F.col("lowest"), F.col("b_runs"), height)).where(F.col("frac") >= num(least))
-    return found.select("image_id", F.col("a_idx").alias("i"), F.col("b_idx").alias("j"), F.round("frac", 4).alias("frac"))
+    kind = masks.schema["image_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _Masks(batch.column(1))
+            owner = np.repeat(np.arange(len(m.sizes)), m.sizes)
+            for some in _blocks(np.bincount(owner, weights=m.area, minlength=len(m.sizes))):
+                for i, j, frac, _ in _rests(m, m, some, height, False):
+                    keep = frac >= least
+                    i, j = i[keep], j[keep]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[i])), pa.array(m.idx[i]), pa.array(m.idx[j]), pa.array(frac[keep])], names=["image_id", "i", "j", "frac"])
+
+    found = _scenes(masks.select("image_id", F.col("idx").cast("int").alias("idx"), "runs"), "masks", "idx").mapInArrow(run, _schema(kind, i=T.IntegerType(), j=T.IntegerType(), frac=T.DoubleType()))
+    return found.select("image_id", "i", "j", F.round("frac", 4).alias("frac"))
 
 
 def elevated(masks: DataFrame, surfaces: DataFrame, height: int, least: float = SURFACE_CONTACT) -> DataFrame:
@@ -115,8 +205,23 @@ def elevated(masks: DataFrame, surfaces: DataFrame, height: int, least: float =
 
     What evaluate_scene takes as extra_elevated. A null or empty mask rests on nothing.
     """
-    a, b = _measured(masks, "a", "idx"), _measured(surfaces, "b").drop("lowest")
-    pairs = a.join(b, "image_id").where(_may_touch(height))
-    same = overlap_area(F.col("a_runs"), F.col("b_runs")) > num(SAME_REGION) * F.greatest(area(F.col("a_runs")), F.lit(1))
-    rests = contact_below(F.col("lowest"), F.col("b_runs"), height) >= num(least)
-    return pairs.where(rests & ~same).select("image_id", F.col("a_idx").alias("idx")).distinct()
+    kind = masks.schema["image_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = _Masks(batch.column(1)), _Masks(batch.column(2))
+            owner = np.repeat(np.arange(len(a.sizes)), a.sizes)
+            for some in _blocks(np.bincount(owner, weights=a.area, minlength=len(a.sizes))):
+                up = [i[(frac >= least) & ~(both > SAME_REGION * a.area[i])] for i, _, frac, both in _rests(a, b, some, height, True)]
+                raised = np.unique(np.concatenate(up)) if up else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[raised])), pa.array(a.idx[raised])], names=["image_id", "idx"])
+
+    both = _scenes(masks.select("image_id", F.col("idx").cast("int").alias("idx"), "runs"), "masks", "idx").join(_scenes(surfaces, "surfaces"), "image_id")
+    return both.select("image_id", "masks", "surfaces").mapInArrow(run, _schema(kind, idx=T.IntegerType())).distinct()
+
+
+def _schema(image_id: T.DataType, **rest: T.DataType) -> T.StructType:
+    out = T.StructType([T.StructField("image_id", image_id)])
+    for name, kind in rest.items():
+        out = out.add(name, kind)
+    return out

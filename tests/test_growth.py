@@ -23,3 +23,27 @@ def test_packed_documents_read_like_files(spark, tmp_path):
     for read in (readers.contact, readers.has_masks):
         assert sorted(map(tuple, read(spark, rows).collect())) == sorted(map(tuple, read(spark, files).collect()))
     assert len(list(tmp_path.rglob("part-*.txt"))) == 3
+
+
+def executed(df):
+    """The plan before it runs, and how often rows move in it."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan, plan.count("Exchange hashpartitioning")
+
+
+def test_objects_are_grouped_where_they_are_ranked(spark, small_dir):
+    """g13: masks of an image are gathered without moving, and pairs aren't joined."""
+    plan, moves = executed(catalog.queries()["g13_mask_contact"](spark, small_dir))
+    assert moves == 1 and "Join" not in plan
+
+
+def test_boxes_are_rounded_once(spark, small_dir):
+    """g11: each side of a box once, and no comparator for the median."""
+    plan, _ = executed(catalog.queries()["g11_mask_depth"](spark, small_dir))
+    assert plan.count("bround(") == 4 and "lambda left" not in plan and "array_sort" not in plan
+
+
+def test_surfaces_meet_whole_scenes(spark, small_dir):
+    """p11: a row an image of masks meets a row an image of surfaces."""
+    plan, moves = executed(catalog.queries()["p11_surface_guard"](spark, small_dir))
+    assert plan.count("MapInArrow") == 1 and plan.count("Join") == 1 and moves <= 3
