@@ -71,3 +71,40 @@ def test_frames_stay_with_their_clip(spark, small_dir, name):
     moves = [line.split("Exchange hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
     assert not [m for m in moves if m.startswith(("image_id", "key_id"))]
     assert sum(m.startswith("clip") for m in moves) < len(moves) and not [m for m in moves if "image_id" in m.split(")")[0]]
+
+
+def test_sample_by_group_sorts_few_rows(spark):
+    """Only rows whose digest may be among the smallest are sorted, and they are the same ones."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    from scenegrain.operators import learning
+
+    rows = spark.range(20_000).select((F.col("id") % 3).alias("arm"), "id")
+    rank = F.row_number().over(Window.partitionBy("arm").orderBy(F.md5(F.concat_ws("-", "id")), "id"))
+    want = {tuple(r) for r in rows.withColumn("r", rank).where("r <= 50").drop("r").collect()}
+    got = learning.sampled(rows, ["id"], 50, ["arm"])
+    assert {tuple(r) for r in got.collect()} == want and "_last" in executed(got)[0]
+
+
+def test_training_rows_are_picked_once(spark, monkeypatch):
+    from scenegrain.operators import learning
+
+    made = []
+    monkeypatch.setattr(learning, "stored", lambda df, tag: made.append(tag) or folders.stored(df, tag))
+    rows = spark.createDataFrame([(0, i, float(i % 7), i % 2) for i in range(60)], "arm int, i int, a double, label int")
+    assert set(learning.train(rows, ["a"], ["i"], epochs=1)) == {0} and made == ["training-rows"]
+
+
+def test_verdicts_in_single_precision_are_those_in_double():
+    import numpy as np
+
+    from scenegrain.functions.stats import Mlp
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5000, 6)) * rng.choice([1, 1000], (5000, 1))
+    y = (x[:, 0] + x[:, 1] > 0).astype(float)
+    net = Mlp(epochs=2).fit(x[:1000] / 1000, y[:1000])
+    at = net.predict(x)
+    net.b[-1] -= np.log(at[7] / (1 - at[7])) if 0 < at[7] < 1 else 0  # a row on the very threshold
+    assert (net.says(x) == (net.predict(x) > 0.5)).all()
