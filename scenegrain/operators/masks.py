@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from scenegrain.functions.geometry import Box, num
 
 RUNS = "array<struct<row:int,first:int,end:int>>"
+RUNS_TYPE = T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in ("row", "first", "end")]))
 #: Rows below an object's lowest pixels in which what it rests on begins.
 BAND = 5
 #: Contact that raises an object on a surface, and overlap beyond which the surface is the object itself.
@@ -47,6 +48,54 @@ def rect(box: Box, height: int, width: int) -> Column:
     return let(sides, filled)
 
 
+#: From a batch of objects and flat runs (which object, row, first, end), the runs that are left of them, in order.
+Carve = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _fill(objs: pa.RecordBatch, sides: list[str], height: int, width: int, carve: Carve | None) -> pa.Array:
+    """The masks of a batch of objects, whose boxes are in the columns `sides`, worked out at once on flat arrays."""
+    v = [objs.column(s).to_numpy(zero_copy_only=False) for s in sides]
+    # a side that isn't known is the image's, as in rect()
+    v = [np.where(np.isnan(s), edge, s) for s, edge in zip(v, (0, 0, 1, 1), strict=True)]
+    x1, y1, x2, y2 = (np.rint(s * n).astype(np.int64) for s, n in zip(v, (width, height, width, height), strict=True))
+    x1, y1, x2, y2 = np.maximum(x1, 0), np.maximum(y1, 0), np.minimum(x2, width), np.minimum(y2, height)
+    rows = np.where((y2 > y1) & (x2 > x1), y2 - y1, 0)
+    of = np.repeat(np.arange(len(rows)), rows)
+    runs = of, _spread(y1, rows), x1[of], x2[of]
+    if carve:
+        runs = carve(objs, *runs)
+    ends = np.append(0, np.cumsum(np.bincount(runs[0], minlength=len(rows)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(r.astype(np.int32)) for r in runs[1:]], names=["row", "first", "end"]))
+
+
+def drawn(objs: DataFrame, sides: list[str], height: int, width: int, carve: Carve | None = None) -> DataFrame:
+    """objs with runs: boxes (columns x1, y1, x2, y2, or as `sides` has them) filled in as rect() does and then carved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _fill(batch, sides, height, width, carve)], names=[*batch.schema.names, "runs"])
+
+    return objs.mapInArrow(run, T.StructType([*objs.schema.fields, T.StructField("runs", RUNS_TYPE)]))
+
+
+def drawn_scenes(scenes: DataFrame, height: int, width: int, **drawings: tuple[list[str], Carve | None]) -> DataFrame:
+    """Rows of scenes (scene: an array of objects, gathered where they are) with arrays of idx and runs, as drawn() has them: for each name a box's sides and what carves it.
+
+    Objects are gathered before they are drawn, so that no mask is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scene = batch.column("scene")
+            objs = pa.RecordBatch.from_struct_array(scene.flatten())
+            ends = pa.array(np.append(0, np.cumsum(pc.list_value_length(scene).to_numpy(zero_copy_only=False))).astype(np.int32))
+            masks = [pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([objs.column("idx"), _fill(objs, sides, height, width, carve)], names=["idx", "runs"])) for sides, carve in drawings.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *masks], names=[*batch.schema.names, *drawings])
+
+    mask = T.ArrayType(T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("runs", RUNS_TYPE)]))
+    return scenes.mapInArrow(run, T.StructType([*scenes.schema.fields, *[T.StructField(name, mask) for name in drawings]]))
+
+
 def _total(runs: Column, of: Callable[[Column], Column]) -> Column:
     return F.aggregate(runs, F.lit(0).cast("long"), lambda acc, q: acc + of(q).cast("long"))
 
@@ -76,6 +125,34 @@ def depth(runs: Column, at: Callable[[Column, Column], Column], overall: Column)
     return F.coalesce(median(pixels), overall)
 
 
+def with_depth(masks: DataFrame, at: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], np.ndarray], overall: str, name: str) -> DataFrame:
+    """masks without their runs and with depth() of each, `overall` (a column) for an empty one; at(batch, which mask, rows, columns) gives the depths of many pixels at once.
+
+    Masks of as many pixels form a matrix, whose middle is found without sorting it.
+    """
+    kept = [f for f in masks.schema.fields if f.name != "runs"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _Masks(pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), pa.StructArray.from_arrays([batch.column("runs")], names=["runs"])))
+            z = batch.column(overall).to_numpy(zero_copy_only=False).astype(float).copy()
+            order = np.argsort(m.area, kind="stable")
+            order = order[m.area[order] > 0]
+            for block in _blocks(m.area[order]):
+                some = order[block]
+                run_at = _spread(m.first_run[some], m.runs[some])
+                wide = (m.end - m.first)[run_at]
+                pixels = at(batch, np.repeat(m.of[run_at], wide), np.repeat(m.row[run_at], wide), _spread(m.first[run_at], wide))
+                sizes, firsts, counts = np.unique(m.area[some], return_index=True, return_counts=True)
+                begin = np.cumsum(sizes * counts) - sizes * counts
+                for n, first, count, lo in zip(sizes, firsts, counts, begin, strict=True):
+                    block_of = np.partition(pixels[lo : lo + n * count].reshape(count, n), ((n - 1) // 2, n // 2), axis=1)
+                    z[some[first : first + count]] = (block_of[:, (n - 1) // 2] + block_of[:, n // 2]) / 2
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [pa.array(z, from_pandas=True)], names=[f.name for f in kept] + [name])
+
+    return masks.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.DoubleType())]))
+
+
 def extent(runs: Column) -> Column:
     """top and low rows, left column and right end of a mask; nulls for an empty one."""
     of = lambda name: F.transform(runs, lambda q: q[name])
@@ -133,8 +210,8 @@ class _Masks:
         return np.sort((np.repeat(of, wide) * width + columns) * height + np.repeat(self.row[at], wide))
 
 
-def _rests(a: _Masks, b: _Masks, image: slice, height: int, other: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of the scenes of a slice, pairs of masks that may touch: their places in a and b, the share of a's bottom that rests on b, and the pixels they share.
+def _rests(a: _Masks, b: _Masks, image: slice, height: int, least: float, other: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of the scenes of a slice, pairs of masks that touch: their places in a and b, the share of a's bottom that rests on b, from `least` up, and, if b are others (not a), the pixels they share.
 
     Extents leave most pairs out. A bottom is the lowest pixel of each column; it rests on what has a pixel
     in its column within BAND rows below, or on the last row.
@@ -150,12 +227,13 @@ def _rests(a: _Masks, b: _Masks, image: slice, height: int, other: bool) -> Iter
             may &= i != j
         i, j = i[may], j[may]
         for part in _blocks(a.area[i] + b.area[j]):
-            yield i[part], j[part], *_judged(a, b, i[part], j[part], height)
+            yield _judged(a, b, i[part], j[part], height, least, other)
 
 
-def _judged(a: _Masks, b: _Masks, i: np.ndarray, j: np.ndarray, height: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of masks the share of the one's bottom that rests on the other, and the pixels that both have."""
+def _judged(a: _Masks, b: _Masks, i: np.ndarray, j: np.ndarray, height: int, least: float, other: bool) -> tuple[np.ndarray, ...]:
+    """Of pairs of masks those whose share of the one's bottom that rests on the other is `least` or more, with that share, and, if asked, the pixels that both have, which of most pairs nobody counts."""
     last = height - 1
+    of, on = i, j
     (mine, i), (yours, j) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
     left = min(a.box[2][mine].min(), b.box[2][yours].min(), 0)
     top = min(a.box[0][mine].min(), b.box[0][yours].min(), 0)
@@ -167,7 +245,7 @@ def _judged(a: _Masks, b: _Masks, i: np.ndarray, j: np.ndarray, height: int) ->
     low = np.append(column[1:] != column[:-1], True)  # in order of rows: the last of a column is its lowest
     wide = np.bincount(column[low] // width, minlength=len(mine))
 
-    def met(pixels: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    def met(i: np.ndarray, j: np.ndarray, pixels: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Of each pair how many of the one's pixels have one of the other's in their column, from lo to hi."""
         at = _spread((np.cumsum(n) - n)[i], n[i])
         pair = np.repeat(np.arange(len(i)), n[i])
@@ -178,8 +256,12 @@ def _judged(a: _Masks, b: _Masks, i: np.ndarray, j: np.ndarray, height: int) ->
 
     below = own[low] % tall + top
     lo, hi = np.minimum(below + 1, last) - top, np.minimum(below + BAND, last) - top
+    frac = met(i, j, own[low], wide, lo, hi) / wide[i]
+    keep = frac >= least
+    if not other:
+        return of[keep], on[keep], frac[keep]
     row = own % tall
-    return met(own[low], wide, lo, hi) / wide[i], met(own, np.bincount(own // (tall * width), minlength=len(mine)), row, row)
+    return of[keep], on[keep], frac[keep], met(i[keep], j[keep], own, np.bincount(own // (tall * width), minlength=len(mine)), row, row)
 
 
 def pair_contacts(masks: DataFrame, height: int, least: float = 0.05) -> DataFrame:
@@ -191,10 +273,8 @@ def pair_contacts(masks: DataFrame, height: int, least: float = 0.05) -> DataFra
             m = _Masks(batch.column(1))
             owner = np.repeat(np.arange(len(m.sizes)), m.sizes)
             for some in _blocks(np.bincount(owner, weights=m.area, minlength=len(m.sizes))):
-                for i, j, frac, _ in _rests(m, m, some, height, False):
-                    keep = frac >= least
-                    i, j = i[keep], j[keep]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[i])), pa.array(m.idx[i]), pa.array(m.idx[j]), pa.array(frac[keep])], names=["image_id", "i", "j", "frac"])
+                for i, j, frac in _rests(m, m, some, height, least, False):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[i])), pa.array(m.idx[i]), pa.array(m.idx[j]), pa.array(frac)], names=["image_id", "i", "j", "frac"])
 
     found = _scenes(masks.select("image_id", F.col("idx").cast("int").alias("idx"), "runs"), "masks", "idx").mapInArrow(run, _schema(kind, i=T.IntegerType(), j=T.IntegerType(), frac=T.DoubleType()))
     return found.select("image_id", "i", "j", F.round("frac", 4).alias("frac"))
@@ -212,7 +292,7 @@ def elevated(masks: DataFrame, surfaces: DataFrame, height: int, least: float =
             a, b = _Masks(batch.column(1)), _Masks(batch.column(2))
             owner = np.repeat(np.arange(len(a.sizes)), a.sizes)
             for some in _blocks(np.bincount(owner, weights=a.area, minlength=len(a.sizes))):
-                up = [i[(frac >= least) & ~(both > SAME_REGION * a.area[i])] for i, _, frac, both in _rests(a, b, some, height, True)]
+                up = [i[~(both > SAME_REGION * a.area[i])] for i, _, _, both in _rests(a, b, some, height, least, True)]
                 raised = np.unique(np.concatenate(up)) if up else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[raised])), pa.array(a.idx[raised])], names=["image_id", "idx"])
 
@@ -220,6 +300,40 @@ def elevated(masks: DataFrame, surfaces: DataFrame, height: int, least: float =
     return both.select("image_id", "masks", "surfaces").mapInArrow(run, _schema(kind, idx=T.IntegerType())).distinct()
 
 
+def with_evidence(scenes: DataFrame, height: int, least: float | None = 0.05, surface: float = SURFACE_CONTACT) -> DataFrame:
+    """Rows of whole scenes with what their masks say: contacts (i, j, frac), as pair_contacts() has them, none without `least`, and, if there are surfaces, raised (idx), as elevated() has them.
+
+    scenes: masks and maybe surfaces (arrays of idx and runs) and any others, which are kept; masks and surfaces are not.
+    """
+    kept = [f for f in scenes.schema.fields if f.name not in ("masks", "surfaces")]
+    flat = "surfaces" in scenes.columns
+    touch = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("frac", T.DoubleType())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = _Masks(batch.column("masks"))
+            b = _Masks(batch.column("surfaces")) if flat else None
+            owner = np.repeat(np.arange(len(a.sizes)), a.sizes)
+            found, up = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], [np.zeros(0, np.int64)]
+            for some in _blocks(np.bincount(owner, weights=a.area, minlength=len(a.sizes))):
+                if least is not None:
+                    found += _rests(a, a, some, height, least, False)
+                if flat:
+                    up += [i[~(both > SAME_REGION * a.area[i])] for i, _, _, both in _rests(a, b, some, height, surface, True)]
+            i, j, frac = (np.concatenate(v) for v in zip(*found, strict=True))
+            raised = np.unique(np.concatenate(up))
+            listed = lambda of, values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner[of], minlength=len(a.sizes)))).astype(np.int32)), values)
+            out = {f.name: batch.column(f.name) for f in kept}
+            out["contacts"] = listed(i, pa.StructArray.from_arrays([pa.array(a.idx[i]), pa.array(a.idx[j]), pa.array(frac)], names=["i", "j", "frac"]))
+            if flat:
+                out["raised"] = listed(raised, pa.array(a.idx[raised]))
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    raised = [T.StructField("raised", T.ArrayType(T.IntegerType()))] if flat else []
+    judged = scenes.mapInArrow(run, T.StructType([*kept, T.StructField("contacts", touch), *raised]))
+    return judged.withColumn("contacts", F.transform("contacts", lambda c: c.withField("frac", F.round(c["frac"], 4))))
+
+
 def _schema(image_id: T.DataType, **rest: T.DataType) -> T.StructType:
     out = T.StructType([T.StructField("image_id", image_id)])
     for name, kind in rest.items():

@@ -97,3 +97,36 @@ def test_raised_objects_are_not_ordered_by_their_bottoms(spark):
     contact = M.pair_contacts(masks, 50)
     said = lambda extra: {p for r in rules.evaluate_scene(objs, contact=contact, extra_elevated=extra).where("a_idx = 1").collect() for p in r.predicates}
     assert "in front of" in said(None) and "in front of" not in said(M.elevated(masks, slab, 50))
+
+
+def test_boxes_are_drawn_at_once_as_one_by_one(spark):
+    boxes = [(i, 0.013 * i, 0.5 - 0.02 * i, 0.013 * i + 0.05 * (i % 4), 0.7, 0.3) for i in range(20)] + [(20, None, 0.1, 0.4, 0.4, 0.5), (21, 0.9, 0.9, 1.2, 1.3, 0.7)]
+    objs = spark.createDataFrame(boxes, "idx int, x1 double, y1 double, x2 double, y2 double, depth double").withColumn("image_id", F.lit(1))
+    drawn = M.drawn(objs, ["x1", "y1", "x2", "y2"], 50, 50)
+    assert drawn.withColumn("other", M.rect(Box.of(), 50, 50)).where("runs <> other").count() == 0
+    at = lambda row, col: F.col("depth") + (col * 7 + row * 3) % 11 / 100
+    one = {r["idx"]: r["z"] for r in drawn.select("idx", M.depth(F.col("runs"), at, F.col("depth")).alias("z")).collect()}
+    many = M.with_depth(drawn, lambda batch, of, row, col: batch.column("depth").to_numpy()[of] + (col * 7 + row * 3) % 11 / 100, "depth", "z")
+    assert {r["idx"]: r["z"] for r in many.collect()} == one
+
+
+def test_whole_scenes_say_what_their_masks_say(spark):
+    from scenegrain.queries import masks as Q
+
+    small = "/root/testdata/sf0.001"
+    both = Q.scenes(spark, small)
+    said = M.with_evidence(both, 50)
+    masks = both.select("image_id", F.inline("masks"))
+    found = {(r[0], r[1], r[2], r[3]) for r in M.pair_contacts(masks, 50).collect()}
+    assert {(r[0], *r[1]) for r in said.select("image_id", F.explode("contacts")).collect()} == found and found
+    up = {tuple(r) for r in M.elevated(masks, both.select("image_id", F.inline("surfaces")), 50).collect()}
+    assert {tuple(r) for r in said.select("image_id", F.explode("raised")).collect()} == up and up
+    assert said.columns == ["image_id", "scene", "contacts", "raised"]
+
+
+def test_masks_are_not_shuffled_and_scenes_are_made_once(spark):
+    from scenegrain.queries import masks as Q
+
+    for query in (Q.guarded_scene, Q.surface_guard, Q.mask_contact):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().treeString()
+        assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1
