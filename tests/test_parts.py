@@ -560,3 +560,17 @@ def test_spaced_sample(spark):
     frames = sorted(r.frame for r in got)
     assert all(b - a >= 20 for a, b in zip(frames, frames[1:], strict=False))
     assert all(any(abs(f - g) < 20 for g in frames) for f in (0, 5, 10, 30, 31, 60))  # nothing more would fit
+
+
+def test_recall_asks_networks_only_about_rows_with_the_label(spark):
+    from scenegrain.operators import learning
+
+    class Asked:
+        def says(self, x):
+            assert (x[:, 0] > 0).all(), "a row without the label"
+            return x[:, 0] > 1
+
+    df = spark.createDataFrame([(float(v), int(v > 0), 0) for v in (-2, -1, 1, 2, 3)], "a double, y0 int, y1 int")
+    nets = {0: [(Asked(), np.zeros(1), np.ones(1))] * 2}
+    got = {tuple(r) for r in learning.recalled(df, ["a"], ["y0", "y1"], nets).collect()}
+    assert got == {(0, 0, 2, 1), (0, 1, 2, 1), (1, 0, 0, 0)}
