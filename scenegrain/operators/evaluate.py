@@ -208,8 +208,13 @@ def residual_motion(shifts: DataFrame, keys: list[str], least: int = 3) -> DataF
     Turning the camera moves all objects alike, so the median carries no depth; what is left grows with nearness.
     """
     middle = shifts.groupBy(*keys).agg(F.median("dx").alias("_mx"), F.median("dy").alias("_my"), F.count("*").alias("_n")).where(F.col("_n") >= least)
-    x, y = F.col("dx") - F.col("_mx"), F.col("dy") - F.col("_my")
-    return shifts.join(middle, keys).select(*keys, "idx", F.round(F.sqrt(x * x + y * y), 9).alias("residual"))
+    return shifts.join(middle, keys).select(*keys, "idx", residual(F.col("dx"), F.col("dy"), F.col("_mx"), F.col("_my")).alias("residual"))
+
+
+def residual(dx: Column, dy: Column, mx: Column, my: Column) -> Column:
+    """How far a shift is from the median one."""
+    x, y = dx - mx, dy - my
+    return F.round(F.sqrt(x * x + y * y), 9)
 
 
 def parallax(pairs: DataFrame, by: list[str]) -> DataFrame:

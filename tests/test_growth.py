@@ -129,3 +129,12 @@ def test_pairs_of_either_order_are_rows_from_the_start(spark, small_dir):
     df = evaluation.unordered(spark, small_dir)
     plan = df._jdf.queryExecution().executedPlan().treeString()
     assert plan.count("Exchange") == 1 and "min_by" not in plan
+
+
+def test_matches_and_residuals_stay_in_their_scene(spark, small_dir):
+    """Objects are read and shuffled once; what is matched, or how far it moved, is worked out in the image's row."""
+    from scenegrain.queries import evaluation, sequence
+
+    for df in (sequence.conditional_recall(spark, small_dir), evaluation.parallax_pairs(spark, small_dir)):
+        plan = df._jdf.queryExecution().executedPlan().treeString()
+        assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning(image_id") == 1 and "Join" not in plan
