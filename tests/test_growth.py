@@ -180,3 +180,17 @@ def test_keyframes_in_a_row_are_those_of_segments(spark):
         want = {tuple(r) for r in segs.join(keys, ["clip", "seg"]).select("clip", "ord", "keyframe").collect()}
         clips = frames.groupBy("clip").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "sig"))), lambda f: f["sig"]).alias("sigs"))
         assert {tuple(r) for r in clips.select("clip", F.posexplode(S.keys_in_row(F.col("sigs"), tau))).collect()} == want
+
+
+def test_sample_without_groups_sorts_few_rows(spark):
+    """m11, m14: a constant bound on digests keeps most rows from being worked out and sorted; they are the same ones."""
+    from pyspark.sql import functions as F
+
+    from scenegrain.operators import learning
+
+    rows = spark.range(20_000).select("id", (F.col("id") * 2).alias("x"))
+    want = {tuple(r) for r in rows.orderBy(F.md5(F.concat_ws("-", "id")), "id").limit(50).collect()}
+    got = learning.sampled(rows, ["id"], 50)
+    few = [line for line in executed(got)[0].splitlines() if "Filter" in line and "md5" in line]
+    assert {tuple(r) for r in got.collect()} == want and len(few) == 1
+    assert learning.sampled(rows, ["id"], 30_000).count() == 20_000 and learning.sampled(rows.where("id < 0"), ["id"], 5).count() == 0
