@@ -194,3 +194,33 @@ def test_sample_without_groups_sorts_few_rows(spark):
     few = [line for line in executed(got)[0].splitlines() if "Filter" in line and "md5" in line]
     assert {tuple(r) for r in got.collect()} == want and len(few) == 1
     assert learning.sampled(rows, ["id"], 30_000).count() == 20_000 and learning.sampled(rows.where("id < 0"), ["id"], 5).count() == 0
+
+
+def test_self_training_reads_its_rows_three_times(spark):
+    """m12: all training rows are read for keys, for those of the samples, and to be counted; only those of the samples move."""
+    from scenegrain.operators import learning
+
+    read, moved = spark.sparkContext.accumulator(0), []
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    df = spark.range(4000).selectExpr("id as i", "rand(1) as a", "rand(2) as b", "id % 2 = 0 as known", "case when id % 2 = 0 then int(id % 4 = 0) else 0 end as h0")
+    training = df.mapInPandas(count, df.schema)
+    plain = learning.stored
+
+    def stored(rows, tag):
+        kept = plain(rows, tag)
+        moved.append((tag, kept[0].count()))
+        return kept
+
+    try:
+        learning.stored = stored
+        got = learning.self_trained(training, df, ["a", "b"], ["h0"], "known", ["i"], most=100, epochs=2)
+        assert got.collect()[0].annotated == 2000
+    finally:
+        learning.stored = plain
+    assert read.value == 3 * 4000
+    assert max(n for tag, n in moved if tag == "pool-rows") < 400

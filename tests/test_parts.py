@@ -494,6 +494,37 @@ def test_self_training_against_a_plain_version(spark):
         assert (r.tp, r.fp, r.fn) == ((said & true).sum(), (said & ~true).sum(), (~said & true).sum())
 
 
+def test_self_training_on_samples_against_a_plain_version(spark):
+    """Fewer rows are sampled than are annotated: teacher and student learn from those with the smallest digests."""
+    import hashlib
+
+    from scenegrain.operators import learning
+
+    df, x, y, told, known = toy_pairs(spark)
+    got = {r.arm: r for r in learning.self_trained(df.where("i < 600"), df.where("i >= 600"), list("abcd"), ["h0", "h1", "h2"], "known", ["i"], most=100, epochs=8).collect()}
+    order = sorted(range(600), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    assert known[:600].sum() > 100
+    for arm in range(3):
+        first, label = sorted(order[:100]), told[:600, arm]
+        p = plain_net(x[first], label[first], 8)(x[:600])[-1] if label[first].any() else np.full(600, 0.5)
+        mine = np.where(known[:600], label, np.where(p >= 0.9, 1, np.where(p <= 0.1, 0, -1)))
+        pool = sorted([i for i in order if mine[i] >= 0][:100])
+        said = plain_net(x[pool], mine[pool], 8)(x[600:])[-1] > 0.5
+        true, r, free = told[600:, arm] > 0, got[arm], ~known[:600]
+        assert (r.annotated, r.pseudo_pos, r.pseudo_neg) == (known[:600].sum(), (free & (mine == 1)).sum(), (free & (mine == 0)).sum())
+        assert (r.tp, r.fp, r.fn) == ((said & true).sum(), (said & ~true).sum(), (~said & true).sum())
+
+
+def test_confident_answers_are_those_of_double_precision():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 5))
+    net = stats.Mlp(epochs=20).fit(x, (x[:, 0] > x[:, 1]).astype(float))
+    for level in (0.6, 0.9, 0.99):
+        p, (yes, no) = net.predict(x), net.sure(x, level)
+        assert 0 < yes.sum() < len(x) and np.array_equal(yes, p >= level) and np.array_equal(no, p <= 1 - level)
+    assert [v.tolist() for v in net.sure(np.array([[np.nan] * 5]), 0.9)] == [[False], [False]]
+
+
 def test_networks_meet_every_held_out_pair(spark, small_dir):
     from scenegrain.queries import _inputs, text
     from scenegrain.types import PREDICATES
