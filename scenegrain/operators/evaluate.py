@@ -116,49 +116,101 @@ def fit_near(unordered: DataFrame, points: int = 100) -> DataFrame:
 
 
 def bootstrap(per_image: DataFrame, iters: int = 2000) -> DataFrame:
-    """Percentile intervals of recall when whole images are drawn with replacement: k, draws, lo, hi.
+    """Percentile intervals of recall when whole images are drawn with replacement: k, draws, lo, hi."""
+    return intervals(drawn(per_image, iters)).select("k", "draws", "lo", "hi")
 
-    per_image: image_id, k, hits, total. Each draw gives an image a Poisson(1) weight, from a hash of
-    draw and image: the large-sample form of drawing with replacement, which needs no list of images
-    in one place. Images become rows first; a task multiplies their weights for all draws with their
-    counts, block by block, and gives one row a predicate and draw, so nothing is exploded.
+
+def drawn(per_image: DataFrame, iters: int = 2000, held: Column | None = None) -> DataFrame:
+    """scope, k, draw, h, t: weighted hits and totals of all images (pooled) and, with `held`, of those of its rows (held out).
+
+    per_image: image_id, k, hits, total; an image may have several rows of a predicate. Each draw gives
+    an image a Poisson(1) weight, from a hash of draw and image: the large-sample form of drawing with
+    replacement, which needs no list of images in one place. Draw 0 takes every image once. Images
+    become rows first; a task multiplies their weights for all draws with their counts, block by block,
+    and gives one row a scope, predicate and draw, so nothing is exploded, and both scopes share weights.
     """
     names = PREDICATES
     counts = [F.coalesce(F.sum(F.when(F.col("k") == p, F.col(c))), F.lit(0)).cast("double").alias(f"{c}{i}") for c in ("hits", "total") for i, p in enumerate(names)]
     whole = dict(per_image.dtypes)["image_id"] in ("tinyint", "smallint", "int", "bigint")
     image = F.pmod(F.col("image_id").cast("long") if whole else F.xxhash64("image_id"), F.lit(DRAW_PRIME).cast("long"))
-    wide = per_image.groupBy("image_id").agg(*counts).select(image.alias("image"), F.array(*[f"{c}{i}" for c in ("hits", "total") for i in range(len(names))]).alias("v"))
+    side = F.lit(False) if held is None else F.coalesce(held, F.lit(False))
+    wide = per_image.groupBy("image_id", side.alias("held")).agg(*counts).select(image.alias("image"), "held", F.array(*[f"{c}{i}" for c in ("hits", "total") for i in range(len(names))]).alias("v"))
+    scopes = ["pooled"] if held is None else ["pooled", "held out"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw = np.arange(1, iters + 1)
-        sums = np.zeros((iters, 2 * len(names)))
+        draw = np.arange(iters + 1)
+        sums = np.zeros((2, 2 * len(names), iters + 1))  # of images not held out, and of those that are
         for batch in batches:
-            images, v = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * len(names))
-            for lo in range(0, len(images), 512):
-                sums += draw_weights(draw[:, None], images[None, lo : lo + 512]) @ v[lo : lo + 512]
-        at = np.repeat(np.arange(len(names)), iters)
-        hits, total = (sums[:, i * len(names) : (i + 1) * len(names)].T.ravel() for i in (0, 1))
-        keep = total > 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[at[keep]]), pa.array(np.tile(draw, len(names))[keep]), pa.array(hits[keep]), pa.array(total[keep])], names=["k", "draw", "h", "t"])
-
-    draws = wide.mapInArrow(run, "k string, draw long, h double, t double").groupBy("k", "draw").agg(F.sum("h").alias("h"), F.sum("t").alias("t"))
-    return draws.groupBy("k").agg(F.count("*").alias("draws"), F.round(F.percentile(F.col("h") / F.col("t"), num(0.025)), 6).alias("lo"), F.round(F.percentile(F.col("h") / F.col("t"), num(0.975)), 6).alias("hi"))
+            images, sides = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            v = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * len(names))
+            for i in (0, 1):
+                mine, own = images[sides == i], v[sides == i]
+                for lo in range(0, len(mine), DRAWN_TOGETHER):
+                    some = own[lo : lo + DRAWN_TOGETHER]
+                    sums[i, :, 1:] += some.T @ draw_weights(draw[None, 1:], mine[lo : lo + DRAWN_TOGETHER, None]).astype(float)
+                sums[i, :, 0] += own.sum(0)
+        of = np.stack([sums.sum(0), sums[1]][: len(scopes)])
+        hits, total = (of[:, i * len(names) : (i + 1) * len(names)].ravel() for i in (0, 1))
+        keep = np.flatnonzero(total > 0)
+        at, (scope, k, n) = keep, np.unravel_index(keep, (len(scopes), len(names), iters + 1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(scopes)[scope]), pa.array(np.array(names)[k]), pa.array(draw[n]), pa.array(hits[at]), pa.array(total[at])], names=["scope", "k", "draw", "h", "t"])
+
+    return wide.mapInArrow(run, "scope string, k string, draw long, h double, t double").groupBy("scope", "k", "draw").agg(F.sum("h").alias("h"), F.sum("t").alias("t"))
+
+
+def intervals(draws: DataFrame) -> DataFrame:
+    """scope, k, draws, gold, recall, lo, hi from drawn(): recall and gold of the images as they are, the interval of their draws."""
+    real = F.col("draw") > 0
+    share = F.when(real, F.col("h") / F.col("t"))
+    ends = [F.round(F.percentile(share, num(p)), 6).alias(c) for p, c in ((0.025, "lo"), (0.975, "hi"))]
+    once = [F.max(F.when(~real, v)).alias(c) for v, c in ((F.col("t").cast("long"), "gold"), (F.col("h") / F.col("t"), "recall"))]
+    return draws.groupBy("scope", "k").agg(F.count_if(real).alias("draws"), *once, *ends).where("draws > 0")
 
 
 #: The hash of draw and image works modulo this prime, so that all products fit into 64 bits.
 DRAW_PRIME, DRAW_A, DRAW_B = 2_147_483_647, 1_103_515_245, 69_621
 
 
-def draw_weights(draw: np.ndarray, image: np.ndarray) -> np.ndarray:
-    """Poisson(1) weights of images in draws: the steps that a hash of both, as a share of the prime, has passed."""
-    x = (image * DRAW_A + draw * DRAW_B + 12_345) % DRAW_PRIME
-    x = (x * x + image) % DRAW_PRIME
-    x = (x * x + draw) % DRAW_PRIME
-    return np.searchsorted(np.array(POISSON), x / DRAW_PRIME, side="right").astype(float)
-
-
 #: Cumulative probabilities of a Poisson variable of mean 1 being 0, at most 1, ... at most 7.
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
+#: Images whose weights are worked out together: few enough that what is worked out stays in a core's cache.
+DRAWN_TOGETHER = 32
+
+
+def first_passed(p: float) -> int:
+    """The smallest number whose share of the prime reaches p."""
+    x = max(0, int(p * DRAW_PRIME) - 2)
+    while x / DRAW_PRIME < p:
+        x += 1
+    return x
+
+
+PASSED = [np.uint32(first_passed(p)) for p in POISSON]
+
+
+def draw_weights(draw: np.ndarray, image: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights of images (below the prime) in draws: the steps that a hash of both, as a share of the prime, has passed.
+
+    The prime is 2**31 - 1, so that a remainder is what is left of adding the digits above 31 to those
+    below, twice; it may be the prime and a little more, which is 0 and a little more.
+    """
+    prime, high = np.uint64(DRAW_PRIME), np.uint64(31)
+    draw, image = draw.astype(np.uint64), image.astype(np.uint64)
+    x = image * np.uint64(DRAW_A) % prime + (draw * np.uint64(DRAW_B) + np.uint64(12_345)) % prime
+    above = np.empty_like(x)
+    for more in (image, draw):
+        x *= x  # below 2**64, since a sum of two remainders is below 2**32
+        x += more
+        for _ in range(2):
+            np.right_shift(x, high, out=above)
+            x &= prime
+            x += above
+    x = x.astype(np.uint32)
+    w = np.zeros(x.shape, np.int8)
+    for least in PASSED:
+        w += (x >= least).view(np.int8)
+    w[x >= np.uint32(DRAW_PRIME)] = 0
+    return w
 
 
 def failure_cause(t, inverted=(6, 8)) -> Column:

@@ -224,3 +224,11 @@ def test_self_training_reads_its_rows_three_times(spark):
         learning.stored = plain
     assert read.value == 3 * 4000
     assert max(n for tag, n in moved if tag == "pool-rows") < 400
+
+
+@pytest.mark.parametrize("name", ["a22_bootstrap", "a22_report"])
+def test_pairs_are_drawn_once(spark, small_dir, name):
+    """One pass over the pairs gives points and intervals of both scopes; only pairs with gold are judged."""
+    plan, _ = executed(catalog.queries()[name](spark, small_dir))
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 1 and "Join" not in plan
+    assert plan.index("predicates#") < plan.index("Filter (NOT (_b#")  # what is above is worked out later

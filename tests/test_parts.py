@@ -525,6 +525,60 @@ def test_confident_answers_are_those_of_double_precision():
     assert [v.tolist() for v in net.sure(np.array([[np.nan] * 5]), 0.9)] == [[False], [False]]
 
 
+def plain_weights(draw: int, image: int) -> int:
+    from scenegrain.operators import evaluate as V
+
+    x = (image * V.DRAW_A + draw * V.DRAW_B + 12345) % V.DRAW_PRIME
+    x = (x * x + image) % V.DRAW_PRIME
+    return sum((x * x + draw) % V.DRAW_PRIME / V.DRAW_PRIME >= p for p in V.POISSON)
+
+
+def test_weights_without_division_are_those_of_remainders():
+    from scenegrain.operators import evaluate as V
+
+    image = np.array([0, 1, 2, 12345, V.DRAW_PRIME - 2, V.DRAW_PRIME - 1, *np.random.default_rng(1).integers(0, V.DRAW_PRIME, 200)])
+    draw = np.arange(1, 2001, 7)
+    got = V.draw_weights(draw[None, :], image[:, None])
+    assert got.tolist() == [[plain_weights(int(d), int(i)) for d in draw] for i in image]
+
+
+def test_both_scopes_share_their_draws(spark):
+    """An image may be held out in part; draw 0 takes each image once."""
+    from pyspark.sql import functions as F
+    from scenegrain.operators import evaluate as V
+
+    rows = [(1, 6, "on", 1, 1), (1, 6, "on", 0, 2), (1, 2, "on", 3, 4), (2, 3, "near", 1, 5), (-7, 8, "on", 2, 2), (2**40, None, "on", 0, 1)]
+    df = spark.createDataFrame(rows, "image_id long, grp int, k string, hits long, total long")
+    got = {(r.scope, r.k, r.draw): (r.h, r.t) for r in V.drawn(df, 40, F.col("grp") >= 6).collect()}
+    want = {}
+    for image, grp, k, hits, total in rows:
+        for scope in ["pooled"] + ["held out"] * ((grp or 0) >= 6):
+            for draw in range(41):
+                w = plain_weights(draw, image % V.DRAW_PRIME) if draw else 1
+                h, t = want.get((scope, k, draw), (0, 0))
+                want[scope, k, draw] = h + w * hits, t + w * total
+    assert got == {key: v for key, v in want.items() if v[1]}
+    each = {(r.scope, r.k): (r.gold, r.recall) for r in V.intervals(V.drawn(df, 40, F.col("grp") >= 6)).collect()}
+    assert each == {("pooled", "on"): (10, 0.6), ("pooled", "near"): (5, 0.2), ("held out", "on"): (5, 0.6)}
+    assert {r.k for r in V.bootstrap(df, 40).collect()} == {"on", "near"}
+
+
+def test_some_pairs_are_judged_like_all(spark, small_dir):
+    """Where elevation decides the order in depth, too."""
+    from pyspark.sql import functions as F
+    from scenegrain.operators import rules
+    from scenegrain.queries import _inputs
+    from scenegrain.sources import fixtures
+
+    objs, columns = _inputs.objects(spark, small_dir), ["image_id", "a_idx", "b_idx", "predicates", "flags", "gap_rel", "c_ab", "c_ba"]
+    every = rules.evaluate_gathered(objs, share=fixtures.contact_share)
+    for wanted in (F.lit(True), F.size(fixtures.stated()) > 0):
+        some, plain = rules.evaluate_some(objs, wanted, fixtures.contact_share).select(columns), every.where(wanted).select(columns)
+        assert some.count() == plain.count() and not some.exceptAll(plain).head(1)
+    tied = every.where("abs(a_depth - b_depth) < 0.03 and abs(a_y2 - b_y2) > 0.005")
+    assert tied.where("a_elevated or b_elevated").head(1) and tied.where("not (a_elevated or b_elevated)").head(1)
+
+
 def test_networks_meet_every_held_out_pair(spark, small_dir):
     from scenegrain.queries import _inputs, text
     from scenegrain.types import PREDICATES
